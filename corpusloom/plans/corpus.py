@@ -16,6 +16,8 @@ TAGS = [("that", ["that ", "than "]), ("with", ["with "]), ("elle", ["elle"]), (
         ("cion", ["ción"]), ("ing", ["thing"])]
 LANG_SOURCE = {"en": "pubmed", "fr": "europepmc", "de": "clinicaltrials", "es": "wiki"}
 REF_YEAR = 2025
+# The default of 120 never applies to this prose, whose last pieces are longer.
+MERGE_BELOW = 700
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -129,12 +131,13 @@ chunks AS MATERIALIZED (
   SELECT d.doc_id || '#c' || coalesce(p.i, 0) AS chunk_id, d.doc_id, {_CHUNK_COLS},
     coalesce(p.piece, d.title) AS text, coalesce(p.i, 0) AS chunk_index
   FROM docs d LEFT JOIN pieces p ON p.doc_id = d.doc_id)"""
+_SHORT = f"length(f.cur) < {MERGE_BELOW} OR length(c.text) < {MERGE_BELOW}"
 MERGED_CHUNKS = f"""{CHUNKS},
 folded AS (
   SELECT doc_id, 0 AS i, 0 AS g, text AS cur FROM chunks WHERE chunk_index = 0
   UNION ALL
-  SELECT f.doc_id, c.chunk_index, CASE WHEN length(f.cur) < 120 OR length(c.text) < 120 THEN f.g ELSE f.g + 1 END,
-    CASE WHEN length(f.cur) < 120 OR length(c.text) < 120 THEN trim(f.cur || ' ' || c.text) ELSE c.text END
+  SELECT f.doc_id, c.chunk_index, CASE WHEN {_SHORT} THEN f.g ELSE f.g + 1 END,
+    CASE WHEN {_SHORT} THEN trim(f.cur || ' ' || c.text) ELSE c.text END
   FROM folded f JOIN chunks c ON c.doc_id = f.doc_id AND c.chunk_index = f.i + 1),
 merged AS MATERIALIZED (
   SELECT d.doc_id || '#c' || m.g AS chunk_id, d.doc_id, {_CHUNK_COLS}, m.text, m.g AS chunk_index
