@@ -105,9 +105,15 @@ def search_tokens(c: Column) -> Column:
 
 
 def index_tokens(c: Column) -> Column:
-    """Search tokens, with the stand-in token for text that has none."""
-    t = search_tokens(text_or_empty(c))
-    return F.when(F.size(t) == 0, F.array(F.lit("empty"))).otherwise(t)
+    """Search tokens, with the stand-in token for text that has none.
+
+    The test for "none" stops at the first token character, which is cheaper
+    than looking at the size of a second token array.
+    """
+    c = text_or_empty(c)
+    none = F.when(F.lower(c).rlike("[a-z0-9_一-鿿]"), F.array().cast("array<string>")).otherwise(
+        F.array(F.lit("empty")))
+    return F.concat(search_tokens(c), none)
 
 
 def clean_ocr(c: Column, page_mark: str) -> Column:

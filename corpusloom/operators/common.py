@@ -1,5 +1,8 @@
 """Shared plan shapes: size-checked broadcast, salted join, first-per-key, top-k."""
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # A side is broadcast only if it has at most this many rows (counted, with an
@@ -13,20 +16,47 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a table and read it back.
+
+    For plans that go over an expensive result several times. The table lies in
+    the folder named by ``spark.checkpoint.dir``, shared by all executors, so a
+    lost executor costs a re-read and nothing else. Without the setting (tests,
+    one machine) a temporary folder is used.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-")
+    path = f"{base}/corpusloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input that arrives in fewer pieces than there are cores.
+
+    A table of that size is small by definition; a large scan has more splits
+    than cores and is left alone, so no large text is ever moved by this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
-               spread: Column | None = None, rows: int = BROADCAST_ROWS) -> DataFrame:
+               unique: Column | None = None, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a side that is usually small.
 
     Within the size bound the small side is broadcast and ``big`` is not moved.
     Beyond it both sides are shuffled on the keys plus a salt taken from
-    ``spread`` (a per-row unique column of ``big``), so one hot key is spread
+    ``unique`` (a per-row unique column of ``big``), so one hot key is spread
     over ``SALTS`` tasks.
     """
     if fits(small, rows):
         return big.join(F.broadcast(small), keys, how)
-    if spread is None:
-        return big.join(small, keys, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return big.join(small, keys, how) if unique is None else salted_join(big, small, keys, unique, how)
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], unique: Column, how: str = "inner") -> DataFrame:
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(unique), F.lit(SALTS)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 

@@ -9,68 +9,88 @@ from corpusloom.functions.text import head, index_tokens
 from corpusloom.schemas import CHUNK_FIELDS
 
 
+# Row of the vocabulary that carries the corpus totals; no token is empty.
+TOTALS = ""
+
+
 @dataclass
 class KeywordIndex:
-    """``postings(chunk_id, dl, term, tf)``, ``terms(term, df)``, ``corpus(n, avgdl, mean_idf)``."""
+    """``postings(chunk_id, dl, term, tf)`` and ``vocabulary(term, df, length)``.
+
+    ``df`` counts the chunks with the term. The row of the empty term has the
+    number of chunks as ``df`` and their total token count as ``length``.
+    """
 
     postings: DataFrame
-    terms: DataFrame
-    corpus: DataFrame
+    vocabulary: DataFrame
 
     def write(self, path: str, term_buckets: int = 256) -> None:
-        """Store the three tables. Postings are laid out by term hash, so a
-        search reads only the row groups of its own terms."""
+        """Store both tables. Postings are laid out by term hash, so a search
+        reads only the directories of its own terms; a hot bucket is spread over
+        several files."""
         (self.postings.withColumn("bucket", term_bucket(F.col("term"), term_buckets))
          .repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8)))
          .sortWithinPartitions("bucket", "term")
          .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+        self.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> "KeywordIndex":
-        postings = spark.read.schema("chunk_id string, dl bigint, term string, tf bigint, bucket int").parquet(
-            f"{path}/postings")
+        postings = "chunk_id string, dl bigint, term string, tf bigint, bucket int"
         return KeywordIndex(
-            postings,
-            spark.read.schema("term string, df bigint").parquet(f"{path}/terms"),
-            spark.read.schema("n bigint, avgdl double, mean_idf double").parquet(f"{path}/corpus"))
+            spark.read.schema(postings).parquet(f"{path}/postings"),
+            spark.read.schema("term string, df bigint, length bigint").parquet(f"{path}/vocabulary"))
+
+
+@dataclass
+class CorpusStats:
+    n: int
+    avgdl: float
+    mean_idf: float
 
 
 def term_bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def raw_idf(n: Column, df: Column) -> Column:
+def raw_idf(n, df: Column) -> Column:
     return F.ln(n - df + 0.5) - F.ln(df + 0.5)
 
 
 def build_keyword_index(chunks: DataFrame, only_terms: DataFrame | None = None) -> KeywordIndex:
     """Index tables as plans over ``chunks(chunk_id, text)``.
 
-    Document frequency explodes each row's distinct tokens, so its shuffle is
-    one row per term and task. ``only_terms`` (a broadcast-sized ``term``
-    column) limits the postings before they are counted: a search then shuffles
-    only rows of terms that were asked for.
+    The vocabulary explodes each row's distinct tokens, so its shuffle is one
+    row per term and task. ``only_terms`` (a broadcast-sized ``term`` column)
+    limits the postings before they are counted: a search then shuffles only
+    rows of terms that were asked for.
     """
     tokens = chunks.select("chunk_id", index_tokens(F.col("text")).alias("tokens"))
-    exploded = tokens.select("chunk_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+    dl = F.size("tokens").cast("long").alias("dl")
+    exploded = tokens.select("chunk_id", dl, F.explode("tokens").alias("term"))
     if only_terms is not None:
         exploded = exploded.join(F.broadcast(only_terms), "term", "left_semi")
     postings = exploded.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-    terms = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(
-        F.count("*").alias("df"))
-    lengths = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    n = lengths.select("n").scalar()
-    mean_idf = terms.agg(F.avg(raw_idf(n, F.col("df")))).scalar()
-    return KeywordIndex(postings, terms, lengths.withColumn("mean_idf", mean_idf))
+    terms = F.concat(F.array(F.lit(TOTALS)), F.array_distinct("tokens"))
+    vocabulary = tokens.select(dl, F.explode(terms).alias("term")).groupBy("term").agg(
+        F.count("*").alias("df"), F.sum("dl").alias("length"))
+    return KeywordIndex(postings, vocabulary)
+
+
+def corpus_stats(vocabulary: DataFrame) -> CorpusStats:
+    """Chunk count, mean length and mean idf: two one-row aggregates."""
+    totals = vocabulary.where(F.col("term") == TOTALS).select("df", "length").first()
+    n = totals["df"] if totals else 0
+    words = vocabulary.where(F.col("term") != TOTALS)
+    mean = words.agg(F.avg(raw_idf(F.lit(n), F.col("df")))).first()[0]
+    return CorpusStats(n, totals["length"] / n if n else 0.0, mean or 0.0)
 
 
-def term_weights(index: KeywordIndex) -> DataFrame:
+def term_weights(vocabulary: DataFrame, stats: CorpusStats) -> DataFrame:
     """Okapi idf per term; terms in more than half of the chunks get a share of the mean."""
-    n, mean = index.corpus.select("n").scalar(), index.corpus.select("mean_idf").scalar()
-    raw = raw_idf(n, F.col("df"))
-    return index.terms.select("term", "df", F.when(raw < 0, mean * rules.BM25_EPSILON).otherwise(raw).alias("idf"))
+    raw = raw_idf(F.lit(stats.n), F.col("df"))
+    return vocabulary.where(F.col("term") != TOTALS).select("term", "df", F.when(
+        raw < 0, F.lit(stats.mean_idf * rules.BM25_EPSILON)).otherwise(raw).alias("idf"))
 
 
 def storable(chunks: DataFrame) -> DataFrame:

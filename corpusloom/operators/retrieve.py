@@ -2,13 +2,17 @@
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions import rules, scoring
 from corpusloom.functions.pieces import embedder
 from corpusloom.functions.text import index_tokens, text_or_empty
-from corpusloom.operators.common import BROADCAST_ROWS, fits, join_small, ranked, top_k
-from corpusloom.operators.index import KeywordIndex, build_keyword_index, term_bucket, term_weights
+from corpusloom.operators.common import BROADCAST_ROWS, fits, join_small, ranked, salted_join, top_k
+from corpusloom.operators.index import (
+    CorpusStats, KeywordIndex, build_keyword_index, corpus_stats, term_bucket, term_weights,
+)
 
 # Scores are sums of doubles whose order is not fixed, so ranking looks at
 # rounded scores and breaks ties by id: a rerun or retry gives the same ranks.
@@ -23,75 +27,155 @@ def query_terms(questions: DataFrame, query: str = "query") -> DataFrame:
         "question_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25_hits(chunks: DataFrame | None, questions: DataFrame, k: int = 16,
-              index: KeywordIndex | None = None, term_buckets: int = 256) -> DataFrame:
+def bm25_hits(chunks: DataFrame, questions: DataFrame, k: int = 16) -> DataFrame:
     """Top ``k`` chunks per question by Okapi BM25 -> ``question_id, chunk_id, bm25, kw_rank``.
 
-    Pass a stored ``index`` to read postings instead of tokenizing ``chunks``.
+    Two passes over the corpus: one for the vocabulary, whose totals and weights
+    of the asked terms are read while it is cached, and one for scoring. The
+    scoring pass holds the asked terms (within the broadcast bound) and keeps
+    ``k`` rows per question and task: (question, chunk) pairs are never shuffled.
+    More terms than the bound stay distributed and go through a salted join.
     """
     wanted = query_terms(questions)
-    terms = wanted.select("term").distinct()
-    small = fits(terms)
-    if index is None:
-        index = build_keyword_index(chunks, only_terms=terms if small else None)
-    elif small and "bucket" in index.postings.columns:
-        buckets = [r[0] for r in terms.select(term_bucket(F.col("term"), term_buckets)).distinct().collect()]
-        index = KeywordIndex(index.postings.where(F.col("bucket").isin(buckets)), index.terms, index.corpus)
-    weights = term_weights(index)
-    weighted = wanted.join(weights, "term").select("question_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
-    scored = score_postings(index, weighted).groupBy("question_id", "chunk_id").agg(F.sum("part").alias("bm25"))
-    hits = scored.withColumn("bm25", F.round("bm25", SCORE_DIGITS)).where("bm25 > 0")
+    asked = wanted.limit(BROADCAST_ROWS + 1).toArrow()
+    small = asked.num_rows <= BROADCAST_ROWS
+    index = build_keyword_index(chunks)
+    vocabulary = index.vocabulary.persist(StorageLevel.MEMORY_AND_DISK)
+    stats = corpus_stats(vocabulary)
+    weights = term_weights(vocabulary, stats)
+    if not small:
+        return _rank_scores(salted_join(index.postings, _weigh(wanted, weights), ["term"], F.col("chunk_id")), stats, k)
+    local = questions.sparkSession.createDataFrame(asked) if asked.num_rows else wanted
+    weighted = _weigh(F.broadcast(local), weights).toArrow()
+    vocabulary.unpersist()
+    tokens = chunks.select("chunk_id", index_tokens(F.col("text")).alias("tokens"))
+    hits = tokens.mapInArrow(_keyword_scan(weighted, stats, k), "question_id string, chunk_id string, bm25 double")
     return top_k(hits, ["question_id"], k, F.col("bm25").desc(), F.col("chunk_id"), rank="kw_rank")
 
 
-def score_postings(index: KeywordIndex, weighted: DataFrame) -> DataFrame:
-    """One row per question, chunk and matching term, with its part of the score."""
-    avgdl = index.corpus.select("avgdl").scalar()
-    norm = rules.BM25_K1 * (1 - rules.BM25_B + rules.BM25_B * F.col("dl") / avgdl)
+def bm25_index_hits(index: KeywordIndex, questions: DataFrame, k: int = 16, term_buckets: int = 256) -> DataFrame:
+    """The same from stored index tables: reads only the buckets of the asked terms.
+
+    The better way for few questions with selective terms. The asked terms are
+    broadcast within the bound and joined with a salt beyond it.
+    """
+    wanted = query_terms(questions)
+    stats = corpus_stats(index.vocabulary)
+    weighted = _weigh(wanted, term_weights(index.vocabulary, stats))
+    postings = index.postings
+    if not fits(wanted):
+        return _rank_scores(salted_join(postings, weighted, ["term"], F.col("chunk_id")), stats, k)
+    if "bucket" in postings.columns:
+        used = wanted.select(term_bucket(F.col("term"), term_buckets).alias("b")).distinct().collect()
+        postings = postings.where(F.col("bucket").isin([r["b"] for r in used]))
+    return _rank_scores(postings.join(F.broadcast(weighted), "term"), stats, k)
+
+
+def _weigh(wanted: DataFrame, weights: DataFrame) -> DataFrame:
+    return weights.join(wanted, "term").select("question_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
+
+
+def _rank_scores(matches: DataFrame, stats: CorpusStats, k: int) -> DataFrame:
+    norm = rules.BM25_K1 * (1 - rules.BM25_B + rules.BM25_B * F.col("dl") / F.lit(stats.avgdl))
     part = F.col("w") * F.col("tf") * (rules.BM25_K1 + 1) / (F.col("tf") + norm)
-    joined = join_small(index.postings, weighted, ["term"], spread=F.col("chunk_id"))
-    return joined.select("question_id", "chunk_id", "term", part.alias("part"))
+    scored = matches.groupBy("question_id", "chunk_id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("bm25"))
+    return top_k(scored.where("bm25 > 0"), ["question_id"], k, F.col("bm25").desc(), F.col("chunk_id"), rank="kw_rank")
+
+
+class _Best:
+    """The ``k`` lowest (value, id) pairs of every question seen by one task."""
+
+    def __init__(self, qids: list, k: int):
+        self.qids, self.k = qids, k
+        self.ids = [np.empty(0, dtype=object)] * len(qids)
+        self.values = [np.empty(0)] * len(qids)
+        self.limit = np.full(len(qids), np.inf)
+
+    def offer(self, ids: np.ndarray, values: np.ndarray) -> None:
+        """``values`` is rows x questions; infinite means no match."""
+        near = (values <= self.limit) & np.isfinite(values)
+        for j in np.flatnonzero(near.any(axis=0)):
+            rows = np.flatnonzero(near[:, j])
+            column = values[rows, j]
+            if len(rows) > self.k:
+                inside = column <= np.partition(column, self.k - 1)[self.k - 1]
+                rows, column = rows[inside], column[inside]
+            all_ids = np.concatenate([self.ids[j], ids[rows]])
+            all_values = np.concatenate([self.values[j], column])
+            keep = np.lexsort((all_ids, all_values))[:self.k]
+            self.ids[j], self.values[j] = all_ids[keep], all_values[keep]
+            if len(keep) == self.k:
+                self.limit[j] = self.values[j][-1]
+
+    def batches(self, name: str, sign: float = 1.0):
+        for qid, ids, values in zip(self.qids, self.ids, self.values):
+            if len(ids):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([qid] * len(ids)), pa.array(list(ids)), pa.array(sign * values + 0.0)],
+                    ["question_id", "chunk_id", name])
 
 
-def _top_rows(ids: np.ndarray, dist: np.ndarray, k: int) -> np.ndarray:
-    """Row numbers of the ``k`` best by (distance, id), exact under ties."""
-    if len(dist) > k:
-        rows = np.flatnonzero(dist <= np.partition(dist, k - 1)[k - 1])
-    else:
-        rows = np.arange(len(dist))
-    return rows[np.lexsort((ids[rows], dist[rows]))][:k]
+def _keyword_scan(weighted: pa.Table, stats: CorpusStats, k: int):
+    """Scoring task over ``(chunk_id, tokens)`` batches; ``weighted`` is (question, term, w)."""
+    qids = weighted.column("question_id").unique().to_pylist()
+    terms = weighted.column("term").unique()
+    question = pc.index_in(weighted.column("question_id"), pa.array(qids, pa.string())).to_numpy()
+    term = pc.index_in(weighted.column("term"), terms).to_numpy()
+    order = np.argsort(term, kind="stable")
+    question, w = question[order], weighted.column("w").to_numpy()[order]
+    first = np.searchsorted(term[order], np.arange(len(terms) + 1))
+    base, slope = rules.BM25_K1 * (1 - rules.BM25_B), rules.BM25_K1 * rules.BM25_B / (stats.avgdl or 1.0)
+
+    def search(batches):
+        best = _Best(qids, k)
+        for batch in batches:
+            ids = np.array(batch.column(0).to_pylist(), dtype=object)
+            length = batch.column(1).value_lengths().to_numpy()
+            code = pc.fill_null(pc.index_in(batch.column(1).flatten(), terms), -1).to_numpy()
+            row = np.repeat(np.arange(len(ids)), length)[code >= 0]
+            cell, tf = np.unique(row * len(terms) + code[code >= 0], return_counts=True)
+            row, code = cell // max(1, len(terms)), cell % max(1, len(terms))
+            factor = tf * (rules.BM25_K1 + 1) / (tf + base + slope * length[row])
+            fan = first[code + 1] - first[code]
+            at = np.searchsorted(row, np.arange(len(ids) + 1))
+            for lo, hi in _slices(np.add.reduceat(np.append(fan, 0), at[:-1]) * (at[1:] > at[:-1]), len(qids)):
+                part = slice(at[lo], at[hi])
+                n = fan[part]
+                of = np.repeat(np.arange(len(n)), n)
+                entry = first[code[part]][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                score = np.bincount((row[part][of] - lo) * len(qids) + question[entry],
+                                    weights=factor[part][of] * w[entry], minlength=(hi - lo) * len(qids))
+                score = np.round(score.reshape(hi - lo, len(qids)), SCORE_DIGITS)
+                best.offer(ids[lo:hi], np.where(score > 0, -score, np.inf))
+        yield from best.batches("bm25", -1.0)
+
+    return search
+
+
+def _slices(pairs: np.ndarray, questions: int, limit: int = 4_000_000):
+    """Row ranges whose (row, question) grid and number of pairs stay below ``limit``."""
+    lo, held = 0, 0
+    step = max(1, limit // max(1, questions))
+    for i, n in enumerate(pairs):
+        if i > lo and (i - lo >= step or held + n > limit):
+            yield lo, i
+            lo, held = i, 0
+        held += n
+    if lo < len(pairs):
+        yield lo, len(pairs)
 
 
 def _nearest(qids: list, matrix: np.ndarray, k: int):
     unit = _unit(matrix)
 
     def search(batches):
-        best_ids = [np.empty(0, dtype=object)] * len(qids)
-        best_dist = [np.empty(0)] * len(qids)
+        best = _Best(qids, k)
         for batch in batches:
             ids = np.array(batch.column(0).to_pylist(), dtype=object)
-            if not len(ids):
-                continue
-            vectors = batch.column(1)
-            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            dist = np.round(1.0 - _unit(flat.reshape(len(ids), -1)) @ unit.T, SCORE_DIGITS)
-            for j in range(len(qids)):
-                column = dist[:, j]
-                full = len(best_dist[j]) == k
-                near = np.flatnonzero(column <= best_dist[j][-1]) if full else np.arange(len(column))
-                if not len(near):
-                    continue
-                near = near[_top_rows(ids[near], column[near], k)]
-                cand_ids = np.concatenate([best_ids[j], ids[near]])
-                cand_dist = np.concatenate([best_dist[j], column[near]])
-                keep = _top_rows(cand_ids, cand_dist, k)
-                best_ids[j], best_dist[j] = cand_ids[keep], cand_dist[keep]
-        for j, qid in enumerate(qids):
-            n = len(best_ids[j])
-            if n:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([qid] * n), pa.array(list(best_ids[j])), pa.array(best_dist[j] + 0.0)],
-                    ["question_id", "chunk_id", "distance"])
+            if len(ids):
+                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                best.offer(ids, np.round(1.0 - _unit(flat.reshape(len(ids), -1)) @ unit.T, SCORE_DIGITS))
+        yield from best.batches("distance")
 
     return search
 
@@ -111,9 +195,7 @@ def vector_hits(corpus: DataFrame, questions: DataFrame, k: int = 16, block: int
     checked size; more questions than that are cut into hash blocks, one corpus
     pass each.
     """
-    total = questions.count()
-    blocks = max(1, -(-total // block))
-    spark = corpus.sparkSession
+    blocks = max(1, -(-questions.count() // block))
     out = None
     for b in range(blocks):
         part = questions if blocks == 1 else questions.where(
@@ -122,12 +204,12 @@ def vector_hits(corpus: DataFrame, questions: DataFrame, k: int = 16, block: int
         if not rows.num_rows:
             continue
         matrix = np.array(rows.column("vector").to_pylist(), dtype=np.float64)
-        task = _nearest(rows.column("question_id").to_pylist(), matrix, k)
         hits = corpus.select("chunk_id", "vector").mapInArrow(
-            task, "question_id string, chunk_id string, distance double")
+            _nearest(rows.column("question_id").to_pylist(), matrix, k),
+            "question_id string, chunk_id string, distance double")
         out = hits if out is None else out.unionByName(hits)
     if out is None:
-        out = spark.createDataFrame([], "question_id string, chunk_id string, distance double")
+        out = corpus.sparkSession.createDataFrame([], "question_id string, chunk_id string, distance double")
     return top_k(out, ["question_id"], k, F.col("distance"), F.col("chunk_id"), rank="vec_rank")
 
 
@@ -160,8 +242,7 @@ def best_chunk_per_doc(hits: DataFrame, rank: str = "rank") -> DataFrame:
 
 def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 5, candidate_k: int = 16,
              prefer_levels: list[str] | None = None, boost_tags: list[str] | None = None,
-             use_vector: bool = True, compat: bool = False, embed=None, rerank=None,
-             index: KeywordIndex | None = None) -> DataFrame:
+             use_vector: bool = True, compat: bool = False, embed=None, rerank=None) -> DataFrame:
     """Hybrid retrieval for ``questions(question_id, query[, track])``.
 
     keyword + vector lists -> fused -> boosted -> candidate cut -> optional
@@ -170,7 +251,7 @@ def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 5, candidate_k: i
     evidence levels and nutrition questions prefer topic tags. ``compat`` cuts
     to ``k`` before the document step, so that fewer than ``k`` may come back.
     """
-    kw = bm25_hits(chunks, questions, candidate_k, index)
+    kw = bm25_hits(chunks, questions, candidate_k)
     vec = vector_text_hits(chunks, questions, candidate_k, embed) if use_vector else None
     fused = fuse(vec, kw)
     if questions.count() * 2 * candidate_k <= BROADCAST_ROWS:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.functions.text import head, level_from_rules, tags_from_rules
 from corpusloom.operators.chunk import docs_to_chunks
+from corpusloom.operators.common import spread
 
 LEVELS = [("meta", ["rewh"]), ("guideline", ["orre"]), ("rct", ["thatin"]), ("observational", ["ononst"]),
           ("ebook", ["keit"])]
@@ -21,7 +22,7 @@ MERGE_BELOW = 700
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import search_tokens
 from corpusloom.operators import index, retrieve
-from corpusloom.operators.common import join_small, top_k
+from corpusloom.operators.common import join_small, stored, top_k
 from corpusloom.plans.corpus import CHUNKS, DOCS, QUESTIONS, REF_YEAR, chunks, docs, questions, table
 from corpusloom.plans.q_chunks import vectors_sql
 from corpusloom.plans.registry import query
@@ -56,16 +56,18 @@ def _doc_chunks(spark, sf):
 @query("corpus_terms", f"""
 WITH {DOCS}, {_AS_CHUNKS}, {corpus_sql("dc")} SELECT term, df, round(idf, 6) AS idf FROM idfs""")
 def _(spark, sf):
-    ix = index.build_keyword_index(_doc_chunks(spark, sf))
-    return index.term_weights(ix).select("term", "df", F.round("idf", 6).alias("idf"))
+    vocabulary = index.build_keyword_index(_doc_chunks(spark, sf)).vocabulary
+    weights = index.term_weights(vocabulary, index.corpus_stats(vocabulary))
+    return weights.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("corpus_stats", f"""
 WITH {DOCS}, {_AS_CHUNKS}, {corpus_sql("dc")}
 SELECT n, round(avgdl, 6) AS avgdl, round((SELECT avg(r) FROM raw_idf), 6) AS mean_idf FROM stats""")
 def _(spark, sf):
-    c = index.build_keyword_index(_doc_chunks(spark, sf)).corpus
-    return c.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf"))
+    s = index.corpus_stats(index.build_keyword_index(_doc_chunks(spark, sf)).vocabulary)
+    return spark.createDataFrame([(s.n, round(s.avgdl, 6), round(s.mean_idf, 6))],
+                                 "n bigint, avgdl double, mean_idf double")
 
 
 @query("postings", f"""
@@ -84,10 +86,16 @@ def _(spark, sf):
 @query("bm25_chunks", f"""
 WITH RECURSIVE {CHUNKS}, {QUESTIONS}, {keyword_sql("chunks", 16)} SELECT question_id, chunk_id, bm25, kw_rank FROM kw""")
 def _(spark, sf):
-    return retrieve.bm25_hits(chunks(spark, sf), questions(spark, sf), 16).select(
+    return retrieve.bm25_hits(stored(chunks(spark, sf)), questions(spark, sf), 16).select(
         "question_id", "chunk_id", "bm25", "kw_rank")
 
 
+@query("bm25_stored_index", f"""
+WITH {DOCS}, {_AS_CHUNKS}, {QUESTIONS}, {keyword_sql("dc", 5)} SELECT question_id, chunk_id, bm25, kw_rank FROM kw""")
+def _(spark, sf):
+    return retrieve.bm25_index_hits(index.build_keyword_index(_doc_chunks(spark, sf)), questions(spark, sf), 5)
+
+
 @query("vector_topk", """
 WITH parts AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
 means AS (SELECT label, i, avg(v) AS v FROM parts GROUP BY ALL),
@@ -160,12 +168,12 @@ _HIT_SQL = ", ".join(_HIT_OUT)
 
 @query("hybrid_topk", f"WITH RECURSIVE {CHUNKS}, {hybrid_sql(5)} SELECT {_HIT_SQL} FROM hits")
 def _(spark, sf):
-    return retrieve.retrieve(chunks(spark, sf), questions(spark, sf), 5).select(*_HIT_OUT)
+    return retrieve.retrieve(stored(chunks(spark, sf)), questions(spark, sf), 5).select(*_HIT_OUT)
 
 
 @query("hybrid_topk_compat", f"WITH RECURSIVE {CHUNKS}, {hybrid_sql(5, True)} SELECT {_HIT_SQL} FROM hits")
 def _(spark, sf):
-    return retrieve.retrieve(chunks(spark, sf), questions(spark, sf), 5, compat=True).select(*_HIT_OUT)
+    return retrieve.retrieve(stored(chunks(spark, sf)), questions(spark, sf), 5, compat=True).select(*_HIT_OUT)
 
 
 @query("rrf_topk", f"""
@@ -211,7 +219,7 @@ WITH RECURSIVE {CHUNKS}, {QUESTIONS}, {keyword_sql("chunks", 16)}
 SELECT question_id, chunk_id, doc_id, kw_rank AS rank FROM kw JOIN chunks USING (chunk_id)
 QUALIFY row_number() OVER (PARTITION BY question_id, doc_id ORDER BY kw_rank) = 1""")
 def _(spark, sf):
-    found = retrieve.bm25_hits(chunks(spark, sf), questions(spark, sf), 16)
+    found = retrieve.bm25_hits(stored(chunks(spark, sf)), questions(spark, sf), 16)
     rows = found.select("question_id", "chunk_id", F.element_at(F.split("chunk_id", "#"), 1).alias("doc_id"),
                         F.col("kw_rank").alias("rank"))
     return retrieve.best_chunk_per_doc(rows)
