@@ -88,11 +88,14 @@ def lint_pages(pages: DataFrame, index: DataFrame, known: DataFrame, sections=ru
     checked = pages.join(index, "slug", "left_semi")
     text = F.col("text")
     absent = F.filter(F.array(*[F.lit(s) for s in sections]), lambda s: ~F.contains(text, F.concat(F.lit("## "), s)))
+
+    def issue(cond: Column, name: str, detail: Column) -> Column:
+        return F.when(cond, F.struct(F.lit(name).alias("issue"), detail.alias("detail")))
+
     content = checked.select("slug", F.explode(F.array_compact(F.array(
-        F.when(F.size(absent) > 0, F.struct(F.lit("missing_sections").alias("issue"),
-                                            F.array_join(absent, " ").alias("detail"))),
-        F.when(~F.contains(text, F.lit(updated_mark)), F.struct(F.lit("no_update_mark"), F.lit(""))),
-        F.when(~F.contains(text, F.lit(disclaimer_mark)), F.struct(F.lit("no_disclaimer"), F.lit(""))),
+        issue(F.size(absent) > 0, "missing_sections", F.array_join(absent, " ")),
+        issue(~F.contains(text, F.lit(updated_mark)), "no_update_mark", F.lit("")),
+        issue(~F.contains(text, F.lit(disclaimer_mark)), "no_disclaimer", F.lit("")),
     ))).alias("i")).select("slug", "i.issue", "i.detail")
     return missing_file.unionByName(missing_entry).unionByName(content).unionByName(
         unknown_citations(checked, index, known))
