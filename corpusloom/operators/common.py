@@ -38,7 +38,7 @@ def spread(df: DataFrame) -> DataFrame:
     than cores and is left alone, so no large text is ever moved by this.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, df.columns[0]) if df.rdd.getNumPartitions() < cores else df
 
 
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",

@@ -8,7 +8,7 @@ from corpusloom.functions import rules, scoring
 from corpusloom.functions.text import (
     head, level_from_rules, normalize_doi, normalize_level, normalize_title, strip, tags_from_rules, text_or_empty,
 )
-from corpusloom.operators.common import first_per_key
+from corpusloom.operators.common import first_per_key, stored
 from corpusloom.schemas import DOC_FIELDS
 
 _PRIORITY_BITS = 48
@@ -74,8 +74,9 @@ def dedupe_fold(docs: DataFrame) -> DataFrame:
     * Tags and extra entries follow the same rule per tag and per entry.
 
     Year 0, blank text and empty extra values count as missing. ``docs`` needs
-    ``ord``, unique per row; the result keeps the group's first ``ord``. Every
-    text is shuffled once, to its winner's row.
+    ``ord``, unique per row; the result keeps the group's first ``ord``. The
+    decision table (one narrow row per key) is written once, since four later
+    steps read it; every text is shuffled once, to its winner's row.
     """
     tags = F.array_distinct(F.coalesce(F.col("tags"), F.array().cast("array<string>")))
     keyed = docs.select(
@@ -138,10 +139,10 @@ def dedupe_fold(docs: DataFrame) -> DataFrame:
 
     walked = groups.select("key", *firsts, F.aggregate("records", start, step).alias("end"))
     last = F.element_at("end.winners", -1)
-    winners = walked.select(
+    winners = stored(walked.select(
         "key", "first_ord", F.col("end.winners").alias("winners"), last.alias("winner"),
         F.coalesce(F.col("end.text"), F.col("first_text.ord"), last).alias("text_ord"),
-        *[F.coalesce(F.col(f"end.{f}"), F.col(f"first_{f}")).alias(f"{f}_ord") for f in _FOLD_FIELDS])
+        *[F.coalesce(F.col(f"end.{f}"), F.col(f"first_{f}")).alias(f"{f}_ord") for f in _FOLD_FIELDS]))
 
     # Fields that come from another row than the winner.
     borrowed = winners.select("key", F.explode(F.filter(

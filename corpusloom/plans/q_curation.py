@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import scoring
 from corpusloom.functions.text import normalize_doi, normalize_level, normalize_title, tags_from_rules
 from corpusloom.operators import curate, report
+from corpusloom.operators.common import stored
 from corpusloom.plans.corpus import DOCS, LEVELS, TAGS, docs, sql_case, sql_tags, table
 from corpusloom.plans.registry import query
 
@@ -80,7 +81,7 @@ FROM fold QUALIFY row_number() OVER (PARTITION BY key ORDER BY rn DESC) = 1"""
 
 @query("dedupe_fold", _fold_sql())
 def _(spark, sf):
-    d = curate.dedupe_fold(docs(spark, sf))
+    d = curate.dedupe_fold(stored(docs(spark, sf)))
     return d.select("ord", "doc_id", "source", "title", "evidence_level", F.length("text").alias("n_chars"), "year",
                     "url", "journal", "doi", "tags", F.element_at("extra", "isOpenAccess").alias("is_oa"),
                     F.coalesce(F.element_at("extra", "inPMC"), F.lit("")).alias("in_pmc"))

@@ -115,8 +115,7 @@ sections AS MATERIALIZED (SELECT stem, i, text, coalesce(last_value(nullif(t, ''
 @query("section_split", f"""
 WITH {_MD} SELECT stem, i::BIGINT AS i, title, text FROM sections WHERE text <> ''""")
 def _(spark, sf):
-    rows = _md_files(spark, sf).select("stem", F.posexplode(markdown.sections_of(F.col("text"), F.col("stem"))).alias("i", "s"))
-    return rows.select("stem", "i", "s.title", "s.text").where("text <> ''")
+    return markdown.with_sections(_md_files(spark, sf).drop("pos")).where("text <> ''")
 
 
 @query("markdown_docs", f"""

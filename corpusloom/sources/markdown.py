@@ -28,30 +28,30 @@ def lines_of(text: Column) -> Column:
     return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, n - 1)).otherwise(lines)
 
 
-def sections_of(text: Column, stem: Column) -> Column:
-    """Array of ``(title, text)``: a new section at every heading, in document order.
+_HEADING = r"#{1,6}[^\S\n]"
 
-    The walk stays inside the row. A heading without a title keeps the title
-    before it.
-    """
-    lines = lines_of(text)
-    starts = F.filter(
-        F.transform(lines, lambda x, i: F.when((i == 0) | x.rlike(r"(?U)^#{1,6}\s"), i)), lambda i: i.isNotNull())
-
-    def section(start: Column, k: Column) -> Column:
-        stop = F.coalesce(F.try_element_at(starts, k + 2), F.size(lines))
-        title = F.regexp_extract(F.get(lines, start), r"(?U)^#{1,6}\s+(.*)$", 1)
-        return F.struct(strip(title).alias("title"),
-                        strip(F.array_join(F.slice(lines, start + 1, stop - start), "\n")).alias("text"))
 
-    init = F.struct(F.array().cast("array<struct<title:string,text:string>>").alias("done"), stem.alias("title"))
+def with_sections(files: DataFrame) -> DataFrame:
+    """``files(stem, text, …)`` with ``i, title, text`` per section.
 
-    def name(acc: Column, s: Column) -> Column:
-        title = or_else(s["title"], acc["title"])
-        return F.struct(F.concat(acc["done"], F.array(F.struct(title.alias("title"), s["text"].alias("text"))))
-                        .alias("done"), title.alias("title"))
-
-    return F.aggregate(F.transform(starts, section), init, name, lambda a: a["done"])
+    One split before every heading line gives the sections without leaving the
+    row. A heading without a title keeps the title before it.
+    """
+    text = F.regexp_replace(F.col("text"), _LINE_END, "\n")
+    sections = F.split(F.regexp_replace(text, "\n$", ""), rf"(?U)\n(?={_HEADING})")
+    rows = files.withColumn("_sections", sections)
+    titles = F.transform("_sections", lambda s, i: F.when(
+        s.rlike(rf"(?U)^{_HEADING}"), strip(F.regexp_extract(s, r"(?U)^#{1,6}[^\S\n]+([^\n]*)", 1)))
+        .when(i == 0, F.col("stem")).otherwise(""))
+    rows = rows.withColumn("_titles", F.concat(F.array("stem"), titles))
+    untitled = F.array_position("_titles", F.lit("")) > 0
+    carried = F.transform(F.sequence(F.lit(2), F.size("_titles")), lambda i: F.element_at(F.filter(
+        F.slice("_titles", F.lit(1), i), lambda t: t != ""), -1))
+    named = F.when(untitled, carried).otherwise(F.slice("_titles", 2, F.size("_sections")))
+    kept = [c for c in files.columns if c != "text"]
+    rows = rows.select(*kept, F.posexplode(F.arrays_zip(named.alias("title"), F.col("_sections").alias("text")))
+                       .alias("i", "s"))
+    return rows.select(*kept, "i", F.col("s.title").alias("title"), strip(F.col("s.text")).alias("text"))
 
 
 def _local_doc(doc_id: Column, title: Column, text: Column) -> list[Column]:
@@ -67,8 +67,7 @@ def split_sections(files: DataFrame, max_chars: int = rules.SECTION_MAX_CHARS) -
     """One document per section of ``files(stem, text, pos)``; a section above
     ``max_chars`` is packed from its paragraphs. Empty sections are dropped but
     keep their number."""
-    rows = files.select("stem", "pos", F.posexplode(sections_of(F.col("text"), F.col("stem"))).alias("i", "s"))
-    rows = rows.select("stem", "pos", "i", "s.title", "s.text").where("text <> ''")
+    rows = with_sections(files.select("stem", "pos", "text")).where("text <> ''")
     base = F.concat(F.lit("local:md:"), F.col("stem"), F.lit(":"), F.col("i").cast("string"))
     at = (F.col("pos") * 1_000_000 + F.col("i") * 1000).alias("pos")
     short = rows.where(F.length("text") <= max_chars).select(*_local_doc(base, F.col("title"), F.col("text")), at)
