@@ -66,6 +66,10 @@ def assessment_checks(records: DataFrame, citations: DataFrame, known: DataFrame
     return rows.withColumn("passed", F.col("cite_present") & F.col("cite_ids_valid") & F.col("refuse_correct"))
 
 
+def assessment_summary(checked: DataFrame) -> DataFrame:
+    return checked.agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"))
+
+
 def typical_cases(results: DataFrame, n: int = 3) -> DataFrame:
     """Up to ``n`` results of each case class, by id."""
     case = (F.when(F.col("rag.refused"), "refusal")

@@ -138,3 +138,9 @@ def action_tips(contexts: DataFrame, action_words=rules.ACTION_WORDS, banned_wor
     first = first.withColumnRenamed("rank", "_rank")
     tips = top_k(first, ["question_id"], limit, F.col("_rank"), F.col("at"), rank="n")
     return tips.select("question_id", "n", head(F.col("tip"), 120).alias("tip"))
+
+
+def attach_explanation(cards: DataFrame, explanation: DataFrame) -> DataFrame:
+    """Cards with the rank parts and matching terms of `retrieve.explain`."""
+    why = explanation.withColumnRenamed("rank", "index").drop("chunk_id")
+    return cards.join(why, ["question_id", "index"], "left")

@@ -17,6 +17,10 @@ from corpusloom.operators.index import (
 # Scores are sums of doubles whose order is not fixed, so ranking looks at
 # rounded scores and breaks ties by id: a rerun or retry gives the same ranks.
 SCORE_DIGITS = 6
+# Cells of the score grids held by a task at a time, and the number of asking
+# questions from which a term counts as common.
+GRID = 4_000_000
+COMMON_TERM = 8
 # Largest block of question vectors held by a task.
 VECTOR_BLOCK = 4096
 
@@ -116,14 +120,28 @@ class _Best:
 
 
 def _keyword_scan(weighted: pa.Table, stats: CorpusStats, k: int):
-    """Scoring task over ``(chunk_id, tokens)`` batches; ``weighted`` is (question, term, w)."""
+    """Scoring task over ``(chunk_id, tokens)`` batches; ``weighted`` is (question, term, w).
+
+    Terms asked by many questions are scored as one matrix product, the others
+    as (matching chunk, asking question) pairs inside the task.
+    """
     qids = weighted.column("question_id").unique().to_pylist()
     terms = weighted.column("term").unique()
+    nq, nt = len(qids), max(1, len(terms))
     question = pc.index_in(weighted.column("question_id"), pa.array(qids, pa.string())).to_numpy()
     term = pc.index_in(weighted.column("term"), terms).to_numpy()
     order = np.argsort(term, kind="stable")
-    question, w = question[order], weighted.column("w").to_numpy()[order]
-    first = np.searchsorted(term[order], np.arange(len(terms) + 1))
+    term, question, w = term[order], question[order], weighted.column("w").to_numpy()[order]
+    first = np.searchsorted(term, np.arange(nt + 1))
+    asked = np.diff(first)
+    by_use = np.argsort(-asked, kind="stable")
+    common = by_use[asked[by_use] >= COMMON_TERM][:GRID // max(1, nq)]
+    place = np.full(nt, -1)
+    place[common] = np.arange(len(common))
+    is_common = place[term] >= 0
+    grid = np.zeros((len(common), nq))
+    grid[place[term[is_common]], question[is_common]] = w[is_common]
+    fan_of = np.where(place >= 0, 0, asked)
     base, slope = rules.BM25_K1 * (1 - rules.BM25_B), rules.BM25_K1 * rules.BM25_B / (stats.avgdl or 1.0)
 
     def search(batches):
@@ -133,29 +151,34 @@ def _keyword_scan(weighted: pa.Table, stats: CorpusStats, k: int):
             length = batch.column(1).value_lengths().to_numpy()
             code = pc.fill_null(pc.index_in(batch.column(1).flatten(), terms), -1).to_numpy()
             row = np.repeat(np.arange(len(ids)), length)[code >= 0]
-            cell, tf = np.unique(row * len(terms) + code[code >= 0], return_counts=True)
-            row, code = cell // max(1, len(terms)), cell % max(1, len(terms))
+            cell, tf = np.unique(row * nt + code[code >= 0], return_counts=True)
+            row, code = cell // nt, cell % nt
             factor = tf * (rules.BM25_K1 + 1) / (tf + base + slope * length[row])
-            fan = first[code + 1] - first[code]
+            fan = fan_of[code]
             at = np.searchsorted(row, np.arange(len(ids) + 1))
-            for lo, hi in _slices(np.add.reduceat(np.append(fan, 0), at[:-1]) * (at[1:] > at[:-1]), len(qids)):
+            pairs = np.diff(np.append(0, np.cumsum(fan))[at])
+            for lo, hi in _slices(pairs, max(nq, len(common))):
                 part = slice(at[lo], at[hi])
-                n = fan[part]
+                r, c, f, n = row[part] - lo, code[part], factor[part], fan[part]
+                dense = place[c] >= 0
+                weights = np.zeros((hi - lo, len(common)))
+                weights[r[dense], place[c[dense]]] = f[dense]
+                score = weights @ grid
                 of = np.repeat(np.arange(len(n)), n)
-                entry = first[code[part]][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-                score = np.bincount((row[part][of] - lo) * len(qids) + question[entry],
-                                    weights=factor[part][of] * w[entry], minlength=(hi - lo) * len(qids))
-                score = np.round(score.reshape(hi - lo, len(qids)), SCORE_DIGITS)
+                entry = first[c][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                score += np.bincount(r[of] * nq + question[entry], weights=f[of] * w[entry],
+                                     minlength=(hi - lo) * nq).reshape(hi - lo, nq)
+                score = np.round(score, SCORE_DIGITS)
                 best.offer(ids[lo:hi], np.where(score > 0, -score, np.inf))
         yield from best.batches("bm25", -1.0)
 
     return search
 
 
-def _slices(pairs: np.ndarray, questions: int, limit: int = 4_000_000):
-    """Row ranges whose (row, question) grid and number of pairs stay below ``limit``."""
+def _slices(pairs: np.ndarray, width: int, limit: int = GRID):
+    """Row ranges whose rows x ``width`` grid and number of pairs stay below ``limit``."""
     lo, held = 0, 0
-    step = max(1, limit // max(1, questions))
+    step = max(1, limit // max(1, width))
     for i, n in enumerate(pairs):
         if i > lo and (i - lo >= step or held + n > limit):
             yield lo, i

@@ -17,7 +17,7 @@ def _set(text: str) -> str:
     return f"list_distinct({_WORDS.format(text)})"
 
 
-_SCOPE, _DOMAIN, _EXPECT = ["thrrel", "nicht"], ["with", "elle"], ["rct", "meta"]
+SCOPE, DOMAIN, EXPECT = ["thrrel", "nicht"], ["with", "elle"], ["rct", "meta"]
 
 
 def any_sql(text: str, words) -> str:
@@ -31,8 +31,8 @@ ov AS (SELECT question_id, max(CASE WHEN len(w) = 0 OR len(c) = 0 THEN 0.0 ELSE
 cn AS (SELECT question_id, count(*) AS n_contexts, count(*) FILTER (evidence_level IN ('rct', 'meta')) AS strong FROM ctx GROUP BY ALL),
 gated AS MATERIALIZED (
   SELECT question_id, coalesce(n_contexts, 0) AS n_contexts, round(coalesce(overlap, 0.0), 6)::DOUBLE AS overlap,
-    CASE WHEN {any_sql("lower(question)", _SCOPE)} THEN 'out_of_scope'
-      WHEN (NOT {any_sql("lower(question)", _DOMAIN)} AND coalesce(overlap, 0.0) < 0.5) OR coalesce(n_contexts, 0) = 0 THEN 'low_relevance'
+    CASE WHEN {any_sql("lower(question)", SCOPE)} THEN 'out_of_scope'
+      WHEN (NOT {any_sql("lower(question)", DOMAIN)} AND coalesce(overlap, 0.0) < 0.5) OR coalesce(n_contexts, 0) = 0 THEN 'low_relevance'
       WHEN track = 'clinical' AND coalesce(strong, 0) = 0 THEN 'missing_evidence_type' END AS reason
   FROM questions LEFT JOIN ov USING (question_id) LEFT JOIN cn USING (question_id))"""
 
@@ -40,7 +40,7 @@ gated AS MATERIALIZED (
 def _gated(spark, sf):
     """Gate result and the hits it looked at; the short hit lists are stored, since several steps read them."""
     found = stored(hits(spark, sf, 5))
-    return gate.relevance_gate(questions(spark, sf), found, _SCOPE, _DOMAIN, 0.5, _EXPECT), found
+    return gate.relevance_gate(questions(spark, sf), found, SCOPE, DOMAIN, 0.5, EXPECT), found
 
 
 _CTX5 = f"{HITS}, ctx AS (SELECT * FROM hits WHERE rank <= 5)"

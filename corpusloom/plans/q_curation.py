@@ -50,7 +50,8 @@ def _(spark, sf):
                     "completeness")
 
 
-def _fold_sql() -> str:
+def fold_sql(source: str = "") -> str:
+    """The sequential fold, one document at a time; ``source`` redefines ``docs`` over ``docs0``."""
     c, n = _complete(), _complete(*[f"n.{x}" for x in ("text", "year", "url", "journal", "doi", "tags")])
     f = _complete(*[f"f.{x}" for x in ("text", "year", "url", "journal", "doi", "tags")])
     win = f"{n} > {f}"
@@ -63,8 +64,9 @@ def _fold_sql() -> str:
     winner = [f"CASE WHEN {win} THEN n.{x} ELSE f.{x} END" for x in ("doc_id", "source", "title", "evidence_level")]
     tags = (f"CASE WHEN {win} THEN list_concat(n.tags, list_filter(f.tags, lambda x: NOT list_contains(n.tags, x)))"
             f" ELSE list_concat(f.tags, list_filter(n.tags, lambda x: NOT list_contains(f.tags, x))) END")
+    given = f"{DOCS.replace('docs AS', 'docs0 AS', 1)}, {source}" if source else DOCS
     return f"""
-WITH RECURSIVE {DOCS}, {KEYED},
+WITH RECURSIVE {given}, {KEYED},
 ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ord) AS rn FROM keyed),
 fold AS (
   SELECT key, rn, ord, doc_id, source, title, evidence_level, text, year, url, journal, doi, tags, is_oa, in_pmc
@@ -79,7 +81,7 @@ SELECT ord, doc_id, source, title, evidence_level, length(text)::BIGINT AS n_cha
 FROM fold QUALIFY row_number() OVER (PARTITION BY key ORDER BY rn DESC) = 1"""
 
 
-@query("dedupe_fold", _fold_sql())
+@query("dedupe_fold", fold_sql())
 def _(spark, sf):
     d = curate.dedupe_fold(stored(docs(spark, sf)))
     return d.select("ord", "doc_id", "source", "title", "evidence_level", F.length("text").alias("n_chars"), "year",

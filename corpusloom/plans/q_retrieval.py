@@ -148,8 +148,8 @@ _BOOST = """CASE evidence_level WHEN 'guideline' THEN 1.25 WHEN 'meta' THEN 1.2
   * CASE WHEN source = 'wiki' THEN 1.05::DOUBLE ELSE 1.0 END"""
 
 
-def hybrid_sql(k: int, compat: bool = False) -> str:
-    return f"""{QUESTIONS}, {keyword_sql("chunks")}, {vector_sql("chunks")}, {fused_sql(0)},
+def hybrid_sql(k: int, compat: bool = False, asked: str = QUESTIONS) -> str:
+    return f"""{asked}, {keyword_sql("chunks")}, {vector_sql("chunks")}, {fused_sql(0)},
 cand AS MATERIALIZED (
   SELECT c.*, question_id, vec_rank, kw_rank, bm25, distance, round(fused * {_BOOST}, 6) AS score,
     row_number() OVER (PARTITION BY question_id ORDER BY round(fused * {_BOOST}, 6) DESC, chunk_id) AS found
