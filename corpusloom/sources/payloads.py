@@ -15,7 +15,7 @@ def read_pubmed_xml(spark: SparkSession, path: str) -> DataFrame:
     """One row per article record. The record end is the line separator, so a
     large file splits over tasks; everything before the record start is cut."""
     raw = spark.read.option("lineSep", f"</{_ARTICLE}>").text(path)
-    start = F.locate(f"<{_ARTICLE}", F.col("value"))
+    start = F.regexp_instr("value", F.lit(f"<{_ARTICLE}[\\s>]"))
     record = F.concat(F.substring("value", start, F.length("value")), F.lit(f"</{_ARTICLE}>"))
     return raw.where(start > 0).select(record.alias("xml"), F.monotonically_increasing_id().alias("pos"))
 

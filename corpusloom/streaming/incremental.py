@@ -5,7 +5,7 @@ rewrites only the buckets of its own documents. Running a batch twice gives the
 same table, so a restarted stream may repeat its last batch.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.functions import rules
@@ -22,11 +22,13 @@ def bucket_of(doc_id: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(buckets)).cast("int")
 
 
+TABLE = T.StructType([*CHUNK.fields, T.StructField("bucket", T.IntegerType())])
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    schema = CHUNK.simpleString()[len("struct<"):-1]
     if not path_exists(spark, path):
-        return spark.createDataFrame([], f"{schema}, bucket:int")
-    return spark.read.schema(f"{schema}, bucket:int").parquet(path)
+        return spark.createDataFrame([], TABLE)
+    return spark.read.schema(TABLE).parquet(path)
 
 
 def apply_documents(docs: DataFrame, path: str, staging: str, buckets: int = BUCKETS) -> None:
@@ -48,7 +50,7 @@ def apply_documents(docs: DataFrame, path: str, staging: str, buckets: int = BUC
     columns = [*CHUNK_FIELDS, "bucket"]
     merged = kept.select(*columns).unionByName(fresh.select(*columns))
     merged.write.mode("overwrite").partitionBy("bucket").parquet(staging)
-    (spark.read.schema(read_chunks(spark, path).schema).parquet(staging)
+    (spark.read.schema(TABLE).parquet(staging)
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
 
 
