@@ -38,7 +38,9 @@ def docs_to_chunks(docs: DataFrame, max_chars: int = rules.CHUNK_MAX_CHARS, over
         F.array(text_or_empty(F.col("title")))))
     if merge_below is not None:
         cut = cut.withColumn("_pieces", merge_tiny_pieces(pieces, merge_below))
-    rows = cut.select(*_CARRIED, F.posexplode("_pieces").alias("chunk_index", "text"))
+    # Outer, because a plain explode makes Spark test the array for emptiness below
+    # it, which runs the cutter a second time. The array is never empty here.
+    rows = cut.select(*_CARRIED, F.posexplode_outer("_pieces").alias("chunk_index", "text"))
     return rows.withColumn("chunk_id", chunk_id(F.col("doc_id"), F.col("chunk_index"))).select(*CHUNK_FIELDS)
 
 

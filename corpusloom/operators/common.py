@@ -21,16 +21,24 @@ def stored(df: DataFrame) -> DataFrame:
 
     For plans that go over an expensive result several times. The table lies in
     the folder named by ``spark.checkpoint.dir``, shared by all executors, so a
-    lost executor costs a re-read and nothing else. Without the setting (tests,
-    one machine) a temporary folder is used.
+    lost executor costs a re-read and nothing else. Only a local session (tests)
+    may go without the setting; it gets a temporary folder.
     """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-")
-    path = f"{base}/corpusloom-{uuid.uuid4().hex}"
+    path = f"{_shared_folder(spark)}/corpusloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _shared_folder(spark) -> str:
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="corpusloom-")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on an input that arrives in fewer pieces than there are cores.
 

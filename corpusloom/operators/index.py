@@ -67,12 +67,14 @@ def build_keyword_index(chunks: DataFrame, only_terms: DataFrame | None = None)
     """
     tokens = chunks.select("chunk_id", index_tokens(F.col("text")).alias("tokens"))
     dl = F.size("tokens").cast("long").alias("dl")
-    exploded = tokens.select("chunk_id", dl, F.explode("tokens").alias("term"))
+    # Outer explodes: the arrays are never empty, and a plain explode would add an
+    # emptiness test that runs the tokenizer twice.
+    exploded = tokens.select("chunk_id", dl, F.explode_outer("tokens").alias("term"))
     if only_terms is not None:
         exploded = exploded.join(F.broadcast(only_terms), "term", "left_semi")
     postings = exploded.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
     terms = F.concat(F.array(F.lit(TOTALS)), F.array_distinct("tokens"))
-    vocabulary = tokens.select(dl, F.explode(terms).alias("term")).groupBy("term").agg(
+    vocabulary = tokens.select(dl, F.explode_outer(terms).alias("term")).groupBy("term").agg(
         F.count("*").alias("df"), F.sum("dl").alias("length"))
     return KeywordIndex(postings, vocabulary)
 

@@ -34,10 +34,11 @@ def missing_text_sample(docs: DataFrame, n: int = 20) -> DataFrame:
 
 
 def corpus_report(docs: DataFrame) -> DataFrame:
-    """Long table ``section, key, n, pct`` of all distributions in one pass.
+    """Long table ``section, key, n, pct`` of all distributions.
 
     Each document is expanded to its (section, key) pairs and counted once; the
-    expansion is narrow and combined before the shuffle.
+    expansion is narrow and combined before the shuffle. The total is a plain
+    count of the table.
     """
     pairs = F.concat(
         F.array(

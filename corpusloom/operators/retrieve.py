@@ -27,7 +27,7 @@ VECTOR_BLOCK = 4096
 
 def query_terms(questions: DataFrame, query: str = "query") -> DataFrame:
     """Distinct terms of each question with their multiplicity."""
-    return questions.select("question_id", F.explode(index_tokens(F.col(query))).alias("term")).groupBy(
+    return questions.select("question_id", F.explode_outer(index_tokens(F.col(query))).alias("term")).groupBy(
         "question_id", "term").agg(F.count("*").alias("qtf"))
 
 
@@ -342,11 +342,14 @@ def rank_clinical(hits: DataFrame, ref_year: int) -> DataFrame:
 
 
 def explain(hits: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """Why each hit was chosen: rank parts, level boost and the matching terms."""
+    """Why each hit was chosen: rank parts, level boost and the matching terms.
+
+    ``hits`` is best a stored table: it is counted and then read twice.
+    """
     terms = query_terms(questions).select("question_id", "term")
     wanted = hits.select("question_id", "chunk_id")
     texts = chunks.select("chunk_id", index_tokens(F.col("text")).alias("tokens"))
-    shown = texts.join(wanted, "chunk_id").select(
+    shown = join_small(texts, wanted, ["chunk_id"]).select(
         "question_id", "chunk_id", F.explode(F.array_distinct("tokens")).alias("term"))
     matched = shown.join(terms, ["question_id", "term"]).groupBy("question_id", "chunk_id").agg(
         F.sort_array(F.collect_set("term")).alias("matched_terms"))

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusloom.functions import rules
 from corpusloom.functions.text import head, text_or_empty
-from corpusloom.operators.common import top_k
+from corpusloom.operators.common import BROADCAST_ROWS, join_small, top_k
 
 
 def topic_table(spark: SparkSession, topics=rules.TOPICS) -> DataFrame:
@@ -14,12 +14,13 @@ def topic_table(spark: SparkSession, topics=rules.TOPICS) -> DataFrame:
 def select_docs(docs: DataFrame, topics: DataFrame, limit: int = 8) -> DataFrame:
     """Top documents per topic by number of shared tags, then year, then corpus order.
 
-    Both sides are exploded to distinct tags and meet in an equi-join; the topic
-    side is a dimension table and is broadcast by Spark when it is small.
+    Both sides are exploded to distinct tags and meet in an equi-join. The topic
+    side is broadcast within the size bound; beyond it the join is salted, since
+    one tag may be on a third of all documents.
     """
     wanted = topics.select("slug", F.explode(F.array_distinct("query_tags")).alias("tag"))
     have = docs.select("doc_id", "ord", "year", F.explode(F.array_distinct("tags")).alias("tag"))
-    scored = have.join(wanted, "tag").groupBy("slug", "doc_id", "ord", "year").agg(F.count("*").alias("overlap"))
+    scored = join_small(have, wanted, ["tag"], unique=F.col("doc_id")).groupBy("slug", "doc_id", "ord", "year").agg(F.count("*").alias("overlap"))
     return top_k(scored, ["slug"], limit, F.col("overlap").desc(), F.coalesce(F.col("year"), F.lit(0)).desc(),
                  F.col("ord"))
 
@@ -31,6 +32,8 @@ def evidence_lines(docs: DataFrame, topics: DataFrame, limit: int = 8) -> DataFr
         F.lit("- ["), F.col("doc_id"), F.lit("] "), F.col("title"), F.lit(" ("),
         F.coalesce(F.when(F.col("year") != 0, F.col("year").cast("string")), F.lit("n/a")), F.lit("): "),
         head(text_or_empty(F.col("text")), 400))
+    if topics.count() * limit <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
     lines = docs.select("doc_id", line.alias("line")).join(chosen, "doc_id")
     blocks = lines.groupBy("slug").agg(
         F.count("*").alias("n_docs"),
@@ -66,10 +69,8 @@ def refresh_page(docs: DataFrame, topics: DataFrame, slug: str, updated_at: str)
 
 def write_pages(pages: DataFrame, path: str) -> None:
     """One directory per slug. Writing some slugs leaves the others in place."""
-    spark = pages.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     (pages.select("slug", F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), F.col("text")).alias("value"))
-     .write.mode("overwrite").partitionBy("slug").text(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slug").text(path))
 
 
 def lint_pages(pages: DataFrame, index: DataFrame, known: DataFrame, sections=rules.TOPIC_SECTIONS,

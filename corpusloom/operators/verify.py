@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions.text import normalize_doi, strip, text_or_empty
-from corpusloom.operators.common import first_per_key
+from corpusloom.operators.common import first_per_key, join_small
 
 
 def is_trial_id(nct: Column) -> Column:
@@ -29,7 +29,7 @@ def verify_identifiers(ids: DataFrame, catalog: DataFrame) -> DataFrame:
     rows = catalog.select(
         F.explode(keys).alias("key"), "doc_id", "title", "year", "journal", "url",
         (F.contains(blob, F.lit("Retraction")) | F.contains(blob, F.lit("Retracted"))).alias("withdrawn"))
-    rows = first_per_key(rows.join(asked.select("key").distinct(), "key", "left_semi"), ["key"], F.col("doc_id"))
+    rows = first_per_key(join_small(rows, asked.select("key").distinct(), ["key"], "left_semi"), ["key"], F.col("doc_id"))
     found = F.col("doc_id").isNotNull()
     withdrawn = F.coalesce(F.col("withdrawn"), F.lit(False))
     return asked.join(rows, "key", "left").select(

@@ -258,7 +258,7 @@ SELECT question_id, rank, chunk_id, NULL::BIGINT AS vec_rank, kw_rank, score,
     WHEN 'observational' THEN 1.05 ELSE 1.0 END::DOUBLE AS level_boost, coalesce(matched_terms, '') AS matched_terms
 FROM hits LEFT JOIN m USING (question_id, chunk_id)""")
 def _(spark, sf):
-    return retrieve.explain(hits(spark, sf), _doc_chunks(spark, sf), questions(spark, sf))
+    return retrieve.explain(stored(hits(spark, sf)), _doc_chunks(spark, sf), questions(spark, sf))
 
 
 @query("topics_then_chunks", f"""

@@ -49,7 +49,7 @@ def with_sections(files: DataFrame) -> DataFrame:
         F.slice("_titles", F.lit(1), i), lambda t: t != ""), -1))
     named = F.when(untitled, carried).otherwise(F.slice("_titles", 2, F.size("_sections")))
     kept = [c for c in files.columns if c != "text"]
-    rows = rows.select(*kept, F.posexplode(F.arrays_zip(named.alias("title"), F.col("_sections").alias("text")))
+    rows = rows.select(*kept, F.posexplode_outer(F.arrays_zip(named.alias("title"), F.col("_sections").alias("text")))
                        .alias("i", "s"))
     return rows.select(*kept, "i", F.col("s.title").alias("title"), strip(F.col("s.text")).alias("text"))
 
@@ -72,7 +72,7 @@ def split_sections(files: DataFrame, max_chars: int = rules.SECTION_MAX_CHARS) -
     at = (F.col("pos") * 1_000_000 + F.col("i") * 1000).alias("pos")
     short = rows.where(F.length("text") <= max_chars).select(*_local_doc(base, F.col("title"), F.col("text")), at)
     long = rows.where(F.length("text") > max_chars).select(
-        "stem", "pos", "i", "title", F.posexplode(packer(max_chars)(F.col("text"))).alias("j", "text"))
+        "stem", "pos", "i", "title", F.posexplode_outer(packer(max_chars)(F.col("text"))).alias("j", "text"))
     part = (F.col("j") + 1).cast("string")
     packed = long.select(*_local_doc(
         F.concat(base, F.lit(":"), F.col("j").cast("string")),
@@ -113,7 +113,7 @@ def literature_rows(files: DataFrame) -> DataFrame:
     """
     lines = F.col("lines")
     rows = files.select("file", lines_of(F.col("text")).alias("lines")).select(
-        "file", "lines", F.posexplode("lines").alias("at", "raw"))
+        "file", "lines", F.posexplode_outer("lines").alias("at", "raw"))
     rows = rows.withColumn("line", strip(F.col("raw"))).where(
         F.startswith("line", F.lit("|")) & ~F.startswith("line", F.lit("|---"))
         & ~F.startswith("line", F.lit(rules.LITERATURE_HEADER)))

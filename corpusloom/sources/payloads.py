@@ -73,7 +73,7 @@ def read_json_payloads(spark: SparkSession, path: str) -> DataFrame:
 def studies(payloads: DataFrame) -> DataFrame:
     """``payloads(value, pos)`` of the trial registry -> one ``protocolSection`` per row."""
     rows = payloads.select("pos", F.from_json("value", STUDIES).alias("p")).select(
-        "pos", F.posexplode("p.studies").alias("i", "s"))
+        "pos", F.posexplode_outer("p.studies").alias("i", "s")).where("s is not null")
     return rows.select((F.col("pos") * 100_000 + F.col("i")).alias("pos"), F.col("s.protocolSection").alias("p"))
 
 
@@ -140,7 +140,7 @@ def trial_catalog(protocols: DataFrame) -> DataFrame:
 def europepmc_docs(payloads: DataFrame) -> DataFrame:
     """``payloads(value, pos)`` of the open-access service -> documents."""
     rows = payloads.select("pos", F.from_json("value", EUROPEPMC).alias("p")).select(
-        "pos", F.posexplode("p.resultList.result").alias("i", "r"))
+        "pos", F.posexplode_outer("p.resultList.result").alias("i", "r")).where("r is not null")
     rows = rows.select((F.col("pos") * 100_000 + F.col("i")).alias("at"), "r.*")
     source = F.coalesce(F.col("source"), F.lit("MED"))
     ext = or_else(F.col("id"), F.col("pmid"), F.col("doi"), F.lit(""))
