@@ -11,12 +11,16 @@ from corpusloom.functions.text import (
 from corpusloom.operators.common import first_per_key, stored
 from corpusloom.schemas import DOC_FIELDS
 
-_PRIORITY_BITS = 48
+# Positions may be ids made by Spark (partition number above 33 row bits), so they
+# need room: 58 bits hold 32 million partitions and leave 31 sources.
+_PRIORITY_BITS = 58
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:
     """Union in priority order. Each source has ``pos``, its own position; the
     result has ``ord``, one position for the whole corpus."""
+    if len(sources) > 31:
+        raise ValueError("at most 31 sources; union some of them first")
     numbered = [
         s.withColumn("ord", F.lit(i << _PRIORITY_BITS) + F.col("pos").cast("long")).drop("pos")
         for i, s in enumerate(sources)

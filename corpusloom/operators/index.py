@@ -80,7 +80,7 @@ def build_keyword_index(chunks: DataFrame, only_terms: DataFrame | None = None)
 
 
 def corpus_stats(vocabulary: DataFrame) -> CorpusStats:
-    """Chunk count, mean length and mean idf: two one-row aggregates."""
+    """Chunk count, mean length and mean idf: two one-row aggregates over a stored or cached table."""
     totals = vocabulary.where(F.col("term") == TOTALS).select("df", "length").first()
     n = totals["df"] if totals else 0
     words = vocabulary.where(F.col("term") != TOTALS)

@@ -3,13 +3,12 @@
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions import rules, scoring
 from corpusloom.functions.pieces import embedder
 from corpusloom.functions.text import index_tokens, text_or_empty
-from corpusloom.operators.common import BROADCAST_ROWS, fits, join_small, ranked, salted_join, top_k
+from corpusloom.operators.common import BROADCAST_ROWS, fits, join_small, ranked, salted_join, stored, top_k
 from corpusloom.operators.index import (
     CorpusStats, KeywordIndex, build_keyword_index, corpus_stats, term_bucket, term_weights,
 )
@@ -34,8 +33,8 @@ def query_terms(questions: DataFrame, query: str = "query") -> DataFrame:
 def bm25_hits(chunks: DataFrame, questions: DataFrame, k: int = 16) -> DataFrame:
     """Top ``k`` chunks per question by Okapi BM25 -> ``question_id, chunk_id, bm25, kw_rank``.
 
-    Two passes over the corpus: one for the vocabulary, whose totals and weights
-    of the asked terms are read while it is cached, and one for scoring. The
+    Two passes over the corpus: one for the vocabulary, which is stored and gives
+    the totals and the weights of the asked terms, and one for scoring. The
     scoring pass holds the asked terms (within the broadcast bound) and keeps
     ``k`` rows per question and task: (question, chunk) pairs are never shuffled.
     More terms than the bound stay distributed and go through a salted join.
@@ -44,14 +43,13 @@ def bm25_hits(chunks: DataFrame, questions: DataFrame, k: int = 16) -> DataFrame
     asked = wanted.limit(BROADCAST_ROWS + 1).toArrow()
     small = asked.num_rows <= BROADCAST_ROWS
     index = build_keyword_index(chunks)
-    vocabulary = index.vocabulary.persist(StorageLevel.MEMORY_AND_DISK)
+    vocabulary = stored(index.vocabulary)
     stats = corpus_stats(vocabulary)
     weights = term_weights(vocabulary, stats)
     if not small:
         return _rank_scores(salted_join(index.postings, _weigh(wanted, weights), ["term"], F.col("chunk_id")), stats, k)
     local = questions.sparkSession.createDataFrame(asked) if asked.num_rows else wanted
     weighted = _weigh(F.broadcast(local), weights).toArrow()
-    vocabulary.unpersist()
     tokens = chunks.select("chunk_id", index_tokens(F.col("text")).alias("tokens"))
     hits = tokens.mapInArrow(_keyword_scan(weighted, stats, k), "question_id string, chunk_id string, bm25 double")
     return top_k(hits, ["question_id"], k, F.col("bm25").desc(), F.col("chunk_id"), rank="kw_rank")

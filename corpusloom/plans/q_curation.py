@@ -28,8 +28,8 @@ def _complete(text="text", year="year", url="url", journal="journal", doi="doi",
 @query("merge_first_wins", """
 WITH everything AS (
   SELECT md5(text) AS doc_id, doc_id AS ord, text FROM documents
-  UNION ALL SELECT md5(text), 281474976710656 + item_id, text FROM benchmark
-  UNION ALL SELECT md5(html), 562949953421312 + page_id, html FROM pages)
+  UNION ALL SELECT md5(text), 288230376151711744 + item_id, text FROM benchmark
+  UNION ALL SELECT md5(html), 576460752303423488 + page_id, html FROM pages)
 SELECT doc_id, ord, length(text)::BIGINT AS n_chars FROM everything
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ord) = 1""")
 def _(spark, sf):

@@ -67,7 +67,7 @@ def _(spark, sf):
 
 @query("curate_sources", fold_sql("""docs AS MATERIALIZED (
   SELECT doc_id, source, title, text, year, url, tags, evidence_level, journal, doi, is_oa, in_pmc, ord FROM docs0
-  UNION ALL SELECT 'conv:' || conv_id || ':' || turn, 'local', substr(text, 1, 30), text, NULL, '', ['local'], 'other', '', '', '', '', 281474976710656 + conv_id * 1000 + turn
+  UNION ALL SELECT 'conv:' || conv_id || ':' || turn, 'local', substr(text, 1, 30), text, NULL, '', ['local'], 'other', '', '', '', '', 288230376151711744 + conv_id * 1000 + turn
   FROM conversations)"""))
 def _(spark, sf):
     c = table(spark, sf, "conversations")

@@ -159,7 +159,7 @@ UNION ALL SELECT 'f' || doc_id, 4, '| again | [Jones et al.](http://x) | ' || (d
 UNION ALL SELECT 'f' || doc_id, 5, '| BM25 note | ' || (doc_id + 2000000) || ' |', lang FROM lit
 UNION ALL SELECT 'f' || doc_id, 1, '| ' || lang || ' | 文献 |', 'D1PM 课件配套文献（已核实 PMID/DOI）' FROM lit""")
 def _(spark, sf):
-    return markdown.literature_rows(_table_files(spark, sf)).withColumnRenamed("at", "pos")
+    return markdown.literature_rows(_table_files(spark, sf)).select("file", F.col("at").alias("pos"), "line", "context")
 
 
 @query("literature_docs", f"""

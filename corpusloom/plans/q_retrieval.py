@@ -56,7 +56,7 @@ def _doc_chunks(spark, sf):
 @query("corpus_terms", f"""
 WITH {DOCS}, {_AS_CHUNKS}, {corpus_sql("dc")} SELECT term, df, round(idf, 6) AS idf FROM idfs""")
 def _(spark, sf):
-    vocabulary = index.build_keyword_index(_doc_chunks(spark, sf)).vocabulary
+    vocabulary = stored(index.build_keyword_index(_doc_chunks(spark, sf)).vocabulary)
     weights = index.term_weights(vocabulary, index.corpus_stats(vocabulary))
     return weights.select("term", "df", F.round("idf", 6).alias("idf"))
 
@@ -65,7 +65,7 @@ def _(spark, sf):
 WITH {DOCS}, {_AS_CHUNKS}, {corpus_sql("dc")}
 SELECT n, round(avgdl, 6) AS avgdl, round((SELECT avg(r) FROM raw_idf), 6) AS mean_idf FROM stats""")
 def _(spark, sf):
-    s = index.corpus_stats(index.build_keyword_index(_doc_chunks(spark, sf)).vocabulary)
+    s = index.corpus_stats(stored(index.build_keyword_index(_doc_chunks(spark, sf)).vocabulary))
     return spark.createDataFrame([(s.n, round(s.avgdl, 6), round(s.mean_idf, 6))],
                                  "n bigint, avgdl double, mean_idf double")
 

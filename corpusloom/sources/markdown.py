@@ -63,31 +63,37 @@ def _local_doc(doc_id: Column, title: Column, text: Column) -> list[Column]:
         F.create_map().cast("map<string,string>").alias("extra")]
 
 
-def split_sections(files: DataFrame, max_chars: int = rules.SECTION_MAX_CHARS) -> DataFrame:
-    """One document per section of ``files(stem, text, pos)``; a section above
+def markdown_docs(files: DataFrame, whole_below: int = rules.WHOLE_DOC_MAX_CHARS,
+                  max_chars: int = rules.SECTION_MAX_CHARS) -> DataFrame:
+    """Short files as one document each, longer ones by section; a section above
     ``max_chars`` is packed from its paragraphs. Empty sections are dropped but
-    keep their number."""
-    rows = with_sections(files.select("stem", "pos", "text")).where("text <> ''")
-    base = F.concat(F.lit("local:md:"), F.col("stem"), F.lit(":"), F.col("i").cast("string"))
-    at = (F.col("pos") * 1_000_000 + F.col("i") * 1000).alias("pos")
-    short = rows.where(F.length("text") <= max_chars).select(*_local_doc(base, F.col("title"), F.col("text")), at)
-    long = rows.where(F.length("text") > max_chars).select(
-        "stem", "pos", "i", "title", F.posexplode_outer(packer(max_chars)(F.col("text"))).alias("j", "text"))
-    part = (F.col("j") + 1).cast("string")
-    packed = long.select(*_local_doc(
-        F.concat(base, F.lit(":"), F.col("j").cast("string")),
-        F.concat("title", F.lit("（"), part, F.lit("）")), F.col("text")),
-        (F.col("pos") * 1_000_000 + F.col("i") * 1000 + F.col("j")).alias("pos"))
-    return short.unionByName(packed)
+    keep their number.
+
+    Both cases stay in one narrow plan, so ``pos`` follows the order of the files
+    and of the places inside them.
+    """
+    stem, text = F.col("stem"), F.col("text")
+    short = F.length("text") <= whole_below
+    whole = files.select("stem", short.alias("short"), F.when(short, text).alias("whole"),
+                         F.when(short, "").otherwise(text).alias("text"))
+    rows = with_sections(whole).where(F.col("short") | (F.col("text") != ""))
+    rows = rows.withColumn("text", F.when(F.col("short"), F.col("whole")).otherwise(text)).drop("whole")
+    packed = ~F.col("short") & (F.length("text") > max_chars)
+    rows = rows.withColumn("_packed", packer(max_chars)(F.when(packed, text)))
+    parts = F.when(packed, F.col("_packed")).otherwise(F.array("text"))
+    rows = rows.select("stem", "short", "i", "title", packed.alias("packed"), F.posexplode_outer(parts).alias("j", "text"))
+    section = F.concat(F.lit(":"), F.col("i").cast("string"))
+    part = F.concat(F.lit(":"), F.col("j").cast("string"))
+    suffix = F.concat(F.lit("（"), (F.col("j") + 1).cast("string"), F.lit("）"))
+    place = F.when(F.col("short"), "").when(F.col("packed"), F.concat(section, part)).otherwise(section)
+    title = F.when(F.col("short"), stem).when(F.col("packed"), F.concat("title", suffix)).otherwise(F.col("title"))
+    return rows.select(*_local_doc(F.concat(F.lit("local:md:"), stem, place), title, text),
+                       F.monotonically_increasing_id().alias("pos"))
 
 
-def markdown_docs(files: DataFrame, whole_below: int = rules.WHOLE_DOC_MAX_CHARS,
-                  max_chars: int = rules.SECTION_MAX_CHARS) -> DataFrame:
-    """Short files as one document each, longer ones by section."""
-    whole = files.where(F.length("text") <= whole_below).select(
-        *_local_doc(F.concat(F.lit("local:md:"), F.col("stem")), F.col("stem"), F.col("text")),
-        (F.col("pos") * 1_000_000).alias("pos"))
-    return whole.unionByName(split_sections(files.where(F.length("text") > whole_below), max_chars))
+def split_sections(files: DataFrame, max_chars: int = rules.SECTION_MAX_CHARS) -> DataFrame:
+    """One document per section of every file, however short the file."""
+    return markdown_docs(files, whole_below=-1, max_chars=max_chars)
 
 
 def _cells(row: Column) -> Column:
@@ -106,7 +112,7 @@ def table_context(lines: Column, at: Column) -> Column:
 
 
 def literature_rows(files: DataFrame) -> DataFrame:
-    """Table lines of ``files(file, text)`` with their context -> ``file, at, line, context``.
+    """Table lines of ``files(file, text)`` with their context -> ``file, at, line, context, pos``.
 
     The context belongs to the first line of the file with that exact content; a
     line with outer blanks has none and gets the default.
@@ -120,7 +126,7 @@ def literature_rows(files: DataFrame) -> DataFrame:
     place = F.array_position(lines, F.col("line")) - 1
     context = F.when(place >= 0, table_context(lines, place.cast("int"))).otherwise(
         F.lit(rules.LITERATURE_DEFAULT_CONTEXT))
-    return rows.select("file", "at", "line", context.alias("context"))
+    return rows.select("file", "at", "line", context.alias("context"), F.monotonically_increasing_id().alias("pos"))
 
 
 _START = r"(?<![\p{L}\p{N}_])"
@@ -151,4 +157,4 @@ def literature_docs(files: DataFrame) -> DataFrame:
         text_or_empty(F.get(F.filter("cells", lambda c: F.contains(c, F.lit("*"))), F.lit(0))).alias("journal"),
         F.regexp_extract("joined", rf"{_START}(10\.[0-9]{{4,9}}/[^\s·|]+)", 1).alias("doi"),
         F.create_map().cast("map<string,string>").alias("extra"),
-        "file", F.col("at").cast("long").alias("pos"))
+        "file", "pos")

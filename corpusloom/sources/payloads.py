@@ -67,14 +67,14 @@ def _texts(path: str, count: str) -> Column:
 
 def read_json_payloads(spark: SparkSession, path: str) -> DataFrame:
     """One row per response file."""
-    return spark.read.text(path, wholetext=True).withColumn("pos", F.monotonically_increasing_id())
+    return spark.read.text(path, wholetext=True)
 
 
 def studies(payloads: DataFrame) -> DataFrame:
-    """``payloads(value, pos)`` of the trial registry -> one ``protocolSection`` per row."""
-    rows = payloads.select("pos", F.from_json("value", STUDIES).alias("p")).select(
-        "pos", F.posexplode_outer("p.studies").alias("i", "s")).where("s is not null")
-    return rows.select((F.col("pos") * 100_000 + F.col("i")).alias("pos"), F.col("s.protocolSection").alias("p"))
+    """``payloads(value)`` of the trial registry -> one ``protocolSection`` per row."""
+    rows = payloads.select(F.from_json("value", STUDIES).alias("p")).select(
+        F.explode_outer("p.studies").alias("s")).where("s is not null")
+    return rows.select(F.monotonically_increasing_id().alias("pos"), F.col("s.protocolSection").alias("p"))
 
 
 def primary_outcome(outcomes: Column) -> Column:
@@ -138,10 +138,10 @@ def trial_catalog(protocols: DataFrame) -> DataFrame:
 
 
 def europepmc_docs(payloads: DataFrame) -> DataFrame:
-    """``payloads(value, pos)`` of the open-access service -> documents."""
-    rows = payloads.select("pos", F.from_json("value", EUROPEPMC).alias("p")).select(
-        "pos", F.posexplode_outer("p.resultList.result").alias("i", "r")).where("r is not null")
-    rows = rows.select((F.col("pos") * 100_000 + F.col("i")).alias("at"), "r.*")
+    """``payloads(value)`` of the open-access service -> documents."""
+    rows = payloads.select(F.from_json("value", EUROPEPMC).alias("p")).select(
+        F.explode_outer("p.resultList.result").alias("r")).where("r is not null")
+    rows = rows.select(F.monotonically_increasing_id().alias("at"), "r.*")
     source = F.coalesce(F.col("source"), F.lit("MED"))
     ext = or_else(F.col("id"), F.col("pmid"), F.col("doi"), F.lit(""))
     title = text_or_empty(F.col("title"))
