@@ -234,10 +234,17 @@ def vector_hits(corpus: DataFrame, questions: DataFrame, k: int = 16, block: int
     return top_k(out, ["question_id"], k, F.col("distance"), F.col("chunk_id"), rank="vec_rank")
 
 
-def vector_text_hits(chunks: DataFrame, questions: DataFrame, k: int = 16, embed=None) -> DataFrame:
-    """Vector search over texts with the built-in hashed vectors, or a caller's ``embed``."""
+def vector_table(chunks: DataFrame, embed=None) -> DataFrame:
+    """``chunk_id, vector`` of every chunk; store it to search it more than once."""
+    return chunks.select("chunk_id", (embed or embedder())(text_or_empty(F.col("text"))).alias("vector"))
+
+
+def vector_text_hits(chunks: DataFrame, questions: DataFrame, k: int = 16, embed=None,
+                     vectors: DataFrame | None = None) -> DataFrame:
+    """Vector search over texts with the built-in hashed vectors, or a caller's
+    ``embed``. A stored ``vectors`` table is read instead of embedding ``chunks``."""
     embed = embed or embedder()
-    corpus = chunks.select("chunk_id", embed(text_or_empty(F.col("text"))).alias("vector"))
+    corpus = vectors if vectors is not None else vector_table(chunks, embed)
     asked = questions.select("question_id", embed(text_or_empty(F.col("query"))).alias("vector"))
     return vector_hits(corpus, asked, k)
 
@@ -263,7 +270,8 @@ def best_chunk_per_doc(hits: DataFrame, rank: str = "rank") -> DataFrame:
 
 def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 5, candidate_k: int = 16,
              prefer_levels: list[str] | None = None, boost_tags: list[str] | None = None,
-             use_vector: bool = True, compat: bool = False, embed=None, rerank=None) -> DataFrame:
+             use_vector: bool = True, compat: bool = False, embed=None, rerank=None,
+             vectors: DataFrame | None = None, keyword_index: KeywordIndex | None = None) -> DataFrame:
     """Hybrid retrieval for ``questions(question_id, query[, track])``.
 
     keyword + vector lists -> fused -> boosted -> candidate cut -> optional
@@ -271,9 +279,14 @@ def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 5, candidate_k: i
     document -> top ``k``. With a ``track`` column, clinical questions prefer
     evidence levels and nutrition questions prefer topic tags. ``compat`` cuts
     to ``k`` before the document step, so that fewer than ``k`` may come back.
+    Stored ``vectors`` and ``keyword_index`` tables are used where given; the
+    index is the better way for few questions, the scan for many.
     """
-    kw = bm25_hits(chunks, questions, candidate_k)
-    vec = vector_text_hits(chunks, questions, candidate_k, embed) if use_vector else None
+    if keyword_index is not None:
+        kw = bm25_index_hits(keyword_index, questions, candidate_k)
+    else:
+        kw = bm25_hits(chunks, questions, candidate_k)
+    vec = vector_text_hits(chunks, questions, candidate_k, embed, vectors) if use_vector else None
     fused = fuse(vec, kw)
     if questions.count() * 2 * candidate_k <= BROADCAST_ROWS:
         fused = F.broadcast(fused)

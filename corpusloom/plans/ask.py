@@ -33,7 +33,7 @@ def prepare(questions: DataFrame, r: AskRules) -> DataFrame:
 
 def ask_batch(chunks: DataFrame, questions: DataFrame, k: int = 5, use_vector: bool = True,
               ask_rules: AskRules | None = None, fresh: DataFrame | None = None, embed=None, rerank=None,
-              contexts_to=None) -> DataFrame:
+              contexts_to=None, vectors: DataFrame | None = None, keyword_index=None) -> DataFrame:
     """One row per question: ``reason`` and ``message`` for refusals, ``block`` otherwise.
 
     ``chunks`` is best a stored table, it is read several times. ``fresh`` holds
@@ -43,7 +43,8 @@ def ask_batch(chunks: DataFrame, questions: DataFrame, k: int = 5, use_vector: b
     r = ask_rules or AskRules()
     prepared = prepare(questions, r)
     asked = prepared.where(~F.col("dose")).drop("dose")
-    hits = retrieve(chunks, asked, k, use_vector=use_vector, embed=embed, rerank=rerank)
+    hits = retrieve(chunks, asked, k, use_vector=use_vector, embed=embed, rerank=rerank,
+                    vectors=vectors, keyword_index=keyword_index)
     if fresh is not None:
         hits = augment_with_fresh(hits, fresh, k)
     hits = stored(hits)

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.functions import rules
-from corpusloom.operators import chunk, curate, index, report, topics
+from corpusloom.operators import chunk, curate, index, report, retrieve, topics
 from corpusloom.operators.common import stored
 from corpusloom.schemas import DOC_FIELDS
 from corpusloom.sources.files import stage_counts
@@ -16,6 +16,12 @@ def curate_sources(*sources: DataFrame, regrade: bool = True) -> DataFrame:
     return curate.grade_from_text(docs) if regrade else docs
 
 
+def write_search_tables(chunks: DataFrame, out: str, embed=None) -> None:
+    """Vector table and keyword index of a stored chunk table."""
+    retrieve.vector_table(chunks, embed).write.mode("overwrite").parquet(f"{out}/vectors")
+    index.build_keyword_index(chunks).write(f"{out}/keyword_index")
+
+
 def build_corpus(sources: list[DataFrame], out: str, updated_at: str, topic_rows=rules.TOPICS, regrade: bool = True,
                  target_chunks: int = 500, prose=None) -> dict[str, DataFrame]:
     """Write every table of the corpus below ``out`` and return them as read back.

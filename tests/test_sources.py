@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import rules
 from corpusloom.functions.pieces import pack_paragraphs
-from corpusloom.operators import chunk, topics
+from corpusloom.operators import chunk, index, topics
 from corpusloom.plans import ask, build
 from corpusloom.sources import curated, files, markdown, payloads
 from corpusloom.streaming import incremental
@@ -124,6 +124,11 @@ def test_build_and_ask(spark, tmp_path):
     assert rows["n1"]["reason"] == "dosage_request" and rows["x1"]["reason"] == "out_of_scope"
     assert rows["c1"]["refused"] is False and rows["c1"]["n_contexts"] == 3 and rows["c1"]["block"].startswith("[1] (")
     assert kept[0].where("question_id = 'c1'").count() == 3
+    build.write_search_tables(out["chunks"], str(tmp_path / "kb"))
+    again = ask.ask_batch(
+        out["chunks"], q, 3, vectors=spark.read.parquet(str(tmp_path / "kb" / "vectors")),
+        keyword_index=index.KeywordIndex.read(spark, str(tmp_path / "kb" / "keyword_index"))).collect()
+    assert {r["question_id"]: r for r in again} == rows
 
 
 def test_stream_replaces_documents(spark, tmp_path):
