@@ -26,10 +26,11 @@ class KeywordIndex:
 
     def write(self, path: str, term_buckets: int = 256) -> None:
         """Store both tables. Postings are laid out by term hash, so a search
-        reads only the directories of its own terms; a hot bucket is spread over
-        several files."""
+        reads only the directories of its own terms. Ranges are cut by size, so
+        the postings of a hot term fill many files, and rows are sorted by term,
+        so row groups of other terms are skipped."""
         (self.postings.withColumn("bucket", term_bucket(F.col("term"), term_buckets))
-         .repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8)))
+         .repartitionByRange("bucket", "term", "chunk_id")
          .sortWithinPartitions("bucket", "term")
          .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
         self.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
