@@ -25,12 +25,17 @@ def stored(df: DataFrame) -> DataFrame:
     may go without the setting; it gets a temporary folder.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/corpusloom-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _shared_folder(spark) -> str:
+def new_folder(spark) -> str:
+    """Name of a new folder below the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/corpusloom-{uuid.uuid4().hex}"
+
+
+def shared_folder(spark) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
