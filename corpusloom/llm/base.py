@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusloom.operators.common import stored
+from corpusloom.operators.common import new_folder, stored
 
 # A key with more than a HOT_PARTS-th of all rows is hot, so fewer than HOT_PARTS keys are: that
 # bounds what is broadcast for them.
@@ -54,4 +54,4 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: Column, tota
             .unionByName(mark.where("__hot is null").drop("__hot").join(cold, key, how)))
 
 
-__all__ = ["HOT_PARTS", "id_and_text", "join_groups", "plain_words", "stored", "text_buffers", "texts"]
+__all__ = ["HOT_PARTS", "id_and_text", "join_groups", "new_folder", "plain_words", "stored", "text_buffers", "texts"]

@@ -4,7 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontaminate, exact_dedup
+from corpusloom.llm import decontaminate, exact_dedup, packing, sharding, warc
+from corpusloom.llm.base import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -15,6 +16,13 @@ def query(fn):
     return fn
 
 
+def word_vocabulary() -> str:
+    """Place of the given vocabulary file of word pieces."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -60,3 +68,27 @@ found AS (SELECT id, count(DISTINCT item_id) AS n_items,
 SELECT words.id AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM words LEFT JOIN cover ON cover.id = words.id LEFT JOIN found ON found.id = words.id"""
+
+
+@query
+def op4_sampled_shards(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.assign(table(spark, sf, "documents"))
+
+
+@query
+def op1_warc_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf, "pages"), new_folder(spark))
+
+
+SQL["op1_warc_ranges"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest,
+             CASE WHEN strlen(html) >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS keep FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keep THEN keep END AS refers_to
+FROM d"""
+
+
+@query
+def op8_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf, "documents"), word_vocabulary()))
