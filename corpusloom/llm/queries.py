@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontaminate, exact_dedup, packing, sharding, warc
+from corpusloom.llm import decontaminate, exact_dedup, license_scan, packing, sharding, simhash, substring_dedup, warc
 from corpusloom.llm.base import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,33 @@ FROM d"""
 @query
 def op8_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf, "documents"), word_vocabulary()))
+
+
+@query
+def op2_license_templates(spark: SparkSession, sf: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf, "documents"))
+
+
+@query
+def op3_simhash_pigeonhole(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op9_doubling_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf, "documents"))
+
+
+SQL["op9_doubling_windows"] = r"""
+WITH d AS (SELECT doc_id, string_split_regex(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                             '[\x20\x09-\x0D]+') AS w0 FROM documents),
+w AS (SELECT doc_id, CASE WHEN len(w0) = 1 AND w0[1] = '' THEN []::VARCHAR[] ELSE w0 END AS w FROM d),
+grams AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS gram
+          FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50)),
+starts AS (SELECT gram, min(doc_id) AS first FROM grams GROUP BY gram),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM grams JOIN starts USING (gram) WHERE first < doc_id),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS word FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS t
+         FROM words LEFT JOIN gone USING (doc_id, k) WHERE gone.k IS NULL GROUP BY doc_id)
+SELECT w.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)"""
