@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontaminate, exact_dedup, license_scan, packing, sharding, simhash, substring_dedup, warc
+from corpusloom.llm import decontaminate, exact_dedup, license_scan, line_crf, packing, sharding, simhash, substring_dedup, warc
 from corpusloom.llm.base import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,8 @@ kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS t
          FROM words LEFT JOIN gone USING (doc_id, k) WHERE gone.k IS NULL GROUP BY doc_id)
 SELECT w.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)"""
+
+
+@query
+def op5_line_crf(spark: SparkSession, sf: str) -> DataFrame:
+    return line_crf.quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
