@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontaminate, exact_dedup, license_scan, line_crf, packing, sharding, simhash, substring_dedup, warc
+from corpusloom.llm import decontaminate, exact_dedup, license_scan, line_crf, masked_lm, packing, sharding, simhash, substring_dedup, warc
 from corpusloom.llm.base import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,8 @@ FROM w LEFT JOIN kept USING (doc_id)"""
 @query
 def op5_line_crf(spark: SparkSession, sf: str) -> DataFrame:
     return line_crf.quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op6_masked_lm(spark: SparkSession, sf: str) -> DataFrame:
+    return masked_lm.pseudo_likelihood(table(spark, sf, "documents"))
