@@ -38,7 +38,7 @@ SEED = 42
 RADIUS = 2
 PARTS = 3
 DENSE = 65
-BUCKET = 256  # a lookup at distance one or more into a larger bucket makes its fingerprint dense
+BUCKET = 256  # a lookup into a larger bucket makes its fingerprint dense
 _CHUNK = 1 << 16
 
 
@@ -191,7 +191,7 @@ def thresholds(cost: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.n
 
 
 def _lookups(groups, shares, rows, radius):
-    """Batches of (fp, shared counts) to lookups (fp, part, key, far); part -1 are meeting points of dense fingerprints."""
+    """Batches of (fp, shared counts) to lookups (fp, part, key); part -1 are meeting points of dense fingerprints."""
     masks = np.array([mask(g) for g in groups], np.int64)
     flips = [[np.array([mask(list(c)) if c else 0 for c in combinations(g, t)], np.int64) for t in range(radius + 1)] for g in groups]
     points = np.array([0, *(mask([b]) for b in range(64))], np.int64)
@@ -202,18 +202,18 @@ def _lookups(groups, shares, rows, radius):
             shared = np.array(batch.column(1).to_pylist(), float).reshape(len(fps), len(groups))
             chosen, cost = thresholds(costs(fps, shared, groups, shares, rows, radius), radius)
             dense = cost > DENSE
-            parts = [(fps[dense], -1, points, False)]
+            parts = [(fps[dense], -1, points)]
             for i in range(len(groups)):
                 for t in range(radius + 1):
                     these = fps[~dense & (chosen[:, i] >= t)]
-                    parts.append((these, i, flips[i][t], t > 0))
-            for these, part, flip, far in parts:
+                    parts.append((these, i, flips[i][t]))
+            for these, part, flip in parts:
                 for at in range(0, len(these), 4096):
                     some = these[at:at + 4096]
                     keys = ((some if part < 0 else some & masks[part])[:, None] ^ flip[None, :]).ravel()
                     yield pa.RecordBatch.from_pydict({
                         "fp": pa.array(np.repeat(some, len(flip))), "part": pa.array(np.full(len(keys), part, np.int32)),
-                        "key": pa.array(keys), "far": pa.array(np.full(len(keys), far))})
+                        "key": pa.array(keys)})
     return run
 
 
@@ -236,9 +236,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> Data
     sizes = stored(entries.groupBy("__e").agg(F.count(F.lit(1)).alias("n")))
     counted = stored(join_groups(entries, sizes, "__e", F.col("n"), parts * rows, "inner"))
     shared = counted.groupBy("fp").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "n"))), lambda x: x["n"]).alias("shared"))
-    asked = stored(shared.select("fp", "shared").mapInArrow(_lookups(groups, shares, rows, radius), "fp long, part int, key long, far boolean"))
+    asked = stored(shared.select("fp", "shared").mapInArrow(_lookups(groups, shares, rows, radius), "fp long, part int, key long"))
     large = counted.where(F.col("n") > BUCKET).select("part", "key").distinct()
-    overflow = stored(asked.where("far").join(large, ["part", "key"], "left_semi").select("fp").distinct())
+    overflow = stored(asked.where("part >= 0").join(large, ["part", "key"], "left_semi").select("fp").distinct())
     found = (asked.where("part >= 0").join(overflow, "fp", "left_anti")
              .join(counted.where(F.col("n") <= BUCKET).select(F.col("fp").alias("other"), "part", "key"), ["part", "key"])
              .where((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius))
