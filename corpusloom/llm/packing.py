@@ -11,6 +11,8 @@ A null or empty text is the end id alone. Null ids and repeated rows are documen
 An empty table gives no rows. Every id of every text is in one piece.
 """
 
+import os
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -23,63 +25,91 @@ from corpusloom.llm.base import id_and_text, stored, texts
 SEQUENCE = 2048
 GROUP_DOCS = 16384
 END_ID = 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 _TOKENIZERS: dict = {}
 
 
+class _Numbers(dict):
+    """Words to running numbers; new ones wait in ``new``."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 class WordIds:
-    """Ids of whole texts by way of their words, each encoded once while it is cached.
+    """Ids of whole texts by way of their words, each encoded once while it is remembered.
 
     White space always ends a token of this vocabulary, so a text's ids are those of its words in
-    a row. Words of letters alone are encoded many in one call and told apart by their closing ids.
+    a row. Words of letters and closing marks are encoded many in one call and told apart by the ids that end a word.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closing[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _letters(self, words: list[str]) -> list[bytes]:
-        lines = [words[i:i + 256] for i in range(0, len(words), 256)]
-        out: list[bytes] = []
-        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            ends = np.flatnonzero(self.closing[ids]) + 1
-            if len(ends) == len(line):
-                out += [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends)]
-            else:  # a letter whose lower case is no letter
-                out += self._encode(line)
-        return out
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w.decode() for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = [w.decode() for w in words]
-        # A word of letters and one closing mark is two tokens runs; letters are shared among marks.
-        stems = {w: w[:-1] if w[-1] in ".,:;" and w[:-1].isalpha() else w for w in new}
-        letters = list({s for s in stems.values() if s.isalpha()})
-        ids = dict(zip(letters, self._letters(letters)))
-        marks = dict(zip(".,:;", self._encode(list(".,:;"))))
-        rest = [w for w in new if stems[w] not in ids]
-        self.known.update(zip([w.encode() for w in rest], self._encode(rest)))
-        self.known.update((w.encode(), ids[s] + (marks[w[-1]] if s != w else b"")) for w, s in stems.items() if s in ids)
-
-    def __call__(self, text: bytes) -> bytes:
-        """Little-endian 32-bit ids; the words must have been learned."""
-        return b"".join(map(self.known.__getitem__, text.lower().split()))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers, self.ids, self.starts, self.sizes = _Numbers(), np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and how many each word has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], "<u4"), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _together(self, words: list[str], closings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that have ``closings`` ids that end something, many words in one text."""
+        parts, steps = [], range(0, len(words), 256)
+        lines = self.tokenizer.encode_batch_fast([" ".join(words[i:i + 256]) for i in steps], add_special_tokens=False)
+        for i, line in zip(steps, lines):
+            ids = np.array(line.ids, "<u4")
+            ends, wanted = np.flatnonzero(self.closing[ids]) + 1, np.cumsum(closings[i:i + 256])
+            # Otherwise there is a letter whose lower case is no letter.
+            parts.append((ids, np.diff(ends[wanted - 1], prepend=0)) if len(ends) == wanted[-1] else self._encode(words[i:i + 256]))
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _learn(self) -> None:
+        new = [w.decode() for w in self.numbers.new]
+        self.numbers.new.clear()
+        if not new:
+            return
+        cores = [w.rstrip(string.punctuation) for w in new]
+        simple = np.fromiter(map(str.isalpha, cores), bool, len(new))
+        order = np.r_[np.flatnonzero(simple), np.flatnonzero(~simple)]
+        empty = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        closings = np.array([1 + (c != w) for c, w in zip(cores, new)])[simple]
+        ids, sizes = (self._together([new[k] for k in order[:len(closings)]], closings) if len(closings) else empty)
+        more, others = (self._encode([new[k] for k in order[len(closings):]]) if len(closings) < len(new) else empty)
+        sizes, starts = np.r_[sizes, others], np.zeros(len(new), np.int64)
+        starts[order] = len(self.ids) + np.cumsum(sizes) - sizes
+        self.starts = np.concatenate([self.starts, starts])
+        self.sizes = np.concatenate([self.sizes, sizes[np.argsort(order)]])
+        self.ids = np.concatenate([self.ids, ids, more])
 
     def batch(self, raw: list[bytes], step: int = 256) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of each text."""
         for i in range(0, len(raw), step):
-            self.learn({w for t in raw[i:i + step] for w in t.lower().split()})
-            yield from map(self, raw[i:i + step])
+            if len(self.numbers) > CACHE_WORDS:
+                self._forget()
+            numbers = []
+            for text in raw[i:i + step]:
+                words = text.lower().split()
+                numbers.append(np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)))
+            self._learn()
+            for n in numbers:
+                sizes = self.sizes[n]
+                ends = np.cumsum(sizes)
+                shift = np.repeat(self.starts[n] - ends + sizes, sizes)
+                yield self.ids[shift + np.arange(len(shift))].tobytes()
 
 
 def word_ids(path: str) -> WordIds:
