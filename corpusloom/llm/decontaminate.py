@@ -137,6 +137,6 @@ def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, i
     """Character offsets in the original text of (first word, number of words)."""
     import re
 
-    at = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)]
+    at = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
     return [(at[s][0], at[s + n - 1][1]) for s, n in spans]
 
