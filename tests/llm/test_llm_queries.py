@@ -1,6 +1,7 @@
 """The registered queries against their SQL, and the pipeline against a plain version of its stages."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -43,7 +44,7 @@ def test_query(spark, con, name):
 
 def test_all_are_registered():
     names = __spark_entry__.queries()
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
+    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11)) and "pipeline" in names
     assert set(queries.SQL) <= set(__spark_entry__.oracle_sql())
 
 
