@@ -30,7 +30,6 @@ TEXT_LEVEL_RULES = [
     ("rct", ["randomized", "randomised", "randomized controlled", "随机对照", "double-blind", "双盲"]),
     ("observational", ["cohort", "observational", "case-control", "队列", "横断面", "观察性"]),
 ]
-TEXT_LEVEL_HEAD = 3000
 
 # Fallback levels of the literature-table reader, after TITLE_LEVEL_RULES.
 LITERATURE_LEVEL_RULES = [

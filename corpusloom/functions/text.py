@@ -40,6 +40,16 @@ def head(c: Column, n: int) -> Column:
     return F.substring(c, 1, n)
 
 
+def cut(c: Column, most: int | None) -> Column:
+    """At most ``most`` characters; None keeps the whole text."""
+    return c if most is None else head(c, most)
+
+
+def whole_number(c: Column) -> Column:
+    """Text of digits as an integer; null for any other text and for numbers that do not fit."""
+    return F.when(c.rlike("^[0-9]+$"), c.try_cast("int"))
+
+
 def contains_any(c: Column, words: list[str]) -> Column:
     hit = F.lit(False)
     for w in words:

@@ -3,23 +3,25 @@
 from pyspark.sql import Column, functions as F
 
 from corpusloom.functions import rules
-from corpusloom.functions.text import contains_any, head, matches_any, or_else, rstrip, strip
+from corpusloom.functions.text import contains_any, cut, matches_any, or_else, rstrip, strip
 
 
-def expand_query(question: Column, rewritten: Column | None = None, aliases=rules.QUERY_ALIASES) -> Column:
-    """Append the search phrase of every alias row whose word is in the question."""
+def expand_query(question: Column, rewritten: Column | None = None, aliases=rules.QUERY_ALIASES,
+                 most: int | None = None) -> Column:
+    """Append the search phrase of every alias row whose word is in the question; at most ``most`` characters if given."""
     base = strip(or_else(rewritten, question) if rewritten is not None else question)
     low = F.lower(question)
     found = F.array_distinct(F.array_compact(F.array(*[
         F.when(contains_any(low, [w.lower() for w in words]), F.lit(phrase)) for words, phrase in aliases
     ])))
     return F.when(F.size(found) == 0, base).otherwise(
-        head(F.concat_ws(" ", base, F.array_join(found, " ")), 500))
+        cut(F.concat_ws(" ", base, F.array_join(found, " ")), most))
 
 
-def first_line_query(question: Column) -> Column:
-    """Rewrite used when no model is at hand: first line of the question, 200 characters."""
-    return head(F.split(strip(question), "\n")[0], 200)
+def search_text(question: Column, first_line: bool = False, most: int | None = None) -> Column:
+    """Rewrite used when no model is at hand: the question itself, on request its first line or first characters only."""
+    text = strip(question)
+    return cut(F.split(text, "\n")[0] if first_line else text, most)
 
 
 def plain_terms(text: Column, terms=rules.PLAIN_TERMS) -> Column:

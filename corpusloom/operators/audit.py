@@ -17,9 +17,13 @@ def find_all(c: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text_or_empty(c), F.lit(pattern), F.lit(group))
 
 
+# Stands for a bracket number too large for a bigint, which no list of contexts reaches.
+_TOO_LARGE = (1 << 63) - 1
+
+
 def bracket_numbers(answer: Column) -> Column:
-    """Distinct ``[n]`` numbers, ascending."""
-    return F.array_sort(F.array_distinct(F.transform(find_all(answer, r"\[(\d+)\]"), lambda x: x.cast("bigint"))))
+    """Distinct ``[n]`` numbers, ascending; those too large to hold count as one."""
+    return F.array_sort(F.array_distinct(F.transform(find_all(answer, r"\[(\d+)\]"), lambda x: F.coalesce(x.try_cast("bigint"), F.lit(_TOO_LARGE)))))
 
 
 def claimed_pmids(answer: Column) -> Column:

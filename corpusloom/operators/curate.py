@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions import rules, scoring
 from corpusloom.functions.text import (
-    head, level_from_rules, normalize_doi, normalize_level, normalize_title, strip, tags_from_rules, text_or_empty,
+    cut, level_from_rules, normalize_doi, normalize_level, normalize_title, strip, tags_from_rules, text_or_empty,
 )
 from corpusloom.operators.common import first_per_key, stored
 from corpusloom.schemas import DOC_FIELDS
@@ -194,10 +194,9 @@ def dedupe_fold(docs: DataFrame) -> DataFrame:
     return out.select(*[final(c) for c in docs.columns])
 
 
-def grade_from_text(docs: DataFrame, level_rules=rules.TEXT_LEVEL_RULES) -> DataFrame:
-    """Re-grade level ``other`` from the head of title + text."""
-    blob = F.lower(head(F.concat_ws(" ", text_or_empty(F.col("title")), text_or_empty(F.col("text"))),
-                        rules.TEXT_LEVEL_HEAD))
+def grade_from_text(docs: DataFrame, level_rules=rules.TEXT_LEVEL_RULES, most: int | None = None) -> DataFrame:
+    """Re-grade level ``other`` from title + text, or from their first ``most`` characters."""
+    blob = F.lower(cut(F.concat_ws(" ", text_or_empty(F.col("title")), text_or_empty(F.col("text"))), most))
     level = F.col("evidence_level")
     return docs.withColumn("evidence_level", F.when(
         level == "other", level_from_rules(blob, level_rules)).otherwise(level))

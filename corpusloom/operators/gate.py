@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions import rules
-from corpusloom.functions.text import contains_any, head, or_else, overlap_ratio, text_or_empty, word_set
+from corpusloom.functions.text import contains_any, cut, head, or_else, overlap_ratio, text_or_empty, word_set
 from corpusloom.functions.wording import evidence_block
 from corpusloom.operators.common import top_k
 
@@ -125,19 +125,20 @@ def merge_fresh(offline: DataFrame, live: DataFrame, max_total: int = 8) -> Data
 
 
 def action_tips(contexts: DataFrame, action_words=rules.ACTION_WORDS, banned_words=rules.BANNED_TIP_WORDS,
-                limit: int = 5) -> DataFrame:
+                limit: int = 5, same_chars: int | None = None, shown_chars: int | None = None) -> DataFrame:
     """Advice sentences per question: keep action words, drop banned words, first of
-    each 60-character form, at most ``limit``."""
+    each form without white space, at most ``limit``. Forms are compared, and tips shown, in
+    full unless a number of characters is given."""
     sentence = F.trim(F.col("raw"), F.lit(" \t\n\r　"))
     rows = contexts.select("question_id", "rank", F.posexplode(
         F.split(text_or_empty(F.col("text")), r"(?<=[。！？!?；;])")).alias("at", "raw"))
     rows = rows.select("question_id", "rank", "at", sentence.alias("tip")).where(
         (F.col("tip") != "") & ~contains_any(F.col("tip"), banned_words) & contains_any(F.col("tip"), action_words))
-    rows = rows.withColumn("form", head(F.regexp_replace("tip", r"(?U)\s+", ""), 60))
+    rows = rows.withColumn("form", cut(F.regexp_replace("tip", r"(?U)\s+", ""), same_chars))
     first = top_k(rows, ["question_id", "form"], 1, F.col("rank"), F.col("at"), rank="_n").drop("_n", "form")
     first = first.withColumnRenamed("rank", "_rank")
     tips = top_k(first, ["question_id"], limit, F.col("_rank"), F.col("at"), rank="n")
-    return tips.select("question_id", "n", head(F.col("tip"), 120).alias("tip"))
+    return tips.select("question_id", "n", cut(F.col("tip"), shown_chars).alias("tip"))
 
 
 def attach_explanation(cards: DataFrame, explanation: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusloom.functions import rules
-from corpusloom.functions.text import head, index_tokens
+from corpusloom.functions.text import index_tokens
 from corpusloom.schemas import CHUNK_FIELDS
 
 
@@ -97,7 +97,7 @@ def term_weights(vocabulary: DataFrame, stats: CorpusStats) -> DataFrame:
 
 
 def storable(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumn("title", head(F.col("title"), 500)).select(*CHUNK_FIELDS)
+    return chunks.select(*CHUNK_FIELDS)
 
 
 def upsert(existing: DataFrame, new: DataFrame) -> DataFrame:

@@ -102,8 +102,8 @@ def lint_pages(pages: DataFrame, index: DataFrame, known: DataFrame, sections=ru
         unknown_citations(checked, index, known))
 
 
-def unknown_citations(pages: DataFrame, index: DataFrame, known: DataFrame, shown: int = 5) -> DataFrame:
-    """Ids cited as ``[prefix:id]`` that the corpus lacks, first few per page."""
+def unknown_citations(pages: DataFrame, index: DataFrame, known: DataFrame, shown: int | None = None) -> DataFrame:
+    """Ids cited as ``[prefix:id]`` that the corpus lacks; all of a page's, or the first ``shown``."""
     cited = pages.select("slug", F.explode(F.array_distinct(F.regexp_extract_all(
         F.col("text"), F.lit(r"\[([\p{L}\p{N}_:.\-]+)\]"), F.lit(1)))).alias("doc_id"))
     prefixed = F.lit(False)
@@ -111,6 +111,6 @@ def unknown_citations(pages: DataFrame, index: DataFrame, known: DataFrame, show
         prefixed = prefixed | F.startswith(F.col("doc_id"), F.lit(p))
     own = index.select(F.concat(F.lit("wiki:"), F.col("slug")).alias("doc_id"))
     unknown = cited.where(prefixed).join(known.select("doc_id").unionByName(own), "doc_id", "left_anti")
-    first = top_k(unknown, ["slug"], shown, F.col("doc_id"))
+    first = unknown if shown is None else top_k(unknown, ["slug"], shown, F.col("doc_id"))
     return first.groupBy("slug").agg(F.array_join(F.sort_array(F.collect_list("doc_id")), " ").alias("detail")).select(
         "slug", F.lit("unknown_citation").alias("issue"), "detail")

@@ -5,7 +5,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.functions import rules
-from corpusloom.functions.wording import asks_for_dose, expand_query, first_line_query, refusal_message
+from corpusloom.functions.wording import asks_for_dose, expand_query, refusal_message, search_text
 from corpusloom.operators.common import stored
 from corpusloom.operators.gate import augment_with_fresh, citation_cards, evidence_packs, relevance_gate, source_counts
 from corpusloom.operators.retrieve import retrieve
@@ -27,7 +27,7 @@ def prepare(questions: DataFrame, r: AskRules) -> DataFrame:
     nutrition = F.col("track") == "nutrition"
     return questions.withColumns({
         "dose": nutrition & asks_for_dose(q, r.dosage),
-        "query": F.when(nutrition, expand_query(q, first_line_query(q), r.aliases)).otherwise(first_line_query(q)),
+        "query": F.when(nutrition, expand_query(q, search_text(q), r.aliases)).otherwise(search_text(q)),
     })
 
 

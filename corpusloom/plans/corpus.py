@@ -41,7 +41,7 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
         F.when(n % 11 != 0, (n % 30 + 1995).cast("int")).alias("year"),
         F.when(n % 7 == 0, "").otherwise(F.concat(F.lit("https://docs.example/"), F.col("doc_id"))).alias("url"),
         F.concat(F.array("lang"), tags_from_rules(low, TAGS)).alias("tags"),
-        level_from_rules(F.lower(head(F.col("text"), 3000)), LEVELS).alias("evidence_level"),
+        level_from_rules(low, LEVELS).alias("evidence_level"),
         F.when(F.col("lang") == "en", "").otherwise(F.col("source")).alias("journal"),
         F.when(n % 3 == 0, F.concat(prefix, head(F.md5("text"), 12))).otherwise("").alias("doi"),
         F.create_map(F.lit("isOpenAccess"), F.when(n % 2 == 0, "Y").otherwise("N"),
@@ -69,7 +69,7 @@ DOCS = f"""docs AS MATERIALIZED (
     CASE WHEN n_chars % 11 <> 0 THEN n_chars % 30 + 1995 END AS year,
     CASE WHEN n_chars % 7 = 0 THEN '' ELSE 'https://docs.example/' || doc_id END AS url,
     list_concat([lang], {sql_tags("lower(text)", TAGS)}) AS tags,
-    {sql_case("lower(substr(text, 1, 3000))", LEVELS, "'other'")} AS evidence_level,
+    {sql_case("lower(text)", LEVELS, "'other'")} AS evidence_level,
     CASE WHEN lang = 'en' THEN '' ELSE source END AS journal,
     CASE WHEN n_chars % 3 = 0 THEN (CASE WHEN doc_id % 2 = 0 THEN 'https://doi.org/10.5555/'
          ELSE 'DOI:10.5555/' END) || substr(md5(text), 1, 12) ELSE '' END AS doi,

@@ -152,10 +152,10 @@ def _(spark, sf):
 WITH s AS (SELECT conv_id, turn, unnest(p) AS raw, generate_subscripts(p, 1) AS pos FROM (
     SELECT conv_id, turn, regexp_extract_all(replace(text, '.', ';'), '[^。！？!?；;]*[。！？!?；;]|[^。！？!?；;]+$') AS p FROM conversations)),
 t AS (SELECT conv_id, turn, pos, trim(raw, ' ' || chr(9) || chr(10) || chr(13)) AS tip FROM s),
-k AS (SELECT *, substr(regexp_replace(tip, '\\s+', '', 'g'), 1, 60) AS form FROM t WHERE tip <> ''
+k AS (SELECT *, regexp_replace(tip, '\\s+', '', 'g') AS form FROM t WHERE tip <> ''
   AND NOT (contains(tip, 'ß') OR contains(tip, 'with')) AND (contains(tip, 'th') OR contains(tip, 'er') OR contains(tip, 'que'))),
 u AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY conv_id, form ORDER BY turn, pos) = 1)
-SELECT conv_id::VARCHAR AS question_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) AS n, substr(tip, 1, 120) AS tip
+SELECT conv_id::VARCHAR AS question_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) AS n, tip
 FROM u QUALIFY n <= 5""")
 def _(spark, sf):
     c = table(spark, sf, "conversations").select(
@@ -184,7 +184,7 @@ _ALIASES = [(["the", "that"], "article words"), (["ein", "ung"], "german endings
 
 
 @query("alias_expand", """
-SELECT item_id, CASE WHEN len(a) = 0 THEN base ELSE substr(base || ' ' || array_to_string(a, ' '), 1, 500) END AS query FROM (
+SELECT item_id, CASE WHEN len(a) = 0 THEN base ELSE base || ' ' || array_to_string(a, ' ') END AS query FROM (
   SELECT item_id, trim(text, ' ' || chr(10)) AS base, list_filter([
     CASE WHEN contains(lower(text), 'the') OR contains(lower(text), 'that') THEN 'article words' END,
     CASE WHEN contains(lower(text), 'ein') OR contains(lower(text), 'ung') THEN 'german endings' END,
@@ -194,9 +194,9 @@ def _(spark, sf):
 
 
 @query("first_line_query", """
-SELECT item_id, substr(string_split(trim(text, ' ' || chr(10)), chr(10))[1], 1, 200) AS query FROM benchmark""")
+SELECT item_id, trim(text, ' ' || chr(10)) AS query FROM benchmark""")
 def _(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", wording.first_line_query(F.col("text")).alias("query"))
+    return table(spark, sf, "benchmark").select("item_id", wording.search_text(F.col("text")).alias("query"))
 
 
 @query("term_simplify", """

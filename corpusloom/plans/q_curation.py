@@ -103,7 +103,7 @@ def _(spark, sf):
         "doc_id", normalize_level(F.col("source"), F.col("text"), LEVELS).alias("evidence_level"))
 
 
-_HEAD = "lower(substr(title || ' ' || text, 1, 3000))"
+_HEAD = "lower(title || ' ' || text)"
 
 
 @query("level_enrich", f"""

@@ -17,9 +17,9 @@ _ALIASES = [(["th"], "that with this"), (["que"], "elle les")]
 _DOSE = ["(ing|ung)[ .,]"]
 _ASKED = """all_q AS MATERIALIZED (
   SELECT question_id, question, track, track = 'nutrition' AND regexp_matches(lower(question), '(ing|ung)[ .,]') AS dose,
-    CASE WHEN track = 'nutrition' AND len(a) > 0 THEN substr(base || ' ' || array_to_string(a, ' '), 1, 500) ELSE base END AS query
+    CASE WHEN track = 'nutrition' AND len(a) > 0 THEN base || ' ' || array_to_string(a, ' ') ELSE base END AS query
   FROM (SELECT item_id::VARCHAR AS question_id, text AS question, CASE WHEN item_id % 2 = 0 THEN 'clinical' ELSE 'nutrition' END AS track,
-    substr(string_split(trim(text, ' ' || chr(10)), chr(10))[1], 1, 200) AS base,
+    trim(text, ' ' || chr(10)) AS base,
     list_filter([CASE WHEN contains(lower(text), 'th') THEN 'that with this' END, CASE WHEN contains(lower(text), 'que') THEN 'elle les' END],
       lambda x: x IS NOT NULL) AS a FROM benchmark)),
 questions AS MATERIALIZED (SELECT question_id, question, track, query FROM all_q WHERE NOT dose)"""

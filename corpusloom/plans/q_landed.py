@@ -74,9 +74,9 @@ def _(spark, sf):
 
 
 @query("collection_join", f"""
-SELECT 'pmid:' || doc_id AS doc_id, CASE WHEN t = '' THEN 'f' || doc_id ELSE t END AS title, substr(text, 1, 8000) AS text,
+SELECT 'pmid:' || doc_id AS doc_id, CASE WHEN t = '' THEN 'f' || doc_id ELSE t END AS title, text,
   CASE WHEN doc_id % 3 <> 0 THEN 2000 + doc_id % 20 END::BIGINT AS year, 'https://pubmed.ncbi.nlm.nih.gov/' || doc_id || '/' AS url, n_chars::VARCHAR AS if_value
-FROM (SELECT *, trim(CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE substr(text, 1, 400) END, {_WS}) AS t0, substr(t0, 1, 300) AS t FROM documents)
+FROM (SELECT *, trim(CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE substr(text, 1, 400) END, {_WS}) AS t0, t0 AS t FROM documents)
 WHERE lang <> 'de'""")
 def _(spark, sf):
     d = table(spark, sf, "documents")
@@ -241,8 +241,8 @@ _TRIAL = """tr AS (SELECT *, 'NCT' || lpad(doc_id::VARCHAR, 8, '0') AS nct,
 
 
 @query("trials_payload", f"""
-WITH {_TRIAL} SELECT 'nct:' || nct AS doc_id, title, substr(CASE WHEN doc_id % 4 <> 0 THEN text ELSE title END || chr(10) || chr(10) || 'Status: RECRUITING' || chr(10)
-  || 'Conditions: ' || lang || ', ' || source || chr(10) || 'Interventions: drug a, diet b' || chr(10) || 'Primary Outcome: ' || outcome, 1, 8000) AS text,
+WITH {_TRIAL} SELECT 'nct:' || nct AS doc_id, title, CASE WHEN doc_id % 4 <> 0 THEN text ELSE title END || chr(10) || chr(10) || 'Status: RECRUITING' || chr(10)
+  || 'Conditions: ' || lang || ', ' || source || chr(10) || 'Interventions: drug a, diet b' || chr(10) || 'Primary Outcome: ' || outcome AS text,
   (doc_id % 30 + 1990)::BIGINT AS year, 'https://clinicaltrials.gov/study/' || nct AS url, 'rct' AS evidence_level, outcome,
   '["' || lang || '","' || source || '"]' AS conditions FROM tr""")
 def _(spark, sf):
@@ -259,7 +259,7 @@ def _(spark, sf):
 
 @query("europepmc_payload", """
 SELECT 'epmc:' || CASE WHEN doc_id % 4 = 0 THEN 'MED' ELSE 'PMC' END || ':' || CASE WHEN doc_id % 3 = 0 THEN 'p' || doc_id ELSE 'i' || doc_id END AS doc_id,
-  substr(text, 1, 20) AS title, CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, 20) ELSE substr(text, 1, 8000) END AS text,
+  substr(text, 1, 20) AS title, CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, 20) ELSE text END AS text,
   CASE WHEN doc_id % 6 <> 0 THEN 1990 + doc_id % 30 END::BIGINT AS year,
   CASE WHEN doc_id % 3 = 0 THEN 'https://pubmed.ncbi.nlm.nih.gov/p' || doc_id || '/' ELSE 'https://europepmc.org/article/'
     || CASE WHEN doc_id % 4 = 0 THEN 'MED' ELSE 'PMC' END || '/i' || doc_id END AS url,

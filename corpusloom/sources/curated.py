@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions import rules
 from corpusloom.functions.scoring import lookup
-from corpusloom.functions.text import head, normalize_level, or_else, strip, text_or_empty
+from corpusloom.functions.text import normalize_level, or_else, strip, text_or_empty, whole_number
 from corpusloom.schemas import CURATED
 
 EMPTY_EXTRA = "map<string,string>"
@@ -48,9 +48,8 @@ def collection_docs(manifest: DataFrame, texts: DataFrame, tag: str = "collectio
     stem = F.regexp_replace(F.element_at(F.split("dest_pdf", "/"), -1), r"\.[^.]*$", "")
     return rows.join(texts, "dest_pdf").select(
         F.concat(F.lit("pmid:"), F.col("pmid")).alias("doc_id"), F.lit("pubmed").alias("source"),
-        or_else(head(F.col("title"), 300), stem).alias("title"),
-        head(F.col("text"), rules.SECTION_MAX_CHARS).alias("text"),
-        F.when(F.col("pub_year").rlike("^[0-9]+$"), F.col("pub_year").cast("int")).alias("year"),
+        or_else(F.col("title"), stem).alias("title"),
+        "text", whole_number(F.col("pub_year")).alias("year"),
         pubmed_url(F.col("pmid")).alias("url"), F.array(F.lit(tag), F.lit("fulltext")).alias("tags"),
         normalize_level(F.lit(""), F.col("title"), rules.TITLE_LEVEL_RULES).alias("evidence_level"),
         F.lit("").alias("journal"), F.lit("").alias("doi"),
