@@ -2,8 +2,10 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # A side is broadcast only if it has at most this many rows (counted, with an
 # early stop) and its rows are narrow.
@@ -16,26 +18,26 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Write ``df`` once as a table and read it back.
 
-    For plans that go over an expensive result several times. The table lies in
-    the folder named by ``spark.checkpoint.dir``, shared by all executors, so a
-    lost executor costs a re-read and nothing else. Only a local session (tests)
-    may go without the setting; it gets a temporary folder.
+    For plans that go over an expensive result several times. The table lies in a new folder below
+    ``folder``, or below the one named by ``spark.checkpoint.dir``, shared by all executors, so a
+    lost executor costs a re-read and nothing else. ``run_folder`` gives a flow a folder of its own.
     """
     spark = df.sparkSession
-    path = new_folder(spark)
+    path = new_folder(spark, folder)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def new_folder(spark) -> str:
-    """Name of a new folder below the shared one."""
-    return f"{shared_folder(spark).rstrip('/')}/corpusloom-{uuid.uuid4().hex}"
+def new_folder(spark: SparkSession, below: str | None = None) -> str:
+    """Name of a new folder."""
+    return f"{(below or _run.get() or shared_folder(spark)).rstrip('/')}/corpusloom-{uuid.uuid4().hex}"
 
 
-def shared_folder(spark) -> str:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. A local session (tests) may go without; it gets a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
@@ -44,14 +46,23 @@ def shared_folder(spark) -> str:
     return tempfile.mkdtemp(prefix="corpusloom-")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input that arrives in fewer pieces than there are cores.
+_run: ContextVar[str | None] = ContextVar("run folder", default=None)
 
-    A table of that size is small by definition; a large scan has more splits
-    than cores and is left alone, so no large text is ever moved by this.
+
+@contextmanager
+def run_folder(spark: SparkSession, path: str | None = None):
+    """Stored tables made inside lie below one folder, which is removed at the end.
+
+    For flows that write their results before they leave: a DataFrame that still reads a stored table must not get out.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, df.columns[0]) if df.rdd.getNumPartitions() < cores else df
+    path = path or new_folder(spark)
+    token = _run.set(path)
+    try:
+        yield path
+    finally:
+        _run.reset(token)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",

@@ -9,27 +9,25 @@ from corpusloom.functions.text import (
     cut, level_from_rules, normalize_doi, normalize_level, normalize_title, strip, tags_from_rules, text_or_empty,
 )
 from corpusloom.operators.common import first_per_key, stored
-from corpusloom.schemas import DOC_FIELDS
-
-# Positions may be ids made by Spark (partition number above 33 row bits), so they
-# need room: 58 bits hold 32 million partitions and leave 31 sources.
-_PRIORITY_BITS = 58
-
+from corpusloom.sources.files import as_position
 
 def union_sources(*sources: DataFrame) -> DataFrame:
-    """Union in priority order. Each source has ``pos``, its own position; the
-    result has ``ord``, one position for the whole corpus."""
-    if len(sources) > 31:
-        raise ValueError("at most 31 sources; union some of them first")
-    numbered = [
-        s.withColumn("ord", F.lit(i << _PRIORITY_BITS) + F.col("pos").cast("long")).drop("pos")
-        for i, s in enumerate(sources)
-    ]
+    """Union in priority order. Each source has ``pos``, its own position, from a reader or a number; the
+    result has ``ord``, one position for the whole corpus: the source's place, then the position in it."""
+    numbered = [s.withColumn("ord", corpus_order(F.lit(i), as_position(s))).drop("pos") for i, s in enumerate(sources)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)
 
 
+def corpus_order(source: Column, pos: Column) -> Column:
+    return F.struct(source.cast("int").alias("source"), *[pos[f].alias(f) for f in ("file", "block", "row", "place")])
+
+
 def merge_first_wins(docs: DataFrame) -> DataFrame:
-    """First occurrence of each ``doc_id`` by ``ord``."""
+    """First occurrence of each ``doc_id`` by ``ord``.
+
+    The first of each task is kept before the shuffle; ids and orders decide, so rows of an id that is not
+    repeated within a task move once, with their text.
+    """
     return first_per_key(docs, ["doc_id"], F.col("ord"))
 
 
@@ -78,20 +76,27 @@ def dedupe_fold(docs: DataFrame) -> DataFrame:
     * Tags and extra entries follow the same rule per tag and per entry.
 
     Year 0, blank text and empty extra values count as missing. ``docs`` needs
-    ``ord``, unique per row; the result keeps the group's first ``ord``. The
-    decision table (one narrow row per key) is written once, since four later
-    steps read it; every text is shuffled once, to its winner's row.
+    ``ord``, of any type with an order; rows of one ``ord`` are told apart by ``doc_id``, so after
+    ``merge_first_wins`` no two rows are alike. The result keeps the group's first ``ord``.
+
+    Everything but the texts is stored once as a narrow table. Keys of a single document, the great
+    majority, go past all steps; every text is shuffled once, to the row that keeps it.
     """
     tags = F.array_distinct(F.coalesce(F.col("tags"), F.array().cast("array<string>")))
-    keyed = docs.select(
-        *[c for c in docs.columns if c not in ("tags", "year", "extra")],
+    narrow = stored(docs.select(
+        *[c for c in docs.columns if c not in ("tags", "year", "extra", "text", "ord")], F.struct("ord", "doc_id").alias("ord"),
         tags.alias("tags"), F.when(_filled("year"), F.col("year")).alias("year"),
         F.map_filter(F.coalesce(F.col("extra"), F.create_map().cast("map<string,string>")),
                      lambda k, v: F.coalesce(v, F.lit("")) != "").alias("extra"),
-        dedupe_key(F.col("doc_id"), F.col("doi"), F.col("title")).alias("key"))
+        F.length(strip(text_or_empty(F.col("text")))).alias("text_len"),
+        dedupe_key(F.col("doc_id"), F.col("doi"), F.col("title")).alias("key")))
+    repeated = stored(narrow.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    single = narrow.join(repeated, "key", "left_anti").select(F.col("ord").alias("text_ord"), "*").drop("key", "text_len")
+    keyed = stored(narrow.join(repeated, "key", "left_semi"))
+    kind = keyed.schema["ord"].dataType.simpleString()
 
     shape = keyed.select(
-        "key", "ord", F.length(strip(text_or_empty(F.col("text")))).alias("text_len"),
+        "key", "ord", "text_len",
         *[_filled(f).alias(f"has_{f}") for f in _FOLD_FIELDS], F.size("tags").alias("n_tags"))
     shapes = shape.groupBy("key", "text_len", "n_tags", *[f"has_{f}" for f in _FOLD_FIELDS]).agg(
         F.min("ord").alias("ord"))
@@ -118,9 +123,9 @@ def dedupe_fold(docs: DataFrame) -> DataFrame:
             "ord", "completeness", "text_len", *[f"has_{f}" for f in _FOLD_FIELDS]))).alias("records"),
         *[F.first(c).alias(c) for c in firsts]).join(tag_firsts, "key", "left")
 
-    none = F.lit(None).cast("long")
+    none = F.lit(None).cast(kind)
     start = F.struct(
-        F.array().cast("array<bigint>").alias("winners"), none.alias("text"), F.lit(0).alias("text_len"),
+        F.array().cast(f"array<{kind}>").alias("winners"), none.alias("text"), F.lit(0).alias("text_len"),
         *[none.alias(f) for f in _FOLD_FIELDS])
 
     def step(acc: Column, r: Column) -> Column:
@@ -129,7 +134,7 @@ def dedupe_fold(docs: DataFrame) -> DataFrame:
 
         state_len = F.when(acc["text"].isNotNull(), acc["text_len"]).when(
             F.coalesce(F.col("first_text.ord") < r["ord"], F.lit(False)), F.col("first_text.text_len")).otherwise(0)
-        n_tags = F.size(F.filter(F.coalesce(F.col("tag_firsts"), F.array().cast("array<bigint>")),
+        n_tags = F.size(F.filter(F.coalesce(F.col("tag_firsts"), F.array().cast(f"array<{kind}>")),
                                  lambda o: o < r["ord"]))
         state = scoring.completeness(state_len, before("first_year"), before("first_url"), before("first_journal"),
                                      before("first_doi"), n_tags)
@@ -155,16 +160,17 @@ def dedupe_fold(docs: DataFrame) -> DataFrame:
     lent = borrowed.join(keyed.select("ord", *_FOLD_FIELDS), "ord").groupBy("key").agg(
         *[F.max(F.when(F.col("field") == f, F.col(f))).alias(f"lent_{f}") for f in _FOLD_FIELDS])
 
-    took_over = winners.select(F.explode("winners").alias("ord"), F.lit(True).alias("won"))
+    # Take-overs are numbered, so that the latest can come first whatever the type of ``ord``.
+    took_over = winners.select(F.posexplode("winners").alias("won", "ord"))
     parts = keyed.select("key", "ord", "tags", "extra").join(took_over, "ord", "left")
-    won = F.coalesce(F.col("won"), F.lit(False))
+    won = F.col("won").isNotNull()
 
     # Tags of take-overs, latest first; then the rest by first appearance.
     tag_order = parts.select("key", "ord", "won", F.posexplode("tags").alias("idx", "tag")).groupBy("key", "tag").agg(
-        F.max(F.when(won, F.struct(F.col("ord"), -F.col("idx")))).alias("w"),
+        F.max(F.when(won, F.struct(F.col("won"), (-F.col("idx")).alias("at")))).alias("w"),
         F.min(F.struct("ord", "idx")).alias("f"))
     merged_tags = tag_order.select("key", F.struct(
-        F.col("w").isNull().alias("late"), (-F.col("w.ord")).alias("a"), (-F.col("w.col2")).alias("b"),
+        F.col("w").isNull().alias("late"), (-F.col("w.won")).alias("a"), (-F.col("w.at")).alias("b"),
         F.col("f.ord").alias("c"), F.col("f.idx").alias("d"), "tag").alias("t")).groupBy("key").agg(
         F.transform(F.sort_array(F.collect_list("t")), lambda t: t["tag"]).alias("tags"))
 
@@ -173,16 +179,15 @@ def dedupe_fold(docs: DataFrame) -> DataFrame:
     merged_extra = entries.groupBy("key").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "e.v")))).alias("extra"))
 
-    light = [c for c in keyed.columns if c not in ("key", "ord", "text", "tags", "extra")]
+    light = [c for c in keyed.columns if c not in ("key", "ord", "tags", "extra", "text_len")]
     base = keyed.select(F.col("ord").alias("winner"), *light)
-    texts = docs.select(F.col("ord").alias("text_ord"), "text")
-    out = (winners.drop("winners")
-           .join(lent, "key", "left").join(merged_tags, "key", "left").join(merged_extra, "key", "left")
-           .join(base, "winner").join(texts, "text_ord"))
+    merged = (winners.drop("winners")
+              .join(lent, "key", "left").join(merged_tags, "key", "left").join(merged_extra, "key", "left")
+              .join(base, "winner"))
 
     def final(name: str) -> Column:
         if name == "ord":
-            return F.col("first_ord").alias("ord")
+            return F.col("first_ord.ord").alias("ord")
         if name == "tags":
             return F.coalesce(F.col("tags"), F.array().cast("array<string>")).alias("tags")
         if name == "extra":
@@ -191,7 +196,11 @@ def dedupe_fold(docs: DataFrame) -> DataFrame:
             return F.coalesce(F.when(_filled(name), F.col(name)), F.col(f"lent_{name}"), F.col(name)).alias(name)
         return F.col(name)
 
-    return out.select(*[final(c) for c in docs.columns])
+    fields = [c for c in docs.columns if c != "text"]
+    decided = merged.select("text_ord", *[final(c) for c in fields]).unionByName(
+        single.select("text_ord", *[F.col("ord.ord").alias("ord") if c == "ord" else F.col(c) for c in fields]))
+    texts = docs.select(F.struct("ord", "doc_id").alias("text_ord"), "text")
+    return decided.join(texts, "text_ord").select(*docs.columns)
 
 
 def grade_from_text(docs: DataFrame, level_rules=rules.TEXT_LEVEL_RULES, most: int | None = None) -> DataFrame:
@@ -242,6 +251,3 @@ def ordered_unique(ids: DataFrame, key: str = "id", order: str = "pos") -> DataF
     """First position of every id. A hash aggregate with map-side combine, no sort."""
     return ids.groupBy(key).agg(F.min(order).alias(order))
 
-
-def select_doc(docs: DataFrame) -> DataFrame:
-    return docs.select(*DOC_FIELDS)

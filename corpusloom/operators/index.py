@@ -18,11 +18,13 @@ class KeywordIndex:
     """``postings(chunk_id, dl, term, tf)`` and ``vocabulary(term, df, length)``.
 
     ``df`` counts the chunks with the term. The row of the empty term has the
-    number of chunks as ``df`` and their total token count as ``length``.
+    number of chunks as ``df`` and their total token count as ``length``. ``buckets`` is the number of term
+    buckets of stored postings; it is stored with them.
     """
 
     postings: DataFrame
     vocabulary: DataFrame
+    buckets: int | None = None
 
     def write(self, path: str, term_buckets: int = 256) -> None:
         """Store both tables. Postings are laid out by term hash, so a search
@@ -34,13 +36,16 @@ class KeywordIndex:
          .sortWithinPartitions("bucket", "term")
          .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
         self.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+        layout = self.vocabulary.sparkSession.createDataFrame([(term_buckets,)], "buckets int")
+        layout.coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> "KeywordIndex":
         postings = "chunk_id string, dl bigint, term string, tf bigint, bucket int"
         return KeywordIndex(
             spark.read.schema(postings).parquet(f"{path}/postings"),
-            spark.read.schema("term string, df bigint, length bigint").parquet(f"{path}/vocabulary"))
+            spark.read.schema("term string, df bigint, length bigint").parquet(f"{path}/vocabulary"),
+            spark.read.schema("buckets int").parquet(f"{path}/layout").first()[0])
 
 
 @dataclass
@@ -58,22 +63,21 @@ def raw_idf(n, df: Column) -> Column:
     return F.ln(n - df + 0.5) - F.ln(df + 0.5)
 
 
-def build_keyword_index(chunks: DataFrame, only_terms: DataFrame | None = None) -> KeywordIndex:
+def build_keyword_index(chunks: DataFrame) -> KeywordIndex:
     """Index tables as plans over ``chunks(chunk_id, text)``.
 
-    The vocabulary explodes each row's distinct tokens, so its shuffle is one
-    row per term and task. ``only_terms`` (a broadcast-sized ``term`` column)
-    limits the postings before they are counted: a search then shuffles only
-    rows of terms that were asked for.
+    Terms are counted inside the row, so postings are not shuffled before they are stored. The vocabulary
+    explodes each row's distinct tokens, so its shuffle is one row per term and task.
     """
-    tokens = chunks.select("chunk_id", index_tokens(F.col("text")).alias("tokens"))
+    tokens = chunks.select("chunk_id", F.array_sort(index_tokens(F.col("text"))).alias("tokens"))
     dl = F.size("tokens").cast("long").alias("dl")
+    starts = tokens.select("chunk_id", dl, "tokens", F.filter(F.transform("tokens", lambda t, i: F.when(
+        (i == 0) | (F.get("tokens", i - 1) != t), i)), lambda i: i.isNotNull()).alias("starts"))
+    counted = F.transform("starts", lambda at, k: F.struct(
+        F.get("tokens", at).alias("term"), (F.coalesce(F.get("starts", k + 1), F.size("tokens")) - at).cast("long").alias("tf")))
     # Outer explodes: the arrays are never empty, and a plain explode would add an
     # emptiness test that runs the tokenizer twice.
-    exploded = tokens.select("chunk_id", dl, F.explode_outer("tokens").alias("term"))
-    if only_terms is not None:
-        exploded = exploded.join(F.broadcast(only_terms), "term", "left_semi")
-    postings = exploded.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    postings = starts.select("chunk_id", "dl", F.explode_outer(counted).alias("p")).select("chunk_id", "dl", "p.term", "p.tf")
     terms = F.concat(F.array(F.lit(TOTALS)), F.array_distinct("tokens"))
     vocabulary = tokens.select(dl, F.explode_outer(terms).alias("term")).groupBy("term").agg(
         F.count("*").alias("df"), F.sum("dl").alias("length"))
@@ -142,6 +146,8 @@ def embed_with_cache(texts: DataFrame, cache: DataFrame, embed) -> DataFrame:
     ``cache(text_hash, vector)``; returns the enlarged cache. ``embed`` maps a
     text column to a vector column.
     """
-    wanted = texts.select("text").distinct().withColumn("text_hash", F.sha2("text", 256))
-    missing = wanted.join(cache.select("text_hash"), "text_hash", "left_anti")
-    return cache.unionByName(missing.select("text_hash", embed(F.col("text")).alias("vector")))
+    hashed = texts.select(F.sha2("text", 256).alias("text_hash"), "text")
+    missing = hashed.join(cache.select("text_hash"), "text_hash", "left_anti")
+    # One text per hash; the partitioning of the join is that of the groups, so texts move once.
+    once = missing.groupBy("text_hash").agg(F.any_value("text").alias("text"))
+    return cache.unionByName(once.select("text_hash", embed(F.col("text")).alias("vector")))

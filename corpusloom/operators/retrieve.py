@@ -15,7 +15,17 @@ from corpusloom.operators.index import (
 
 # Scores are sums of doubles whose order is not fixed, so ranking looks at
 # rounded scores and breaks ties by id: a rerun or retry gives the same ranks.
+# One rule rounds columns and arrays alike: half goes up.
 SCORE_DIGITS = 6
+_SCALE = 10.0 ** SCORE_DIGITS
+
+
+def rounded(score: Column) -> Column:
+    return F.floor(score * _SCALE + 0.5) / _SCALE
+
+
+def rounded_array(score: np.ndarray) -> np.ndarray:
+    return np.floor(score * _SCALE + 0.5) / _SCALE
 # Cells of the score grids held by a task at a time, and the number of asking
 # questions from which a term counts as common.
 GRID = 4_000_000
@@ -55,7 +65,7 @@ def bm25_hits(chunks: DataFrame, questions: DataFrame, k: int = 16) -> DataFrame
     return top_k(hits, ["question_id"], k, F.col("bm25").desc(), F.col("chunk_id"), rank="kw_rank")
 
 
-def bm25_index_hits(index: KeywordIndex, questions: DataFrame, k: int = 16, term_buckets: int = 256) -> DataFrame:
+def bm25_index_hits(index: KeywordIndex, questions: DataFrame, k: int = 16) -> DataFrame:
     """The same from stored index tables: reads only the buckets of the asked terms.
 
     The better way for few questions with selective terms. The asked terms are
@@ -67,8 +77,8 @@ def bm25_index_hits(index: KeywordIndex, questions: DataFrame, k: int = 16, term
     postings = index.postings
     if not fits(wanted):
         return _rank_scores(salted_join(postings, weighted, ["term"], F.col("chunk_id")), stats, k)
-    if "bucket" in postings.columns:
-        used = wanted.select(term_bucket(F.col("term"), term_buckets).alias("b")).distinct().collect()
+    if index.buckets is not None:
+        used = wanted.select(term_bucket(F.col("term"), index.buckets).alias("b")).distinct().collect()
         postings = postings.where(F.col("bucket").isin([r["b"] for r in used]))
     return _rank_scores(postings.join(F.broadcast(weighted), "term"), stats, k)
 
@@ -80,7 +90,7 @@ def _weigh(wanted: DataFrame, weights: DataFrame) -> DataFrame:
 def _rank_scores(matches: DataFrame, stats: CorpusStats, k: int) -> DataFrame:
     norm = rules.BM25_K1 * (1 - rules.BM25_B + rules.BM25_B * F.col("dl") / F.lit(stats.avgdl))
     part = F.col("w") * F.col("tf") * (rules.BM25_K1 + 1) / (F.col("tf") + norm)
-    scored = matches.groupBy("question_id", "chunk_id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("bm25"))
+    scored = matches.groupBy("question_id", "chunk_id").agg(rounded(F.sum(part)).alias("bm25"))
     return top_k(scored.where("bm25 > 0"), ["question_id"], k, F.col("bm25").desc(), F.col("chunk_id"), rank="kw_rank")
 
 
@@ -166,7 +176,7 @@ def _keyword_scan(weighted: pa.Table, stats: CorpusStats, k: int):
                 entry = first[c][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
                 score += np.bincount(r[of] * nq + question[entry], weights=f[of] * w[entry],
                                      minlength=(hi - lo) * nq).reshape(hi - lo, nq)
-                score = np.round(score, SCORE_DIGITS)
+                score = rounded_array(score)
                 best.offer(ids[lo:hi], np.where(score > 0, -score, np.inf))
         yield from best.batches("bm25", -1.0)
 
@@ -195,7 +205,9 @@ def _nearest(qids: list, matrix: np.ndarray, k: int):
             ids = np.array(batch.column(0).to_pylist(), dtype=object)
             if len(ids):
                 flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                best.offer(ids, np.round(1.0 - _unit(flat.reshape(len(ids), -1)) @ unit.T, SCORE_DIGITS))
+                if len(flat) != len(ids) * unit.shape[1]:
+                    raise ValueError(f"vectors of the corpus must have {unit.shape[1]} numbers, as those of the questions")
+                best.offer(ids, rounded_array(1.0 - _unit(flat.reshape(len(ids), -1)) @ unit.T))
         yield from best.batches("distance")
 
     return search
@@ -214,18 +226,18 @@ def vector_hits(corpus: DataFrame, questions: DataFrame, k: int = 16, block: int
     vectors and keeps ``k`` rows per question, so pairs are never emitted and
     the shuffle carries at most ``tasks x questions x k`` rows. A block has a
     checked size; more questions than that are cut into hash blocks, one corpus
-    pass each.
+    pass each. Rows without a vector are no hit and no question; other widths than the questions' are an error.
     """
     blocks = max(1, -(-questions.count() // block))
     out = None
     for b in range(blocks):
         part = questions if blocks == 1 else questions.where(
             F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b)
-        rows = part.select("question_id", "vector").toArrow()
+        rows = part.where("vector is not null").select("question_id", "vector").toArrow()
         if not rows.num_rows:
             continue
         matrix = np.array(rows.column("vector").to_pylist(), dtype=np.float64)
-        hits = corpus.select("chunk_id", "vector").mapInArrow(
+        hits = corpus.where("vector is not null").select("chunk_id", "vector").mapInArrow(
             _nearest(rows.column("question_id").to_pylist(), matrix, k),
             "question_id string, chunk_id string, distance double")
         out = hits if out is None else out.unionByName(hits)
@@ -296,7 +308,7 @@ def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 5, candidate_k: i
         rows = join_small(rows, questions.select("question_id", "track"), ["question_id"])
         boost = F.when(F.col("track") == "nutrition", _boost(None, rules.BOOST_TAGS)).otherwise(
             _boost(rules.PREFER_LEVELS, None))
-    rows = rows.withColumn("score", F.round(F.col("score") * boost, SCORE_DIGITS))
+    rows = rows.withColumn("score", rounded(F.col("score") * boost))
     by_score = [F.col("score").desc(), F.col("chunk_id")]
     found = top_k(rows, ["question_id"], max(candidate_k, k), *by_score)
     if rerank is not None:
@@ -347,21 +359,20 @@ def diversify(hits: DataFrame, per_source: int = 2) -> DataFrame:
 
 def rank_clinical(hits: DataFrame, ref_year: int) -> DataFrame:
     """Order by evidence priority, then by retrieval score."""
-    rows = hits.drop("rank").withColumn("priority", F.round(
-        scoring.combined_priority(F.col("evidence_level"), F.col("year"), ref_year), SCORE_DIGITS))
+    rows = hits.drop("rank").withColumn("priority", rounded(
+        scoring.combined_priority(F.col("evidence_level"), F.col("year"), ref_year)))
     return ranked(rows, ["question_id"], F.col("priority").desc(), F.col("score").desc(), F.col("chunk_id"))
 
 
 def explain(hits: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
     """Why each hit was chosen: rank parts, level boost and the matching terms.
 
-    ``hits`` is best a stored table: it is counted and then read twice.
+    ``hits`` is best a stored table: it is counted and then read twice. Only the texts of hits are tokenised.
     """
     terms = query_terms(questions).select("question_id", "term")
     wanted = hits.select("question_id", "chunk_id")
-    texts = chunks.select("chunk_id", index_tokens(F.col("text")).alias("tokens"))
-    shown = join_small(texts, wanted, ["chunk_id"]).select(
-        "question_id", "chunk_id", F.explode(F.array_distinct("tokens")).alias("term"))
+    texts = join_small(chunks.select("chunk_id", "text"), wanted, ["chunk_id"])
+    shown = texts.select("question_id", "chunk_id", F.explode_outer(F.array_distinct(index_tokens(F.col("text")))).alias("term"))
     matched = shown.join(terms, ["question_id", "term"]).groupBy("question_id", "chunk_id").agg(
         F.sort_array(F.collect_set("term")).alias("matched_terms"))
     return hits.join(matched, ["question_id", "chunk_id"], "left").select(

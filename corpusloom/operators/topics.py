@@ -11,16 +11,30 @@ def topic_table(spark: SparkSession, topics=rules.TOPICS) -> DataFrame:
     return spark.createDataFrame(topics, "slug string, title string, query_tags array<string>")
 
 
+# Topics compared inside the document row; a longer table is joined by tag.
+TOPICS_IN_ROW = 1000
+
+
 def select_docs(docs: DataFrame, topics: DataFrame, limit: int = 8) -> DataFrame:
     """Top documents per topic by number of shared tags, then year, then corpus order.
 
-    Both sides are exploded to distinct tags and meet in an equi-join. The topic
-    side is broadcast within the size bound; beyond it the join is salted, since
-    one tag may be on a third of all documents.
+    Up to ``TOPICS_IN_ROW`` topics, every document counts its shared tags itself, and each task keeps
+    ``limit`` rows per topic before the shuffle. Beyond that both sides meet by tag in a salted join.
     """
-    wanted = topics.select("slug", F.explode(F.array_distinct("query_tags")).alias("tag"))
-    have = docs.select("doc_id", "ord", "year", F.explode(F.array_distinct("tags")).alias("tag"))
-    scored = join_small(have, wanted, ["tag"], unique=F.col("doc_id")).groupBy("slug", "doc_id", "ord", "year").agg(F.count("*").alias("overlap"))
+    held = topics.select("slug", "query_tags").limit(TOPICS_IN_ROW + 1).collect()
+    if len(held) <= TOPICS_IN_ROW:
+        wanted = F.array(*[F.struct(F.lit(t.slug).alias("slug"), F.array(*map(F.lit, t.query_tags or [])).cast("array<string>")
+                                    .alias("tags")) for t in held]) if held else F.array().cast(
+            "array<struct<slug:string,tags:array<string>>>")
+        have = F.coalesce(F.col("tags"), F.array().cast("array<string>"))
+        shared = F.filter(F.transform(wanted, lambda t: F.struct(t["slug"].alias("slug"), F.size(F.array_intersect(
+            have, t["tags"])).cast("long").alias("overlap"))), lambda t: t["overlap"] > 0)
+        scored = docs.select("doc_id", "ord", "year", F.explode(shared).alias("t")).select("t.slug", "doc_id", "ord", "year", "t.overlap")
+    else:
+        asked = topics.select("slug", F.explode(F.array_distinct("query_tags")).alias("tag"))
+        tagged = docs.select("doc_id", "ord", "year", F.explode(F.array_distinct("tags")).alias("tag"))
+        scored = join_small(tagged, asked, ["tag"], unique=F.col("doc_id")).groupBy("slug", "doc_id", "ord", "year").agg(
+            F.count("*").alias("overlap"))
     return top_k(scored, ["slug"], limit, F.col("overlap").desc(), F.coalesce(F.col("year"), F.lit(0)).desc(),
                  F.col("ord"))
 

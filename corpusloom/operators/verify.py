@@ -41,10 +41,11 @@ def verify_identifiers(ids: DataFrame, catalog: DataFrame) -> DataFrame:
 def trial_records(ids: DataFrame, trials: DataFrame) -> DataFrame:
     """``ids(nct_id)`` -> registry record, or the reason there is none.
 
-    ``trials`` has ``nct_id`` and the record columns of the registry reader.
+    ``trials`` has ``nct_id`` and the record columns of the registry reader. It is first reduced to the ids asked for.
     """
     asked = ids.select("nct_id", F.upper(strip(F.col("nct_id"))).alias("key"))
-    rows = first_per_key(trials.withColumn("key", F.upper("nct_id")).drop("nct_id"), ["key"], F.col("title"))
+    keyed = trials.withColumn("key", F.upper("nct_id")).drop("nct_id")
+    rows = first_per_key(join_small(keyed, asked.select("key").distinct(), ["key"], "left_semi"), ["key"], F.col("title"))
     return asked.join(rows.withColumn("_hit", F.lit(True)), "key", "left").withColumn(
         "note", F.when(~is_trial_id(F.col("nct_id")), "bad_format").when(F.col("_hit").isNull(), "not_found")
         .otherwise("ok")).drop("_hit", "key")

@@ -40,9 +40,9 @@ def build_corpus(sources: list[DataFrame], out: str, updated_at: str, topic_rows
     blocks = topics.evidence_lines(docs, topics.topic_table(spark, topic_rows))
     pages = put("topic_pages", topics.render_pages(blocks, updated_at, prose))
     # Pages follow the documents; an equal id or title keeps the document.
-    tail = docs.agg(F.coalesce(F.max("ord"), F.lit(0)) + 1).scalar()
-    slug_order = F.xxhash64("slug").cast("long").bitwiseAND(F.lit((1 << 40) - 1))
-    with_pages = docs.select(*DOC_FIELDS, "ord").unionByName(pages.select(*DOC_FIELDS, (tail + slug_order).alias("ord")))
+    last = F.struct(F.lit((1 << 31) - 1).alias("source"), F.col("slug").alias("file"), F.lit(0).cast("long").alias("block"),
+                    F.lit(0).cast("long").alias("row"), F.array().cast("array<int>").alias("place"))
+    with_pages = docs.select(*DOC_FIELDS, "ord").unionByName(pages.select(*DOC_FIELDS, last.alias("ord")))
     all_docs = put("documents_with_pages", curate.dedupe_fold(curate.merge_first_wins(with_pages)))
     chunks = index.storable(chunk.docs_to_chunks(all_docs, merge_below=rules.CHUNK_MIN_CHARS))
     staged = stored(chunks)

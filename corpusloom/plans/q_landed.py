@@ -7,7 +7,8 @@ as many records as the tables have rows.
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import strip
-from corpusloom.operators import topics, verify
+from corpusloom.operators import curate, topics, verify
+from corpusloom.operators.common import new_folder
 from corpusloom.plans.corpus import DOCS, docs, table
 from corpusloom.plans.registry import query
 from corpusloom.schemas import DOC_FIELDS
@@ -25,6 +26,43 @@ def _(spark, sf):
     return back.select(*[c for c in DOC_FIELDS if c != "extra"], F.element_at("extra", "isOpenAccess").alias("is_oa"))
 
 
+@query("docs_files", f"""
+WITH {DOCS} SELECT doc_id, source, title, text, year::BIGINT AS year, url, array_to_string(tags, '|') AS tags, evidence_level,
+  journal, doi, is_oa FROM docs""")
+def _(spark, sf):
+    """Documents written as files and read back, many to a file."""
+    path = new_folder(spark)
+    files.write_docs(docs(spark, sf).repartition(3), path)
+    back = files.read_docs(spark, path)
+    return back.select(*[c for c in DOC_FIELDS if c != "extra"], F.element_at("extra", "isOpenAccess").alias("is_oa"))
+
+
+@query("questions_file", """
+SELECT item_id::VARCHAR AS id, text AS question, 'clinical' AS track, true AS must_cite, '' AS gold_points FROM benchmark""")
+def _(spark, sf):
+    path = new_folder(spark)
+    lines = table(spark, sf, "benchmark").select(F.to_json(F.struct(
+        F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"))).alias("value"))
+    lines.unionByName(lines.limit(1).select(F.lit("{no json").alias("value"))).write.text(path)
+    return files.read_questions(spark, path)
+
+
+@query("merge_files_order", """
+SELECT 'd' || (doc_id % 100) AS doc_id, arg_min(text, ((doc_id % 7) % 3, doc_id % 7, doc_id)) AS text FROM documents GROUP BY ALL""")
+def _(spark, sf):
+    """First wins by path, whatever the sizes: files named 0 to 6 in three sources hold all documents, repeated ids."""
+    i = F.col("doc_id")
+    d = table(spark, sf, "documents").select(
+        F.concat(F.lit("d"), (i % 100).cast("string")).alias("doc_id"), "text", (i % 7).alias("part"), i.alias("at"))
+    sources = []
+    for source in range(3):
+        path = new_folder(spark)
+        rows = d.where(F.col("part") % 3 == source)
+        rows.repartition("part").sortWithinPartitions("part", "at").select("doc_id", "text", "part").write.partitionBy("part").json(path)
+        sources.append(files.read_docs(spark, path))
+    return curate.merge_first_wins(curate.union_sources(*sources)).select("doc_id", "text")
+
+
 @query("questions_jsonl", """
 SELECT item_id::VARCHAR AS id, text AS question, CASE WHEN item_id % 2 = 0 THEN 'nutrition' ELSE 'clinical' END AS track,
   true AS must_cite, CASE WHEN item_id % 3 = 0 THEN 'a|b' ELSE '' END AS gold_points FROM benchmark""")
@@ -137,7 +175,7 @@ def _(spark, sf):
 def _table_files(spark, sf):
     """A literature table per document, with its text in the first column."""
     i = F.col("doc_id")
-    first = F.regexp_replace(F.substring("text", 1, 60), r"[|*\n]", " ")
+    first = F.regexp_replace("text", r"[|*\n]", " ")
     pmid = (i + 1_000_000).cast("string")
     row = F.concat(F.lit("| "), first, F.lit(" | Smith et al. *J "), F.col("source"), F.lit("* | PMID "), pmid,
                    F.lit(" · 10.5555/d"), i, F.lit(" | "), (i % 30 + 1990).cast("string"), F.lit(" |"))
@@ -148,9 +186,9 @@ def _table_files(spark, sf):
     return table(spark, sf, "documents").select(F.concat(F.lit("f"), i).alias("file"), md.alias("text"))
 
 
-_LIT = f"""lit AS (SELECT doc_id, lang, '| ' || regexp_replace(substr(text, 1, 60), '[|*\\n]', ' ', 'g') || ' | Smith et al. *J ' || source || '* | PMID '
+_LIT = f"""lit AS (SELECT doc_id, lang, '| ' || regexp_replace(text, '[|*\\n]', ' ', 'g') || ' | Smith et al. *J ' || source || '* | PMID '
     || (doc_id + 1000000) || ' · 10.5555/d' || doc_id || ' | ' || (doc_id % 30 + 1990) || ' |' AS line,
-  trim(regexp_replace(substr(text, 1, 60), '[|*\\n]', ' ', 'g')) AS c0, source FROM documents)"""
+  trim(regexp_replace(text, '[|*\\n]', ' ', 'g')) AS c0, source FROM documents)"""
 
 
 @query("table_context", f"""
@@ -181,8 +219,10 @@ def _xml_records(spark, sf):
     year = F.when(i % 3 == 0, F.concat(F.lit("<MedlineDate>"), (i % 30 + 1990), F.lit(" Jan-Feb</MedlineDate>"))).otherwise(
         F.concat(F.lit("<Year>"), (i % 30 + 1990), F.lit("</Year>")))
     abstract = F.when(i % 5 == 0, "").otherwise(F.concat(
-        F.lit("<Abstract><AbstractText>"), _xml(strip(F.substring("text", 1, 500))),
-        F.lit("</AbstractText><AbstractText>part <b>two</b> here</AbstractText></Abstract>")))
+        F.lit("<Abstract><AbstractText>"), _xml(strip(F.col("text"))), F.lit("</AbstractText>"),
+        F.array_join(F.transform(F.sequence(F.lit(2), i % 60 + 2), lambda k: F.concat(
+            F.lit("<AbstractText Label=\"x\">part <b>"), k.cast("string"), F.lit("</b> here</AbstractText>"))), ""),
+        F.lit("</Abstract>")))
     xml = F.concat(
         F.lit("<PubmedArticle><MedlineCitation><PMID>"), i, F.lit("</PMID><Article><Journal><Title>J "), F.col("source"),
         F.lit("</Title><JournalIssue><PubDate>"), year, F.lit("</PubDate></JournalIssue></Journal><ArticleTitle>"), title,
@@ -197,7 +237,8 @@ def _xml_records(spark, sf):
 
 @query("pubmed_payload", f"""
 WITH r AS (SELECT *, trim(string_split(text, ' ')[1] || ' ' || source || ' end', {_WS}) AS title FROM documents)
-SELECT 'pmid:' || doc_id AS doc_id, title, CASE WHEN doc_id % 5 = 0 THEN title ELSE trim(substr(text, 1, 500), {_WS}) || chr(10) || 'part two here' END AS text,
+SELECT 'pmid:' || doc_id AS doc_id, title, CASE WHEN doc_id % 5 = 0 THEN title ELSE trim(text, {_WS}) || list_reduce(list_transform(range(2, doc_id % 60 + 3),
+    lambda k: chr(10) || 'part ' || k || ' here'), lambda x, y: x || y) END AS text,
   (doc_id % 30 + 1990)::BIGINT AS year, 'J ' || source AS journal, '10.5555/' || doc_id AS doi,
   CASE WHEN lang = 'en' THEN 'rct' ELSE 'other' END AS evidence_level,
   '["' || CASE WHEN lang = 'en' THEN 'Randomized Controlled Trial' ELSE 'Letter' END || '","Journal Article"]' AS pub_types FROM r""")
@@ -341,7 +382,7 @@ def _(spark, sf):
 
 
 @query("identifier_verify", """
-WITH cat AS (SELECT doc_id, 'pmid:' || doc_id AS id, substr(text, 1, 30) || CASE WHEN doc_id % 9 = 0 THEN ' Retracted' ELSE '' END AS title, '10.5555/' || doc_id AS doi FROM documents),
+WITH cat AS (SELECT doc_id, 'pmid:' || doc_id AS id, text || CASE WHEN doc_id % 9 = 0 THEN ' Retracted' ELSE '' END AS title, '10.5555/' || doc_id AS doi FROM documents),
 ids AS (SELECT unnest(['PMID:' || doc_id, ' ' || (doc_id * 2), 'https' || doc_id, '10.5555/' || doc_id]) AS identifier, unnest(['p', 'p', 'p', 'd']) AS kind,
   unnest([doc_id::VARCHAR, (doc_id * 2)::VARCHAR, 'https' || doc_id, doc_id::VARCHAR]) AS k FROM documents)
 SELECT identifier, cat.id IS NOT NULL AS exists, cat.id AS doc_id, title, coalesce(doc_id % 9 = 0, false) AS withdrawn,
@@ -352,7 +393,7 @@ def _(spark, sf):
     i = F.col("doc_id")
     catalog = d.select(
         F.concat(F.lit("pmid:"), i).alias("doc_id"),
-        F.concat(F.substring("text", 1, 30), F.when(i % 9 == 0, " Retracted").otherwise("")).alias("title"),
+        F.concat("text", F.when(i % 9 == 0, " Retracted").otherwise("")).alias("title"),
         F.lit(None).cast("int").alias("year"), F.lit("").alias("journal"), F.lit("").alias("url"),
         F.concat(F.lit("DOI:10.5555/"), i).alias("doi"), F.create_map(F.lit("pub_types"), F.lit("[]")).alias("extra"))
     ids = d.select(F.explode(F.array(

@@ -5,9 +5,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from corpusloom.functions import rules
 from corpusloom.functions.pieces import packer
 from corpusloom.functions.text import (
-    contains_any, head, level_from_rules, normalize_level, or_else, strip, text_or_empty,
+    contains_any, level_from_rules, normalize_level, or_else, strip, text_or_empty,
 )
 from corpusloom.operators.common import first_per_key
+from corpusloom.sources.files import as_position, inner_position, scan_position
 
 # The line ends that a Unicode-aware line splitter knows.
 _LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
@@ -18,7 +19,7 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     name = F.col("_metadata.file_name")
     files = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
     return files.select(F.regexp_replace(name, r"\.md$", "").alias("stem"), F.col("value").alias("text"),
-                        F.monotonically_increasing_id().alias("pos"))
+                        scan_position().alias("pos"))
 
 
 def lines_of(text: Column) -> Column:
@@ -43,12 +44,16 @@ def with_sections(files: DataFrame) -> DataFrame:
     titles = F.transform("_sections", lambda s, i: F.when(
         s.rlike(rf"(?U)^{_HEADING}"), strip(F.regexp_extract(s, r"(?U)^#{1,6}[^\S\n]+([^\n]*)", 1)))
         .when(i == 0, F.col("stem")).otherwise(""))
-    rows = rows.withColumn("_titles", F.concat(F.array("stem"), titles))
-    untitled = F.array_position("_titles", F.lit("")) > 0
-    carried = F.transform(F.sequence(F.lit(2), F.size("_titles")), lambda i: F.element_at(F.filter(
-        F.slice("_titles", F.lit(1), i), lambda t: t != ""), -1))
-    named = F.when(untitled, carried).otherwise(F.slice("_titles", 2, F.size("_sections")))
+    # The last number with a title up to each section, in one pass: numbers of titled sections, and how many there are so far.
+    rows = rows.withColumn("_titles", titles)
+    titled = F.filter(F.transform("_titles", lambda t, i: F.when(t != "", i)), lambda i: i.isNotNull())
     kept = [c for c in files.columns if c != "text"]
+    rows = rows.withColumn("_titled", titled)
+    spans = F.transform("_titled", lambda at, k: F.coalesce(F.get("_titled", k + 1), F.size("_titles")) - at)
+    carried = F.flatten(F.transform(F.arrays_zip(F.col("_titled").alias("at"), spans.alias("n")), lambda x: F.array_repeat(
+        F.get("_titles", x["at"]), x["n"])))
+    leading = F.array_repeat(F.col("stem"), F.coalesce(F.get("_titled", F.lit(0)), F.size("_titles")))
+    named = F.concat(leading, carried)
     rows = rows.select(*kept, F.posexplode_outer(F.arrays_zip(named.alias("title"), F.col("_sections").alias("text")))
                        .alias("i", "s"))
     return rows.select(*kept, "i", F.col("s.title").alias("title"), strip(F.col("s.text")).alias("text"))
@@ -63,37 +68,35 @@ def _local_doc(doc_id: Column, title: Column, text: Column) -> list[Column]:
         F.create_map().cast("map<string,string>").alias("extra")]
 
 
-def markdown_docs(files: DataFrame, whole_below: int = rules.WHOLE_DOC_MAX_CHARS,
+def markdown_docs(files: DataFrame, whole_below: int | None = None,
                   max_chars: int = rules.SECTION_MAX_CHARS) -> DataFrame:
-    """Short files as one document each, longer ones by section; a section above
-    ``max_chars`` is packed from its paragraphs. Empty sections are dropped but
-    keep their number.
-
-    Both cases stay in one narrow plan, so ``pos`` follows the order of the files
-    and of the places inside them.
+    """``files(stem, text[, pos])`` by section; a section above ``max_chars`` is packed from its paragraphs. Empty sections are
+    dropped but keep their number. With ``whole_below``, files of at most that many characters become one document each.
     """
     stem, text = F.col("stem"), F.col("text")
-    short = F.length("text") <= whole_below
-    whole = files.select("stem", short.alias("short"), F.when(short, text).alias("whole"),
+    if "pos" not in files.columns:
+        files = files.withColumn("pos", F.lit(0))
+    short = F.lit(False) if whole_below is None else F.length("text") <= whole_below
+    whole = files.select("stem", as_position(files).alias("pos"), short.alias("short"), F.when(short, text).alias("whole"),
                          F.when(short, "").otherwise(text).alias("text"))
     rows = with_sections(whole).where(F.col("short") | (F.col("text") != ""))
     rows = rows.withColumn("text", F.when(F.col("short"), F.col("whole")).otherwise(text)).drop("whole")
     packed = ~F.col("short") & (F.length("text") > max_chars)
     rows = rows.withColumn("_packed", packer(max_chars)(F.when(packed, text)))
     parts = F.when(packed, F.col("_packed")).otherwise(F.array("text"))
-    rows = rows.select("stem", "short", "i", "title", packed.alias("packed"), F.posexplode_outer(parts).alias("j", "text"))
+    rows = rows.select("stem", "pos", "short", "i", "title", packed.alias("packed"), F.posexplode_outer(parts).alias("j", "text"))
     section = F.concat(F.lit(":"), F.col("i").cast("string"))
     part = F.concat(F.lit(":"), F.col("j").cast("string"))
     suffix = F.concat(F.lit("（"), (F.col("j") + 1).cast("string"), F.lit("）"))
     place = F.when(F.col("short"), "").when(F.col("packed"), F.concat(section, part)).otherwise(section)
     title = F.when(F.col("short"), stem).when(F.col("packed"), F.concat("title", suffix)).otherwise(F.col("title"))
     return rows.select(*_local_doc(F.concat(F.lit("local:md:"), stem, place), title, text),
-                       F.monotonically_increasing_id().alias("pos"))
+                       inner_position(F.col("pos"), F.col("i"), F.col("j")).alias("pos"))
 
 
 def split_sections(files: DataFrame, max_chars: int = rules.SECTION_MAX_CHARS) -> DataFrame:
     """One document per section of every file, however short the file."""
-    return markdown_docs(files, whole_below=-1, max_chars=max_chars)
+    return markdown_docs(files, max_chars=max_chars)
 
 
 def _cells(row: Column) -> Column:
@@ -101,32 +104,37 @@ def _cells(row: Column) -> Column:
     return F.transform(F.split(bare, r"\|"), lambda c: strip(F.regexp_replace(c, r"\[([^\]]+)\]\([^)]+\)", "$1")))
 
 
-def table_context(lines: Column, at: Column) -> Column:
-    """First cell of the earliest of the six lines before ``at`` that names the literature column."""
-    first = F.greatest(at - 6, F.lit(0))
-    window = F.slice(lines, first + 1, at - first)
-    named = F.filter(window, lambda x: F.contains(x, F.lit("|")) & ~F.contains(x, F.lit("PMID"))
-                     & F.contains(x, F.lit(rules.LITERATURE_CONTEXT_WORD)) & ~F.contains(x, F.lit("|---|---")))
-    cell = strip(F.split(F.regexp_replace(F.get(named, F.lit(0)), r"^\|+|\|+$", ""), r"\|")[0])
-    return F.coalesce(cell, F.lit(rules.LITERATURE_DEFAULT_CONTEXT))
+LOOK_BACK = 6
+
+
+def table_context(line: Column) -> Column:
+    """First cell of a line that names the literature column; null for any other line."""
+    named = (F.contains(line, F.lit("|")) & ~F.contains(line, F.lit("PMID"))
+             & F.contains(line, F.lit(rules.LITERATURE_CONTEXT_WORD)) & ~F.contains(line, F.lit("|---|---")))
+    return F.when(named, strip(F.split(F.regexp_replace(line, r"^\|+|\|+$", ""), r"\|")[0]))
 
 
-def literature_rows(files: DataFrame) -> DataFrame:
-    """Table lines of ``files(file, text)`` with their context -> ``file, at, line, context, pos``.
+def literature_rows(files: DataFrame, default_context: str = rules.LITERATURE_DEFAULT_CONTEXT) -> DataFrame:
+    """Table lines of ``files(file, text[, pos])`` with their context -> ``file, at, line, context, pos``.
 
-    The context belongs to the first line of the file with that exact content; a
-    line with outer blanks has none and gets the default.
+    The context is the first cell of the earliest of the six lines before that names the literature column. It belongs to
+    the first line of the file with that exact content; a line with outer blanks has none and gets the default.
+    Contexts are found inside the row, six lines at a time; only short rows leave it.
     """
-    lines = F.col("lines")
-    rows = files.select("file", lines_of(F.col("text")).alias("lines")).select(
-        "file", "lines", F.posexplode_outer("lines").alias("at", "raw"))
-    rows = rows.withColumn("line", strip(F.col("raw"))).where(
-        F.startswith("line", F.lit("|")) & ~F.startswith("line", F.lit("|---"))
-        & ~F.startswith("line", F.lit(rules.LITERATURE_HEADER)))
-    place = F.array_position(lines, F.col("line")) - 1
-    context = F.when(place >= 0, table_context(lines, place.cast("int"))).otherwise(
-        F.lit(rules.LITERATURE_DEFAULT_CONTEXT))
-    return rows.select("file", "at", "line", context.alias("context"), F.monotonically_increasing_id().alias("pos"))
+    if "pos" not in files.columns:
+        files = files.withColumn("pos", F.lit(0))
+    rows = files.select("file", as_position(files).alias("pos"), lines_of(F.col("text")).alias("lines"))
+    rows = rows.withColumn("_named", F.transform("lines", table_context))
+    shown = F.transform("lines", lambda x, i: F.when(F.startswith(strip(x), F.lit("|")), F.struct(
+        i.alias("at"), x.alias("raw"), F.coalesce(*[F.get("_named", F.greatest(i - back, F.lit(-1)))
+                                                    for back in range(LOOK_BACK, 0, -1)]).alias("near"))))
+    rows = rows.select("file", "pos", F.explode(F.array_compact(shown)).alias("t")).select(
+        "file", "pos", "t.*", strip(F.col("t.raw")).alias("line"))
+    rows = rows.where(~F.startswith("line", F.lit("|---")) & ~F.startswith("line", F.lit(rules.LITERATURE_HEADER)))
+    first = rows.where(F.col("raw") == F.col("line")).groupBy("file", "line").agg(F.min_by("near", "at").alias("context"))
+    return rows.join(first, ["file", "line"], "left").select(
+        "file", "at", "line", F.coalesce("context", F.lit(default_context)).alias("context"),
+        inner_position(F.col("pos"), F.col("at")).alias("pos"))
 
 
 _START = r"(?<![\p{L}\p{N}_])"
@@ -142,7 +150,7 @@ def literature_docs(files: DataFrame) -> DataFrame:
     rows = rows.where((F.col("pmid") != "") & ~contains_any(F.col("joined"), rules.LITERATURE_SKIP_WORDS))
     rows = first_per_key(rows, ["file", "pmid"], F.col("at"))
     named = F.get(F.filter("cells", lambda c: F.contains(c, F.lit("et al")) | F.contains(c, F.lit("*"))), F.lit(0))
-    rows = rows.withColumn("title", head(F.regexp_replace(F.coalesce(named, F.col("joined")), "<[^>]+>", ""), 150))
+    rows = rows.withColumn("title", F.regexp_replace(F.coalesce(named, F.col("joined")), "<[^>]+>", ""))
     blob = F.concat_ws(" ", F.get("cells", F.lit(0)), "title", "joined")
     level = normalize_level(F.lit(""), blob, rules.TITLE_LEVEL_RULES)
     year = F.regexp_extract("joined", rf"{_START}(19[0-9]{{2}}|20[0-9]{{2}}){_STOP}", 1)

@@ -1,14 +1,17 @@
 """Landed payload files of the article, registry and open-access services."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from xml.etree import ElementTree
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from corpusloom.functions import rules
-from corpusloom.functions.text import head, normalize_level, or_else, strip, tags_from_rules, text_or_empty
+from corpusloom.functions.text import head, normalize_level, or_else, strip, tags_from_rules, text_or_empty, whole_number
 from corpusloom.schemas import EUROPEPMC, STUDIES
 from corpusloom.sources.curated import pubmed_url
+from corpusloom.sources.files import as_position, inner_position, rejected_lines, scan_position
 
 _ARTICLE = "PubmedArticle"
-TEXT_CAP = 8000
 
 
 def read_pubmed_xml(spark: SparkSession, path: str) -> DataFrame:
@@ -17,26 +20,55 @@ def read_pubmed_xml(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("lineSep", f"</{_ARTICLE}>").text(path)
     start = F.regexp_instr("value", F.lit(f"<{_ARTICLE}[\\s>]"))
     record = F.concat(F.substring("value", start, F.length("value")), F.lit(f"</{_ARTICLE}>"))
-    return raw.where(start > 0).select(record.alias("xml"), F.monotonically_increasing_id().alias("pos"))
+    return raw.where(start > 0).select(record.alias("xml"), scan_position().alias("pos"))
+
+
+_RECORD = T.StructType([
+    *[T.StructField(n, T.StringType()) for n in ("pmid", "title", "y", "md", "journal", "doi")],
+    T.StructField("parts", T.ArrayType(T.StringType())), T.StructField("pub_types", T.ArrayType(T.StringType())),
+    T.StructField("error", T.StringType())])
+
+
+def _flat(element: ElementTree.Element | None) -> str:
+    """Text of an element with its inline markup flattened in reading order."""
+    return "" if element is None else "".join(element.itertext()).strip()
+
+
+def article_fields(xml: str) -> dict:
+    """The fields of one record in one parse; what is no XML has only ``error``."""
+    try:
+        root = ElementTree.fromstring(xml)
+    except ElementTree.ParseError as failed:
+        return {"error": str(failed)}
+    own_doi = [e for e in root.findall("PubmedData/ArticleIdList/ArticleId") if e.get("IdType") == "doi"]
+    return {
+        "pmid": _flat(root.find(".//PMID")), "title": _flat(root.find(".//ArticleTitle")), "y": _flat(root.find(".//PubDate/Year")),
+        "md": _flat(root.find(".//PubDate/MedlineDate"))[:4], "journal": _flat(root.find(".//Journal/Title")),
+        "doi": _flat(own_doi[-1] if own_doi else None), "parts": [_flat(e) for e in root.iterfind(".//Abstract/AbstractText")],
+        "pub_types": [_flat(e) for e in root.iter("PublicationType")], "error": None}
+
+
+def article_records(records: DataFrame) -> DataFrame:
+    """``records(xml, pos)`` with the parsed fields as ``r``; rows are parsed once, in Arrow batches."""
+    @F.arrow_udf(_RECORD)
+    def parse(xml: pa.Array) -> pa.Array:
+        return pa.array([article_fields(x or "") for x in xml.to_pylist()], _ARROW_RECORD)
+    return records.withColumn("r", parse("xml"))
+
+
+_ARROW_RECORD = pa.struct([
+    *[(n, pa.string()) for n in ("pmid", "title", "y", "md", "journal", "doi")],
+    ("parts", pa.list_(pa.string())), ("pub_types", pa.list_(pa.string())), ("error", pa.string())])
+
+
+def rejected_articles(records: DataFrame) -> DataFrame:
+    """``pos, xml, reason`` of the records that are no XML."""
+    return article_records(records).where("r.error is not null").select("pos", "xml", F.col("r.error").alias("reason"))
 
 
 def pubmed_docs(records: DataFrame) -> DataFrame:
-    """``records(xml, pos)`` -> documents. ``xpath_string`` flattens inline markup
-    in reading order, which the XML row source does not."""
-    def first(path: str) -> str:
-        return f"trim(xpath_string(xml, '({path})[1]'))"
-
-    own_ids = "/PubmedArticle/PubmedData/ArticleIdList/ArticleId[@IdType=\"doi\"]"
-    raw = records.selectExpr(
-        "pos", "xml",
-        f"{first('//PMID')} pmid", f"{first('//ArticleTitle')} title",
-        f"{first('//PubDate/Year')} y", f"substring({first('//PubDate/MedlineDate')}, 1, 4) md",
-        f"{first('//Journal/Title')} journal",
-        f"trim(xpath_string(xml, '({own_ids})[last()]')) doi",
-        "cast(xpath_number(xml, 'count(//Abstract/AbstractText)') as int) n_parts",
-        "cast(xpath_number(xml, 'count(//PublicationType)') as int) n_types")
-    raw = raw.withColumns({
-        "parts": _texts("//Abstract/AbstractText", "n_parts"), "pub_types": _texts("//PublicationType", "n_types")})
+    """``records(xml, pos)`` -> documents. Records that are no XML are left to ``rejected_articles``."""
+    raw = article_records(records).where("r.error is null").select("pos", "r.*")
     year = or_else(F.col("y"), F.col("md"))
     abstract = F.array_join(F.filter("parts", lambda p: p != ""), "\n")
     title = F.col("title")
@@ -44,37 +76,27 @@ def pubmed_docs(records: DataFrame) -> DataFrame:
     return raw.select(
         F.concat(F.lit("pmid:"), "pmid").alias("doc_id"), F.lit("pubmed").alias("source"),
         or_else(title, F.concat(F.lit("PMID "), "pmid")).alias("title"), or_else(abstract, title).alias("text"),
-        F.when(year.rlike("^[0-9]+$"), year.cast("int")).alias("year"), pubmed_url(F.col("pmid")).alias("url"),
+        whole_number(year).alias("year"), pubmed_url(F.col("pmid")).alias("url"),
         tags_from_rules(blob, rules.PUBMED_TAGS).alias("tags"),
         normalize_level(F.array_join("pub_types", " "), title, rules.TITLE_LEVEL_RULES).alias("evidence_level"),
         "journal", "doi", F.create_map(F.lit("pub_types"), F.to_json("pub_types")).alias("extra"), "pos")
 
 
-# Parts of one record that can be addressed one by one; further ones are read as one text.
-_MAX_PARTS = 24
-
-
-def _texts(path: str, count: str) -> Column:
-    """Flattened text of every element of a path. Paths must be literals, so the
-    elements are addressed by number; past the last number the plain text nodes
-    are used, which lose only inline markup order."""
-    numbered = [F.when(F.col(count) >= i, F.trim(F.expr(f"xpath_string(xml, '({path})[{i}]')")))
-                for i in range(1, _MAX_PARTS + 1)]
-    rest = F.when(F.col(count) > _MAX_PARTS, F.expr(
-        f"xpath(xml, '({path})[position() > {_MAX_PARTS}]//text()')")).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.array_compact(F.array(*numbered)), rest)
+def read_json_payloads(spark: SparkSession, path: str) -> DataFrame:
+    """One row per response file, with its position."""
+    return spark.read.text(path, wholetext=True).select("value", scan_position().alias("pos"))
 
 
-def read_json_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """One row per response file."""
-    return spark.read.text(path, wholetext=True)
+def rejected_payloads(payloads: DataFrame, schema: T.StructType) -> DataFrame:
+    """The rows of ``payloads(value, ..)`` that are no JSON of a service's ``schema`` (``STUDIES``, ``EUROPEPMC``)."""
+    return rejected_lines(payloads, schema)
 
 
 def studies(payloads: DataFrame) -> DataFrame:
-    """``payloads(value)`` of the trial registry -> one ``protocolSection`` per row."""
-    rows = payloads.select(F.from_json("value", STUDIES).alias("p")).select(
-        F.explode_outer("p.studies").alias("s")).where("s is not null")
-    return rows.select(F.monotonically_increasing_id().alias("pos"), F.col("s.protocolSection").alias("p"))
+    """``payloads(value, pos)`` of the trial registry -> one ``protocolSection`` per row."""
+    rows = payloads.select(as_position(payloads).alias("pos"), F.from_json("value", STUDIES).alias("p")).select(
+        "pos", F.posexplode_outer("p.studies").alias("i", "s")).where("s is not null")
+    return rows.select(inner_position(F.col("pos"), F.col("i")).alias("pos"), F.col("s.protocolSection").alias("p"))
 
 
 def primary_outcome(outcomes: Column) -> Column:
@@ -86,7 +108,7 @@ def primary_outcome(outcomes: Column) -> Column:
                 frame != "", F.concat(F.lit("（"), frame, F.lit("）"))).otherwise(""))
 
         named = F.filter(items, lambda o: strip(text_or_empty(o["measure"])) != "")
-        return head(F.array_join(F.transform(named, entry), "；"), 500)
+        return F.array_join(F.transform(named, entry), "；")
 
     return or_else(listed(outcomes["primaryOutcomes"]), listed(outcomes["secondaryOutcomes"]), F.lit(""))
 
@@ -114,7 +136,7 @@ def trial_docs(protocols: DataFrame) -> DataFrame:
     year = head(status["startDateStruct"]["date"], 4)
     return protocols.select(
         F.concat(F.lit("nct:"), nct).alias("doc_id"), F.lit("clinicaltrials").alias("source"), title.alias("title"),
-        head(text, TEXT_CAP).alias("text"), F.when(year.rlike("^[0-9]{4}$"), year.cast("int")).alias("year"),
+        text.alias("text"), whole_number(F.when(F.length(year) == 4, year)).alias("year"),
         F.concat(F.lit("https://clinicaltrials.gov/study/"), nct).alias("url"),
         tags_from_rules(F.lower(F.concat_ws(" ", title, text)), rules.TRIAL_TAGS).alias("tags"),
         F.lit("rct").alias("evidence_level"), F.lit("").alias("journal"), F.lit("").alias("doi"),
@@ -138,10 +160,10 @@ def trial_catalog(protocols: DataFrame) -> DataFrame:
 
 
 def europepmc_docs(payloads: DataFrame) -> DataFrame:
-    """``payloads(value)`` of the open-access service -> documents."""
-    rows = payloads.select(F.from_json("value", EUROPEPMC).alias("p")).select(
-        F.explode_outer("p.resultList.result").alias("r")).where("r is not null")
-    rows = rows.select(F.monotonically_increasing_id().alias("at"), "r.*")
+    """``payloads(value, pos)`` of the open-access service -> documents."""
+    rows = payloads.select(as_position(payloads).alias("pos"), F.from_json("value", EUROPEPMC).alias("p")).select(
+        "pos", F.posexplode_outer("p.resultList.result").alias("i", "r")).where("r is not null")
+    rows = rows.select(inner_position(F.col("pos"), F.col("i")).alias("at"), "r.*")
     source = F.coalesce(F.col("source"), F.lit("MED"))
     ext = or_else(F.col("id"), F.col("pmid"), F.col("doi"), F.lit(""))
     title = text_or_empty(F.col("title"))
@@ -150,8 +172,7 @@ def europepmc_docs(payloads: DataFrame) -> DataFrame:
     flags = ("isOpenAccess", "inPMC", "pubType")
     return rows.select(
         F.concat(F.lit("epmc:"), source, F.lit(":"), ext).alias("doc_id"), F.lit("europepmc").alias("source"),
-        title.alias("title"), head(abstract, TEXT_CAP).alias("text"),
-        F.when(F.col("pubYear").rlike("^[0-9]+$"), F.col("pubYear").cast("int")).alias("year"),
+        title.alias("title"), abstract.alias("text"), whole_number(F.col("pubYear")).alias("year"),
         F.when(text_or_empty(F.col("pmid")) != "", pubmed_url(F.col("pmid"))).otherwise(page).alias("url"),
         tags_from_rules(F.lower(F.concat_ws(" ", title, abstract)), rules.EUROPEPMC_TAGS).alias("tags"),
         normalize_level(F.col("pubType"), title, rules.TITLE_LEVEL_RULES).alias("evidence_level"),

@@ -33,9 +33,3 @@ def test_stored_reads_back_the_same(spark):
     df = spark.range(20).select("id", F.array(F.lit("a")).alias("t"))
     again = common.stored(df)
     assert again.schema == df.schema.__class__(again.schema.fields) and again.count() == 20
-
-
-def test_spread_leaves_wide_inputs_alone(spark):
-    wide = spark.range(0, 100, 1, 32)
-    assert common.spread(wide) is wide
-    assert common.spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

@@ -119,3 +119,16 @@ def test_enrich_keeps_explicit_level(spark):
     out = {r["doc_id"]: r for r in curate.enrich_local(frame(spark, rows)).collect()}
     assert (out["a"]["tags"], out["a"]["evidence_level"]) == (["local", "diet", "guideline"], "guideline")
     assert (out["b"]["tags"], out["b"]["evidence_level"]) == (["hypertension"], "ebook")
+
+
+def test_equal_positions_do_not_multiply_rows(spark):
+    rows = [doc("a", title="x", text="1"), doc("b", title="x", text="22"), doc("c", title="y", doi="10.1/z"), doc("d", title="q", doi="10.1/z", text="t")]
+    same = frame(spark, rows).withColumn("ord", F.lit(5).cast("long"))
+    got = {r["doc_id"]: r for r in curate.dedupe_fold(same).collect()}
+    assert set(got) == {"b", "d"} and got["b"]["ord"] == 5
+
+
+def test_fold_sends_single_documents_past(spark):
+    rows = [doc(f"d{i}", title=f"t{i}", text="x", tags=["a", "a"], year=0, extra={"k": "", "l": "v"}) for i in range(5)]
+    got = curate.dedupe_fold(frame(spark, rows)).collect()
+    assert len(got) == 5 and all(r["tags"] == ["a"] and r["year"] is None and r["extra"] == {"l": "v"} for r in got)

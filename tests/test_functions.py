@@ -70,7 +70,9 @@ def test_query_expansion(one):
     e = wording.expand_query(C("q"))
     assert one(e, q=" 坚果和DASH ") == "坚果和DASH nuts cardiovascular risk DASH diet blood pressure hypertension"
     assert one(e, q="其他") == "其他"
-    assert len(one(e, q="坚果" + "x" * 600)) == 500
+    assert one(e, q="坚果" + "x" * 600).endswith("x nuts cardiovascular risk")
+    assert len(one(wording.expand_query(C("q"), most=500), q="坚果" + "x" * 600)) == 500
+    assert one(wording.search_text(C("q")), q=" a\nb ") == "a\nb" and one(wording.search_text(C("q"), True, 1), q="ac\nb") == "a"
 
 
 @pytest.mark.parametrize("d,i,o,want", [
