@@ -33,7 +33,7 @@ MIN_REVISIT = 1000
 FILE_BYTES = 256 << 20
 READ_BYTES = 8 << 20  # one coalesced read
 READ_GAP = 64 << 10  # unwanted bytes worth reading rather than seeking over
-SPAN_BYTES = 64 << 20  # stretch of a file that one group of reads covers
+SPAN_BYTES = 16 << 20  # stretch of a file that one group of reads covers
 LEVEL = 3
 DATE = "2025-01-01T00:00:00Z"
 
@@ -192,8 +192,10 @@ def fetch(selected: DataFrame, folder: str, reader, schema: str) -> DataFrame:
                         data = source.read_at(size, first)
                         rows = [reader(*_parse(zlib.decompress(data[o - first:o - first + n], 31))) for o, n in held]
                         yield _batch(rows, schema)
+    # As many tasks as there are bytes to read; by the size of the index alone they would be far too few.
+    tasks = (selected.agg(F.sum("length")).first()[0] or 0) // SPAN_BYTES + 1
     span = F.expr(f"offset div {SPAN_BYTES}")
-    spread = selected.select("file", "offset", "length").repartition("file", span).sortWithinPartitions("file", "offset")
+    spread = selected.select("file", "offset", "length").repartition(tasks, "file", span).sortWithinPartitions("file", "offset")
     return spread.mapInArrow(read, schema)
 
 
