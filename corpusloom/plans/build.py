@@ -1,12 +1,14 @@
 """The corpus build: sources to documents, reports, topic pages and chunk table."""
 
+import json
+
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.functions import rules
 from corpusloom.operators import chunk, curate, index, report, retrieve, topics
-from corpusloom.operators.common import stored
+from corpusloom.operators.common import run_folder, stored
 from corpusloom.schemas import DOC_FIELDS
-from corpusloom.sources.files import stage_counts
+from corpusloom.sources.files import file_list, stage_counts
 
 
 def curate_sources(*sources: DataFrame, regrade: bool = True) -> DataFrame:
@@ -23,12 +25,27 @@ def write_search_tables(chunks: DataFrame, out: str, embed=None) -> None:
 
 
 def build_corpus(sources: list[DataFrame], out: str, updated_at: str, topic_rows=rules.TOPICS, regrade: bool = True,
-                 target_chunks: int = 500, prose=None) -> dict[str, DataFrame]:
-    """Write every table of the corpus below ``out`` and return them as read back.
+                 target_chunks: int = 500, prose=None, embed=None, paths: list[str] | None = None) -> dict:
+    """Write every table of the corpus below ``out`` and return them as read back, with the vector table as
+    ``vectors`` and the ``keyword_index`` for ``ask_batch``.
 
-    The chunk table is written only if traceability holds and it has at least
-    ``target_chunks`` rows.
+    The chunk table is published only if traceability holds and it has at least
+    ``target_chunks`` rows. ``paths`` are the landed folders of the sources; their files are listed in the manifest.
+    Intermediate tables lie in a folder of the run's own and are removed with it.
     """
+    with run_folder(sources[0].sparkSession, f"{out}/_run"):
+        return _build(sources, out, updated_at, topic_rows, regrade, target_chunks, prose, embed, paths or [])
+
+
+def _publish(spark, staged: str, path: str) -> None:
+    fs = spark._jvm.org.apache.hadoop.fs
+    old, new = fs.Path(path), fs.Path(staged)
+    store = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.delete(old, True)
+    store.rename(new, old)
+
+
+def _build(sources, out, updated_at, topic_rows, regrade, target_chunks, prose, embed, paths) -> dict:
     spark = sources[0].sparkSession
 
     def put(name: str, df: DataFrame) -> DataFrame:
@@ -45,13 +62,21 @@ def build_corpus(sources: list[DataFrame], out: str, updated_at: str, topic_rows
     with_pages = docs.select(*DOC_FIELDS, "ord").unionByName(pages.select(*DOC_FIELDS, last.alias("ord")))
     all_docs = put("documents_with_pages", curate.dedupe_fold(curate.merge_first_wins(with_pages)))
     chunks = index.storable(chunk.docs_to_chunks(all_docs, merge_below=rules.CHUNK_MIN_CHARS))
-    staged = stored(chunks)
+    staged = put("_run/chunks", chunks)
     chunk.require_buildable(staged, target_chunks).collect()
-    table = put("chunks", staged)
+    _publish(spark, f"{out}/_run/chunks", f"{out}/chunks")
+    table = spark.read.schema(chunks.schema).parquet(f"{out}/chunks")
+    write_search_tables(table, out, embed)
     stats = put("store_stats", report.store_stats(table))
     manifest = stage_counts({
         **{f"source_{i}": s for i, s in enumerate(sources)}, "documents": docs, "topic_pages": pages,
         "documents_with_pages": all_docs, "chunks": table})
-    manifest = put("manifest", manifest.withColumn("updated_at", F.lit(updated_at)))
+    config = {"regrade": regrade, "target_chunks": target_chunks, "topics": len(topic_rows), "paths": paths}
+    manifest = put("manifest", manifest.withColumns({"updated_at": F.lit(updated_at), "config": F.lit(json.dumps(config))}))
+    landed = None
+    for path in paths:
+        landed = file_list(spark, path) if landed is None else landed.unionByName(file_list(spark, path))
+    files = {} if landed is None else {"files": put("files", landed)}
     return {"documents": docs, "report": summary, "topic_pages": pages, "documents_with_pages": all_docs,
-            "chunks": table, "store_stats": stats, "manifest": manifest}
+            "chunks": table, "store_stats": stats, "manifest": manifest, **files,
+            "vectors": spark.read.parquet(f"{out}/vectors"), "keyword_index": index.KeywordIndex.read(spark, f"{out}/keyword_index")}

@@ -114,13 +114,21 @@ def _cut(start: str) -> str:
     return f"CASE WHEN {start} + 1200 >= n THEN n ELSE {start} + coalesce({ends}, 1200) END"
 
 
+def _past_table(start: str) -> str:
+    """A cut ``e`` that falls on a table row moves to the end of the table."""
+    line = f"substr(t, {start} + 1, e - {start})"
+    last = f"regexp_extract({line}, '[^\\n]*$')"
+    rest = "regexp_extract(substr(t, e + 1), '^[^\\n]*(?:\\n[ \\t]*\\|[^\\n]*)*\\n?')"
+    return f"CASE WHEN regexp_matches({last}, '^\\s*\\|') THEN e + length({rest}) ELSE e END"
+
+
 CUTS = f"""body AS MATERIALIZED (
   SELECT doc_id, trim(regexp_replace(text, '[ \\t]+', ' ', 'g'), {_SPACE}) AS t FROM docs),
 cuts AS (
-  SELECT doc_id, t, length(t) AS n, 0 AS a, {_cut("0")} AS b FROM (SELECT *, length(t) AS n FROM body)
+  SELECT doc_id, t, n, 0 AS a, {_past_table("0")} AS b FROM (SELECT *, {_cut("0")} AS e FROM (SELECT *, length(t) AS n FROM body))
   UNION ALL
-  SELECT doc_id, t, n, s AS a, {_cut("s")} AS b
-  FROM (SELECT doc_id, t, n, greatest(0, b - 150) AS s FROM cuts WHERE b < n)),
+  SELECT doc_id, t, n, s AS a, {_past_table("s")} AS b FROM (SELECT *, {_cut("s")} AS e
+  FROM (SELECT doc_id, t, n, greatest(a + 1, b - 150) AS s FROM cuts WHERE b < n))),
 pieces AS MATERIALIZED (
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS i, piece
   FROM (SELECT doc_id, a, trim(substr(t, a + 1, b - a), {_SPACE}) AS piece FROM cuts) WHERE piece <> '')"""

@@ -8,7 +8,9 @@ from corpusloom.operators import audit, evaluate, gate
 from corpusloom.operators.common import stored
 from corpusloom.plans.corpus import ANSWERS, CONTEXTS, answers, contexts, docs, questions, table
 from corpusloom.plans.q_retrieval import HITS, hits
-from corpusloom.plans.registry import query
+from corpusloom.plans.answers import finish_answers
+from corpusloom.plans.evaluate import compare_arms
+from corpusloom.plans.registry import SQL, query
 
 _WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
 
@@ -349,7 +351,7 @@ def _(spark, sf):
 # --- evaluation -----------------------------------------------------------
 
 EVAL = f"""{AUDIT},
-asked AS (SELECT conv_id || '-' || (turn + 1) AS question_id, list_transform(list_slice(string_split(text, ' '), 1, 4), lambda g: trim(g, '.,' || chr(10))) AS gold
+asked AS (SELECT conv_id || '-' || (turn + 1) AS question_id, list_transform(string_split(text, ' '), lambda g: trim(g, '.,' || chr(10))) AS gold
   FROM conversations WHERE role = 'user'),
 scored AS MATERIALIZED (SELECT a.question_id, a.answer, coalesce(gold, []) AS gold, n, used,
   CASE WHEN len(coalesce(gold, [])) = 0 THEN 0.0 ELSE len(list_filter(gold, lambda g: contains(lower(a.answer), lower(g)))) / len(gold) END::DOUBLE AS coverage,
@@ -363,7 +365,7 @@ results AS MATERIALIZED (SELECT question_id AS id, CASE WHEN contains(question_i
 
 def _gold(spark, sf):
     user = table(spark, sf, "conversations").where("role = 'user'")
-    words = F.transform(F.slice(F.split("text", " "), 1, 4), lambda g: F.trim(g, F.lit(".,\n")))
+    words = F.transform(F.split("text", " "), lambda g: F.trim(g, F.lit(".,\n")))
     return user.select(F.concat_ws("-", F.col("conv_id").cast("string"), (F.col("turn") + 1).cast("string"))
                        .alias("question_id"), words.alias("gold"))
 
@@ -435,19 +437,81 @@ def _(spark, sf):
     return evaluate.markdown_rows(_results(spark, sf))
 
 
-@query("assessment_checks", f"""
-WITH {ANSWERS}, {CONTEXTS}, known AS (SELECT 'local:' || doc_id AS doc_id FROM documents UNION ALL SELECT 'pmid:100000'),
-cited AS (SELECT question_id, doc_id FROM contexts WHERE rank IN (3, 4)),
+def known_pages(spark, sf):
+    i = F.col("doc_id").cast("string")
+    article = (F.col("doc_id") + 100000).cast("string")
+    trial = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("nct:NCT"), F.lpad(i, 8, "0")))
+    return table(spark, sf, "documents").select(F.explode(F.array_compact(F.array(
+        F.concat(F.lit("local:"), i), F.concat(F.lit("pmid:"), article), trial))).alias("doc_id"))
+
+
+_CHECKED = f"""{ANSWERS}, {CONTEXTS}, known AS (SELECT 'local:' || doc_id AS doc_id FROM documents UNION ALL SELECT 'pmid:' || (doc_id + 100000) FROM documents
+  UNION ALL SELECT 'nct:NCT' || lpad(doc_id::VARCHAR, 8, '0') FROM documents WHERE doc_id % 2 = 0),
+cited AS (SELECT question_id, doc_id FROM contexts),
 c AS (SELECT question_id, count(*) AS citation_count, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM known)) AS bad FROM cited GROUP BY ALL),
-r AS (SELECT question_id, conv_id % 4 = 0 AS refused, conv_id % 3 = 0 AS expect, citation_count, bad = 0 AS cite_ids_valid FROM answers JOIN c USING (question_id))
+r AS (SELECT question_id, conv_id % 4 = 0 AS refused, conv_id % 3 = 0 AS expect, citation_count, bad = 0 AS cite_ids_valid FROM answers JOIN c USING (question_id))"""
+
+
+@query("assessment_checks", f"""
+WITH {_CHECKED}
 SELECT question_id, citation_count, true AS cite_present, cite_ids_valid, refused = expect AS refuse_correct,
   cite_ids_valid AND refused = expect AS passed FROM r""")
 def _(spark, sf):
     records = answers(spark, sf).select(
         "question_id", (F.col("conv_id") % 4 == 0).alias("refused"), F.lit(True).alias("must_cite"),
         (F.col("conv_id") % 3 == 0).alias("expect_refusal"))
-    cited = contexts(spark, sf).where(F.col("rank").isin(3, 4)).select("question_id", "doc_id")
-    pages = table(spark, sf, "documents").select(F.concat(F.lit("local:"), F.col("doc_id").cast("string")).alias("doc_id"))
-    known = pages.unionByName(spark.createDataFrame([("pmid:100000",)], "doc_id string"))
+    cited = contexts(spark, sf).select("question_id", "doc_id")
+    known = known_pages(spark, sf)
     return evaluate.assessment_checks(records, cited, known).select(
         "question_id", "citation_count", "cite_present", "cite_ids_valid", "refuse_correct", "passed")
+
+
+@query("assessment_summary", f"""
+WITH {_CHECKED} SELECT count(*) AS n, count(*) FILTER (cite_ids_valid AND refused = expect) AS passed FROM r""")
+def _(spark, sf):
+    records = answers(spark, sf).select(
+        "question_id", (F.col("conv_id") % 4 == 0).alias("refused"), F.lit(True).alias("must_cite"),
+        (F.col("conv_id") % 3 == 0).alias("expect_refusal"))
+    cited = contexts(spark, sf).select("question_id", "doc_id")
+    return evaluate.assessment_summary(evaluate.assessment_checks(records, cited, known_pages(spark, sf)))
+
+
+# --- flows over supplied answers --------------------------------------------
+
+_NOTED = SQL["audit_note"].rsplit("SELECT question_id, CASE", 1)
+
+
+@query("finished_answers", f"""
+{_NOTED[0]}, noted AS (SELECT question_id, CASE{_NOTED[1]}),
+plain AS (SELECT question_id, conv_id % 2 = 0 AS nutrition, conv_id % 5 = 0 AS refused, a.answer AS given, n.answer AS noted,
+  replace(replace(n.answer, 'tion', 'act'), 'the ', 'this ') AS plain FROM noted n JOIN answers a USING (question_id))
+SELECT question_id, CASE WHEN refused THEN given WHEN NOT nutrition THEN noted WHEN regexp_matches(plain, '\\d+(\\.\\d+)?\\s*(nct|pmid)') AND contains(plain, 'la ')
+  THEN rtrim(plain) || ' !' ELSE plain END AS answer FROM plain""")
+def _(spark, sf):
+    a = answers(spark, sf).withColumns({
+        "track": F.when(F.col("conv_id") % 2 == 0, "nutrition").otherwise("clinical"), "refused": F.col("conv_id") % 5 == 0})
+    return finish_answers(a, contexts(spark, sf), [("tion", "act"), ("the ", "this ")], r"\d+(\.\d+)?\s*(nct|pmid)", ["la "], " !").select(
+        "question_id", "answer")
+
+
+@query("evaluation_flow", f"""
+WITH {EVAL}, plain AS (SELECT conv_id || '-' || (turn + 1) AS question_id, text || ' PMID: 1234567 [1] [2] [3]' AS answer FROM conversations WHERE role = 'user')
+SELECT s.question_id AS id, CASE WHEN contains(s.question_id, '3') THEN 'nutrition' ELSE 'clinical' END AS track, fakes AS rag_fakes,
+  round(coverage, 6) AS rag_coverage, CASE WHEN fakes = 4 THEN 0 ELSE n END AS n_contexts,
+  coalesce(len(regexp_extract_all(p.answer, '(?i)PMID[:\\s]*([0-9]{{5,9}})', 1)) + 1, 0)::BIGINT AS baseline_signal,
+  round(CASE WHEN len(gold) = 0 THEN 0 ELSE len(list_filter(gold, lambda g: contains(lower(coalesce(p.answer, '')), lower(g)))) / len(gold) END::DOUBLE, 6) AS baseline_coverage
+FROM scored s LEFT JOIN plain p USING (question_id)""")
+def _(spark, sf):
+    a = answers(spark, sf).select("question_id", "answer")
+    gold = _gold(spark, sf)
+    refused = audit.verify_citations(a, contexts(spark, sf)).select("question_id", "answer", (F.col("fake_citation_count") == 4).alias("refused"))
+    items = a.select("question_id").join(gold, "question_id", "left").select(
+        F.col("question_id").alias("id"), F.when(F.contains("question_id", F.lit("3")), "nutrition").otherwise("clinical").alias("track"),
+        F.col("gold").alias("gold_points"))
+    user = table(spark, sf, "conversations").where("role = 'user'")
+    plain = user.select(F.concat_ws("-", F.col("conv_id").cast("string"), (F.col("turn") + 1).cast("string")).alias("question_id"),
+                        F.concat("text", F.lit(" PMID: 1234567 [1] [2] [3]")).alias("answer"))
+    out = compare_arms(items, refused, plain, contexts(spark, sf))
+    return out.select("id", "track", F.col("rag.fake_citation_count").alias("rag_fakes"), F.round("rag.gold_coverage", 6).alias("rag_coverage"),
+                      F.col("rag.n_contexts").alias("n_contexts"), F.col("baseline.fake_citation_signal").alias("baseline_signal"),
+                      F.round("baseline.gold_coverage", 6).alias("baseline_coverage"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from corpusloom.functions import rules
-from corpusloom.operators import evaluate, gate, retrieve
+from corpusloom.operators import gate, retrieve
 from corpusloom.operators.common import stored
 from corpusloom.plans import build
 from corpusloom.plans.ask import AskRules, ask_batch
@@ -83,14 +83,3 @@ def _(spark, sf):
     return d.select(number.alias("ord"), "doc_id", "source", "title", "evidence_level", F.length("text").alias("n_chars"), "year",
                     "url", "journal", "doi", "tags", F.coalesce(F.element_at("extra", "isOpenAccess"), F.lit("")).alias("is_oa"),
                     F.coalesce(F.element_at("extra", "inPMC"), F.lit("")).alias("in_pmc"))
-
-
-@query("assessment_summary", """
-SELECT count(*) AS n, count(*) FILTER ((conv_id % 4 = 0) = (conv_id % 3 = 0)) AS passed FROM conversations WHERE role = 'assistant'""")
-def _(spark, sf):
-    a = table(spark, sf, "conversations").where("role = 'assistant'")
-    qid = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    records = a.select(qid.alias("question_id"), (F.col("conv_id") % 4 == 0).alias("refused"), F.lit(False).alias("must_cite"),
-                       (F.col("conv_id") % 3 == 0).alias("expect_refusal"))
-    none = records.select("question_id", F.lit("").alias("doc_id")).limit(0)
-    return evaluate.assessment_summary(evaluate.assessment_checks(records, none, none.select("doc_id")))

@@ -165,9 +165,31 @@ def _(spark, sf):
     return markdown.markdown_docs(_md_files(spark, sf), whole_below=3000, max_chars=100_000).select("doc_id", "title", "text")
 
 
-@query("section_pack")
+# Packing as a walk over units: paragraphs, the sentences of a long one, or the parts of a long sentence.
+_PACK = f"""para AS (SELECT stem, i, p, trim(x, {_WS}) AS para FROM (SELECT stem, i, unnest(ps) AS x, generate_subscripts(ps, 1) AS p
+    FROM (SELECT stem, i, string_split_regex(text, '\\n\\s*\\n') AS ps FROM sections WHERE length(text) > 800)) WHERE trim(x, {_WS}) <> ''),
+judged AS (SELECT *, length(para) > 800 AS long, coalesce(lag(length(para) > 800) OVER (PARTITION BY stem, i ORDER BY p), false) AS after_long FROM para),
+sentence AS (SELECT stem, i, p, unnest(ss) AS st, generate_subscripts(ss, 1) AS q FROM (SELECT stem, i, p,
+    regexp_extract_all(para, '[^。！？.!?]*[。！？.!?]|[^。！？.!?]+$') AS ss FROM judged WHERE long)),
+broken AS (SELECT *, coalesce(lag(length(st) <= 800) OVER (PARTITION BY stem, i, p ORDER BY q), false) AS joins FROM sentence),
+unit AS (SELECT stem, i, p, 0 AS q, 0 AS r, CASE WHEN NOT after_long THEN chr(10) END AS glue, para AS piece FROM judged WHERE NOT long
+  UNION ALL SELECT stem, i, p, q, r, CASE WHEN joins AND length(st) <= 800 THEN '' END, substr(st, r * 800 + 1, 800)
+  FROM (SELECT *, unnest(range(0, (length(st) + 799) // 800)) AS r FROM broken)),
+units AS MATERIALIZED (SELECT stem, i, glue, piece, row_number() OVER (PARTITION BY stem, i ORDER BY p, q, r) AS n FROM unit),
+walk AS (SELECT stem, i, n, 0 AS g, piece AS cur FROM units WHERE n = 1
+  UNION ALL SELECT w.stem, w.i, u.n,
+    CASE WHEN u.glue IS NOT NULL AND length(w.cur) + length(u.glue) + length(u.piece) <= 800 THEN w.g ELSE w.g + 1 END,
+    CASE WHEN u.glue IS NOT NULL AND length(w.cur) + length(u.glue) + length(u.piece) <= 800 THEN w.cur || u.glue || u.piece ELSE u.piece END
+  FROM walk w JOIN units u ON u.stem = w.stem AND u.i = w.i AND u.n = w.n + 1),
+packed AS (SELECT stem, i, g, arg_max(cur, n) AS text FROM walk GROUP BY ALL)"""
+
+
+@query("section_pack", f"""
+WITH RECURSIVE {_MD}, {_PACK} SELECT *, trim(text, {_WS}) AS stripped FROM (
+  SELECT 'local:md:' || stem || ':' || i AS doc_id, title, text FROM sections WHERE text <> '' AND length(text) <= 800
+  UNION ALL SELECT 'local:md:' || p.stem || ':' || p.i || ':' || g, title || '（' || (g + 1) || '）', p.text FROM packed p JOIN sections s
+    ON s.stem = p.stem AND s.i = p.i)""")
 def _(spark, sf):
-    """Sections packed to 800 characters; checked against brute force in the tests."""
     out = markdown.split_sections(_md_files(spark, sf), max_chars=800)
     return out.select("doc_id", "title", "text", strip(F.col("text")).alias("stripped"))
 

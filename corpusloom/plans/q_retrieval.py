@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions.pieces import embedder
 from corpusloom.functions.text import search_tokens
 from corpusloom.operators import index, retrieve
 from corpusloom.operators.common import join_small, new_folder, stored, top_k
@@ -151,6 +152,13 @@ _BOOST = """CASE evidence_level WHEN 'guideline' THEN 1.25 WHEN 'meta' THEN 1.2
   * CASE WHEN source = 'wiki' THEN 1.05::DOUBLE ELSE 1.0 END"""
 
 
+_TAG_BOOST = """CASE evidence_level WHEN 'guideline' THEN 1.25 WHEN 'meta' THEN 1.2 WHEN 'rct' THEN 1.15
+    WHEN 'observational' THEN 1.05 WHEN 'wiki' THEN 1.1 ELSE 1.0 END::DOUBLE
+  * CASE WHEN evidence_level IN ('rct', 'meta') THEN 1.15::DOUBLE ELSE 1.0 END
+  * CASE WHEN list_has_any(tags, ['with', 'elle']) THEN 1.2::DOUBLE ELSE 1.0 END
+  * CASE WHEN source = 'wiki' THEN 1.05::DOUBLE ELSE 1.0 END"""
+
+
 def hybrid_sql(k: int, compat: bool = False, asked: str = QUESTIONS) -> str:
     return f"""{asked}, {keyword_sql("chunks")}, {vector_sql("chunks")}, {fused_sql(0)},
 cand AS MATERIALIZED (
@@ -277,6 +285,24 @@ def _(spark, sf):
         "question_id", "chunk_id", "kind", "rank")
 
 
+@query("hybrid_boosted", f"""
+WITH RECURSIVE {CHUNKS}, {hybrid_sql(5).replace(_BOOST, _TAG_BOOST)} SELECT {_HIT_SQL} FROM hits""")
+def _(spark, sf):
+    """Boost tags and preferred levels of the caller, and both hooks: own vectors, and a rerank that keeps the order."""
+    asked = questions(spark, sf).drop("track")
+    return retrieve.retrieve(stored(chunks(spark, sf)), asked, 5, prefer_levels=["rct", "meta"], boost_tags=["with", "elle"],
+                             embed=embedder(), rerank=lambda found: found.withColumn("rank", F.col("rank") + 0)).select(*_HIT_OUT)
+
+
+@query("search_tokens_cjk", """
+SELECT doc_id, array_to_string(flatten(list_transform(regexp_extract_all(lower(replace(replace(text, 'th', '血压心'), 'er ', ' 糖 ')), '[a-z0-9_]+|[一-鿿]+'),
+  lambda r: CASE WHEN regexp_matches(r, '^[一-鿿]{2}') THEN list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) ELSE [r] END)), '|') AS tokens
+FROM documents""")
+def _(spark, sf):
+    text = F.replace(F.replace("text", F.lit("th"), F.lit("血压心")), F.lit("er "), F.lit(" 糖 "))
+    return table(spark, sf, "documents").select("doc_id", search_tokens(text).alias("tokens"))
+
+
 @query("search_tokens", """
 SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9_]+|[一-鿿]+'), '|') AS tokens FROM documents""")
 def _(spark, sf):

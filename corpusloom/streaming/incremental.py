@@ -13,7 +13,7 @@ from corpusloom.operators.chunk import docs_to_chunks
 from corpusloom.operators.common import first_per_key
 from corpusloom.operators.index import storable
 from corpusloom.schemas import CHUNK, CHUNK_FIELDS, DOC
-from corpusloom.sources.files import path_exists
+from corpusloom.sources.files import path_exists, scan_position
 
 BUCKETS = 64
 
@@ -35,13 +35,14 @@ def apply_documents(docs: DataFrame, path: str, staging: str, buckets: int = BUC
     """Replace the chunks of every document in ``docs`` in the table at ``path``.
 
     A document without chunks left cannot occur: a document with no text has its
-    title chunk. Within a batch the last arrival of a document wins. The new
+    title chunk. Within a batch the last arrival of a document wins, in one file the last place. The new
     buckets are written to ``staging`` (shared storage) first, because a job
     cannot overwrite the files it reads, and then moved in by dynamic partition
     overwrite.
     """
     spark = docs.sparkSession
-    newest = first_per_key(docs, ["doc_id"], F.col("landed").desc()) if "landed" in docs.columns else docs
+    newest = first_per_key(docs, ["doc_id"], *[F.col(c).desc() for c in ("landed", "pos") if c in docs.columns]) if (
+        "landed" in docs.columns) else docs
     fresh = storable(docs_to_chunks(newest, merge_below=rules.CHUNK_MIN_CHARS)).withColumn(
         "bucket", bucket_of(F.col("doc_id"), buckets))
     touched = [r[0] for r in docs.select(bucket_of(F.col("doc_id"), buckets)).distinct().collect()]
@@ -57,7 +58,8 @@ def apply_documents(docs: DataFrame, path: str, staging: str, buckets: int = BUC
 def stream_documents(spark: SparkSession, landing: str, path: str, checkpoint: str,
                      buckets: int = BUCKETS) -> StreamingQuery:
     """Keep the chunk table up to date with JSON-line documents landing in ``landing``."""
-    arrivals = spark.readStream.schema(DOC).json(landing).withColumn("landed", F.col("_metadata.file_modification_time"))
+    arrivals = spark.readStream.schema(DOC).json(landing).withColumns({
+        "landed": F.col("_metadata.file_modification_time"), "pos": scan_position()})
 
     def body(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
