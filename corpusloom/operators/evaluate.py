@@ -87,7 +87,7 @@ def rubric_template(results: DataFrame) -> DataFrame:
 
 
 def markdown_rows(results: DataFrame) -> DataFrame:
-    """Table line of each result, ordered by id when written."""
+    """Table line of each result, ordered by id when written. Shares have two digits, ties to even."""
     def yes(c: Column) -> Column:
         return F.when(c, "True").otherwise("False")
 
@@ -95,6 +95,6 @@ def markdown_rows(results: DataFrame) -> DataFrame:
         "", F.lit("| "), F.col("id").cast("string"), F.lit(" | "), F.col("track"), F.lit(" | "),
         F.col("rag.fake_citation_count").cast("string"), F.lit(" | "),
         F.col("baseline.fake_citation_signal").cast("string"), F.lit(" | "),
-        F.format_string("%.2f", F.col("rag.gold_coverage")), F.lit(" | "),
-        F.format_string("%.2f", F.col("baseline.gold_coverage")), F.lit(" | "), yes(F.col("rag.refused")),
+        F.format_number(F.col("rag.gold_coverage"), 2), F.lit(" | "),
+        F.format_number(F.col("baseline.gold_coverage"), 2), F.lit(" | "), yes(F.col("rag.refused")),
         F.lit(" |")).alias("line"))

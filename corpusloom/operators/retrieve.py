@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusloom.functions import rules, scoring
 from corpusloom.functions.pieces import embedder
 from corpusloom.functions.text import index_tokens, text_or_empty
-from corpusloom.operators.common import BROADCAST_ROWS, fits, join_small, ranked, salted_join, stored, top_k
+from corpusloom.operators.common import BROADCAST_ROWS, join_small, ranked, stored, top_k
 from corpusloom.operators.index import (
-    CorpusStats, KeywordIndex, build_keyword_index, corpus_stats, term_bucket, term_weights,
+    TOTALS, CorpusStats, KeywordIndex, build_keyword_index, corpus_stats, term_bucket, term_weights,
 )
 
 # Scores are sums of doubles whose order is not fixed, so ranking looks at
@@ -40,58 +40,70 @@ def query_terms(questions: DataFrame, query: str = "query") -> DataFrame:
         "question_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25_hits(chunks: DataFrame, questions: DataFrame, k: int = 16) -> DataFrame:
+def bm25_hits(chunks: DataFrame, questions: DataFrame, k: int = 16, vocabulary: DataFrame | None = None) -> DataFrame:
     """Top ``k`` chunks per question by Okapi BM25 -> ``question_id, chunk_id, bm25, kw_rank``.
 
-    Two passes over the corpus: one for the vocabulary, which is stored and gives
-    the totals and the weights of the asked terms, and one for scoring. The
-    scoring pass holds the asked terms (within the broadcast bound) and keeps
-    ``k`` rows per question and task: (question, chunk) pairs are never shuffled.
-    More terms than the bound stay distributed and go through a salted join.
+    A stored ``vocabulary`` saves the first pass over the corpus, which makes one for the totals and the weights
+    of the asked terms. The scoring pass holds the asked terms, a block of bounded size at a time, and keeps ``k`` rows per
+    question and task: (question, chunk) pairs are never shuffled.
     """
-    wanted = query_terms(questions)
-    asked = wanted.limit(BROADCAST_ROWS + 1).toArrow()
-    small = asked.num_rows <= BROADCAST_ROWS
-    index = build_keyword_index(chunks)
-    vocabulary = stored(index.vocabulary)
-    stats = corpus_stats(vocabulary)
-    weights = term_weights(vocabulary, stats)
-    if not small:
-        return _rank_scores(salted_join(index.postings, _weigh(wanted, weights), ["term"], F.col("chunk_id")), stats, k)
-    local = questions.sparkSession.createDataFrame(asked) if asked.num_rows else wanted
-    weighted = _weigh(F.broadcast(local), weights).toArrow()
-    tokens = chunks.select("chunk_id", index_tokens(F.col("text")).alias("tokens"))
-    hits = tokens.mapInArrow(_keyword_scan(weighted, stats, k), "question_id string, chunk_id string, bm25 double")
-    return top_k(hits, ["question_id"], k, F.col("bm25").desc(), F.col("chunk_id"), rank="kw_rank")
+    if vocabulary is None:
+        vocabulary = stored(build_keyword_index(chunks).vocabulary)
+    tokens = index_tokens(F.col("text"))
+    rows = chunks.select("chunk_id", tokens.alias("tokens")).select("chunk_id", F.size("tokens").cast("long").alias("dl"), "tokens")
+    return _scored(rows, query_terms(questions), vocabulary, k)
 
 
 def bm25_index_hits(index: KeywordIndex, questions: DataFrame, k: int = 16) -> DataFrame:
     """The same from stored index tables: reads only the buckets of the asked terms.
 
-    The better way for few questions with selective terms. The asked terms are
-    broadcast within the bound and joined with a salt beyond it.
+    The better way for few questions with selective terms. The postings of asked terms are gathered by chunk,
+    whatever the number of questions that ask for them, and scored like a scan.
     """
     wanted = query_terms(questions)
-    stats = corpus_stats(index.vocabulary)
-    weighted = _weigh(wanted, term_weights(index.vocabulary, stats))
+    terms = stored(wanted.select("term").distinct())
     postings = index.postings
-    if not fits(wanted):
-        return _rank_scores(salted_join(postings, weighted, ["term"], F.col("chunk_id")), stats, k)
     if index.buckets is not None:
-        used = wanted.select(term_bucket(F.col("term"), index.buckets).alias("b")).distinct().collect()
+        used = terms.select(term_bucket(F.col("term"), index.buckets).alias("b")).distinct().collect()
         postings = postings.where(F.col("bucket").isin([r["b"] for r in used]))
-    return _rank_scores(postings.join(F.broadcast(weighted), "term"), stats, k)
+    held = join_small(postings.select("chunk_id", "dl", "term", "tf"), terms, ["term"], "left_semi", unique=F.col("chunk_id"))
+    tokens = F.flatten(F.transform(F.collect_list(F.struct("term", "tf")), lambda t: F.array_repeat(t["term"], t["tf"].cast("int"))))
+    return _scored(held.groupBy("chunk_id", "dl").agg(tokens.alias("tokens")), wanted, index.vocabulary, k)
 
 
-def _weigh(wanted: DataFrame, weights: DataFrame) -> DataFrame:
-    return weights.join(wanted, "term").select("question_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
+# Share of all postings up to which reading those of the asked terms beats going over the chunks.
+SELECTIVE = 0.05
+
 
+def keyword_hits(chunks: DataFrame, index: KeywordIndex, questions: DataFrame, k: int = 16) -> DataFrame:
+    """From a stored index the way that reads less; both give the same rows."""
+    words = index.vocabulary.where(F.col("term") != TOTALS)
+    asked = words.join(query_terms(questions).select("term").distinct(), "term", "left_semi")
+    share = (asked.agg(F.sum("df")).first()[0] or 0) / (words.agg(F.sum("df")).first()[0] or 1)
+    return bm25_index_hits(index, questions, k) if share <= SELECTIVE else bm25_hits(chunks, questions, k, index.vocabulary)
 
-def _rank_scores(matches: DataFrame, stats: CorpusStats, k: int) -> DataFrame:
-    norm = rules.BM25_K1 * (1 - rules.BM25_B + rules.BM25_B * F.col("dl") / F.lit(stats.avgdl))
-    part = F.col("w") * F.col("tf") * (rules.BM25_K1 + 1) / (F.col("tf") + norm)
-    scored = matches.groupBy("question_id", "chunk_id").agg(rounded(F.sum(part)).alias("bm25"))
-    return top_k(scored.where("bm25 > 0"), ["question_id"], k, F.col("bm25").desc(), F.col("chunk_id"), rank="kw_rank")
+
+def _scored(rows: DataFrame, wanted: DataFrame, vocabulary: DataFrame, k: int) -> DataFrame:
+    """``rows(chunk_id, dl, tokens)`` against the asked terms, in hash blocks of questions with at most
+    ``BROADCAST_ROWS`` terms, one pass over the rows for each block."""
+    stats = corpus_stats(vocabulary)
+    weights = term_weights(vocabulary, stats)
+    blocks = max(1, -(-wanted.count() // BROADCAST_ROWS))
+    hits = None
+    for b in range(blocks):
+        part = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b)
+        asked = part.toArrow()
+        if blocks > 1 and not asked.num_rows:
+            continue
+        local = rows.sparkSession.createDataFrame(asked) if asked.num_rows else part
+        weighted = _weigh(F.broadcast(local), weights).toArrow()
+        found = rows.mapInArrow(_keyword_scan(weighted, stats, k), "question_id string, chunk_id string, bm25 double")
+        hits = found if hits is None else hits.unionByName(found)
+    return top_k(hits, ["question_id"], k, F.col("bm25").desc(), F.col("chunk_id"), rank="kw_rank")
+
+
+def _weigh(wanted: DataFrame, weights: DataFrame) -> DataFrame:
+    return weights.join(wanted, "term").select("question_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
 
 
 class _Best:
@@ -128,7 +140,7 @@ class _Best:
 
 
 def _keyword_scan(weighted: pa.Table, stats: CorpusStats, k: int):
-    """Scoring task over ``(chunk_id, tokens)`` batches; ``weighted`` is (question, term, w).
+    """Scoring task over ``(chunk_id, dl, tokens)`` batches; ``weighted`` is (question, term, w).
 
     Terms asked by many questions are scored as one matrix product, the others
     as (matching chunk, asking question) pairs inside the task.
@@ -156,9 +168,10 @@ def _keyword_scan(weighted: pa.Table, stats: CorpusStats, k: int):
         best = _Best(qids, k)
         for batch in batches:
             ids = np.array(batch.column(0).to_pylist(), dtype=object)
-            length = batch.column(1).value_lengths().to_numpy()
-            code = pc.fill_null(pc.index_in(batch.column(1).flatten(), terms), -1).to_numpy()
-            row = np.repeat(np.arange(len(ids)), length)[code >= 0]
+            length = batch.column(1).to_numpy()
+            held = batch.column(2)
+            code = pc.fill_null(pc.index_in(held.flatten(), terms), -1).to_numpy()
+            row = np.repeat(np.arange(len(ids)), held.value_lengths().to_numpy())[code >= 0]
             cell, tf = np.unique(row * nt + code[code >= 0], return_counts=True)
             row, code = cell // nt, cell % nt
             factor = tf * (rules.BM25_K1 + 1) / (tf + base + slope * length[row])
@@ -291,11 +304,10 @@ def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 5, candidate_k: i
     document -> top ``k``. With a ``track`` column, clinical questions prefer
     evidence levels and nutrition questions prefer topic tags. ``compat`` cuts
     to ``k`` before the document step, so that fewer than ``k`` may come back.
-    Stored ``vectors`` and ``keyword_index`` tables are used where given; the
-    index is the better way for few questions, the scan for many.
+    Stored ``vectors`` and ``keyword_index`` tables are used where given.
     """
     if keyword_index is not None:
-        kw = bm25_index_hits(keyword_index, questions, candidate_k)
+        kw = keyword_hits(chunks, keyword_index, questions, candidate_k)
     else:
         kw = bm25_hits(chunks, questions, candidate_k)
     vec = vector_text_hits(chunks, questions, candidate_k, embed, vectors) if use_vector else None

@@ -38,7 +38,8 @@ def _(spark, sf):
 
     merged = curate.merge_first_wins(curate.union_sources(
         source("documents", "doc_id", "text"), source("benchmark", "item_id", "text"), source("pages", "page_id", "html")))
-    return merged.select("doc_id", "ord", F.length("text").alias("n_chars"))
+    number = F.col("ord.source") * F.lit(1 << 58) + F.col("ord.row")
+    return merged.select("doc_id", number.alias("ord"), F.length("text").alias("n_chars"))
 
 
 @query("dedupe_keys", f"""

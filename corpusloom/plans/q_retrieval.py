@@ -7,6 +7,7 @@ from corpusloom.functions.text import search_tokens
 from corpusloom.operators import index, retrieve
 from corpusloom.operators.common import join_small, new_folder, stored, top_k
 from corpusloom.plans.corpus import CHUNKS, DOCS, QUESTIONS, REF_YEAR, chunks, docs, questions, table
+from corpusloom.plans import build
 from corpusloom.plans.q_chunks import vectors_sql
 from corpusloom.plans.registry import query
 
@@ -182,6 +183,27 @@ def _(spark, sf):
     return retrieve.retrieve(stored(chunks(spark, sf)), questions(spark, sf), 5).select(*_HIT_OUT)
 
 
+def write_search_tables(spark, sf, out: str) -> None:
+    """Chunks, vectors and keyword index of the documents, as ``build_corpus`` leaves them."""
+    chunks(spark, sf).write.parquet(f"{out}/chunks")
+    build.write_search_tables(spark.read.parquet(f"{out}/chunks"), out)
+
+
+def search_tables(spark, out: str) -> tuple:
+    """(chunks, options of ``retrieve`` and ``ask_batch``) of stored tables."""
+    return spark.read.parquet(f"{out}/chunks"), {"vectors": spark.read.parquet(f"{out}/vectors"),
+                                                "keyword_index": index.KeywordIndex.read(spark, f"{out}/keyword_index")}
+
+
+@query("hybrid_topk_stored", f"WITH RECURSIVE {CHUNKS}, {hybrid_sql(5)} SELECT {_HIT_SQL} FROM hits")
+def _(spark, sf):
+    """The same from stored tables, which are written here first."""
+    out = new_folder(spark)
+    write_search_tables(spark, sf, out)
+    stored_chunks, options = search_tables(spark, out)
+    return retrieve.retrieve(stored_chunks, questions(spark, sf), 5, **options).select(*_HIT_OUT)
+
+
 @query("hybrid_topk_compat", f"WITH RECURSIVE {CHUNKS}, {hybrid_sql(5, True)} SELECT {_HIT_SQL} FROM hits")
 def _(spark, sf):
     return retrieve.retrieve(stored(chunks(spark, sf)), questions(spark, sf), 5, compat=True).select(*_HIT_OUT)

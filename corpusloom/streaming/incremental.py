@@ -13,7 +13,7 @@ from corpusloom.operators.chunk import docs_to_chunks
 from corpusloom.operators.common import first_per_key
 from corpusloom.operators.index import storable
 from corpusloom.schemas import CHUNK, CHUNK_FIELDS, DOC
-from corpusloom.sources.files import path_exists, scan_position
+from corpusloom.sources.files import path_exists
 
 BUCKETS = 64
 
@@ -59,11 +59,13 @@ def stream_documents(spark: SparkSession, landing: str, path: str, checkpoint: s
                      buckets: int = BUCKETS) -> StreamingQuery:
     """Keep the chunk table up to date with JSON-line documents landing in ``landing``."""
     arrivals = spark.readStream.schema(DOC).json(landing).withColumns({
-        "landed": F.col("_metadata.file_modification_time"), "pos": scan_position()})
+        "landed": F.col("_metadata.file_modification_time"), "_file": F.col("_metadata.file_path"),
+        "_block": F.col("_metadata.file_block_start")})
 
     def body(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            apply_documents(batch, path, f"{checkpoint}/staging/{batch_id}", buckets)
+            place = F.struct("_file", "_block", F.monotonically_increasing_id().alias("row"))
+            apply_documents(batch.withColumn("pos", place).drop("_file", "_block"), path, f"{checkpoint}/staging/{batch_id}", buckets)
 
     return (arrivals.writeStream.foreachBatch(body).option("checkpointLocation", f"{checkpoint}/state")
             .trigger(availableNow=True).start())
