@@ -227,7 +227,6 @@ CITED_PREFIXES = ["pmid:", "nct:", "local:", "epmc:", "wiki:"]
 LITERATURE_SKIP_WORDS = ["RAG", "RAGAS", "MMR", "BM25", "RRF", "arXiv", "LLMWiki", "Karpathy"]
 LITERATURE_HEADER = "| 证据角色"
 LITERATURE_CONTEXT_WORD = "文献"
-LITERATURE_DEFAULT_CONTEXT = "D1PM 课件配套文献（已核实 PMID/DOI）"
 LITERATURE_TEXT_PREFIX = "文献出处："
 CURATED_EXTRA_KEYS = ["source_type", "evidence_role", "authors", "pmcid", "nct", "abstract_en"]
 OCR_PAGE_MARK = r"^===== 第\d+页 =====$"
@@ -265,6 +264,9 @@ EMBED_DIM = 384
 # End of fixed values.
 # --------------------------------------------------------------------------
 
+# Context of a literature table that names none; ours, a parameter of the reader.
+LITERATURE_DEFAULT_CONTEXT = "文献表"
+
 # Routing words of `detect_track`; ours, the behaviour is only declared upstream.
 NUTRITION_TRACK_WORDS = ["饮食", "吃", "营养", "食物", "diet", "food", "nutrition", "salt", "sugar"]
 RECENCY_WORDS = ["最新", "近期", "latest", "recent", "new"]

@@ -251,3 +251,12 @@ def ordered_unique(ids: DataFrame, key: str = "id", order: str = "pos") -> DataF
     """First position of every id. A hash aggregate with map-side combine, no sort."""
     return ids.groupBy(key).agg(F.min(order).alias(order))
 
+
+def outside_lists(docs: DataFrame, sources=rules.SOURCE_NAMES, levels=rules.EVIDENCE_LEVELS) -> DataFrame:
+    """``doc_id, field, value`` of every source and evidence level that is not in its closed list; null counts as not."""
+    def bad(name: str, known: list[str]) -> Column:
+        value = F.col(name)
+        return F.when(~F.coalesce(value.isin(known), F.lit(False)), F.struct(F.lit(name).alias("field"), value.alias("value")))
+
+    found = F.array_compact(F.array(bad("source", sources), bad("evidence_level", levels)))
+    return docs.select("doc_id", F.explode(found).alias("b")).select("doc_id", "b.field", "b.value")

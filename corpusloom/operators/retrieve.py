@@ -289,6 +289,11 @@ def fuse(vec: DataFrame | None, kw: DataFrame, k: int = 0) -> DataFrame:
         F.max("bm25").alias("bm25"), F.max("distance").alias("distance"))
 
 
+def reciprocal_rank(vec: DataFrame | None, kw: DataFrame, k: int = rules.RRF_K) -> DataFrame:
+    """Reciprocal rank fusion: `fuse` with the usual constant."""
+    return fuse(vec, kw, k)
+
+
 def best_chunk_per_doc(hits: DataFrame, rank: str = "rank") -> DataFrame:
     return top_k(hits, ["question_id", "doc_id"], 1, F.col(rank), rank="_best").drop("_best")
 

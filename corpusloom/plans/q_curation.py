@@ -241,3 +241,17 @@ UNION ALL SELECT '| source | ' || source || ' | ' || n || ' | '
 def _(spark, sf):
     d = report.distribution(docs(spark, sf), F.col("source")).withColumn("section", F.lit("source"))
     return report.report_markdown(d, "Corpus", "2025-01-01")
+
+
+@query("outside_lists", f"""
+WITH {DOCS}, d AS (SELECT doc_id, CASE WHEN n_chars % 5 = 0 THEN lang WHEN n_chars % 7 = 0 THEN NULL ELSE source END AS source,
+  CASE WHEN n_chars % 3 = 0 THEN 'none' ELSE evidence_level END AS evidence_level FROM docs)
+SELECT doc_id, 'source' AS field, source AS value FROM d WHERE source IS NULL OR source NOT IN ('pubmed', 'clinicaltrials', 'europepmc', 'local', 'wiki')
+UNION ALL SELECT doc_id, 'evidence_level', evidence_level FROM d
+  WHERE evidence_level NOT IN ('rct', 'meta', 'guideline', 'observational', 'ebook', 'wiki', 'other')""")
+def _(spark, sf):
+    n = F.col("n_chars")
+    d = docs(spark, sf).withColumns({
+        "source": F.when(n % 5 == 0, F.col("lang")).when(n % 7 != 0, F.col("source")),
+        "evidence_level": F.when(n % 3 == 0, "none").otherwise(F.col("evidence_level"))})
+    return curate.outside_lists(d)

@@ -6,6 +6,7 @@ as many records as the tables have rows.
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import rules
 from corpusloom.functions.text import strip
 from corpusloom.operators import curate, topics, verify
 from corpusloom.operators.common import new_folder
@@ -217,7 +218,7 @@ _LIT = f"""lit AS (SELECT doc_id, lang, '| ' || regexp_replace(text, '[|*\\n]',
 WITH {_LIT} SELECT 'f' || doc_id AS file, 3::BIGINT AS pos, line, lang AS context FROM lit
 UNION ALL SELECT 'f' || doc_id, 4, '| again | [Jones et al.](http://x) | ' || (doc_id + 1000000) || ' |', lang FROM lit
 UNION ALL SELECT 'f' || doc_id, 5, '| BM25 note | ' || (doc_id + 2000000) || ' |', lang FROM lit
-UNION ALL SELECT 'f' || doc_id, 1, '| ' || lang || ' | 文献 |', 'D1PM 课件配套文献（已核实 PMID/DOI）' FROM lit""")
+UNION ALL SELECT 'f' || doc_id, 1, '| ' || lang || ' | 文献 |', '{rules.LITERATURE_DEFAULT_CONTEXT}' FROM lit""")
 def _(spark, sf):
     return markdown.literature_rows(_table_files(spark, sf)).select("file", F.col("at").alias("pos"), "line", "context")
 

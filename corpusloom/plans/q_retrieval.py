@@ -216,7 +216,7 @@ SELECT question_id, chunk_id, round(fused, 9) AS score, vec_rank, kw_rank,
 FROM fused QUALIFY rank <= 10""")
 def _(spark, sf):
     c, q = _doc_chunks(spark, sf), questions(spark, sf)
-    fused = retrieve.fuse(retrieve.vector_text_hits(c, q, 16), retrieve.bm25_hits(c, q, 16), k=60)
+    fused = retrieve.reciprocal_rank(retrieve.vector_text_hits(c, q, 16), retrieve.bm25_hits(c, q, 16))
     rows = fused.select("question_id", "chunk_id", F.round("score", 9).alias("score"), "vec_rank", "kw_rank")
     return top_k(rows, ["question_id"], 10, F.col("score").desc(), F.col("chunk_id"))
 

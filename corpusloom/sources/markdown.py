@@ -141,9 +141,9 @@ _START = r"(?<![\p{L}\p{N}_])"
 _STOP = r"(?![\p{L}\p{N}_])"
 
 
-def literature_docs(files: DataFrame) -> DataFrame:
+def literature_docs(files: DataFrame, default_context: str = rules.LITERATURE_DEFAULT_CONTEXT) -> DataFrame:
     """Literature tables -> documents; the first row of each article in a file wins."""
-    rows = literature_rows(files).withColumn("cells", _cells(F.col("line")))
+    rows = literature_rows(files, default_context).withColumn("cells", _cells(F.col("line")))
     joined = F.array_join("cells", " ")
     rows = rows.withColumn("joined", joined).withColumn(
         "pmid", F.regexp_extract("joined", rf"{_START}([0-9]{{7,8}}){_STOP}", 1))

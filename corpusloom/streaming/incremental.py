@@ -31,6 +31,14 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TABLE).parquet(path)
 
 
+def table_buckets(spark: SparkSession, path: str, wanted: int = BUCKETS) -> int:
+    """Number of buckets of the table at ``path``; it is stored beside the table when that is first written."""
+    layout = f"{path.rstrip('/')}_layout"
+    if not path_exists(spark, layout):
+        spark.createDataFrame([(wanted,)], "buckets int").coalesce(1).write.parquet(layout)
+    return spark.read.schema("buckets int").parquet(layout).first()[0]
+
+
 def apply_documents(docs: DataFrame, path: str, staging: str, buckets: int = BUCKETS) -> None:
     """Replace the chunks of every document in ``docs`` in the table at ``path``.
 
@@ -38,9 +46,10 @@ def apply_documents(docs: DataFrame, path: str, staging: str, buckets: int = BUC
     title chunk. Within a batch the last arrival of a document wins, in one file the last place. The new
     buckets are written to ``staging`` (shared storage) first, because a job
     cannot overwrite the files it reads, and then moved in by dynamic partition
-    overwrite.
+    overwrite. ``buckets`` counts for a new table only; choose it so that a bucket of the full table has about 1 GB.
     """
     spark = docs.sparkSession
+    buckets = table_buckets(spark, path, buckets)
     newest = first_per_key(docs, ["doc_id"], *[F.col(c).desc() for c in ("landed", "pos") if c in docs.columns]) if (
         "landed" in docs.columns) else docs
     fresh = storable(docs_to_chunks(newest, merge_below=rules.CHUNK_MIN_CHARS)).withColumn(
@@ -50,8 +59,9 @@ def apply_documents(docs: DataFrame, path: str, staging: str, buckets: int = BUC
     kept = old.join(newest.select("doc_id"), "doc_id", "left_anti")
     columns = [*CHUNK_FIELDS, "bucket"]
     merged = kept.select(*columns).unionByName(fresh.select(*columns))
-    merged.write.mode("overwrite").partitionBy("bucket").parquet(staging)
-    (spark.read.schema(TABLE).parquet(staging)
+    # One task, and so one file, for each bucket.
+    merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(staging)
+    (spark.read.schema(TABLE).parquet(staging).repartition("bucket")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
 
 

@@ -215,6 +215,8 @@ def test_stream_replaces_documents(spark, tmp_path):
     first = incremental.read_chunks(spark, table)
     before = first.count()
     assert first.select("doc_id").distinct().count() == 6
+    assert incremental.table_buckets(spark, table, 99) == 4
+    assert all(len(list(d.glob("*.parquet"))) == 1 for d in (tmp_path / "table").glob("bucket=*"))
     land(2, "new ")
     run()
     second = incremental.read_chunks(spark, table)
