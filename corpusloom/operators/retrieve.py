@@ -98,8 +98,16 @@ def _scored(rows: DataFrame, wanted: DataFrame, vocabulary: DataFrame, k: int) -
         local = rows.sparkSession.createDataFrame(asked) if asked.num_rows else part
         weighted = _weigh(F.broadcast(local), weights).toArrow()
         found = rows.mapInArrow(_keyword_scan(weighted, stats, k), "question_id string, chunk_id string, bm25 double")
-        hits = found if hits is None else hits.unionByName(found)
-    return top_k(hits, ["question_id"], k, F.col("bm25").desc(), F.col("chunk_id"), rank="kw_rank")
+        best = top_k(found, ["question_id"], k, F.col("bm25").desc(), F.col("chunk_id"), rank="kw_rank")
+        hits = _block_done(hits, best, blocks)
+    return hits
+
+
+def _block_done(before: DataFrame | None, best: DataFrame, blocks: int) -> DataFrame:
+    """Add the final rows of one block of questions. With several, each is stored as it is done, so that neither plan nor
+    driver holds more than one block."""
+    best = best if blocks == 1 else stored(best)
+    return best if before is None else before.unionByName(best)
 
 
 def _weigh(wanted: DataFrame, weights: DataFrame) -> DataFrame:
@@ -253,10 +261,11 @@ def vector_hits(corpus: DataFrame, questions: DataFrame, k: int = 16, block: int
         hits = corpus.where("vector is not null").select("chunk_id", "vector").mapInArrow(
             _nearest(rows.column("question_id").to_pylist(), matrix, k),
             "question_id string, chunk_id string, distance double")
-        out = hits if out is None else out.unionByName(hits)
+        best = top_k(hits, ["question_id"], k, F.col("distance"), F.col("chunk_id"), rank="vec_rank")
+        out = _block_done(out, best, blocks)
     if out is None:
-        out = corpus.sparkSession.createDataFrame([], "question_id string, chunk_id string, distance double")
-    return top_k(out, ["question_id"], k, F.col("distance"), F.col("chunk_id"), rank="vec_rank")
+        out = corpus.sparkSession.createDataFrame([], "question_id string, chunk_id string, distance double, vec_rank int")
+    return out
 
 
 def vector_table(chunks: DataFrame, embed=None) -> DataFrame:
