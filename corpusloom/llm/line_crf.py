@@ -23,8 +23,8 @@ from pyspark.sql.functions import arrow_udf
 
 from corpusloom.llm.base import id_and_text, texts
 
-TRAIN_DOCS = 6000
-TRAIN_LINES = 2000
+TRAIN_DOCS = 4000
+TRAIN_LINES = 300
 STEPS = 300
 RATE = 0.05
 PENALTY = 1e-3
@@ -137,12 +137,15 @@ def fit(features: np.ndarray, sizes: np.ndarray, good: np.ndarray, steps: int =
     return Model(theta[:k], theta[k:].reshape(2, 2))
 
 
-def _features(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all lines of some texts, lines of each, and lengths of the lines in bytes, plus one."""
+def _own_features(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Own features of all lines of some texts, lines of each, and lengths of the lines in bytes, plus one."""
     lines = [split_lines(t) for t in raw]
-    sizes = np.array([len(x) for x in lines])
     own = np.concatenate([line_features(x) for x in lines])
-    weight = np.array([len(line) + 1.0 for x in lines for line in x])
+    return own, np.array([len(x) for x in lines]), np.array([len(line) + 1.0 for x in lines for line in x])
+
+
+def _features(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    own, sizes, weight = _own_features(raw)
     return with_neighbours(own, np.cumsum(sizes) - sizes), sizes, weight
 
 
@@ -151,7 +154,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> Model | None:
-    """Model from a bounded sample of labelled documents; None without labels of both kinds."""
+    """Model from a bounded sample of labelled documents; None without labels of both kinds.
+
+    What reaches the driver are the lines' own features, at most ``train_docs * train_lines`` rows of 60 bytes.
+    """
     picked = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
               .where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
               .groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -161,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, trai
         for batch in batches:
             raw = list(texts(batch.column(1)))
             if raw:
-                rows, sizes, _ = _features(raw)
+                rows, sizes, _ = _own_features(raw)
                 cuts = np.cumsum(sizes)[:-1]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column(0), "quality": batch.column(2),
@@ -173,8 +179,9 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, trai
     good = np.array([r.quality > 0 for r in got])
     if not len(got) or good.all() or not good.any():
         return None
-    rows = [np.frombuffer(r.rows, "<f4").reshape(-1, 3 * _OWN) for r in got]
-    return fit(np.concatenate(rows).astype(float), np.array([len(r) for r in rows]), good)
+    rows = [np.frombuffer(r.rows, "<f4").reshape(-1, _OWN) for r in got]
+    sizes = np.array([len(r) for r in rows])
+    return fit(with_neighbours(np.concatenate(rows), np.cumsum(sizes) - sizes).astype(float), sizes, good)
 
 
 def scorer(model: Model | None):
