@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusloom.llm import components, exact_dedup, simhash, substring_dedup
+from corpusloom.llm import components, exact_dedup, near_copies, simhash, substring_dedup
 
 WHITE = re.compile(r"[\x20\x09-\x0D]")
 
@@ -231,3 +231,54 @@ def test_kept_text(table_of):
     passage = prose(rng, 60)
     got = {r.doc_id: r.kept for r in substring_dedup.remove_repeats(table_of([(1, passage), (2, "x " + passage + " y")]), with_text=True).collect()}
     assert got == {1: passage, 2: "x y"}
+
+
+# Near copies of the pipeline's stage
+
+def five_words(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def similar(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def changed(rng, words, n):
+    out = list(words)
+    for i in rng.sample(range(len(out)), n):
+        out[i] = prose(rng, 1) + "x"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("bucket,pivots", [(64, 64), (4, 2)])
+def test_near_copies_at_four_fifths(table_of, monkeypatch, bucket, pivots):
+    """Pairs around the bound, a chain, and a dense group; every link of a brute-force comparison is there."""
+    monkeypatch.setattr(near_copies, "BUCKET", bucket)
+    monkeypatch.setattr(near_copies, "PIVOTS", pivots)
+    rng = random.Random(5)
+    bodies = []
+    for n in (1, 2, 3, 4, 5, 6, 7, 8) * 5:
+        base = prose(rng, 200).split()
+        bodies += [" ".join(base), changed(rng, base, n)]
+    chain = prose(rng, 300)
+    for _ in range(6):
+        chain = changed(rng, chain.split(), 4)
+        bodies.append(chain)
+    centre = prose(rng, 150).split()
+    bodies += [changed(rng, centre, rng.randint(1, 4)) for _ in range(90)] + [" ".join(prose(rng, k).split()) for k in (1, 2, 4, 5)]
+    bodies += ["", None, " \n", bodies[0].upper()]
+    rng.shuffle(bodies)
+    sets = [five_words(t) for t in bodies]
+    root = list(range(len(bodies)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+    for i in range(len(bodies)):
+        for j in range(i):
+            if similar(sets[i], sets[j]) and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    kept = [r.doc_id for r in near_copies.keep_one(table_of(enumerate(bodies))).collect()]
+    assert sorted(kept) == sorted({find(i) for i in range(len(bodies))})
