@@ -62,6 +62,25 @@ def test_full_texts_and_near_misses():
     assert labels("GNU General Public License version 3") == {"gpl", "gpl-3.0"}
 
 
+@pytest.mark.parametrize("n", [1, 24, 25, 400])
+def test_open_regions_have_no_length_bound(n):
+    scanner, names = license_scan.Scanner(), " ".join(f"holder{i}" for i in range(n))
+    def found(label):
+        """The one template of a label with its open regions filled with ``names``."""
+        markup = max((m for x, m in license_scan.TEMPLATES if x == label), key=len)
+        text = re.sub(r"<<(beginOptional|endOptional)>>", " ", re.sub(r'<<var;(?:(?!>>).)*match="[^"]*\.\+">>', f" copyright {names} ", markup))
+        words = [w.encode() for w in words_of("x " + text + " y")]
+        return len(words), [(a, b) for x, _, a, b in scanner.matches(words) if x == label]
+    for label in ("mit", "bsd-2-clause", "bsd-3-clause"):
+        size, spans = found(label)
+        assert (1, size - 1) in spans
+    a = license_scan.compile_template("x", 'by <<var;name="w";original="me";match=".+">> as is')
+    words = f"by {names} as x as is later as is".encode().split()
+    assert a.end(words, 0) == n + 5 and a.end(b"by as is".split(), 0) is None
+    b = license_scan.compile_template("x", 'v <<var;name="w";original="4 0";match="[0-9]( [0-9])?">>')
+    assert b.end(b"v 4 0 1 2".split(), 0) == 3
+
+
 def test_scan_against_brute_force(tricky, no_docs, table_of):
     texts = [r.text for r in tricky.collect()] + ["mit license mit license apache license", "General Public\nLicense, general-public-license",
              "éMIT License", "mit licenses", "MIT License " * 50]
