@@ -4,7 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontaminate, exact_dedup, license_scan, line_crf, masked_lm, packing, sharding, simhash, substring_dedup, warc
+from corpusloom.llm import (
+    decontaminate, exact_dedup, license_scan, line_crf, masked_lm, packing, periodic_runs, sharding, simhash, substring_dedup, warc,
+)
 from corpusloom.llm.base import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +134,8 @@ def op5_line_crf(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op6_masked_lm(spark: SparkSession, sf: str) -> DataFrame:
     return masked_lm.pseudo_likelihood(table(spark, sf, "documents"))
+
+
+@query
+def op13_factor_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.planted(table(spark, sf, "documents")))
