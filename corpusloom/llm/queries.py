@@ -5,7 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import (
-    decontaminate, exact_dedup, license_scan, line_crf, masked_lm, packing, periodic_runs, sharding, simhash, substring_dedup, warc,
+    decontaminate, exact_dedup, license_scan, line_crf, masked_lm, nearest_toxic, packing, periodic_runs, prefix_trie, sharding,
+    simhash, substring_dedup, warc,
 )
 from corpusloom.llm.base import new_folder
 
@@ -136,6 +137,46 @@ def op6_masked_lm(spark: SparkSession, sf: str) -> DataFrame:
     return masked_lm.pseudo_likelihood(table(spark, sf, "documents"))
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.nodes(table(spark, sf, "conversations"), prefix_trie.by_checksum)
+
+
+# The CRC-32 of a decimal number, bit by bit.
+SQL["op11_prefix_trie"] = """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha) AS i, sha, size FROM (
+               SELECT conv_id, turn, strlen(coalesce(text, '')) AS size,
+                      left(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 32) AS sha
+               FROM conversations WHERE conv_id IS NOT NULL)),
+c0 AS (SELECT conv_id, count(*) AS n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+           string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda crc, byte: list_reduce(
+               [xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+               lambda a, b: xor(a >> 1, (a & 1) * 3988292384))), 4294967295::BIGINT) % 9 AS h
+       FROM t GROUP BY conv_id),
+c AS (SELECT a.conv_id, a.h, a.conv_id - a.conv_id % 5 AS base, least(a.h, coalesce(b.n, 0)) AS m
+      FROM c0 a LEFT JOIN c0 b ON b.conv_id = a.conv_id - a.conv_id % 5),
+r AS (SELECT c.conv_id, t.i AS j, sha, size FROM c JOIN t ON t.conv_id = base WHERE t.i <= h
+      UNION ALL SELECT c.conv_id, m + t.i - h, sha, size FROM c JOIN t ON t.conv_id = c.conv_id WHERE t.i > h),
+p AS (SELECT conv_id, 0 AS d, '' AS k, 0 AS size FROM c
+      UNION ALL SELECT conv_id, j, string_agg(sha, '') OVER (PARTITION BY conv_id ORDER BY j), size FROM r),
+l AS (SELECT conv_id, max(d) AS d FROM p GROUP BY conv_id),
+n AS (SELECT p.d, k, min(p.conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+             sha256(coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (WHERE p.d = l.d), '')) AS ends_sha256
+      FROM p JOIN l USING (conv_id) GROUP BY p.d, k),
+kids AS (SELECT d - 1 AS d, left(k, 32 * (d - 1)) AS k, count(*) AS n FROM n WHERE d > 0 GROUP BY ALL),
+up AS (SELECT unnest(range(0, n.d + 1)) AS d, n.k, n_convs, size, kids.n IS NULL AS leaf FROM n LEFT JOIN kids USING (d, k)),
+sums AS (SELECT d, left(k, 32 * d) AS k, count(*) FILTER (WHERE leaf) AS n_leaves, sum((n_convs - 1) * size)::BIGINT AS saved_tokens
+         FROM up GROUP BY ALL)
+SELECT n.conv_id, n.d::BIGINT AS depth, above.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children, n_leaves,
+       saved_tokens, n.ends_sha256
+FROM n JOIN sums USING (d, k) LEFT JOIN kids USING (d, k) LEFT JOIN n above ON above.d = n.d - 1 AND above.k = left(n.k, 32 * (n.d - 1))"""
+
+
+@query
+def op12_nearest_toxic(spark: SparkSession, sf: str) -> DataFrame:
+    return nearest_toxic.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query
 def op13_factor_runs(spark: SparkSession, sf: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.planted(table(spark, sf, "documents")))
