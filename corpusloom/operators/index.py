@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusloom.functions import rules
 from corpusloom.functions.text import index_tokens
+from corpusloom.operators.common import first_per_key
 from corpusloom.schemas import CHUNK_FIELDS
 
 
@@ -69,19 +70,38 @@ def build_keyword_index(chunks: DataFrame) -> KeywordIndex:
     Terms are counted inside the row, so postings are not shuffled before they are stored. The vocabulary
     explodes each row's distinct tokens, so its shuffle is one row per term and task.
     """
-    tokens = chunks.select("chunk_id", F.array_sort(index_tokens(F.col("text"))).alias("tokens"))
+    tokens = chunks.select(index_tokens(F.col("text")).alias("tokens")).select(
+        F.size("tokens").cast("long").alias("dl"), F.array_distinct("tokens").alias("terms"))
+    return KeywordIndex(postings_of(forward_index(chunks.select("chunk_id", "text"))), vocabulary_of(tokens))
+
+
+def forward_index(chunks: DataFrame) -> DataFrame:
+    """``dl, terms, counts`` in place of ``text``: token count, distinct terms in order and how often each occurs.
+
+    Stored beside the index, it tells what a chunk holds without its text being tokenised again.
+    """
+    tokens = chunks.select("*", F.array_sort(index_tokens(F.col("text"))).alias("tokens"))
     dl = F.size("tokens").cast("long").alias("dl")
-    starts = tokens.select("chunk_id", dl, "tokens", F.filter(F.transform("tokens", lambda t, i: F.when(
+    starts = tokens.select("*", dl, F.filter(F.transform("tokens", lambda t, i: F.when(
         (i == 0) | (F.get("tokens", i - 1) != t), i)), lambda i: i.isNotNull()).alias("starts"))
-    counted = F.transform("starts", lambda at, k: F.struct(
-        F.get("tokens", at).alias("term"), (F.coalesce(F.get("starts", k + 1), F.size("tokens")) - at).cast("long").alias("tf")))
+    return starts.select(
+        *[c for c in chunks.columns if c != "text"], "dl", F.transform("starts", lambda at: F.get("tokens", at)).alias("terms"),
+        F.transform("starts", lambda at, k: (F.coalesce(F.get("starts", k + 1), F.size("tokens")) - at).cast("long")).alias("counts"))
+
+
+def postings_of(forward: DataFrame) -> DataFrame:
+    """``chunk_id, dl, term, tf`` of a forward index."""
     # Outer explodes: the arrays are never empty, and a plain explode would add an
     # emptiness test that runs the tokenizer twice.
-    postings = starts.select("chunk_id", "dl", F.explode_outer(counted).alias("p")).select("chunk_id", "dl", "p.term", "p.tf")
-    terms = F.concat(F.array(F.lit(TOTALS)), F.array_distinct("tokens"))
-    vocabulary = tokens.select(dl, F.explode_outer(terms).alias("term")).groupBy("term").agg(
+    return forward.select("chunk_id", "dl", F.explode_outer(F.arrays_zip(F.col("terms"), F.col("counts"))).alias("p")).select(
+        "chunk_id", "dl", F.col("p.terms").alias("term"), F.col("p.counts").alias("tf"))
+
+
+def vocabulary_of(forward: DataFrame) -> DataFrame:
+    """``term, df, length`` of a forward index, with the row of totals."""
+    terms = F.concat(F.array(F.lit(TOTALS)), "terms")
+    return forward.select("dl", F.explode_outer(terms).alias("term")).groupBy("term").agg(
         F.count("*").alias("df"), F.sum("dl").alias("length"))
-    return KeywordIndex(postings, vocabulary)
 
 
 def corpus_stats(vocabulary: DataFrame) -> CorpusStats:
@@ -100,13 +120,24 @@ def term_weights(vocabulary: DataFrame, stats: CorpusStats) -> DataFrame:
         raw < 0, F.lit(stats.mean_idf * rules.BM25_EPSILON)).otherwise(raw).alias("idf"))
 
 
+def filter_years(items: DataFrame, year_from: int | None = None, year_to: int | None = None) -> DataFrame:
+    """Inclusive; with a bound set, rows without a year are dropped."""
+    if year_from is not None:
+        items = items.where(F.col("year") >= year_from)
+    if year_to is not None:
+        items = items.where(F.col("year") <= year_to)
+    return items
+
+
 def storable(chunks: DataFrame) -> DataFrame:
     return chunks.select(*CHUNK_FIELDS)
 
 
-def upsert(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """New rows replace rows of the same ``chunk_id``."""
-    return existing.join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(storable(new))
+def upsert(existing: DataFrame, new: DataFrame, *order: Column) -> DataFrame:
+    """New rows replace rows of the same ``chunk_id``. Of several new ones the last by ``order`` stays, in a full tie any one of
+    the equal rows; without an order the row with the greatest hash, so that a rerun keeps the same."""
+    last = first_per_key(new, ["chunk_id"], *[o.desc() for o in order], row_hash().desc())
+    return existing.join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(storable(last))
 
 
 def row_hash() -> Column:

@@ -1,73 +1,36 @@
-"""Chunk table upkeep as documents land: a file stream with a batch body.
+"""Search store upkeep as documents land: a file stream with a batch body.
 
-The table is stored in hash buckets of ``doc_id``. A micro-batch reads and
-rewrites only the buckets of its own documents. Running a batch twice gives the
-same table, so a restarted stream may repeat its last batch.
+Chunks, vectors and keyword index change together, one segment a batch (``operators.search_store``). The store remembers the last
+batch of every stream, so a restarted stream may repeat its last batch.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusloom.functions import rules
-from corpusloom.operators.chunk import docs_to_chunks
+from corpusloom.operators import search_store
 from corpusloom.operators.common import first_per_key
-from corpusloom.operators.index import storable
-from corpusloom.schemas import CHUNK, CHUNK_FIELDS, DOC
-from corpusloom.sources.files import path_exists
-
-BUCKETS = 64
-
-
-def bucket_of(doc_id: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(buckets)).cast("int")
-
-
-TABLE = T.StructType([*CHUNK.fields, T.StructField("bucket", T.IntegerType())])
+from corpusloom.operators.search_store import BUCKETS
+from corpusloom.schemas import DOC
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], TABLE)
-    return spark.read.schema(TABLE).parquet(path)
-
+    return search_store.snapshot(spark, path).chunks
 
-def table_buckets(spark: SparkSession, path: str, wanted: int = BUCKETS) -> int:
-    """Number of buckets of the table at ``path``; it is stored beside the table when that is first written."""
-    layout = f"{path.rstrip('/')}_layout"
-    if not path_exists(spark, layout):
-        spark.createDataFrame([(wanted,)], "buckets int").coalesce(1).write.parquet(layout)
-    return spark.read.schema("buckets int").parquet(layout).first()[0]
 
+def newest(docs: DataFrame) -> DataFrame:
+    """One row per document: the last arrival wins, in one file the last place."""
+    return first_per_key(docs, ["doc_id"], *[F.col(c).desc() for c in ("landed", "pos") if c in docs.columns], F.xxhash64("title", "text"))
 
-def apply_documents(docs: DataFrame, path: str, staging: str, buckets: int = BUCKETS) -> None:
-    """Replace the chunks of every document in ``docs`` in the table at ``path``.
 
-    A document without chunks left cannot occur: a document with no text has its
-    title chunk. Within a batch the last arrival of a document wins, in one file the last place. The new
-    buckets are written to ``staging`` (shared storage) first, because a job
-    cannot overwrite the files it reads, and then moved in by dynamic partition
-    overwrite. ``buckets`` counts for a new table only; choose it so that a bucket of the full table has about 1 GB.
-    """
-    spark = docs.sparkSession
-    buckets = table_buckets(spark, path, buckets)
-    newest = first_per_key(docs, ["doc_id"], *[F.col(c).desc() for c in ("landed", "pos") if c in docs.columns]) if (
-        "landed" in docs.columns) else docs
-    fresh = storable(docs_to_chunks(newest, merge_below=rules.CHUNK_MIN_CHARS)).withColumn(
-        "bucket", bucket_of(F.col("doc_id"), buckets))
-    touched = [r[0] for r in docs.select(bucket_of(F.col("doc_id"), buckets)).distinct().collect()]
-    old = read_chunks(spark, path).where(F.col("bucket").isin(touched))
-    kept = old.join(newest.select("doc_id"), "doc_id", "left_anti")
-    columns = [*CHUNK_FIELDS, "bucket"]
-    merged = kept.select(*columns).unionByName(fresh.select(*columns))
-    # One task, and so one file, for each bucket.
-    merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(staging)
-    (spark.read.schema(TABLE).parquet(staging).repartition("bucket")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+def apply_documents(docs: DataFrame, path: str, buckets: int = BUCKETS, batch: tuple[str, int] | None = None, embed=None) -> int:
+    """Replace the chunks, vectors and postings of every document in ``docs``; returns the version."""
+    return search_store.apply_documents(docs.sparkSession, path, newest(docs), embed=embed, batch=batch, buckets=buckets)
 
 
-def stream_documents(spark: SparkSession, landing: str, path: str, checkpoint: str,
-                     buckets: int = BUCKETS) -> StreamingQuery:
-    """Keep the chunk table up to date with JSON-line documents landing in ``landing``."""
+def stream_documents(spark: SparkSession, landing: str, path: str, checkpoint: str, buckets: int = BUCKETS,
+                     embed=None, compact_every: int = 16) -> StreamingQuery:
+    """Keep the search store up to date with JSON-line documents landing in ``landing``; every so many batches the youngest
+    segments are merged."""
     arrivals = spark.readStream.schema(DOC).json(landing).withColumns({
         "landed": F.col("_metadata.file_modification_time"), "_file": F.col("_metadata.file_path"),
         "_block": F.col("_metadata.file_block_start")})
@@ -75,7 +38,9 @@ def stream_documents(spark: SparkSession, landing: str, path: str, checkpoint: s
     def body(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
             place = F.struct("_file", "_block", F.monotonically_increasing_id().alias("row"))
-            apply_documents(batch.withColumn("pos", place).drop("_file", "_block"), path, f"{checkpoint}/staging/{batch_id}", buckets)
+            apply_documents(batch.withColumn("pos", place).drop("_file", "_block"), path, buckets, (checkpoint, batch_id), embed)
+        if compact_every and batch_id % compact_every == compact_every - 1:
+            search_store.compact(batch.sparkSession, path)
 
     return (arrivals.writeStream.foreachBatch(body).option("checkpointLocation", f"{checkpoint}/state")
             .trigger(availableNow=True).start())

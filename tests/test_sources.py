@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import rules
 from corpusloom.functions.pieces import pack_paragraphs
-from corpusloom.operators import chunk, curate, index, topics
+from corpusloom.operators import chunk, curate, index, search_store, topics
 from corpusloom.plans import ask, build
 from corpusloom.schemas import STUDIES
 from corpusloom.sources import curated, files, markdown, payloads
@@ -193,8 +193,8 @@ def test_build_and_ask(spark, tmp_path):
     assert kept[0].where("question_id = 'c1'").count() == 3
     build.write_search_tables(out["chunks"], str(tmp_path / "kb"))
     again = ask.ask_batch(
-        out["chunks"], q, 3, vectors=spark.read.parquet(str(tmp_path / "kb" / "vectors")),
-        keyword_index=index.KeywordIndex.read(spark, str(tmp_path / "kb" / "keyword_index"))).collect()
+        out["chunks"], q, 3, vectors=(now := search_store.snapshot(spark, str(tmp_path / "kb" / "search"))).vectors,
+        keyword_index=now.keyword_index).collect()
     assert {r["question_id"]: r for r in again} == rows
 
 
@@ -215,8 +215,7 @@ def test_stream_replaces_documents(spark, tmp_path):
     first = incremental.read_chunks(spark, table)
     before = first.count()
     assert first.select("doc_id").distinct().count() == 6
-    assert incremental.table_buckets(spark, table, 99) == 4
-    assert all(len(list(d.glob("*.parquet"))) == 1 for d in (tmp_path / "table").glob("bucket=*"))
+    assert search_store.snapshot(spark, table).body["buckets"] == 4
     land(2, "new ")
     run()
     second = incremental.read_chunks(spark, table)
