@@ -22,7 +22,7 @@ TITLE_LEVEL_RULES = [
     ("wiki", ["wiki", "维基"]),
 ]
 
-# Second chance for level "other", from the head of title + text.
+# Second chance for level "other", from title + text.
 TEXT_LEVEL_RULES = [
     ("meta", ["meta-analysis", "meta analysis", "systematic review", "umbrella review",
               "荟萃", "系统综述", "伞形综述"]),

@@ -79,6 +79,43 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "in
     return big.join(small, keys, how) if unique is None else salted_join(big, small, keys, unique, how)
 
 
+# Bits of a filter for each key it holds, and at most: 32 MB. With more keys it lets more rows through, and the exact step
+# behind it has more to do.
+FILTER_BITS = 16
+MOST_FILTER_BITS = 1 << 28
+_MAP = 32768  # bits in one value of bitmap_construct_agg
+
+
+def mark_maybe(rows: DataFrame, keys: DataFrame, on: list[str], name: str = "_maybe") -> DataFrame:
+    """Add boolean ``name``: false if the row's ``on`` is certainly not among ``keys``. Rows do not move.
+
+    A Bloom filter of two bits a key, as broadcast bitmaps. ``keys`` is best a stored table; it is counted first.
+    """
+    bits, n = _MAP, keys.count()
+    while bits < min(MOST_FILTER_BITS, FILTER_BITS * n):
+        bits *= 2
+    slots = [F.pmod(F.xxhash64(F.lit(salt), *on), F.lit(bits)) for salt in (1, 2)]
+    maps = (keys.select(F.explode(F.array(*slots)).alias("slot")).groupBy(F.floor(F.col("slot") / _MAP).cast("int").alias("_page"))
+            .agg(F.bitmap_construct_agg(F.col("slot") % _MAP).alias("_map")))
+    for i, slot in enumerate(slots):
+        byte = F.expr(f"cast(conv(hex(substring(_map, cast(_slot % {_MAP} div 8 as int) + 1, 1)), 16, 10) as int)")
+        rows = (rows.withColumn("_slot", slot).withColumn("_page", F.floor(F.col("_slot") / _MAP).cast("int"))
+                .join(F.broadcast(maps), "_page", "left")
+                .withColumn(f"_hit{i}", F.coalesce(F.getbit(byte, (F.col("_slot") % 8).cast("int")) == 1, F.lit(False)))
+                .drop("_slot", "_page", "_map"))
+    return rows.withColumn(name, F.col("_hit0") & F.col("_hit1")).drop("_hit0", "_hit1")
+
+
+def join_rare(big: DataFrame, small: DataFrame, keys: list[str], rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join wide rows with a side that few of them match. ``small`` is best a stored table.
+
+    Within the size bound it is broadcast. Beyond it a filter goes over ``big`` first, so only rows that may match are shuffled.
+    """
+    if fits(small, rows):
+        return big.join(F.broadcast(small), keys)
+    return mark_maybe(big, small.select(keys), keys).where("_maybe").drop("_maybe").join(small, keys)
+
+
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], unique: Column, how: str = "inner") -> DataFrame:
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(unique), F.lit(SALTS)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -8,7 +8,7 @@ from corpusloom.functions import rules, scoring
 from corpusloom.functions.text import (
     cut, level_from_rules, normalize_doi, normalize_level, normalize_title, strip, tags_from_rules, text_or_empty,
 )
-from corpusloom.operators.common import first_per_key, stored
+from corpusloom.operators.common import first_per_key, mark_maybe, stored
 from corpusloom.sources.files import as_position
 
 def union_sources(*sources: DataFrame) -> DataFrame:
@@ -25,10 +25,13 @@ def corpus_order(source: Column, pos: Column) -> Column:
 def merge_first_wins(docs: DataFrame) -> DataFrame:
     """First occurrence of each ``doc_id`` by ``ord``.
 
-    The first of each task is kept before the shuffle; ids and orders decide, so rows of an id that is not
-    repeated within a task move once, with their text.
+    Ids alone are counted. Rows whose id is certainly not repeated stay where they are; the others, and a few more by a filter's
+    mistake, are shuffled, the first of each task only. ``docs`` is read twice: store what is dear to make.
     """
-    return first_per_key(docs, ["doc_id"], F.col("ord"))
+    repeated = stored(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    marked = mark_maybe(docs, repeated, ["doc_id"])
+    first = first_per_key(marked.where("_maybe"), ["doc_id"], F.col("ord"))
+    return marked.where("not _maybe").unionByName(first).drop("_maybe")
 
 
 def dedupe_key(doc_id: Column, doi: Column, title: Column) -> Column:
@@ -79,20 +82,24 @@ def dedupe_fold(docs: DataFrame) -> DataFrame:
     ``ord``, of any type with an order; rows of one ``ord`` are told apart by ``doc_id``, so after
     ``merge_first_wins`` no two rows are alike. The result keeps the group's first ``ord``.
 
-    Everything but the texts is stored once as a narrow table. Keys of a single document, the great
-    majority, go past all steps; every text is shuffled once, to the row that keeps it.
+    Keys alone are counted. Documents whose key is certainly not repeated, the great majority, stay where they are and go past all
+    steps, with their texts; of the others everything but the texts is stored as a narrow table, and their texts are shuffled once, to the row
+    that keeps them. ``docs`` is read several times: store what is dear to make.
     """
+    keys = docs.withColumn("key", dedupe_key(F.col("doc_id"), F.col("doi"), F.col("title")))
+    repeated = stored(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    marked = mark_maybe(keys, repeated, ["key"])
+    alone = marked.where("not _maybe").drop("_maybe")
+    asked = marked.where("_maybe").drop("_maybe")
     tags = F.array_distinct(F.coalesce(F.col("tags"), F.array().cast("array<string>")))
-    narrow = stored(docs.select(
-        *[c for c in docs.columns if c not in ("tags", "year", "extra", "text", "ord")], F.struct("ord", "doc_id").alias("ord"),
-        tags.alias("tags"), F.when(_filled("year"), F.col("year")).alias("year"),
-        F.map_filter(F.coalesce(F.col("extra"), F.create_map().cast("map<string,string>")),
-                     lambda k, v: F.coalesce(v, F.lit("")) != "").alias("extra"),
-        F.length(strip(text_or_empty(F.col("text")))).alias("text_len"),
-        dedupe_key(F.col("doc_id"), F.col("doi"), F.col("title")).alias("key")))
-    repeated = stored(narrow.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    single = narrow.join(repeated, "key", "left_anti").select(F.col("ord").alias("text_ord"), "*").drop("key", "text_len")
-    keyed = stored(narrow.join(repeated, "key", "left_semi"))
+    year = F.when(_filled("year"), F.col("year"))
+    extra = F.map_filter(F.coalesce(F.col("extra"), F.create_map().cast("map<string,string>")),
+                         lambda k, v: F.coalesce(v, F.lit("")) != "")
+    cleaned = {"tags": tags, "year": year, "extra": extra}
+    single = alone.unionByName(asked.join(repeated, "key", "left_anti")).drop("key").withColumns(cleaned)
+    asked = asked.withColumn("ord", F.struct("ord", "doc_id"))
+    keyed = stored(asked.withColumns(cleaned).withColumn("text_len", F.length(strip(text_or_empty(F.col("text")))))
+                   .drop("text").join(repeated, "key", "left_semi"))
     kind = keyed.schema["ord"].dataType.simpleString()
 
     shape = keyed.select(
@@ -197,10 +204,9 @@ def dedupe_fold(docs: DataFrame) -> DataFrame:
         return F.col(name)
 
     fields = [c for c in docs.columns if c != "text"]
-    decided = merged.select("text_ord", *[final(c) for c in fields]).unionByName(
-        single.select("text_ord", *[F.col("ord.ord").alias("ord") if c == "ord" else F.col(c) for c in fields]))
-    texts = docs.select(F.struct("ord", "doc_id").alias("text_ord"), "text")
-    return decided.join(texts, "text_ord").select(*docs.columns)
+    decided = merged.select("text_ord", *[final(c) for c in fields])
+    texts = asked.select(F.col("ord").alias("text_ord"), "text")
+    return decided.join(texts, "text_ord").select(*docs.columns).unionByName(single.select(*docs.columns))
 
 
 def grade_from_text(docs: DataFrame, level_rules=rules.TEXT_LEVEL_RULES, most: int | None = None) -> DataFrame:
@@ -216,7 +222,7 @@ def enrich_local(docs: DataFrame, tag_rules=rules.LOCAL_TAGS, level_rules=rules.
     blob = F.lower(F.concat_ws(" ", text_or_empty(F.col("title")), text_or_empty(F.col("text"))))
     level = F.col("evidence_level")
     return docs.withColumns({
-        "tags": F.array_union(F.col("tags"), tags_from_rules(blob, tag_rules)),
+        "tags": F.array_union(F.coalesce(F.col("tags"), F.array().cast("array<string>")), tags_from_rules(blob, tag_rules)),
         "evidence_level": F.when(level == "other", normalize_level(
             F.lit(""), F.col("title"), level_rules)).otherwise(level),
     })

@@ -14,7 +14,7 @@ def distribution(docs: DataFrame, by: Column, name: str = "key") -> DataFrame:
 
 def tag_frequency(docs: DataFrame, limit: int | None = 10) -> DataFrame:
     total = docs.agg(F.count("*").alias("t")).scalar()
-    counted = docs.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n")).withColumn(
+    counted = docs.select(F.explode(_tags()).alias("tag")).groupBy("tag").agg(F.count("*").alias("n")).withColumn(
         "pct", F.round(100.0 * F.col("n") / total, 1))
     ordered = counted.orderBy(F.col("n").desc(), F.col("tag"))
     return ordered.limit(limit) if limit else ordered
@@ -38,7 +38,7 @@ def corpus_report(docs: DataFrame) -> DataFrame:
 
     Each document is expanded to its (section, key) pairs and counted once; the
     expansion is narrow and combined before the shuffle. The total is a plain
-    count of the table.
+    count of the table, which reads no column. Absent tags are no tags.
     """
     pairs = F.concat(
         F.array(
@@ -48,12 +48,16 @@ def corpus_report(docs: DataFrame) -> DataFrame:
             F.when(is_blank(F.col("text")), _pair("missing", F.lit("text"))),
             F.when(F.col("year").isNull(), _pair("missing", F.lit("year"))),
             F.when(text_or_empty(F.col("doi")) != "", _pair("present", F.lit("doi"))))),
-        F.transform(F.col("tags"), lambda t: _pair("tag", t)))
+        F.transform(_tags(), lambda t: _pair("tag", t)))
     counted = docs.select(F.explode(pairs).alias("p")).groupBy("p.section", "p.key").agg(F.count("*").alias("n"))
     total = docs.agg(F.count("*").alias("t")).scalar()
     return counted.withColumn("pct", F.round(100.0 * F.col("n") / total, 1))
 
 
+def _tags() -> Column:
+    return F.coalesce(F.col("tags"), F.array().cast("array<string>"))
+
+
 def _pair(section: str, key: Column) -> Column:
     return F.struct(F.lit(section).alias("section"), F.coalesce(key, F.lit("unknown")).alias("key"))
 

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusloom.functions import rules, scoring
 from corpusloom.functions.pieces import embedder
 from corpusloom.functions.text import index_tokens, text_or_empty
-from corpusloom.operators.common import BROADCAST_ROWS, join_small, ranked, stored, top_k
+from corpusloom.operators.common import BROADCAST_ROWS, join_rare, join_small, ranked, stored, top_k
 from corpusloom.operators.index import (
-    TOTALS, CorpusStats, KeywordIndex, build_keyword_index, corpus_stats, term_bucket, term_weights,
+    TOTALS, CorpusStats, KeywordIndex, build_keyword_index, corpus_stats, filter_years, term_bucket, term_weights,
 )
 
 # Scores are sums of doubles whose order is not fixed, so ranking looks at
@@ -84,51 +84,55 @@ def keyword_hits(chunks: DataFrame, index: KeywordIndex, questions: DataFrame, k
 
 
 def _scored(rows: DataFrame, wanted: DataFrame, vocabulary: DataFrame, k: int) -> DataFrame:
-    """``rows(chunk_id, dl, tokens)`` against the asked terms, in hash blocks of questions with at most
-    ``BROADCAST_ROWS`` terms, one pass over the rows for each block."""
+    """``rows(chunk_id, dl, tokens)`` against the asked terms, one pass over the rows for each block of questions."""
     stats = corpus_stats(vocabulary)
     weights = term_weights(vocabulary, stats)
-    blocks = max(1, -(-wanted.count() // BROADCAST_ROWS))
-    hits = None
-    for b in range(blocks):
-        part = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b)
-        asked = part.toArrow()
-        if blocks > 1 and not asked.num_rows:
-            continue
-        local = rows.sparkSession.createDataFrame(asked) if asked.num_rows else part
-        weighted = _weigh(F.broadcast(local), weights).toArrow()
-        found = rows.mapInArrow(_keyword_scan(weighted, stats, k), "question_id string, chunk_id string, bm25 double")
-        best = top_k(found, ["question_id"], k, F.col("bm25").desc(), F.col("chunk_id"), rank="kw_rank")
-        hits = _block_done(hits, best, blocks)
-    return hits
+
+    def one(asked: DataFrame) -> DataFrame:
+        found = rows.mapInArrow(_keyword_scan(weigh(asked, weights), stats, k), "question_id string, chunk_id string, bm25 double")
+        return top_k(found, ["question_id"], k, F.col("bm25").desc(), F.col("chunk_id"), rank="kw_rank")
+
+    return question_blocks(wanted, one)
 
 
-def _block_done(before: DataFrame | None, best: DataFrame, blocks: int) -> DataFrame:
-    """Add the final rows of one block of questions. With several, each is stored as it is done, so that neither plan nor
-    driver holds more than one block."""
-    best = best if blocks == 1 else stored(best)
-    return best if before is None else before.unionByName(best)
+def question_blocks(rows: DataFrame, one, block: int = BROADCAST_ROWS) -> DataFrame:
+    """Answers of ``one(part)`` for hash blocks of questions with about ``block`` of the given rows each.
+
+    With several, each is stored as it is done, so that neither plan nor driver holds more than one block.
+    """
+    blocks, out = max(1, -(-rows.count() // block)), None
+    for b in range(blocks):
+        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b)
+        best = one(part)
+        best = best if blocks == 1 else stored(best)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
-def _weigh(wanted: DataFrame, weights: DataFrame) -> DataFrame:
-    return weights.join(wanted, "term").select("question_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
+def weigh(wanted: DataFrame, weights: DataFrame) -> pa.Table:
+    """(question_id, term, w) of one block of asked terms."""
+    asked = wanted.toArrow()
+    local = wanted.sparkSession.createDataFrame(asked) if asked.num_rows else wanted
+    return weights.join(F.broadcast(local), "term").select("question_id", "term", (F.col("qtf") * F.col("idf")).alias("w")).toArrow()
 
 
-class _Best:
-    """The ``k`` lowest (value, id) pairs of every question seen by one task."""
+class Best:
+    """The ``k`` lowest (value, id) pairs of every question seen by one task, none above its ``limit``."""
 
-    def __init__(self, qids: list, k: int):
+    def __init__(self, qids: list, k: int, limit: np.ndarray | None = None):
         self.qids, self.k = qids, k
         self.ids = [np.empty(0, dtype=object)] * len(qids)
         self.values = [np.empty(0)] * len(qids)
-        self.limit = np.full(len(qids), np.inf)
-
-    def offer(self, ids: np.ndarray, values: np.ndarray) -> None:
-        """``values`` is rows x questions; infinite means no match."""
-        near = (values <= self.limit) & np.isfinite(values)
-        for j in np.flatnonzero(near.any(axis=0)):
-            rows = np.flatnonzero(near[:, j])
-            column = values[rows, j]
+        self.limit = np.full(len(qids), np.inf) if limit is None else limit.copy()
+
+    def offer(self, ids: np.ndarray, values: np.ndarray, some: np.ndarray | None = None) -> None:
+        """``values`` is rows x questions, or x the questions ``some``; infinite means no match."""
+        some = np.arange(len(self.qids)) if some is None else some
+        near = (values <= self.limit[some]) & np.isfinite(values)
+        for i in np.flatnonzero(near.any(axis=0)):
+            j = some[i]
+            rows = np.flatnonzero(near[:, i])
+            column = values[rows, i]
             if len(rows) > self.k:
                 inside = column <= np.partition(column, self.k - 1)[self.k - 1]
                 rows, column = rows[inside], column[inside]
@@ -137,7 +141,7 @@ class _Best:
             keep = np.lexsort((all_ids, all_values))[:self.k]
             self.ids[j], self.values[j] = all_ids[keep], all_values[keep]
             if len(keep) == self.k:
-                self.limit[j] = self.values[j][-1]
+                self.limit[j] = min(self.limit[j], self.values[j][-1])
 
     def batches(self, name: str, sign: float = 1.0):
         for qid, ids, values in zip(self.qids, self.ids, self.values):
@@ -173,7 +177,7 @@ def _keyword_scan(weighted: pa.Table, stats: CorpusStats, k: int):
     base, slope = rules.BM25_K1 * (1 - rules.BM25_B), rules.BM25_K1 * rules.BM25_B / (stats.avgdl or 1.0)
 
     def search(batches):
-        best = _Best(qids, k)
+        best = Best(qids, k)
         for batch in batches:
             ids = np.array(batch.column(0).to_pylist(), dtype=object)
             length = batch.column(1).to_numpy()
@@ -218,23 +222,23 @@ def _slices(pairs: np.ndarray, width: int, limit: int = GRID):
 
 
 def _nearest(qids: list, matrix: np.ndarray, k: int):
-    unit = _unit(matrix)
+    unit = unit_rows(matrix)
 
     def search(batches):
-        best = _Best(qids, k)
+        best = Best(qids, k)
         for batch in batches:
             ids = np.array(batch.column(0).to_pylist(), dtype=object)
             if len(ids):
                 flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
                 if len(flat) != len(ids) * unit.shape[1]:
                     raise ValueError(f"vectors of the corpus must have {unit.shape[1]} numbers, as those of the questions")
-                best.offer(ids, rounded_array(1.0 - _unit(flat.reshape(len(ids), -1)) @ unit.T))
+                best.offer(ids, rounded_array(1.0 - unit_rows(flat.reshape(len(ids), -1)) @ unit.T))
         yield from best.batches("distance")
 
     return search
 
 
-def _unit(m: np.ndarray) -> np.ndarray:
+def unit_rows(m: np.ndarray) -> np.ndarray:
     norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return m / np.where(norm == 0, 1.0, norm)
 
@@ -249,23 +253,17 @@ def vector_hits(corpus: DataFrame, questions: DataFrame, k: int = 16, block: int
     checked size; more questions than that are cut into hash blocks, one corpus
     pass each. Rows without a vector are no hit and no question; other widths than the questions' are an error.
     """
-    blocks = max(1, -(-questions.count() // block))
-    out = None
-    for b in range(blocks):
-        part = questions if blocks == 1 else questions.where(
-            F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b)
+    def one(part: DataFrame) -> DataFrame:
         rows = part.where("vector is not null").select("question_id", "vector").toArrow()
         if not rows.num_rows:
-            continue
+            return corpus.sparkSession.createDataFrame([], "question_id string, chunk_id string, distance double, vec_rank int")
         matrix = np.array(rows.column("vector").to_pylist(), dtype=np.float64)
         hits = corpus.where("vector is not null").select("chunk_id", "vector").mapInArrow(
             _nearest(rows.column("question_id").to_pylist(), matrix, k),
             "question_id string, chunk_id string, distance double")
-        best = top_k(hits, ["question_id"], k, F.col("distance"), F.col("chunk_id"), rank="vec_rank")
-        out = _block_done(out, best, blocks)
-    if out is None:
-        out = corpus.sparkSession.createDataFrame([], "question_id string, chunk_id string, distance double, vec_rank int")
-    return out
+        return top_k(hits, ["question_id"], k, F.col("distance"), F.col("chunk_id"), rank="vec_rank")
+
+    return question_blocks(questions, one, block)
 
 
 def vector_table(chunks: DataFrame, embed=None) -> DataFrame:
@@ -325,10 +323,9 @@ def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 5, candidate_k: i
     else:
         kw = bm25_hits(chunks, questions, candidate_k)
     vec = vector_text_hits(chunks, questions, candidate_k, embed, vectors) if use_vector else None
-    fused = fuse(vec, kw)
-    if questions.count() * 2 * candidate_k <= BROADCAST_ROWS:
-        fused = F.broadcast(fused)
-    rows = chunks.join(fused, "chunk_id")
+    fused = stored(fuse(vec, kw))
+    # Few columns decide; texts are read for the final hits alone.
+    rows = join_rare(chunks.select("chunk_id", "doc_id", "evidence_level", "tags", "source"), fused, ["chunk_id"])
     boost = _boost(prefer_levels, boost_tags)
     if "track" in questions.columns:
         rows = join_small(rows, questions.select("question_id", "track"), ["question_id"])
@@ -338,11 +335,21 @@ def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 5, candidate_k: i
     by_score = [F.col("score").desc(), F.col("chunk_id")]
     found = top_k(rows, ["question_id"], max(candidate_k, k), *by_score)
     if rerank is not None:
-        found = rerank(found)
+        found = _narrowed(rerank(with_chunks(found, chunks)), found)
     if compat:
         found = found.where(F.col("rank") <= k)
     best = best_chunk_per_doc(found).withColumnRenamed("rank", "_found")
-    return top_k(best, ["question_id"], k, F.col("_found")).drop("_found")
+    return with_chunks(top_k(best, ["question_id"], k, F.col("_found")).drop("_found"), chunks)
+
+
+def with_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Chunk columns beside each hit; only chunks that may be hits are moved."""
+    own = [c for c in hits.columns if c == "chunk_id" or c not in chunks.columns]
+    return join_rare(chunks, stored(hits.select(own)), ["chunk_id"])
+
+
+def _narrowed(found: DataFrame, like: DataFrame) -> DataFrame:
+    return found.select(like.columns)
 
 
 def _boost(prefer_levels, boost_tags) -> Column:
@@ -350,16 +357,19 @@ def _boost(prefer_levels, boost_tags) -> Column:
 
 
 def select_topics_then_chunks(chunks: DataFrame, questions: DataFrame, topic_k: int = 2, chunk_k: int = 5,
-                              embed=None) -> DataFrame:
-    """Topic pages first, then the best other chunk of each document."""
-    pages = vector_text_hits(chunks.where(F.col("source") == "wiki"), questions, topic_k, embed)
-    wider = vector_text_hits(chunks, questions, topic_k + chunk_k, embed)
+                              embed=None, vectors: DataFrame | None = None) -> DataFrame:
+    """Topic pages first, then the best other chunk of each document. Stored ``vectors`` (chunk_id, vector, and source where known)
+    are read instead of embedding; every chunk is embedded once."""
+    embed = embed or embedder()
+    corpus = vectors if vectors is not None else vector_table(chunks, embed)
+    if "source" not in corpus.columns:
+        corpus = corpus.join(chunks.select("chunk_id", "source"), "chunk_id") if vectors is not None else stored(
+            chunks.select("chunk_id", "source", embed(text_or_empty(F.col("text"))).alias("vector")))
+    pages = stored(vector_text_hits(chunks, questions, topic_k, embed, corpus.where(F.col("source") == "wiki")))
+    wider = vector_text_hits(chunks, questions, topic_k + chunk_k, embed, corpus)
     rest = wider.join(pages.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_anti")
-    meta = chunks.select("chunk_id", "doc_id", "source")
-    bounded = questions.count() * (2 * topic_k + chunk_k) <= BROADCAST_ROWS
-    hint = F.broadcast if bounded else (lambda df: df)
-    both = pages.select("*", F.lit("wiki").alias("kind")).unionByName(rest.select("*", F.lit("evidence").alias("kind")))
-    rows = meta.join(hint(both), "chunk_id")
+    both = stored(pages.select("*", F.lit("wiki").alias("kind")).unionByName(rest.select("*", F.lit("evidence").alias("kind"))))
+    rows = join_rare(chunks.select("chunk_id", "doc_id", "source"), both, ["chunk_id"])
     evidence = best_chunk_per_doc(rows.where("kind = 'evidence'"), "vec_rank")
     evidence = top_k(evidence, ["question_id"], chunk_k, F.col("vec_rank"), rank="place")
     topics = rows.where("kind = 'wiki'").withColumn("place", F.col("vec_rank"))
@@ -367,15 +377,6 @@ def select_topics_then_chunks(chunks: DataFrame, questions: DataFrame, topic_k:
     return ranked(joined, ["question_id"], F.col("kind").desc(), F.col("place"))
 
 
-def filter_years(items: DataFrame, year_from: int | None = None, year_to: int | None = None) -> DataFrame:
-    """Inclusive; with a bound set, rows without a year are dropped."""
-    if year_from is not None:
-        items = items.where(F.col("year") >= year_from)
-    if year_to is not None:
-        items = items.where(F.col("year") <= year_to)
-    return items
-
-
 def diversify(hits: DataFrame, per_source: int = 2) -> DataFrame:
     """At most ``per_source`` hits per source, ranks closed up."""
     kept = top_k(hits, ["question_id", "source"], per_source, F.col("rank"), rank="_n").drop("_n")
@@ -390,15 +391,20 @@ def rank_clinical(hits: DataFrame, ref_year: int) -> DataFrame:
     return ranked(rows, ["question_id"], F.col("priority").desc(), F.col("score").desc(), F.col("chunk_id"))
 
 
-def explain(hits: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
+def explain(hits: DataFrame, chunks: DataFrame, questions: DataFrame, forward: DataFrame | None = None) -> DataFrame:
     """Why each hit was chosen: rank parts, level boost and the matching terms.
 
-    ``hits`` is best a stored table: it is counted and then read twice. Only the texts of hits are tokenised.
+    ``hits`` is best a stored table: it is counted and then read twice. Only the texts of hits are tokenised, and none where a stored
+    ``forward`` index (chunk_id, terms) is given.
     """
     terms = query_terms(questions).select("question_id", "term")
     wanted = hits.select("question_id", "chunk_id")
-    texts = join_small(chunks.select("chunk_id", "text"), wanted, ["chunk_id"])
-    shown = texts.select("question_id", "chunk_id", F.explode_outer(F.array_distinct(index_tokens(F.col("text")))).alias("term"))
+    if forward is not None:
+        held = join_rare(forward.select("chunk_id", "terms"), wanted, ["chunk_id"])
+    else:
+        held = join_rare(chunks.select("chunk_id", "text"), wanted, ["chunk_id"]).select(
+            "question_id", "chunk_id", F.array_distinct(index_tokens(F.col("text"))).alias("terms"))
+    shown = held.select("question_id", "chunk_id", F.explode_outer("terms").alias("term"))
     matched = shown.join(terms, ["question_id", "term"]).groupBy("question_id", "chunk_id").agg(
         F.sort_array(F.collect_set("term")).alias("matched_terms"))
     return hits.join(matched, ["question_id", "chunk_id"], "left").select(

@@ -87,6 +87,23 @@ def write_pages(pages: DataFrame, path: str) -> None:
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slug").text(path))
 
 
+def topic_index(pages: DataFrame) -> DataFrame:
+    """``slug, title`` of every page, for the index beside the pages."""
+    return pages.select("slug", "title")
+
+
+def write_topic_files(pages: DataFrame, path: str) -> None:
+    """Pages below ``path/pages`` and their index, JSON lines, below ``path/index``."""
+    write_pages(pages, f"{path}/pages")
+    topic_index(pages).coalesce(1).write.mode("overwrite").json(f"{path}/index")
+
+
+def read_topic_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``pages(slug, text)`` and ``index(slug, title)`` as they were written."""
+    pages = spark.read.schema("value string, slug string").text(f"{path}/pages", wholetext=True)
+    return pages.select("slug", F.col("value").alias("text")), spark.read.schema("slug string, title string").json(f"{path}/index")
+
+
 def lint_pages(pages: DataFrame, index: DataFrame, known: DataFrame, sections=rules.TOPIC_SECTIONS,
                updated_mark: str = rules.TOPIC_UPDATED_MARK,
                disclaimer_mark: str = rules.TOPIC_DISCLAIMER_MARK) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions.text import normalize_doi, strip, text_or_empty
-from corpusloom.operators.common import first_per_key, join_small
+from corpusloom.operators.common import first_per_key, fits, join_rare, salted_join, stored
 
 
 def is_trial_id(nct: Column) -> Column:
@@ -29,15 +29,27 @@ def verify_identifiers(ids: DataFrame, catalog: DataFrame) -> DataFrame:
     rows = catalog.select(
         F.explode(keys).alias("key"), "doc_id", "title", "year", "journal", "url",
         (F.contains(blob, F.lit("Retraction")) | F.contains(blob, F.lit("Retracted"))).alias("withdrawn"))
-    rows = first_per_key(join_small(rows, asked.select("key").distinct(), ["key"], "left_semi"), ["key"], F.col("doc_id"))
+    rows = first_per_key(join_rare(rows, stored(asked.select("key").distinct()), ["key"]), ["key"], F.col("doc_id"))
     found = F.col("doc_id").isNotNull()
     withdrawn = F.coalesce(F.col("withdrawn"), F.lit(False))
-    return asked.join(rows, "key", "left").select(
+    return answered(asked, rows).select(
         "identifier", found.alias("exists"), "doc_id", "title", "year", "journal", "url",
         withdrawn.alias("withdrawn"),
         F.when(~found, "not_found").when(withdrawn, "withdrawn").otherwise("ok").alias("note"))
 
 
+def answered(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every row of ``asked`` with the one of ``rows`` that has its ``key``, or nulls.
+
+    Asked keys are distinct in ``rows`` and were found for them, so a key asked millions of times is one row there; its askers are
+    spread over several tasks by a salt.
+    """
+    held = stored(rows)
+    if fits(held):
+        return asked.join(F.broadcast(held), "key", "left")
+    return salted_join(asked, held, ["key"], F.monotonically_increasing_id(), "left")
+
+
 def trial_records(ids: DataFrame, trials: DataFrame) -> DataFrame:
     """``ids(nct_id)`` -> registry record, or the reason there is none.
 
@@ -45,7 +57,7 @@ def trial_records(ids: DataFrame, trials: DataFrame) -> DataFrame:
     """
     asked = ids.select("nct_id", F.upper(strip(F.col("nct_id"))).alias("key"))
     keyed = trials.withColumn("key", F.upper("nct_id")).drop("nct_id")
-    rows = first_per_key(join_small(keyed, asked.select("key").distinct(), ["key"], "left_semi"), ["key"], F.col("title"))
-    return asked.join(rows.withColumn("_hit", F.lit(True)), "key", "left").withColumn(
+    rows = first_per_key(join_rare(keyed, stored(asked.select("key").distinct()), ["key"]), ["key"], F.col("title"))
+    return answered(asked, rows.withColumn("_hit", F.lit(True))).withColumn(
         "note", F.when(~is_trial_id(F.col("nct_id")), "bad_format").when(F.col("_hit").isNull(), "not_found")
         .otherwise("ok")).drop("_hit", "key")

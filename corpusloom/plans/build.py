@@ -5,7 +5,7 @@ import json
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.functions import rules
-from corpusloom.operators import chunk, curate, index, report, retrieve, topics
+from corpusloom.operators import chunk, curate, index, report, retrieve, search_store, topics
 from corpusloom.operators.common import run_folder, stored
 from corpusloom.schemas import DOC_FIELDS
 from corpusloom.sources.files import file_list, stage_counts
@@ -13,11 +13,27 @@ from corpusloom.sources.files import file_list, stage_counts
 
 def curate_sources(*sources: DataFrame, regrade: bool = True) -> DataFrame:
     """Curated sources first. First-wins merge, fold dedupe, optional regrading."""
-    merged = stored(curate.merge_first_wins(curate.union_sources(*sources)))
-    docs = curate.dedupe_fold(merged)
+    return curate_landed(land(*sources), regrade)
+
+
+def land(*sources: DataFrame) -> DataFrame:
+    """The sources one after the other, parsed once and stored; all that follows reads this table."""
+    return stored(curate.union_sources(*sources))
+
+
+def curate_landed(landed: DataFrame, regrade: bool = True) -> DataFrame:
+    docs = curate.dedupe_fold(curate.merge_first_wins(landed))
     return curate.grade_from_text(docs) if regrade else docs
 
 
+def source_counts(landed: DataFrame, sources: int) -> DataFrame:
+    """Rows ``stage, n`` of every source, from the positions alone; a source without rows has 0."""
+    names = landed.sparkSession.range(sources).select(F.col("id").cast("int").alias("source"))
+    counted = landed.groupBy(F.col("ord.source").alias("source")).agg(F.count("*").alias("n"))
+    return names.join(F.broadcast(counted), "source", "left").select(
+        F.concat(F.lit("source_"), F.col("source").cast("string")).alias("stage"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def write_search_tables(chunks: DataFrame, out: str, embed=None) -> None:
     """Vector table and keyword index of a stored chunk table."""
     retrieve.vector_table(chunks, embed).write.mode("overwrite").parquet(f"{out}/vectors")
@@ -29,22 +45,14 @@ def build_corpus(sources: list[DataFrame], out: str, updated_at: str, topic_rows
     """Write every table of the corpus below ``out`` and return them as read back, with the vector table as
     ``vectors`` and the ``keyword_index`` for ``ask_batch``.
 
-    The chunk table is published only if traceability holds and it has at least
-    ``target_chunks`` rows. ``paths`` are the landed folders of the sources; their files are listed in the manifest.
+    Chunks, vectors and keyword index are one version of the search store ``{out}/search``, published only if traceability
+    holds and there are at least ``target_chunks`` chunks; until then readers see the version before. ``paths`` are the landed folders of the sources; their files are listed in the manifest.
     Intermediate tables lie in a folder of the run's own and are removed with it.
     """
     with run_folder(sources[0].sparkSession, f"{out}/_run"):
         return _build(sources, out, updated_at, topic_rows, regrade, target_chunks, prose, embed, paths or [])
 
 
-def _publish(spark, staged: str, path: str) -> None:
-    fs = spark._jvm.org.apache.hadoop.fs
-    old, new = fs.Path(path), fs.Path(staged)
-    store = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    store.delete(old, True)
-    store.rename(new, old)
-
-
 def _build(sources, out, updated_at, topic_rows, regrade, target_chunks, prose, embed, paths) -> dict:
     spark = sources[0].sparkSession
 
@@ -52,7 +60,8 @@ def _build(sources, out, updated_at, topic_rows, regrade, target_chunks, prose,
         df.write.mode("overwrite").parquet(f"{out}/{name}")
         return spark.read.schema(df.schema).parquet(f"{out}/{name}")
 
-    docs = put("documents", curate_sources(*sources, regrade=regrade))
+    parsed = land(*sources)
+    docs = put("documents", curate_landed(parsed, regrade))
     summary = put("report", report.corpus_report(docs))
     blocks = topics.evidence_lines(docs, topics.topic_table(spark, topic_rows))
     pages = put("topic_pages", topics.render_pages(blocks, updated_at, prose))
@@ -61,16 +70,14 @@ def _build(sources, out, updated_at, topic_rows, regrade, target_chunks, prose,
                     F.lit(0).cast("long").alias("row"), F.array().cast("array<int>").alias("place"))
     with_pages = docs.select(*DOC_FIELDS, "ord").unionByName(pages.select(*DOC_FIELDS, last.alias("ord")))
     all_docs = put("documents_with_pages", curate.dedupe_fold(curate.merge_first_wins(with_pages)))
+    topics.write_topic_files(pages, f"{out}/topics")
     chunks = index.storable(chunk.docs_to_chunks(all_docs, merge_below=rules.CHUNK_MIN_CHARS))
-    staged = put("_run/chunks", chunks)
-    chunk.require_buildable(staged, target_chunks).collect()
-    _publish(spark, f"{out}/_run/chunks", f"{out}/chunks")
-    table = spark.read.schema(chunks.schema).parquet(f"{out}/chunks")
-    write_search_tables(table, out, embed)
+    search_store.replace_chunks(spark, f"{out}/search", chunks, embed, target_chunks)
+    now = search_store.snapshot(spark, f"{out}/search")
+    table = now.chunks
     stats = put("store_stats", report.store_stats(table))
-    manifest = stage_counts({
-        **{f"source_{i}": s for i, s in enumerate(sources)}, "documents": docs, "topic_pages": pages,
-        "documents_with_pages": all_docs, "chunks": table})
+    manifest = source_counts(parsed, len(sources)).unionByName(stage_counts({
+        "documents": docs, "topic_pages": pages, "documents_with_pages": all_docs, "chunks": table}))
     config = {"regrade": regrade, "target_chunks": target_chunks, "topics": len(topic_rows), "paths": paths}
     manifest = put("manifest", manifest.withColumns({"updated_at": F.lit(updated_at), "config": F.lit(json.dumps(config))}))
     landed = None
@@ -79,4 +86,4 @@ def _build(sources, out, updated_at, topic_rows, regrade, target_chunks, prose,
     files = {} if landed is None else {"files": put("files", landed)}
     return {"documents": docs, "report": summary, "topic_pages": pages, "documents_with_pages": all_docs,
             "chunks": table, "store_stats": stats, "manifest": manifest, **files,
-            "vectors": spark.read.parquet(f"{out}/vectors"), "keyword_index": index.KeywordIndex.read(spark, f"{out}/keyword_index")}
+            "vectors": now.vectors, "keyword_index": now.keyword_index, "forward": now.forward}

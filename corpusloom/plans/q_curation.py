@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 from corpusloom.functions import scoring
 from corpusloom.functions.text import normalize_doi, normalize_level, normalize_title, tags_from_rules
 from corpusloom.operators import curate, report
-from corpusloom.operators.common import stored
+from corpusloom.operators.common import new_folder, stored
 from corpusloom.plans.corpus import DOCS, LEVELS, TAGS, docs, sql_case, sql_tags, table
 from corpusloom.plans.registry import query
+from corpusloom.schemas import DOC_FIELDS
+from corpusloom.sources import files
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _DOI = f"""trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(doi)), '^https://doi\\.org/', ''),
@@ -255,3 +257,23 @@ def _(spark, sf):
         "source": F.when(n % 5 == 0, F.col("lang")).when(n % 7 != 0, F.col("source")),
         "evidence_level": F.when(n % 3 == 0, "none").otherwise(F.col("evidence_level"))})
     return curate.outside_lists(d)
+
+
+@query("report_missing_fields", f"""
+WITH {DOCS}, d AS (SELECT * REPLACE (CASE WHEN n_chars % 2 = 0 THEN tags ELSE [] END AS tags,
+    CASE WHEN n_chars % 3 = 0 THEN '' ELSE text END AS text, CASE WHEN n_chars % 5 = 0 THEN '' ELSE doi END AS doi) FROM docs),
+pairs AS (
+  SELECT 'source' AS section, source AS key FROM d UNION ALL SELECT 'year', coalesce(year::VARCHAR, 'unknown') FROM d
+  UNION ALL SELECT 'level', evidence_level FROM d UNION ALL SELECT 'all', 'total' FROM d
+  UNION ALL SELECT 'missing', 'text' FROM d WHERE trim(text, {_WS}) = '' UNION ALL SELECT 'missing', 'year' FROM d WHERE year IS NULL
+  UNION ALL SELECT 'present', 'doi' FROM d WHERE doi <> '' UNION ALL SELECT 'tag', unnest(tags) FROM d)
+SELECT section, key, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM docs), 1)::DOUBLE AS pct
+FROM pairs GROUP BY ALL""")
+def _(spark, sf):
+    """JSON lines that lack fields count in every figure; they are written and read back."""
+    n = F.col("n_chars")
+    d = docs(spark, sf).withColumns({
+        "tags": F.when(n % 2 == 0, F.col("tags")), "text": F.when(n % 3 != 0, F.col("text")), "doi": F.when(n % 5 != 0, F.col("doi"))})
+    path = new_folder(spark)
+    d.select(*DOC_FIELDS).write.json(path)
+    return report.corpus_report(files.read_docs(spark, path))

@@ -375,6 +375,23 @@ def _(spark, sf):
     return page.select("doc_id", "title", "text", "tags")
 
 
+@query("topic_files", f"""
+WITH {DOCS}, {_TOPIC_SQL} SELECT slug, title, '# ' || title || chr(10) || chr(10) || block || chr(10) || chr(10) || '---' || chr(10) || '> 本页基于 ' || n_docs
+  || ' 条证据文档生成 · 更新于 2025-01-01 · 非诊疗建议' || chr(10) AS text,
+  CASE WHEN slug = 'nothing' THEN 'missing_sections|no_page' ELSE 'missing_sections' END AS issues FROM blocks""")
+def _(spark, sf):
+    """Pages and index are written, read back and linted; of one page only the index entry is left and another page lacks nothing but
+    its sections."""
+    path = new_folder(spark)
+    rendered = topics.render_pages(topics.evidence_lines(docs(spark, sf), topics.topic_table(spark, TOPICS)), "2025-01-01")
+    topics.write_topic_files(rendered, path)
+    pages, listed = topics.read_topic_files(spark, path)
+    known = docs(spark, sf).select("doc_id")
+    issues = topics.lint_pages(pages, listed, known).unionByName(topics.lint_pages(pages.where("slug <> 'nothing'"), listed, known))
+    found = issues.groupBy("slug").agg(F.sort_array(F.collect_set("issue")).alias("issues"))
+    return listed.join(pages, "slug").join(found, "slug").select("slug", "title", "text", "issues")
+
+
 _SECTIONS = ["Th", "Er", "Le"]
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.pieces import embedder
 from corpusloom.functions.text import search_tokens
-from corpusloom.operators import index, retrieve
+from corpusloom.operators import index, pruned, retrieve, search_store
 from corpusloom.operators.common import join_small, new_folder, stored, top_k
 from corpusloom.plans.corpus import CHUNKS, DOCS, QUESTIONS, REF_YEAR, chunks, docs, questions, table
 from corpusloom.plans import build
@@ -101,7 +101,15 @@ def _(spark, sf):
     return retrieve.bm25_index_hits(index.KeywordIndex.read(spark, path), questions(spark, sf), 5)
 
 
-@query("vector_topk", """
+@query("bm25_block_max", f"""
+WITH RECURSIVE {CHUNKS}, {QUESTIONS}, {keyword_sql("chunks", 16)} SELECT question_id, chunk_id, bm25, kw_rank FROM kw""")
+def _(spark, sf):
+    """Over blocks that are stored with the highest count and least length of each term."""
+    held = stored(index.forward_index(chunks(spark, sf).select("chunk_id", "text")))
+    return pruned.block_keyword_hits(stored(pruned.keyword_blocks(held)), stored(index.vocabulary_of(held)), questions(spark, sf), 16)
+
+
+_CENTROIDS = """
 WITH parts AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
 means AS (SELECT label, i, avg(v) AS v FROM parts GROUP BY ALL),
 dots AS (SELECT m.label, p.vec_id,
@@ -109,20 +117,35 @@ dots AS (SELECT m.label, p.vec_id,
   FROM means m JOIN parts p ON p.i = m.i GROUP BY ALL)
 SELECT label::VARCHAR AS question_id, vec_id::VARCHAR AS chunk_id, distance,
   row_number() OVER (PARTITION BY label ORDER BY distance, vec_id::VARCHAR) AS vec_rank
-FROM dots QUALIFY vec_rank <= 10""")
+FROM dots QUALIFY vec_rank <= 10"""
+
+
+@query("vector_cells", _CENTROIDS)
+def _(spark, sf):
+    """Over vectors that are stored in balls."""
+    corpus, asked = _centroids(spark, sf)
+    return pruned.block_vector_hits(stored(pruned.vector_blocks(corpus)), asked, 10)
+
+
+@query("vector_topk", _CENTROIDS)
 def _(spark, sf):
     return _centroid_hits(spark, sf)
 
 
-def _centroid_hits(spark, sf):
-    """The mean vector of every label asks for its nearest vectors."""
+def _centroids(spark, sf):
+    """All vectors, and the mean vector of every label as a question."""
     e = table(spark, sf, "embeddings")
     means = e.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(
         F.avg(F.col("v").cast("double")).alias("v"))
     centres = means.groupBy("label").agg(F.transform(
         F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("vector"))
     corpus = e.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("vector"))
-    return retrieve.vector_hits(corpus, centres.select(F.col("label").cast("string").alias("question_id"), "vector"), 10)
+    return corpus, centres.select(F.col("label").cast("string").alias("question_id"), "vector")
+
+
+def _centroid_hits(spark, sf):
+    """The mean vector of every label asks for its nearest vectors."""
+    return retrieve.vector_hits(*_centroids(spark, sf), 10)
 
 
 @query("vector_text_topk", f"""
@@ -283,17 +306,27 @@ def _(spark, sf):
     return retrieve.rank_clinical(hits(spark, sf), REF_YEAR).select("question_id", "chunk_id", "priority", "rank")
 
 
-@query("explain_retrieval", f"""
+EXPLAIN_SQL = f"""
 WITH {HITS}, m AS (SELECT h.question_id, h.chunk_id, string_agg(term, ' ' ORDER BY term) AS matched_terms
   FROM hits h JOIN tfs USING (chunk_id) JOIN qt USING (question_id, term) GROUP BY ALL)
 SELECT question_id, rank, chunk_id, NULL::BIGINT AS vec_rank, kw_rank, score,
   CASE evidence_level WHEN 'guideline' THEN 1.25 WHEN 'meta' THEN 1.2 WHEN 'rct' THEN 1.15
     WHEN 'observational' THEN 1.05 ELSE 1.0 END::DOUBLE AS level_boost, coalesce(matched_terms, '') AS matched_terms
-FROM hits LEFT JOIN m USING (question_id, chunk_id)""")
+FROM hits LEFT JOIN m USING (question_id, chunk_id)"""
+
+
+@query("explain_retrieval", EXPLAIN_SQL)
 def _(spark, sf):
     return retrieve.explain(stored(hits(spark, sf)), _doc_chunks(spark, sf), questions(spark, sf))
 
 
+@query("explain_forward", EXPLAIN_SQL)
+def _(spark, sf):
+    """The same without texts, from the stored terms of each chunk."""
+    forward = stored(index.forward_index(_doc_chunks(spark, sf).select("chunk_id", "text")))
+    return retrieve.explain(stored(hits(spark, sf)), _doc_chunks(spark, sf).drop("text"), questions(spark, sf), forward)
+
+
 @query("topics_then_chunks", f"""
 WITH {DOCS}, {_AS_CHUNKS}, wk AS (SELECT * FROM dc WHERE source = 'wiki'), {QUESTIONS},
 {vector_sql("wk", 2, "pages_")}, {vector_sql("dc", 7, "wide")},
@@ -329,3 +362,26 @@ def _(spark, sf):
 SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9_]+|[一-鿿]+'), '|') AS tokens FROM documents""")
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", search_tokens(F.col("text")).alias("tokens"))
+
+
+@query("incremental_search", f"""
+WITH RECURSIVE {CHUNKS}, {QUESTIONS}, {keyword_sql("chunks", 8)}, {vector_sql("chunks", 8)}
+SELECT 'keyword' AS kind, question_id, chunk_id, bm25 AS score, kw_rank AS place FROM kw
+UNION ALL SELECT 'vector', question_id, chunk_id, distance, vec_rank FROM vec""")
+def _(spark, sf):
+    """Search after two batches equals search over tables that are built anew: the store held other German texts, no French ones
+    and documents that are gone since."""
+    d = docs(spark, sf)
+    german, french, wiki = (F.col("source") == s for s in ("clinicaltrials", "europepmc", "wiki"))
+    old = d.where(~french).withColumn("text", F.when(german, F.concat("text", F.lit(" old"), "text")).otherwise(F.col("text")))
+    gone = d.where(wiki).withColumn("doc_id", F.concat(F.lit("gone-"), "doc_id"))
+    path = new_folder(spark)
+    search_store.apply_documents(spark, path, old.unionByName(gone), buckets=8, term_buckets=8)
+    search_store.apply_documents(spark, path, d.where(french), removed=gone.select("doc_id"))
+    search_store.apply_documents(spark, path, d.where(german))
+    now = search_store.snapshot(spark, path)
+    asked = questions(spark, sf)
+    kw = retrieve.keyword_hits(now.chunks, now.keyword_index, asked, 8)
+    vec = retrieve.vector_text_hits(now.chunks, asked, 8, vectors=now.vectors)
+    return kw.select(F.lit("keyword").alias("kind"), "question_id", "chunk_id", F.col("bm25").alias("score"), F.col("kw_rank").alias("place")).unionByName(
+        vec.select(F.lit("vector").alias("kind"), "question_id", "chunk_id", F.col("distance").alias("score"), F.col("vec_rank").alias("place")))

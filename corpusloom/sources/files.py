@@ -40,10 +40,18 @@ def as_position(docs: DataFrame, name: str = "pos") -> Column:
 def read_docs(spark: SparkSession, path: str, arrays: bool = False) -> DataFrame:
     """Document JSON with ``pos``; no path, no rows.
 
-    One document per line, in splits of any size. ``arrays`` is for files that are one JSON value each, an
+    One document per line, in splits of any size. Absent fields are empty (``with_defaults``). ``arrays`` is for files that are one JSON value each, an
     array or an object: such a file is read by one task. Records that are no JSON are left out here and listed by ``rejected_docs``.
     """
-    return _parsed_docs(spark, path, arrays).where("_rejected is null").drop("_rejected")
+    return with_defaults(_parsed_docs(spark, path, arrays).where("_rejected is null").drop("_rejected"))
+
+
+def with_defaults(docs: DataFrame) -> DataFrame:
+    """Absent fields of a document: text fields are empty, there are no tags and no extra entries, the level is ``other``. Id,
+    source and year stay null."""
+    empty = {"tags": F.array().cast("array<string>"), "extra": F.create_map().cast("map<string,string>"), "evidence_level": F.lit("other")}
+    blank = {c: F.lit("") for c in ("title", "text", "url", "journal", "doi")}
+    return docs.withColumns({c: F.coalesce(F.col(c), value) for c, value in {**blank, **empty}.items()})
 
 
 def rejected_docs(spark: SparkSession, path: str, arrays: bool = False) -> DataFrame:
