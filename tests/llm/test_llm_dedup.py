@@ -236,7 +236,7 @@ def test_kept_text(table_of):
 # Near copies of the pipeline's stage
 
 def five_words(text):
-    w = (text or "").lower().split()
+    w = (text or "").encode().lower().split()
     return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
@@ -269,16 +269,61 @@ def test_near_copies_at_four_fifths(table_of, monkeypatch, bucket, pivots):
     bodies += [changed(rng, centre, rng.randint(1, 4)) for _ in range(90)] + [" ".join(prose(rng, k).split()) for k in (1, 2, 4, 5)]
     bodies += ["", None, " \n", bodies[0].upper()]
     rng.shuffle(bodies)
-    sets = [five_words(t) for t in bodies]
-    root = list(range(len(bodies)))
+    kept = [r.doc_id for r in near_copies.keep_one(table_of(enumerate(bodies))).collect()]
+    assert sorted(kept) == sorted(set(first_of_group(dict(enumerate(bodies))).values()))
+
+
+def first_of_group(bodies):
+    """Smallest id reachable over pairs of similarity 0.8 or more, by comparing all pairs that share a shingle."""
+    sets = {d: five_words(t) for d, t in bodies.items()}
+    root = {d: d for d in bodies}
 
     def find(a):
         while root[a] != a:
             a = root[a]
         return a
-    for i in range(len(bodies)):
-        for j in range(i):
-            if similar(sets[i], sets[j]) and find(i) != find(j):
-                root[max(find(i), find(j))] = min(find(i), find(j))
-    kept = [r.doc_id for r in near_copies.keep_one(table_of(enumerate(bodies))).collect()]
-    assert sorted(kept) == sorted({find(i) for i in range(len(bodies))})
+
+    holders = defaultdict(list)
+    for d in sorted(sets):
+        for s in sets[d] or [None]:
+            holders[s].append(d)
+    for a, b in {(a, b) for ds in holders.values() for i, b in enumerate(ds) for a in ds[:i]}:
+        if find(a) != find(b) and similar(sets[a], sets[b]):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    return {d: find(d) for d in bodies}
+
+
+def test_near_copies_of_no_table_and_odd_columns(spark, no_docs, tricky):
+    assert near_copies.keep_one(no_docs).count() == 0 and near_copies.keep_one(no_docs).columns == no_docs.columns
+    odd = tricky.withColumnsRenamed({"fp": "row", "shard": "__row", "score": "set", "lang": "doc"})
+    got = near_copies.keep_one(odd)
+    assert got.columns == odd.columns
+    assert got.count() == len(set(first_of_group(dict(enumerate(r.text for r in tricky.collect()))).values()))
+
+
+def test_a_bucket_gives_no_list_of_pairs(spark, table_of):
+    """A thousand near copies of one text: links in proportion to the sets."""
+    rng = random.Random(8)
+    centre = prose(rng, 120).split()
+    bodies = [changed(rng, centre, 2) for _ in range(1000)]
+    rows = near_copies.stored(table_of(enumerate(bodies)).select(F.col("doc_id").alias("row"), "doc_id", "text"))
+    nodes = near_copies.stored(near_copies.sketches(rows).select("set", "size", "keys", "least", F.struct("row").alias("place")))
+    assert near_copies.links(nodes, rows).count() < near_copies.BANDS * 1000
+    assert near_copies.keep_one(table_of(enumerate(bodies))).count() == 1
+
+
+@pytest.mark.parametrize("least", [0.8, 0.85, 0.9, 1.0])
+def test_recall_of_planted_pairs(table_of, least):
+    rng, bodies = random.Random(int(100 * least)), {}
+    while len(bodies) < 200:
+        base = prose(rng, 160).split()
+        words, other = list(base), base
+        while True:
+            words[rng.randrange(160)] = prose(rng, 1) + "y"
+            a, b = five_words(" ".join(base)), five_words(" ".join(words))
+            if len(a & b) / len(a | b) < least or least == 1:
+                break
+            other = list(words)
+        bodies |= {len(bodies): " ".join(base), len(bodies) + 1: " ".join(other).upper()}
+    kept = {r.doc_id for r in near_copies.keep_one(table_of(bodies.items())).collect()}
+    assert kept == set(first_of_group(bodies).values()) and len(kept) == 100

@@ -44,13 +44,13 @@ def test_query(spark, con, name):
 
 def test_all_are_registered():
     names = __spark_entry__.queries()
-    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11)) and "pipeline" in names
+    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14)) and "pipeline" in names
     assert set(queries.SQL) <= set(__spark_entry__.oracle_sql())
 
 
 def test_pipeline(spark):
     """Each stage's decision by plain Python on what the stage before kept."""
-    from test_llm_dedup import WHITE, fingerprint, linked
+    from test_llm_dedup import WHITE, first_of_group
     from test_llm_text import contamination
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -63,12 +63,7 @@ def test_pipeline(spark):
         key = WHITE.sub("", t or "")
         best[key] = min(best.get(key, (1, 0)), (-len(t or ""), d))
     kept = {d: kept[d] for _, d in best.values()}
-    prints = {d: fingerprint(t) for d, t in kept.items()}
-    roots = linked(prints.values())
-    first = {}
-    for d in sorted(kept):
-        first.setdefault(roots[prints[d]], d)
-    kept = {d: kept[d] for d in first.values()}
+    kept = {d: kept[d] for d in set(first_of_group(kept).values())}
     bad = {d for (d, *_, b) in contamination(kept.items(), [(r.item_id, r.text) for r in bench.collect()]) if b}
     kept = {d: t for d, t in kept.items() if d not in bad}
     got = corpus_pipeline.run(spark, SF).collect()
