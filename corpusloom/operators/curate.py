@@ -86,7 +86,7 @@ def dedupe_fold(docs: DataFrame) -> DataFrame:
     steps, with their texts; of the others everything but the texts is stored as a narrow table, and their texts are shuffled once, to the row
     that keeps them. ``docs`` is read several times: store what is dear to make.
     """
-    keys = docs.withColumn("key", dedupe_key(F.col("doc_id"), F.col("doi"), F.col("title")))
+    keys = _keyed(docs)
     repeated = stored(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     marked = mark_maybe(keys, repeated, ["key"])
     alone = marked.where("not _maybe").drop("_maybe")
@@ -209,6 +209,35 @@ def dedupe_fold(docs: DataFrame) -> DataFrame:
     return decided.join(texts, "text_ord").select(*docs.columns).unionByName(single.select(*docs.columns))
 
 
+def fold_into(corpus: DataFrame, landed: DataFrame) -> DataFrame:
+    """``corpus``, a result of ``dedupe_fold`` or of this, after more documents have landed behind it.
+
+    The folded document of a key is all that the walk needs to go on: its completeness is that of its fields, and tags and extra
+    entries are in the order of the walk. So only documents of landed keys are folded again, as the first of their
+    group; any split of a corpus into batches in order gives the same rows as one fold. Other documents stay where they are. Both
+    tables are read several times and should be stored; every ``ord`` of ``landed`` is greater than all of ``corpus``.
+    """
+    keys = stored(_keyed(landed).select("key").distinct())
+    marked = mark_maybe(_keyed(corpus), keys, ["key"])
+    asked = marked.where("_maybe").drop("_maybe")
+    touched = asked.join(keys, "key", "left_semi").drop("key")
+    others = marked.where("not _maybe").drop("_maybe").unionByName(asked.join(keys, "key", "left_anti")).drop("key")
+    return others.select(corpus.columns).unionByName(dedupe_fold(stored(touched.unionByName(landed.select(corpus.columns)))))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("key", dedupe_key(F.col("doc_id"), F.col("doi"), F.col("title")))
+
+
+def folded_changes(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ``fold_into`` has changed: new or different documents, and ``doc_id`` of those that are no more. For ``search_store``."""
+    columns = [c for c in after.columns if c != "extra"]
+    shape = F.xxhash64(*[F.coalesce(F.to_json(F.struct(c)), F.lit("")) for c in columns], F.sort_array(F.map_entries("extra")))
+    old = before.select("doc_id", shape.alias("_shape"))
+    changed = after.withColumn("_shape", shape).join(old, ["doc_id", "_shape"], "left_anti").drop("_shape")
+    return changed, before.select("doc_id").join(after.select("doc_id"), "doc_id", "left_anti")
+
+
 def grade_from_text(docs: DataFrame, level_rules=rules.TEXT_LEVEL_RULES, most: int | None = None) -> DataFrame:
     """Re-grade level ``other`` from title + text, or from their first ``most`` characters."""
     blob = F.lower(cut(F.concat_ws(" ", text_or_empty(F.col("title")), text_or_empty(F.col("text"))), most))

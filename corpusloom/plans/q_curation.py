@@ -86,12 +86,26 @@ FROM fold QUALIFY row_number() OVER (PARTITION BY key ORDER BY rn DESC) = 1"""
 
 @query("dedupe_fold", fold_sql())
 def _(spark, sf):
-    d = curate.dedupe_fold(stored(docs(spark, sf)))
+    return _folded(curate.dedupe_fold(stored(docs(spark, sf))))
+
+
+def _folded(d):
     return d.select("ord", "doc_id", "source", "title", "evidence_level", F.length("text").alias("n_chars"), "year",
                     "url", "journal", "doi", "tags", F.element_at("extra", "isOpenAccess").alias("is_oa"),
                     F.coalesce(F.element_at("extra", "inPMC"), F.lit("")).alias("in_pmc"))
 
 
+@query("fold_batches", fold_sql())
+def _(spark, sf):
+    """Documents land in three batches, one after the other; the corpus is that of one fold over all."""
+    d = stored(docs(spark, sf))
+    cut = d.agg(F.max("ord").alias("m")).first()[0] // 3 + 1
+    corpus = stored(curate.dedupe_fold(d.where(F.col("ord") < cut)))
+    for n in (1, 2):
+        corpus = stored(curate.fold_into(corpus, d.where((F.col("ord") >= n * cut) & (F.col("ord") < (n + 1) * cut))))
+    return _folded(corpus)
+
+
 @query("doi_title_norms", f"""
 WITH {DOCS} SELECT doc_id, {_DOI} AS doi_norm, {_TITLE} AS title_norm FROM docs""")
 def _(spark, sf):

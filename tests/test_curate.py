@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F, types as T
 
 from corpusloom.operators import curate
+from corpusloom.operators.common import stored
 from corpusloom.schemas import DOC, DOC_FIELDS
 from corpusloom.sources.files import fixed_docs
 
@@ -132,3 +133,51 @@ def test_fold_sends_single_documents_past(spark):
     rows = [doc(f"d{i}", title=f"t{i}", text="x", tags=["a", "a"], year=0, extra={"k": "", "l": "v"}) for i in range(5)]
     got = curate.dedupe_fold(frame(spark, rows)).collect()
     assert len(got) == 5 and all(r["tags"] == ["a"] and r["year"] is None and r["extra"] == {"l": "v"} for r in got)
+
+
+def test_any_split_into_batches_folds_alike(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(220):
+        k = rng.randrange(25) if rng.random() < 0.7 else 0
+        rows.append(doc(f"d{i}", title=rng.choice(["The ", ""]) + f"Title {k}" if rng.random() < 0.9 else "", text="x" * rng.choice([0, 0, 3, 900, 1500]),
+                        year=rng.choice([None, 0, 2001 + i % 9]), url=rng.choice(["", f"u{i}"]), journal=rng.choice(["", f"j{i}"]),
+                        doi=rng.choice(["", "", f"10.1/{k % 7}", f"https://doi.org/10.1/{k % 7}"]), tags=rng.sample("abcdef", rng.randint(0, 3)),
+                        extra={rng.choice("pqr"): rng.choice(["", f"e{i}"])}))
+    whole = frame(spark, rows)
+    want = {r["doc_id"]: r for r in curate.dedupe_fold(whole).collect()}
+    for cuts in ([70], [1, 2, 100, 219]):
+        corpus, at = None, 0
+        for end in [*cuts, len(rows)]:
+            part = stored(whole.where((F.col("ord") >= at) & (F.col("ord") < end)))
+            before = corpus
+            corpus = stored(curate.dedupe_fold(part) if corpus is None else curate.fold_into(corpus, part))
+            if before is not None:
+                changed, gone = curate.folded_changes(before, corpus)
+                kept = {r["doc_id"] for r in before.collect()} - {r["doc_id"] for r in gone.collect()}
+                assert kept | {r["doc_id"] for r in changed.collect()} == {r["doc_id"] for r in corpus.collect()}
+            at = end
+        assert {r["doc_id"]: r for r in corpus.collect()} == want
+
+
+def test_texts_of_single_documents_do_not_move(spark):
+    rows = [doc(f"d{i}", title=f"T{i if i > 40 else i % 7}", text=f"text {i}") for i in range(300)]
+    whole = stored(frame(spark, rows))
+    for df in (curate.merge_first_wins(whole), curate.dedupe_fold(whole)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # The branch of rows that are certainly alone reads the table and goes through broadcast joins only.
+        union = df._jdf.queryExecution().optimizedPlan()
+        branches = []
+
+        def split(p):
+            if p.nodeName() == "Union":
+                for i in range(p.children().size()):
+                    split(p.children().apply(i))
+            elif p.nodeName() == "Project" and p.children().apply(0).nodeName() in ("Union", "Project"):
+                split(p.children().apply(0))
+            else:
+                branches.append(p.toString())
+
+        split(union)
+        alone = [b for b in branches if "Window" not in b and "Aggregate [key" not in b and "NOT " in b.upper() and "LeftAnti" not in b]
+        assert alone and all(b.count("Join LeftOuter") == b.count("strategy=broadcast") for b in alone), plan
