@@ -1,20 +1,21 @@
 """Shards of near-equal size by sampled splitters.
 
-Records are ordered by a 64-bit key: the upper bits of the text's hash, the lower bits of the
-id's. Copies of a text so lie side by side, and a text that a third of all records share can still
-be divided. Samples drawn with a chance in proportion to a record's size give quantile boundaries
-of ``ranges_per_shard`` ranges for each shard. The exact size of every range is then counted; those of
+Records are ordered by a 64-bit key: bits of the text's hash, then of the id's, then of the row's number. Copies of a text so lie
+side by side, and a text, or a row, that a third of all records share can still be divided. Samples drawn with a chance in
+proportion to a record's size give quantile boundaries of ``ranges_per_shard`` ranges for each shard, or of as many as keep a range
+at ``RANGE_BYTES``. The exact size of every range is then counted; those of
 more than twice the wanted size are sampled again by themselves and subdivided, until none is left
 that more than one key makes up. Whole ranges are dealt to shards, the largest first to the emptiest
 shard, so sizes end up near equal (law ``bytes``). Only range totals and a number of samples set by the
 parameters reach the driver.
 
 A record's size is its UTF-8 bytes plus 16 (null text: 16). ``slot`` counts a shard's records from
-0 without gaps. Null ids and repeated rows are ordinary records; rows equal in id and text share a
-key and are not divided. With fewer records than shards some shards stay empty. An empty table gives no rows.
+0 without gaps. Null ids and repeated rows are ordinary records. Tables are read several times and should be stored, so that a row keeps
+its number. With fewer records than shards some shards stay empty. An empty table gives no rows.
 """
 
 import heapq
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,16 @@ SHARDS = 40
 RANGES_PER_SHARD = 64
 SAMPLES_PER_RANGE = 8
 RECORD_BYTES = 16
-_ID_BITS = 0xFFFFF
+RANGE_BYTES = 512 << 20
+_ID_BITS, _ROW_BITS = 14, 14
 _DICE = 1 << 30
 
 
 def with_key(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = (F.xxhash64(text).bitwiseAND(F.lit(~_ID_BITS)).bitwiseOR(F.xxhash64("doc_id").bitwiseAND(F.lit(_ID_BITS))))
+    row = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    of_id = F.shiftleft(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << _ID_BITS) - 1)), _ROW_BITS)
+    key = F.xxhash64(text).bitwiseAND(F.lit(-1 << (_ID_BITS + _ROW_BITS))).bitwiseOR(of_id).bitwiseOR(row)
     return docs.withColumns({"__key": key, "__size": F.octet_length(text).cast("long") + RECORD_BYTES,
                              "__crc": F.crc32(text.cast("binary"))})
 
@@ -67,21 +71,24 @@ def _sample(rows: DataFrame, step: Column, seed: int) -> DataFrame:
 
 
 def ranges(keyed: DataFrame, shards: int = SHARDS, ranges_per_shard: int = RANGES_PER_SHARD,
-           rounds: int = 8) -> tuple[np.ndarray, list]:
-    """Boundaries, and (range, records, size) of each range that has records."""
+           range_bytes: int = RANGE_BYTES) -> tuple[np.ndarray, list]:
+    """Boundaries, and (range, records, size) of each range that has records.
+
+    The driver holds the range totals and about ``SAMPLES_PER_RANGE`` samples a range: 1.6 million numbers at 100 TB.
+    """
     total = keyed.agg(F.sum("__size")).first()[0]
     if not total:
         return np.zeros(0, np.int64), []
-    parts = shards * ranges_per_shard
+    parts = max(shards * ranges_per_shard, total // range_bytes)
     target = total / parts
     drawn = _sample(keyed, F.lit(target / SAMPLES_PER_RANGE), 0)
     bounds = np.array(_splitters(sorted((r[0], r[1]) for r in drawn.select("__key", "weight").collect()), parts), np.int64)
-    for again in range(1, rounds + 1):
+    for again in itertools.count(1):
         placed = keyed.withColumn("__range", range_of(bounds))
         counted = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("n"), F.sum("__size").alias("size"),
                                                 F.min("__key").alias("low"), F.max("__key").alias("high")).collect()
         over = {r["__range"]: r for r in counted if r["size"] > 2 * target and r["low"] < r["high"]}
-        if not over or again == rounds:
+        if not over:
             break
         drawn = _sample(placed.where(F.col("__range").isin(list(over))), F.lit(target / (4 * SAMPLES_PER_RANGE)), again)
         by_range: dict[int, list] = {k: [] for k in over}

@@ -133,6 +133,17 @@ def test_overfull_ranges_are_subdivided(spark, monkeypatch):
     assert sum(n for _, n, _ in found) == 20000 and max(size for *_, size in found) <= 2 * total / 64
 
 
+def test_equal_rows_are_divided(spark):
+    """A hundred thousand rows equal in id and text, and twenty thousand others; samples stay as few as ranges ask for."""
+    same = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same words").alias("text"))
+    docs = same.unionByName(spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text")))
+    keyed = sharding.stored(sharding.with_key(docs).select("__key", "__size"))
+    total = keyed.agg(F.sum("__size")).first()[0]
+    assert sharding._sample(keyed, F.lit(total / (40 * 64 * sharding.SAMPLES_PER_RANGE)), 0).count() < 2 * 40 * 64 * sharding.SAMPLES_PER_RANGE
+    sizes = check_shards(docs, sharding.assign(docs).collect())
+    assert len(sizes) == 40 and max(sizes.values()) - min(sizes.values()) < 0.05 * np.mean(list(sizes.values()))
+
+
 def test_written_shards(spark, tmp_path):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"), F.lit(1).alias("shard_size"))
     sharding.write(docs, str(tmp_path / "s"), shards=5)
