@@ -156,7 +156,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> Model | None:
     """Model from a bounded sample of labelled documents; None without labels of both kinds.
 
-    What reaches the driver are the lines' own features, at most ``train_docs * train_lines`` rows of 60 bytes.
+    An id on several rows gives one document, the text with the least hash. What reaches the driver are the lines' own features, at
+    most ``train_docs * train_lines`` rows of 60 bytes.
     """
     picked = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
               .where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -165,17 +166,18 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, trai
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = list(texts(batch.column(1)))
+            every = list(texts(batch.column(1)))
+            short = pa.array([raw.count(b"\n") < train_lines for raw in every], pa.bool_())
+            batch, raw = batch.filter(short), [x for x, ok in zip(every, short.to_pylist()) if ok]
             if raw:
                 rows, sizes, _ = _own_features(raw)
                 cuts = np.cumsum(sizes)[:-1]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column(0), "quality": batch.column(2),
                     "rows": pa.array([x.astype("<f4").tobytes() for x in np.split(rows, cuts)], pa.binary())})
-    sample = (id_and_text(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality")
-              .where(F.length(F.regexp_replace("text", "[^\n]", "")) < train_lines))
-    got = sorted(sample.mapInArrow(describe, "doc_id long, quality int, rows binary").collect(), key=lambda r: (r.doc_id, r.rows))
-    got = got[:train_docs]
+    sample = (id_and_text(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality")
+              .agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "t.text", "quality"))
+    got = sorted(sample.mapInArrow(describe, "doc_id long, quality int, rows binary").collect(), key=lambda r: r.doc_id)
     good = np.array([r.quality > 0 for r in got])
     if not len(got) or good.all() or not good.any():
         return None
@@ -209,4 +211,5 @@ def quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents with a score of at least 0.5, with all their columns. Rows do not move."""
     score = scorer(train(docs, labels, **options))
-    return docs.withColumn("__score", score(F.coalesce(F.col("text"), F.lit("")))).where("__score >= 0.5").drop("__score")
+    rows = docs.select(F.struct("*").alias("doc"), score(F.coalesce(F.col("text"), F.lit(""))).alias("score"))
+    return rows.where("score >= 0.5").select("doc.*")
