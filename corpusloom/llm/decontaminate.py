@@ -130,7 +130,8 @@ def _union_length(spans):
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without any window of the benchmark, with all their columns."""
-    return with_spans(docs, benchmark, window).where(F.size("__scan.spans") == 0).select(docs.columns)
+    rows = docs.select(F.struct("*").alias("doc"), "text")
+    return with_spans(rows, benchmark, window).where(F.size("__scan.spans") == 0).select("doc.*")
 
 
 def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -88,7 +88,8 @@ def keep_first(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """
     keys = stored(with_key(docs.select("text")).select("__sha"))
     maps, bits = repeat_filter(keys, keys.count(), max_bits)
-    marked = mark_possible(with_key(docs), stored(maps), bits)
+    rows = with_key(docs.select(F.struct("*").alias("doc"), "doc_id", "text")).drop("text")
+    marked = mark_possible(rows, stored(maps), bits)
     best = Window.partitionBy("__sha").orderBy(F.col("__len").desc(), F.col("doc_id").asc_nulls_last())
     first = marked.where("__again").withColumn("__rank", F.row_number().over(best)).where("__rank = 1")
-    return marked.where(~F.col("__again")).select(docs.columns).unionByName(first.select(docs.columns))
+    return marked.where(~F.col("__again")).select("doc.*").unionByName(first.select("doc.*"))

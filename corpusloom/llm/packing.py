@@ -203,12 +203,15 @@ def pack(cut: DataFrame, sequence: int = SEQUENCE, group_docs: int = GROUP_DOCS)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
 
     def fit(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("length", "descending"), ("__row", "ascending")])
+        # Only numbers are sorted; the pieces, which may carry their ids, stay as they came.
+        lengths, row = table.column("length").to_numpy(), table.column("__row").to_numpy()
+        order = np.lexsort((row, -lengths))
         group = table.column("__group")[0].as_py()
-        at = best_fit(table.column("length").to_pylist(), sequence)
+        at = np.empty((len(order), 2), np.int64)
+        at[order] = best_fit(lengths[order].tolist(), sequence)
         return (table.drop_columns(["__row", "__group"])
-                .append_column("sequence_id", pa.array([(group << 32) + s for s, _ in at], pa.int64()))
-                .append_column("offset", pa.array([o for _, o in at], pa.int64())))
+                .append_column("sequence_id", pa.array((group << 32) + at[:, 0], pa.int64()))
+                .append_column("offset", pa.array(at[:, 1], pa.int64())))
     dealt = numbered.withColumn("__group", F.pmod(F.xxhash64("__row"), F.lit(groups)))
     return dealt.groupBy("__group").applyInArrow(fit, schema)
 

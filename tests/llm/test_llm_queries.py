@@ -2,6 +2,7 @@
 
 import os
 import re
+import zlib
 
 import duckdb
 import pytest
@@ -68,6 +69,7 @@ def test_pipeline(spark):
     kept = {d: t for d, t in kept.items() if d not in bad}
     got = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in got} == set(kept)
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in got)
     total = {r.doc_id: r.doc_tokens for r in got}
     assert sum(r.length for r in got) == sum(total.values())
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "decontaminate", "pack"]
@@ -79,6 +81,14 @@ def test_stages_return_the_columns_of_documents(spark, tricky):
         assert out.columns == tricky.columns and out.count() <= tricky.count()
 
 
+def test_stages_keep_columns_of_any_name(spark, tricky):
+    odd = tricky.withColumnsRenamed({"fp": "__row", "shard": "__sha", "score": "__score", "lang": "doc", "n_words": "__scan", "kept": "__again"})
+    for (name, stage) in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, SF)
+        assert out.columns == odd.columns, name
+        assert {r["__score"] for r in out.collect()} <= {"s"}
+
+
 def test_decontamination_finds_items(spark):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     copies = bench.selectExpr("item_id as doc_id", "concat('before ', text, ' after') as text")
