@@ -31,6 +31,21 @@ def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, key: str, buckets: int | None = None, folder: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in hash buckets of ``key``, sorted by it, one file each.
+
+    A join or grouping by ``key`` reads it as it lies; the other side alone is shuffled, to as many partitions. For tables that are
+    met again and again: caches, stored chunks. Choose ``buckets`` so that one has about 1 GB; with fewer than the session's shuffle
+    partitions, the default, Spark shuffles both sides. The session's catalogue names the table.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"corpusloom_{uuid.uuid4().hex}"
+    (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).format("parquet")
+     .option("path", new_folder(spark, folder)).saveAsTable(name))
+    return spark.table(name)
+
+
 def new_folder(spark: SparkSession, below: str | None = None) -> str:
     """Name of a new folder."""
     return f"{(below or _run.get() or shared_folder(spark)).rstrip('/')}/corpusloom-{uuid.uuid4().hex}"

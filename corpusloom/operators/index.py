@@ -8,6 +8,7 @@ from corpusloom.functions import rules
 from corpusloom.functions.text import index_tokens
 from corpusloom.operators.common import first_per_key
 from corpusloom.schemas import CHUNK_FIELDS
+from corpusloom.sources.files import path_exists
 
 
 # Row of the vocabulary that carries the corpus totals; no token is empty.
@@ -20,12 +21,13 @@ class KeywordIndex:
 
     ``df`` counts the chunks with the term. The row of the empty term has the
     number of chunks as ``df`` and their total token count as ``length``. ``buckets`` is the number of term
-    buckets of stored postings; it is stored with them.
+    buckets of stored postings; it is stored with them. ``blocks`` are those of ``pruned.keyword_blocks``, where there are any.
     """
 
     postings: DataFrame
     vocabulary: DataFrame
     buckets: int | None = None
+    blocks: DataFrame | None = None
 
     def write(self, path: str, term_buckets: int = 256) -> None:
         """Store both tables. Postings are laid out by term hash, so a search
@@ -37,6 +39,8 @@ class KeywordIndex:
          .sortWithinPartitions("bucket", "term")
          .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
         self.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+        if self.blocks is not None:
+            self.blocks.write.mode("overwrite").parquet(f"{path}/blocks")
         layout = self.vocabulary.sparkSession.createDataFrame([(term_buckets,)], "buckets int")
         layout.coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
 
@@ -46,7 +50,8 @@ class KeywordIndex:
         return KeywordIndex(
             spark.read.schema(postings).parquet(f"{path}/postings"),
             spark.read.schema("term string, df bigint, length bigint").parquet(f"{path}/vocabulary"),
-            spark.read.schema("buckets int").parquet(f"{path}/layout").first()[0])
+            spark.read.schema("buckets int").parquet(f"{path}/layout").first()[0],
+            spark.read.parquet(f"{path}/blocks") if path_exists(spark, f"{path}/blocks") else None)
 
 
 @dataclass
@@ -175,7 +180,7 @@ def embed_with_cache(texts: DataFrame, cache: DataFrame, embed) -> DataFrame:
     """Vectors for ``texts(text)``, computing only those the cache lacks.
 
     ``cache(text_hash, vector)``; returns the enlarged cache. ``embed`` maps a
-    text column to a vector column.
+    text column to a vector column. A cache that lies in buckets of ``text_hash`` (``stored_by``) is not shuffled.
     """
     hashed = texts.select(F.sha2("text", 256).alias("text_hash"), "text")
     missing = hashed.join(cache.select("text_hash"), "text_hash", "left_anti")

@@ -19,9 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from corpusloom.functions import rules
 from corpusloom.operators.common import top_k
 from corpusloom.operators.index import corpus_stats, term_weights
-from corpusloom.operators.retrieve import (
-    VECTOR_BLOCK, Best, question_blocks, query_terms, rounded_array, unit_rows, weigh,
-)
+from corpusloom.operators.search_tasks import VECTOR_BLOCK, Best, query_terms, question_blocks, rounded_array, unit_rows, weigh
 
 CHUNKS_IN_BLOCK = 128
 VECTORS_IN_BLOCK = 256

@@ -12,32 +12,15 @@ from corpusloom.operators.common import BROADCAST_ROWS, join_rare, join_small, r
 from corpusloom.operators.index import (
     TOTALS, CorpusStats, KeywordIndex, build_keyword_index, corpus_stats, filter_years, term_bucket, term_weights,
 )
+from corpusloom.operators.pruned import block_keyword_hits
+from corpusloom.operators.search_tasks import (
+    VECTOR_BLOCK, Best, query_terms, question_blocks, rounded, rounded_array, unit_rows, weigh,
+)
 
-# Scores are sums of doubles whose order is not fixed, so ranking looks at
-# rounded scores and breaks ties by id: a rerun or retry gives the same ranks.
-# One rule rounds columns and arrays alike: half goes up.
-SCORE_DIGITS = 6
-_SCALE = 10.0 ** SCORE_DIGITS
-
-
-def rounded(score: Column) -> Column:
-    return F.floor(score * _SCALE + 0.5) / _SCALE
-
-
-def rounded_array(score: np.ndarray) -> np.ndarray:
-    return np.floor(score * _SCALE + 0.5) / _SCALE
 # Cells of the score grids held by a task at a time, and the number of asking
 # questions from which a term counts as common.
 GRID = 4_000_000
 COMMON_TERM = 8
-# Largest block of question vectors held by a task.
-VECTOR_BLOCK = 4096
-
-
-def query_terms(questions: DataFrame, query: str = "query") -> DataFrame:
-    """Distinct terms of each question with their multiplicity."""
-    return questions.select("question_id", F.explode_outer(index_tokens(F.col(query))).alias("term")).groupBy(
-        "question_id", "term").agg(F.count("*").alias("qtf"))
 
 
 def bm25_hits(chunks: DataFrame, questions: DataFrame, k: int = 16, vocabulary: DataFrame | None = None) -> DataFrame:
@@ -76,11 +59,16 @@ SELECTIVE = 0.05
 
 
 def keyword_hits(chunks: DataFrame, index: KeywordIndex, questions: DataFrame, k: int = 16) -> DataFrame:
-    """From a stored index the way that reads less; both give the same rows."""
+    """From a stored index the way that reads less: the buckets of selective terms, else blocks that may hold a hit, or the chunks where
+    no blocks are stored. All give the same rows."""
     words = index.vocabulary.where(F.col("term") != TOTALS)
     asked = words.join(query_terms(questions).select("term").distinct(), "term", "left_semi")
     share = (asked.agg(F.sum("df")).first()[0] or 0) / (words.agg(F.sum("df")).first()[0] or 1)
-    return bm25_index_hits(index, questions, k) if share <= SELECTIVE else bm25_hits(chunks, questions, k, index.vocabulary)
+    if share <= SELECTIVE:
+        return bm25_index_hits(index, questions, k)
+    if index.blocks is not None:
+        return block_keyword_hits(index.blocks, index.vocabulary, questions, k)
+    return bm25_hits(chunks, questions, k, index.vocabulary)
 
 
 def _scored(rows: DataFrame, wanted: DataFrame, vocabulary: DataFrame, k: int) -> DataFrame:
@@ -95,62 +83,6 @@ def _scored(rows: DataFrame, wanted: DataFrame, vocabulary: DataFrame, k: int) -
     return question_blocks(wanted, one)
 
 
-def question_blocks(rows: DataFrame, one, block: int = BROADCAST_ROWS) -> DataFrame:
-    """Answers of ``one(part)`` for hash blocks of questions with about ``block`` of the given rows each.
-
-    With several, each is stored as it is done, so that neither plan nor driver holds more than one block.
-    """
-    blocks, out = max(1, -(-rows.count() // block)), None
-    for b in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b)
-        best = one(part)
-        best = best if blocks == 1 else stored(best)
-        out = best if out is None else out.unionByName(best)
-    return out
-
-
-def weigh(wanted: DataFrame, weights: DataFrame) -> pa.Table:
-    """(question_id, term, w) of one block of asked terms."""
-    asked = wanted.toArrow()
-    local = wanted.sparkSession.createDataFrame(asked) if asked.num_rows else wanted
-    return weights.join(F.broadcast(local), "term").select("question_id", "term", (F.col("qtf") * F.col("idf")).alias("w")).toArrow()
-
-
-class Best:
-    """The ``k`` lowest (value, id) pairs of every question seen by one task, none above its ``limit``."""
-
-    def __init__(self, qids: list, k: int, limit: np.ndarray | None = None):
-        self.qids, self.k = qids, k
-        self.ids = [np.empty(0, dtype=object)] * len(qids)
-        self.values = [np.empty(0)] * len(qids)
-        self.limit = np.full(len(qids), np.inf) if limit is None else limit.copy()
-
-    def offer(self, ids: np.ndarray, values: np.ndarray, some: np.ndarray | None = None) -> None:
-        """``values`` is rows x questions, or x the questions ``some``; infinite means no match."""
-        some = np.arange(len(self.qids)) if some is None else some
-        near = (values <= self.limit[some]) & np.isfinite(values)
-        for i in np.flatnonzero(near.any(axis=0)):
-            j = some[i]
-            rows = np.flatnonzero(near[:, i])
-            column = values[rows, i]
-            if len(rows) > self.k:
-                inside = column <= np.partition(column, self.k - 1)[self.k - 1]
-                rows, column = rows[inside], column[inside]
-            all_ids = np.concatenate([self.ids[j], ids[rows]])
-            all_values = np.concatenate([self.values[j], column])
-            keep = np.lexsort((all_ids, all_values))[:self.k]
-            self.ids[j], self.values[j] = all_ids[keep], all_values[keep]
-            if len(keep) == self.k:
-                self.limit[j] = min(self.limit[j], self.values[j][-1])
-
-    def batches(self, name: str, sign: float = 1.0):
-        for qid, ids, values in zip(self.qids, self.ids, self.values):
-            if len(ids):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([qid] * len(ids)), pa.array(list(ids)), pa.array(sign * values + 0.0)],
-                    ["question_id", "chunk_id", name])
-
-
 def _keyword_scan(weighted: pa.Table, stats: CorpusStats, k: int):
     """Scoring task over ``(chunk_id, dl, tokens)`` batches; ``weighted`` is (question, term, w).
 
@@ -238,11 +170,6 @@ def _nearest(qids: list, matrix: np.ndarray, k: int):
     return search
 
 
-def unit_rows(m: np.ndarray) -> np.ndarray:
-    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return m / np.where(norm == 0, 1.0, norm)
-
-
 def vector_hits(corpus: DataFrame, questions: DataFrame, k: int = 16, block: int = VECTOR_BLOCK) -> DataFrame:
     """Exact top ``k`` by cosine distance -> ``question_id, chunk_id, distance, vec_rank``.
 

@@ -27,6 +27,7 @@ from corpusloom.operators.common import join_small
 from corpusloom.operators.index import (
     KeywordIndex, filter_years, forward_index, postings_of, storable, term_bucket, vocabulary_of,
 )
+from corpusloom.operators.pruned import keyword_blocks
 from corpusloom.schemas import CHUNK, CHUNK_FIELDS
 
 BUCKETS = 64
@@ -125,7 +126,8 @@ class Snapshot:
     @property
     def keyword_index(self) -> KeywordIndex:
         return KeywordIndex(self.live("postings", doc_id=owner(F.col("chunk_id"))), self.vocabulary(),
-                            self.body["term_buckets"] if self.body["segments"] else None)
+                            self.body["term_buckets"] if self.body["segments"] else None,
+                            keyword_blocks(self.forward) if self.body["segments"] else None)
 
 
 def snapshot(spark: SparkSession, path: str, version: int | None = None) -> Snapshot:

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.functions import rules
-from corpusloom.operators import chunk, curate, index, report, retrieve, search_store, topics
+from corpusloom.operators import chunk, curate, index, pruned, report, retrieve, search_store, topics
 from corpusloom.operators.common import run_folder, stored
 from corpusloom.schemas import DOC_FIELDS
 from corpusloom.sources.files import file_list, stage_counts
@@ -35,9 +35,11 @@ def source_counts(landed: DataFrame, sources: int) -> DataFrame:
 
 
 def write_search_tables(chunks: DataFrame, out: str, embed=None) -> None:
-    """Vector table and keyword index of a stored chunk table."""
+    """Vector table, forward index and keyword index of a stored chunk table; texts are tokenised once."""
     retrieve.vector_table(chunks, embed).write.mode("overwrite").parquet(f"{out}/vectors")
-    index.build_keyword_index(chunks).write(f"{out}/keyword_index")
+    index.forward_index(chunks.select("chunk_id", "text")).write.mode("overwrite").parquet(f"{out}/forward")
+    forward = chunks.sparkSession.read.parquet(f"{out}/forward")
+    index.KeywordIndex(index.postings_of(forward), index.vocabulary_of(forward), blocks=pruned.keyword_blocks(forward)).write(f"{out}/keyword_index")
 
 
 def build_corpus(sources: list[DataFrame], out: str, updated_at: str, topic_rows=rules.TOPICS, regrade: bool = True,

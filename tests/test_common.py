@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from corpusloom.operators import common
+from corpusloom.operators import common, index
 
 
 def test_salted_and_broadcast_joins_agree_on_a_hot_key(spark):
@@ -33,3 +33,42 @@ def test_stored_reads_back_the_same(spark):
     df = spark.range(20).select("id", F.array(F.lit("a")).alias("t"))
     again = common.stored(df)
     assert again.schema == df.schema.__class__(again.schema.fields) and again.count() == 20
+
+
+def exchanged(df):
+    """Tables below an exchange, by their columns, and the number of exchanges."""
+    plan = df._jdf.queryExecution().executedPlan()
+    found, total = [], [0]
+
+    def walk(p, below):
+        if "AdaptiveSparkPlan" in p.nodeName():
+            return walk(p.executedPlan(), below)
+        here = p.nodeName() in ("Exchange", "BroadcastExchange")
+        total[0] += here
+        if p.nodeName().startswith("Scan"):
+            found.append((p.nodeName(), below or here))
+        for i in range(p.children().size()):
+            walk(p.children().apply(i), below or here)
+
+    walk(plan, False)
+    return [moved for name, moved in found if "corpusloom_" in name], total[0]
+
+
+def test_stored_sides_are_not_shuffled(spark):
+    """Diff, upkeep and cache read the stored table as it lies."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        chunk = "chunk_id string, doc_id string, source string, title string, text string, year int, url string, tags array<string>, evidence_level string, chunk_index int"
+        rows = [(f"d{i}#c0", f"d{i}", "s", "t", f"x{i}", 2000, "u", ["a"], "other", 0) for i in range(50)]
+        old = common.stored_by(spark.createDataFrame(rows, chunk), "chunk_id")
+        new = spark.createDataFrame([(*r[:4], r[4] + "!", *r[5:]) if i % 5 == 0 else r for i, r in enumerate(rows[:40])], chunk)
+        for df, n in ((index.changed_chunks(old, new, compat=True), 8), (index.stale_chunks(old, new), 10)):
+            moved, exchanges = exchanged(df)
+            assert moved == [False] and exchanges == 1 and df.count() == n
+        cache = common.stored_by(spark.createDataFrame([(str(i), [1.0]) for i in range(9)], "text_hash string, vector array<double>"), "text_hash")
+        texts = spark.createDataFrame([("a",), ("b",), ("a",)], "text string")
+        out = index.embed_with_cache(texts, cache, lambda c: F.array(F.length(c).cast("double")))
+        moved, exchanges = exchanged(out)
+        assert moved == [False, False] and exchanges == 1 and out.count() == 11
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
