@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from corpusloom.schemas import DOC, QUESTION
+from corpusloom.sources.arrays import array_records
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -41,7 +42,7 @@ def read_docs(spark: SparkSession, path: str, arrays: bool = False) -> DataFrame
     """Document JSON with ``pos``; no path, no rows.
 
     One document per line, in splits of any size. Absent fields are empty (``with_defaults``). ``arrays`` is for files that are one JSON value each, an
-    array or an object: such a file is read by one task. Records that are no JSON are left out here and listed by ``rejected_docs``.
+    array or an object; an array with line breaks between its records is read by as many tasks as it has splits (``arrays``). Records that are no JSON are left out here and listed by ``rejected_docs``.
     """
     return with_defaults(_parsed_docs(spark, path, arrays).where("_rejected is null").drop("_rejected"))
 
@@ -64,16 +65,17 @@ def _parsed_docs(spark: SparkSession, path: str, arrays: bool) -> DataFrame:
     if not path_exists(spark, path):
         return spark.createDataFrame([], DOC).withColumns({
             "pos": F.lit(None).cast(POSITION), "_rejected": F.lit(None).cast("string")})
-    lines = spark.read.text(path, wholetext=arrays).select("value", scan_position().alias("pos")).where(F.trim("value") != "")
+    lines = spark.read.text(path).select("value", scan_position().alias("pos")).where(F.trim("value") != "")
     schema = T.StructType([*DOC.fields, T.StructField("_rejected", T.StringType())])
     options = {"columnNameOfCorruptRecord": "_rejected"}
     if not arrays:
         return lines.select(F.from_json("value", schema, options).alias("d"), "pos").select("d.*", "pos").select(*fields)
-    # An object counts as an array of one.
-    listed = F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.col("value")).otherwise(F.concat(F.lit("["), "value", F.lit("]")))
-    rows = lines.select(F.posexplode_outer(F.from_json(listed, T.ArrayType(schema), options)).alias("i", "d"), "pos", "value")
+    records = array_records(spark, path)
+    at = F.struct("file", "block", F.col("n").alias("row"), F.array().cast("array<int>").alias("place"))
+    listed = F.concat(F.lit("["), "value", F.lit("]"))
+    rows = records.select(at.alias("pos"), "value", F.posexplode_outer(F.from_json(listed, T.ArrayType(schema), options)).alias("i", "d"))
     bad = F.col("d").isNull() | F.col("d._rejected").isNotNull()
-    return rows.where(~F.ltrim("value").rlike(r"^\[\s*\]")).select(
+    return rows.select(
         *[F.col(f"d.{f}") for f in DOC.fieldNames()], inner_position(F.col("pos"), F.coalesce("i", F.lit(0))).alias("pos"),
         F.when(bad, F.col("value")).alias("_rejected")).select(*fields)
 

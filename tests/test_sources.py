@@ -45,6 +45,38 @@ def test_rejected_records_are_listed(spark, tmp_path):
     assert payloads.rejected_payloads(bad, STUDIES).count() == 1 and payloads.studies(bad).count() == 0
 
 
+@pytest.mark.parametrize("size", [60, 333, 5000, 10 ** 8])
+@pytest.mark.parametrize("layout", ["indented", "one a line", "some a line", "comma first"])
+def test_an_array_is_read_by_several_tasks(spark, tmp_path, size, layout):
+    """Every record once, in place, wherever splits fall; strings full of brackets, quotes and escapes; nested values; a broken record."""
+    odd = ['a "quoted" ]} [{', "back\\slash \\", "line\nbreak", "", "x" * 700, "},\n{", "[", "\ufeff"]
+    rows = [{"doc_id": f"d{i}", "text": odd[i % len(odd)], "tags": ["a", "]"][:i % 3], "extra": {"k": "{" * (i % 4)}} for i in range(60)]
+    if layout == "indented":
+        text = json.dumps(rows, indent=2)
+    elif layout == "one a line":
+        text = "[" + ",\n".join(json.dumps(r) for r in rows) + "]\n"
+    elif layout == "some a line":
+        text = "[\n" + ",\n".join(", ".join(json.dumps(r) for r in rows[i:i + 7]) for i in range(0, 60, 7)) + "\n]"
+    else:
+        text = "\n[\n  " + "\n, ".join(json.dumps(r) for r in rows) + "\n]\n\n"
+    (tmp_path / "a.json").write_text(text)
+    (tmp_path / "b.json").write_text(json.dumps({"doc_id": "one", "text": "object", "tags": ["t"]}, indent=2))
+    (tmp_path / "c.json").write_text('[\n{"doc_id": "before"},\n{"doc_id": nonsense},\n{"doc_id": "after"}\n]')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = files.read_docs(spark, str(tmp_path), arrays=True).orderBy("pos").collect()
+        rejected = files.rejected_docs(spark, str(tmp_path), arrays=True).collect()
+        splits = spark.read.text(str(tmp_path / "a.json")).rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r["doc_id"] for r in got] == [r["doc_id"] for r in rows] + ["one", "before", "after"]
+    assert [(r["text"], r["tags"], r["extra"]) for r in got[:60]] == [(r["text"], r["tags"], r["extra"]) for r in rows]
+    assert [r["value"] for r in rejected] == ['{"doc_id": nonsense}']
+    assert (splits > 10) == (size < 1000)
+
+
 def test_order_follows_paths_and_places_not_sizes(spark, tmp_path):
     for name, size in (("a", 10), ("b", 5000), ("c", 90000)):
         (tmp_path / f"{name}.md").write_text(f"# {name}\n" + "x" * size)
