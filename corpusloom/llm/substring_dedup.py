@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
 from corpusloom.llm.base import id_and_text, join_groups, stored, texts
+from corpusloom.operators.common import mark_maybe
 
 HALF = 25
 _LAST = (1 << 63) - 1
@@ -214,11 +215,17 @@ def copies(rows: DataFrame) -> DataFrame:
 def levels(docs: DataFrame, half: int = HALF, longest: int | None = None) -> Iterator[tuple[int, DataFrame]]:
     """(length, stored table of ``level``) for each length, doubled until none repeats or ``longest`` is passed."""
     rows = side(docs)
-    alone = stored(copies(rows))
+    yield from _levels(rows, stored(copies(rows)), half, longest)
+
+
+def _levels(rows: DataFrame, alone: DataFrame, half: int, longest: int | None) -> Iterator[tuple[int, DataFrame]]:
     length, found = half, None
     while longest is None or length <= longest:
-        at = None if found is None else found.select("uid", F.col("again").alias("at")).join(alone, "uid", "left_anti")
-        inputs = rows.select("uid", "ord", "text") if at is None else _meet(rows, at).select("uid", "ord", "text", "at")
+        if found is None:
+            inputs = rows.select("uid", "ord", "text")
+        else:
+            at = stored(found.where(F.size("again") > 0).select("uid", F.col("again").alias("at")).join(alone, "uid", "left_anti"))
+            inputs = _meet(rows, at).select("uid", "ord", "text", "at")
         found = stored(level(inputs, length, half))
         yield length, found
         if found.isEmpty():
@@ -227,11 +234,13 @@ def levels(docs: DataFrame, half: int = HALF, longest: int | None = None) -> Ite
 
 
 def _meet(rows: DataFrame, narrow: DataFrame) -> DataFrame:
-    """Texts with what is known of their uid; rows equal in id and text meet the same."""
-    return rows.select("doc_id", "uid", "ord", "text").join(narrow, "uid")
+    """Texts with what a stored table knows of their uid; rows equal in id and text meet the same. Texts of which it certainly knows
+    nothing are not moved."""
+    marked = mark_maybe(rows.select("doc_id", "uid", "ord", "text"), narrow.select("uid"), ["uid"])
+    return marked.where("_maybe").drop("_maybe").join(narrow, "uid")
 
 
-_RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+_RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, longest long"
 
 
 def removed_words(n: int, places: np.ndarray, length: int) -> np.ndarray:
@@ -243,13 +252,14 @@ def removed_words(n: int, places: np.ndarray, length: int) -> np.ndarray:
 
 
 def _cut(length: int, with_text: bool):
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()][:4 + with_text]
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][:4 + with_text]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.string()] * with_text, pa.int64()]
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept"] * with_text, "longest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, raw, at, copy in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2), batch.column(3).to_pylist()):
+            for doc, raw, at, copy, most in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2),
+                                                batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                 words = raw.split()
                 if copy and len(words) >= length:
                     kept = []
@@ -259,23 +269,38 @@ def _cut(length: int, with_text: bool):
                 else:
                     kept = words
                 text = b" ".join(kept)
-                rows.append((doc, len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text.decode())[:4 + with_text])
+                rows.append((doc, len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), *[text.decode()] * with_text, most or 0))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names)
     return run
 
 
 def remove_repeats(docs: DataFrame, half: int = HALF, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every document, and on request the kept words as ``kept``.
+    """doc_id, n_words, n_removed, kept_sha256 of every document, and on request the kept words as ``kept``; last ``longest``, the
+    longest doubled length at which a window of it repeats in another document that is no copy of it, 0 without any.
 
-    Texts are shuffled once by uid: the second level and the final cut read the same exchange.
+    All levels run, until no window repeats; what is removed follows from those of ``2 * half`` words. Texts without a mark stay where they are.
     """
     rows = side(docs)
     alone = stored(copies(rows))
-    anchors = stored(level(rows.select("uid", "ord", "text"), half, half))
-    at = anchors.select("uid", F.col("again").alias("at")).join(alone, "uid", "left_anti")
-    windows = level(_meet(rows, at).select("uid", "ord", "text", "at"), 2 * half, half)
-    marks = (windows.where(F.size("covered") > 0).select("uid", "covered", F.lit(False).alias("copy"))
-             .unionByName(alone.select("uid", F.lit(None).cast("array<int>").alias("covered"), F.lit(True).alias("copy"))))
-    joined = rows.select("doc_id", "uid", "ord", "text").join(marks, "uid", "left").select("doc_id", "text", "covered", "copy")
-    return joined.mapInArrow(_cut(2 * half, with_text), _RESULT if with_text else _RESULT.rsplit(", ", 1)[0])
+    covered, repeats = None, None
+    for length, found in _levels(rows, alone, half, None):
+        if length == half:
+            continue
+        seen = found.where(F.size("again") > 0).select("uid", F.lit(length).cast("long").alias("longest"))
+        repeats = seen if repeats is None else repeats.unionByName(seen)
+        if length == 2 * half:
+            covered = found.where(F.size("covered") > 0).select("uid", "covered")
+    copied = alone.withColumn("copy", F.lit(True))
+    if covered is None:
+        marks = copied.select("uid", F.lit(None).cast("array<int>").alias("covered"), "copy", F.lit(0).cast("long").alias("longest"))
+    else:
+        marks = (repeats.groupBy("uid").agg(F.max("longest").alias("longest")).join(covered, "uid", "left")
+                 .join(copied, "uid", "full").select("uid", "covered", "copy", F.coalesce("longest", F.lit(0)).alias("longest")))
+    marks = stored(marks)
+    marked = mark_maybe(rows.select("doc_id", "uid", "text"), marks.select("uid"), ["uid"])
+    asked = marked.where("_maybe").join(marks, "uid", "left").select("doc_id", "text", "covered", "copy", "longest")
+    others = marked.where("not _maybe").select("doc_id", "text", F.lit(None).cast("array<int>").alias("covered"),
+                                               F.lit(None).cast("boolean").alias("copy"), F.lit(None).cast("long").alias("longest"))
+    schema = _RESULT if with_text else _RESULT.replace(", kept string", "")
+    return asked.unionByName(others).mapInArrow(_cut(2 * half, with_text), schema)
