@@ -62,6 +62,24 @@ def test_full_texts_and_near_misses():
     assert labels("GNU General Public License version 3") == {"gpl", "gpl-3.0"}
 
 
+@pytest.mark.parametrize("label", ["mit", "bsd-2-clause", "bsd-3-clause", "isc", "0bsd", "zlib", "bsl-1.0", "unlicense"])
+def test_a_whole_licence_without_one_sentence_is_none(label):
+    scanner = license_scan.Scanner()
+    markup = max((m for x, m in license_scan.TEMPLATES if x == label), key=len)
+    bare = re.sub(r"<<beginOptional>>(?:(?!<<beginOptional>>).)*?<<endOptional>>", " ", re.sub(
+        r'<<var;name="[^"]*";original="([^"]*)".*?>>', r" \1 ", markup))
+    bare = re.sub(r"<<beginOptional>>.*?<<endOptional>>", " ", bare)
+
+    def found(text):
+        return label in {x for x, *_ in scanner.matches([w.encode() for w in words_of("see " + text + " end")])}
+
+    sentences = re.split(r"(?<=[.;:]) +", bare)
+    assert found(bare) and found(bare.upper()) and len(sentences) >= 3
+    for i, s in enumerate(sentences):
+        if len(words_of(s)) >= 3:
+            assert not found(" ".join(sentences[:i] + sentences[i + 1:])), s
+
+
 @pytest.mark.parametrize("n", [1, 24, 25, 400])
 def test_open_regions_have_no_length_bound(n):
     scanner, names = license_scan.Scanner(), " ".join(f"holder{i}" for i in range(n))
