@@ -32,7 +32,7 @@ WITH everything AS (
   SELECT md5(text) AS doc_id, doc_id AS ord, text FROM documents
   UNION ALL SELECT md5(text), 288230376151711744 + item_id, text FROM benchmark
   UNION ALL SELECT md5(html), 576460752303423488 + page_id, html FROM pages)
-SELECT doc_id, ord, length(text)::BIGINT AS n_chars FROM everything
+SELECT doc_id, ord, length(text)::BIGINT AS n_chars, md5(text) AS text_md5 FROM everything
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ord) = 1""")
 def _(spark, sf):
     def source(name, key, text):
@@ -41,7 +41,7 @@ def _(spark, sf):
     merged = curate.merge_first_wins(curate.union_sources(
         source("documents", "doc_id", "text"), source("benchmark", "item_id", "text"), source("pages", "page_id", "html")))
     number = F.col("ord.source") * F.lit(1 << 58) + F.col("ord.row")
-    return merged.select("doc_id", number.alias("ord"), F.length("text").alias("n_chars"))
+    return merged.select("doc_id", number.alias("ord"), F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 @query("dedupe_keys", f"""
@@ -79,7 +79,7 @@ fold AS (
     {keep('year', '{} IS NULL')}, {keep('url', "{} = ''")}, {keep('journal', "{} = ''")}, {keep('doi', "{} = ''")},
     {tags}, {keep('is_oa', "{} = ''")}, {keep('in_pmc', "{} = ''")}
   FROM fold f JOIN ranked n ON n.key = f.key AND n.rn = f.rn + 1)
-SELECT ord, doc_id, source, title, evidence_level, length(text)::BIGINT AS n_chars, year::BIGINT AS year, url, journal,
+SELECT ord, doc_id, source, title, evidence_level, length(text)::BIGINT AS n_chars, md5(text) AS text_md5, year::BIGINT AS year, url, journal,
   doi, array_to_string(tags, '|') AS tags, is_oa, in_pmc
 FROM fold QUALIFY row_number() OVER (PARTITION BY key ORDER BY rn DESC) = 1"""
 
@@ -90,7 +90,7 @@ def _(spark, sf):
 
 
 def _folded(d):
-    return d.select("ord", "doc_id", "source", "title", "evidence_level", F.length("text").alias("n_chars"), "year",
+    return d.select("ord", "doc_id", "source", "title", "evidence_level", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"), "year",
                     "url", "journal", "doi", "tags", F.element_at("extra", "isOpenAccess").alias("is_oa"),
                     F.coalesce(F.element_at("extra", "inPMC"), F.lit("")).alias("in_pmc"))
 

@@ -80,6 +80,6 @@ def _(spark, sf):
         (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"))
     d = build.curate_sources(d, talk, regrade=False)
     number = F.col("ord.source") * F.lit(1 << 58) + F.col("ord.row")
-    return d.select(number.alias("ord"), "doc_id", "source", "title", "evidence_level", F.length("text").alias("n_chars"), "year",
+    return d.select(number.alias("ord"), "doc_id", "source", "title", "evidence_level", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"), "year",
                     "url", "journal", "doi", "tags", F.coalesce(F.element_at("extra", "isOpenAccess"), F.lit("")).alias("is_oa"),
                     F.coalesce(F.element_at("extra", "inPMC"), F.lit("")).alias("in_pmc"))

@@ -91,7 +91,7 @@ WITH r AS (SELECT doc_id, 'pmid:' || doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN
   (1990 + doc_id % 30) AS year, CASE WHEN doc_id % 5 = 0 THEN 'https://x/' || doc_id ELSE '' END AS url,
   CASE lang WHEN 'en' THEN 'guideline' WHEN 'fr' THEN 'umbrella_review' WHEN 'de' THEN 'cohort_study' ELSE 'letter' END AS source_type,
   CASE WHEN doc_id % 2 = 0 THEN 'core' END AS role FROM documents WHERE lang <> 'es')
-SELECT id AS doc_id, CASE WHEN title = '' THEN id ELSE title END AS title, length(text)::BIGINT AS n_chars, year::BIGINT AS year,
+SELECT id AS doc_id, CASE WHEN title = '' THEN id ELSE title END AS title, length(text)::BIGINT AS n_chars, md5(text) AS text_md5, year::BIGINT AS year,
   CASE WHEN url = '' THEN 'https://pubmed.ncbi.nlm.nih.gov/' || doc_id || '/' ELSE url END AS url,
   concat_ws('|', 'salt', role, source_type) AS tags,
   CASE source_type WHEN 'guideline' THEN 'guideline' WHEN 'umbrella_review' THEN 'meta' WHEN 'cohort_study' THEN 'observational' ELSE 'other' END AS evidence_level,
@@ -107,7 +107,7 @@ def _(spark, sf):
         (i % 30 + 1990).alias("year"), F.when(i % 5 == 0, F.concat(F.lit("https://x/"), i)).alias("url"),
         kind.alias("source_type"), F.when(i % 2 == 0, "core").alias("evidence_role"))
     out = curated.curated_docs(d.select(F.to_json(record).alias("value"), i.alias("pos")), "salt")
-    return out.select("doc_id", "title", F.length("text").alias("n_chars"), "year", "url", "tags", "evidence_level",
+    return out.select("doc_id", "title", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"), "year", "url", "tags", "evidence_level",
                       F.element_at("extra", "source_type").alias("source_type"),
                       F.try_element_at("extra", F.lit("evidence_role")).alias("role"))
 
