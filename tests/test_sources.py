@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import rules
 from corpusloom.functions.pieces import pack_paragraphs
-from corpusloom.operators import chunk, curate, index, search_store, topics
+from corpusloom.operators import chunk, curate, search_store, topics
 from corpusloom.plans import ask, build
 from corpusloom.schemas import STUDIES
 from corpusloom.sources import curated, files, markdown, payloads
