@@ -108,6 +108,43 @@ def test_identifiers(spark):
     assert got == {"PMID:1": "ok", "10.1/a": "ok", "2": "withdrawn", "3": "withdrawn", "9": "not_found"}
 
 
+def _plans(monkeypatch, name):
+    """Executed plans of all results of ``verify``'s function ``name``."""
+    plain, seen = getattr(verify, name), []
+    monkeypatch.setattr(verify, name, lambda *a: seen.append(plain(*a)) or seen[-1])
+    return lambda: [df._jdf.queryExecution().executedPlan().toString() for df in seen]
+
+
+@pytest.mark.parametrize("askers", [10_000, 20])
+def test_titles_are_not_copied_for_those_who_ask(spark, monkeypatch, askers):
+    monkeypatch.setattr(verify, "fits", lambda df: False)
+    monkeypatch.setattr(verify, "ASKERS", askers, raising=False)
+    catalog = spark.range(300).selectExpr(
+        "concat('pmid:', id) doc_id", "concat('title ', id) title", "2000 year", "'' journal", "'' url",
+        "concat('10.1/', id % 200) doi", "cast(map() as map<string,string>) extra")
+    ids = spark.sql("select '7' identifier from range(100) union all select concat('10.1/', id) from range(250) union all select null")
+    plans = _plans(monkeypatch, "answered")
+    got = verify.verify_identifiers(ids, catalog).groupBy("identifier", "doc_id", "title", "note").count().collect()
+    want = {("7", "pmid:7", "title 7", "ok", 100), (None, None, None, "not_found", 1)}
+    want |= {(f"10.1/{i}", f"pmid:{min([i, i + 200], key=str)}", f"title {min([i, i + 200], key=str)}", "ok", 1) for i in range(100)}
+    want |= {(f"10.1/{i}", f"pmid:{i}", f"title {i}", "ok", 1) for i in range(100, 200)}
+    want |= {(f"10.1/{i}", None, None, "not_found", 1) for i in range(200, 250)}
+    assert {tuple(r) for r in got} == want
+    assert all("SortMergeJoin" in p for p in plans()) and (askers == 20 or not any("Generate" in p for p in plans()))
+
+
+@pytest.mark.parametrize("askers", [10_000, 20])
+def test_trial_records_are_not_broadcast(spark, monkeypatch, askers):
+    monkeypatch.setattr(verify, "ASKERS", askers, raising=False)
+    monkeypatch.setattr(verify, "fits", lambda df: False)
+    trials = spark.range(300).selectExpr("concat('NCT', id) nct_id", "concat('t', id) title")
+    ids = spark.sql("select 'nct7' nct_id from range(100) union all select concat('NCT', id) from range(400) union all select 'x'")
+    plans = _plans(monkeypatch, "answered")
+    got = dict(verify.trial_records(ids, trials).groupBy("note").count().collect())
+    assert got == {"ok": 400, "not_found": 100, "bad_format": 1}
+    assert plans() and all("SortMergeJoin" in p for p in plans())
+
+
 def test_topic_selection_order_and_unknown_slug(spark):
     docs = spark.createDataFrame([("a", 0, 2000, ["x"]), ("b", 1, None, ["x", "y", "y"]), ("c", 2, 2010, ["x"]), ("d", 3, 2010, ["x"])],
                                  "doc_id string, ord long, year int, tags array<string>")
