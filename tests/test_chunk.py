@@ -53,6 +53,15 @@ def test_cut_moves_to_the_end_of_a_table():
     assert cut_text("| " + "x" * 3000) == ["| " + "x" * 3000]
 
 
+def test_a_long_line_is_no_table_because_the_text_begins_with_one():
+    pieces = cut_text("| a | b |\n| c | d |\n" + "word | other. " * 500)
+    assert len(pieces) > 5 and max(map(len, pieces)) <= 1200
+    # A row is one line from its first character on, also for the pieces that begin in it.
+    row = "| " + "cell. " * 500 + "|\n"
+    pieces = cut_text("intro\n" + row + "end. " * 500, overlap=0)
+    assert pieces[0] == ("intro\n" + row).strip() and max(map(len, pieces[1:])) <= 1200
+
+
 def test_empty_text_gives_title_chunk(spark):
     docs = spark.createDataFrame(
         [("d1", "local", "T", "", None, "", [], "other"), ("d2", "local", "T2", "body", 2000, "u", ["a"], "rct")],
