@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from corpusloom.functions import rules
 from corpusloom.functions.pieces import packer
 from corpusloom.functions.text import (
-    contains_any, level_from_rules, normalize_level, or_else, strip, text_or_empty,
+    level_from_rules, normalize_level, or_else, strip, text_or_empty,
 )
 from corpusloom.operators.common import first_per_key
 from corpusloom.sources.files import as_position, inner_position, scan_position
@@ -139,21 +139,27 @@ def literature_rows(files: DataFrame, default_context: str = rules.LITERATURE_DE
 
 _START = r"(?<![\p{L}\p{N}_])"
 _STOP = r"(?![\p{L}\p{N}_])"
+_SKIPPED = rf"(?<!\p{{Lu}})({'|'.join(rules.LITERATURE_SKIP_WORDS)})(?![\p{{Lu}}0-9])"
 
 
 def literature_docs(files: DataFrame, default_context: str = rules.LITERATURE_DEFAULT_CONTEXT) -> DataFrame:
-    """Literature tables -> documents; the first row of each article in a file wins."""
+    """Literature tables -> documents; the first row of each article in a file wins.
+
+    Rows with a skip word are left out, not those where its letters are part of a longer word in capitals. The year is that of a cell with nothing
+    else in it, else the first in the row.
+    """
     rows = literature_rows(files, default_context).withColumn("cells", _cells(F.col("line")))
     joined = F.array_join("cells", " ")
     rows = rows.withColumn("joined", joined).withColumn(
         "pmid", F.regexp_extract("joined", rf"{_START}([0-9]{{7,8}}){_STOP}", 1))
-    rows = rows.where((F.col("pmid") != "") & ~contains_any(F.col("joined"), rules.LITERATURE_SKIP_WORDS))
+    rows = rows.where((F.col("pmid") != "") & ~F.col("joined").rlike(_SKIPPED))
     rows = first_per_key(rows, ["file", "pmid"], F.col("at"))
     named = F.get(F.filter("cells", lambda c: F.contains(c, F.lit("et al")) | F.contains(c, F.lit("*"))), F.lit(0))
     rows = rows.withColumn("title", F.regexp_replace(F.coalesce(named, F.col("joined")), "<[^>]+>", ""))
     blob = F.concat_ws(" ", F.get("cells", F.lit(0)), "title", "joined")
     level = normalize_level(F.lit(""), blob, rules.TITLE_LEVEL_RULES)
-    year = F.regexp_extract("joined", rf"{_START}(19[0-9]{{2}}|20[0-9]{{2}}){_STOP}", 1)
+    alone = F.get(F.filter("cells", lambda c: c.rlike("^(19|20)[0-9]{2}$")), F.lit(0))
+    year = F.coalesce(alone, F.regexp_extract("joined", rf"{_START}(19[0-9]{{2}}|20[0-9]{{2}}){_STOP}", 1))
     return rows.select(
         F.concat(F.lit("pmid:"), "pmid").alias("doc_id"), F.lit("pubmed").alias("source"), "title",
         F.concat(F.lit(rules.LITERATURE_TEXT_PREFIX), "title", F.lit("\n"), "context").alias("text"),

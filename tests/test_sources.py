@@ -141,6 +141,13 @@ def test_literature_tables(spark):
     assert a["text"].startswith(rules.LITERATURE_TEXT_PREFIX)
 
 
+def test_literature_skip_words_and_year_cells(spark):
+    md = ("| PARAGRAPH ÑRAGA | Li et al. | 1234567 |\n| GraphRAG | Wu et al. | 2345678 |\n| 用RAG检索 | Wu et al. | 3456789 |\n"
+          "| call 555-1941 | Ma et al. | 4567890 | 2011 |\n| in 1999 | Xu et al. | 5678901 |\n")
+    rows = markdown.literature_docs(spark.createDataFrame([("f", md)], "file string, text string")).collect()
+    assert {(r["doc_id"], r["year"]) for r in rows} == {("pmid:1234567", None), ("pmid:4567890", 2011), ("pmid:5678901", 1999)}
+
+
 XML = """<?xml version="1.0"?><PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>11</PMID><Article><Journal><JournalIssue><PubDate>
 <MedlineDate>2001 Jan</MedlineDate></PubDate></JournalIssue><Title>J One</Title></Journal><ArticleTitle>Salt <i>and</i> pressure</ArticleTitle>
 <Abstract><AbstractText>First <b>bold</b> part.</AbstractText><AbstractText>Second.</AbstractText></Abstract><PublicationTypeList>
