@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusloom.functions import rules
 from corpusloom.functions.text import index_tokens
-from corpusloom.operators.common import first_per_key
+from corpusloom.operators.common import WIDE_ROWS, first_per_key
 from corpusloom.schemas import CHUNK_FIELDS
 from corpusloom.sources.files import path_exists
 
@@ -40,7 +40,7 @@ class KeywordIndex:
          .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
         self.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
         if self.blocks is not None:
-            self.blocks.write.mode("overwrite").parquet(f"{path}/blocks")
+            self.blocks.write.mode("overwrite").options(**WIDE_ROWS).parquet(f"{path}/blocks")
         layout = self.vocabulary.sparkSession.createDataFrame([(term_buckets,)], "buckets int")
         layout.coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
 

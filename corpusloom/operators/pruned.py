@@ -34,7 +34,7 @@ VECTOR_BLOCK_ROW = "chunk_ids array<string>, vectors array<double>, centre array
 
 
 def keyword_blocks(forward: DataFrame, size: int = CHUNKS_IN_BLOCK) -> DataFrame:
-    """Blocks of ``size`` neighbouring rows of a forward index (chunk_id, dl, terms, counts). Store them."""
+    """Blocks of ``size`` neighbouring rows of a forward index (chunk_id, dl, terms, counts). Store them as ``wide``."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, size):
@@ -235,7 +235,7 @@ def _balls(size: int):
 
 
 def vector_blocks(corpus: DataFrame, cells: int = CELLS, size: int = VECTORS_IN_BLOCK, fit: int = FIT_VECTORS) -> DataFrame:
-    """Blocks of vectors (chunk_id, vector) that lie close together. Store them.
+    """Blocks of vectors (chunk_id, vector) that lie close together. Store them as ``wide``.
 
     Vectors go to the nearest of ``cells`` centres, fitted on at most ``fit`` vectors by a hash of the id, and are sorted by cell; a block
     has its own centre and radius.

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,14 @@ def test_an_identifier_asked_often(spark, monkeypatch):
         got = dict(verify.verify_identifiers(ids, catalog).groupBy("note").count().collect())
         assert got == {"ok": 4500, "not_found": 500}
     assert math.isclose(retrieve.rounded_array(np.array([0.1234565]))[0], 0.123457)
+
+
+def test_blocks_are_stored_in_small_row_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "term_bucket", lambda term, buckets: F.lit(0))
+    forward = stored(index.forward_index(spark.range(600).selectExpr("concat('c', id) chunk_id", "concat('word', id % 7, ' common') text").coalesce(1)))
+    built = index.KeywordIndex(index.postings_of(forward), index.vocabulary_of(forward), blocks=pruned.keyword_blocks(forward, 4))
+    built.write(str(tmp_path))
+    plain = stored(pruned.keyword_blocks(forward, 4), str(tmp_path / "own"), wide=True).inputFiles()
+    for files in (list((tmp_path / "blocks").glob("*.parquet")), [f.removeprefix("file://") for f in plain]):
+        groups = [pq.ParquetFile(f).metadata.row_group(g).num_rows for f in files for g in range(pq.ParquetFile(f).num_row_groups)]
+        assert sum(groups) == 150 and max(groups) <= 32
