@@ -25,7 +25,8 @@ from corpusloom.llm.base import id_and_text, stored, texts
 SEQUENCE = 2048
 GROUP_DOCS = 16384
 END_ID = 1
-CACHE_WORDS = 1_000_000
+# Words remembered by a Python worker, about 180 bytes each; the worker keeps them as long as it lives, also through other stages.
+CACHE_WORDS = 250_000
 _TOKENIZERS: dict = {}
 
 

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import os
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -176,6 +177,18 @@ def test_word_ids_are_those_of_whole_texts(tricky, monkeypatch):
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_word_ids_remember_little():
+    ours = packing.WordIds(WORD_PIECES)
+    tracemalloc.start()
+    try:
+        texts = (" ".join(f"an{i:06d}" for i in range(at, at + 1000)).encode() for at in range(0, 600_000, 1000))
+        got = sum(1 for _ in ours.batch(list(texts), step=8))
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert got == 600 and held < 64e6
+
+
 @pytest.mark.parametrize("group_docs", [16384, 5])
 def test_packed_documents(tricky, group_docs):
     cut = packing.pieces(tricky, WORD_PIECES, with_ids=True)
