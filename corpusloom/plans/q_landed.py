@@ -33,7 +33,7 @@ WITH {DOCS} SELECT doc_id, source, title, text, year::BIGINT AS year, url, array
 def _(spark, sf):
     """Documents written as files and read back, many to a file."""
     path = new_folder(spark)
-    files.write_docs(docs(spark, sf).repartition(3), path)
+    files.write_docs(docs(spark, sf), path)
     back = files.read_docs(spark, path)
     return back.select(*[c for c in DOC_FIELDS if c != "extra"], F.element_at("extra", "isOpenAccess").alias("is_oa"))
 

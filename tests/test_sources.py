@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import rules
 from corpusloom.functions.pieces import pack_paragraphs
 from corpusloom.operators import chunk, curate, search_store, topics
-from corpusloom.plans import ask, build
+from corpusloom.plans import ask, build, catalog
 from corpusloom.schemas import STUDIES
 from corpusloom.sources import curated, files, markdown, payloads
 from corpusloom.streaming import incremental
@@ -263,3 +263,17 @@ def test_stream_replaces_documents(spark, tmp_path):
     assert heads["pmid:0"] == heads["pmid:1"] == "new" and heads["pmid:5"] == "old"
     want = chunk.docs_to_chunks(make_docs(spark, 6).withColumn("text", F.concat(F.lit("old "), "text")), merge_below=rules.CHUNK_MIN_CHARS)
     assert second.count() == want.count()
+
+
+def test_files_of_documents_grow_with_the_table(spark, tmp_path):
+    rows = [(i, f"title {i}\n" + "some text " * 400, "en", "s", 4000 + i) for i in range(4000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(16).write.parquet(
+        str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        back = catalog.QUERIES["docs_files"](spark, str(tmp_path))
+        assert len(back.inputFiles()) > 3 and back.select("doc_id").distinct().count() == back.count() == len(rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
