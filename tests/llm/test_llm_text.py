@@ -235,6 +235,23 @@ def test_training_learns_the_neighbours(spark):
     assert all(0 < r.score < 1 and r.n_words == 120 for r in got)
 
 
+def test_every_word_is_trained_on(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, " ".join(x for _ in range(40) for x in rng.choice([("red", "green", "blue"), ("one", "two", "three")]))) for i in range(400)]
+    docs = spark.createDataFrame([*rows, (None, None), (5, "")], "doc_id long, text string")
+    got = masked_lm.pseudo_likelihood(docs).collect()
+    assert np.mean([r.mean_log_prob for r in got if r.n_words]) > -1.5
+    seen, mean = [], masked_lm._averaged
+
+    def averaged(trained, *rest):
+        seen.append(trained.where("block = 0").agg(F.sum("n")).first()[0])
+        return mean(trained, *rest)
+    monkeypatch.setattr(masked_lm, "_averaged", averaged)
+    monkeypatch.setattr(masked_lm, "PART_EXAMPLES", 5000)
+    masked_lm.pseudo_likelihood(docs).collect()
+    assert sum(seen) == 400 * 120 and len(seen) == masked_lm.ROUNDS
+
+
 def test_scores_against_word_by_word(tricky, no_docs, spark):
     numbers = masked_lm.WordNumbers(masked_lm.frequent_words(tricky.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))))
     network, _, _ = small_network()
