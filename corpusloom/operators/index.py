@@ -2,11 +2,12 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from corpusloom.functions import rules
+from corpusloom.functions.pieces import COUNTS, term_counter
 from corpusloom.functions.text import index_tokens
-from corpusloom.operators.common import WIDE_ROWS, first_per_key
+from corpusloom.operators.common import WIDE_ROWS, first_per_key, laid_out
 from corpusloom.schemas import CHUNK_FIELDS
 from corpusloom.sources.files import path_exists
 
@@ -21,22 +22,22 @@ class KeywordIndex:
 
     ``df`` counts the chunks with the term. The row of the empty term has the
     number of chunks as ``df`` and their total token count as ``length``. ``buckets`` is the number of term
-    buckets of stored postings; it is stored with them. ``blocks`` are those of ``pruned.keyword_blocks``, where there are any.
+    buckets of stored postings; it is stored with them. ``blocks`` are those of ``pruned.keyword_blocks``, ``forward`` a
+    stored ``forward_index``, where there are any.
     """
 
     postings: DataFrame
     vocabulary: DataFrame
     buckets: int | None = None
     blocks: DataFrame | None = None
+    forward: DataFrame | None = None
 
     def write(self, path: str, term_buckets: int = 256) -> None:
         """Store both tables. Postings are laid out by term hash, so a search
-        reads only the directories of its own terms. Ranges are cut by size, so
-        the postings of a hot term fill many files, and rows are sorted by term,
-        so row groups of other terms are skipped."""
-        (self.postings.withColumn("bucket", term_bucket(F.col("term"), term_buckets))
-         .repartitionByRange("bucket", "term", "chunk_id")
-         .sortWithinPartitions("bucket", "term")
+        reads only the directories of its own terms. Partitions are cut by size
+        (``common.laid_out``), so the postings of a hot term fill many files; in
+        each, rows are sorted by term. Postings are computed once."""
+        (laid_out(self.postings.withColumn("bucket", term_bucket(F.col("term"), term_buckets)), ["bucket"], "bucket", "term")
          .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
         self.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
         if self.blocks is not None:
@@ -85,13 +86,9 @@ def forward_index(chunks: DataFrame) -> DataFrame:
 
     Stored beside the index, it tells what a chunk holds without its text being tokenised again.
     """
-    tokens = chunks.select("*", F.array_sort(index_tokens(F.col("text"))).alias("tokens"))
-    dl = F.size("tokens").cast("long").alias("dl")
-    starts = tokens.select("*", dl, F.filter(F.transform("tokens", lambda t, i: F.when(
-        (i == 0) | (F.get("tokens", i - 1) != t), i)), lambda i: i.isNotNull()).alias("starts"))
-    return starts.select(
-        *[c for c in chunks.columns if c != "text"], "dl", F.transform("starts", lambda at: F.get("tokens", at)).alias("terms"),
-        F.transform("starts", lambda at, k: (F.coalesce(F.get("starts", k + 1), F.size("tokens")) - at).cast("long")).alias("counts"))
+    kept = [c for c in chunks.columns if c != "text"]
+    tokens = chunks.select(*kept, index_tokens(F.col("text")).alias("tokens"))
+    return tokens.mapInArrow(term_counter(), T.StructType([*chunks.select(*kept).schema.fields, *COUNTS.fields]))
 
 
 def postings_of(forward: DataFrame) -> DataFrame:

@@ -23,11 +23,10 @@ from corpusloom.functions.pieces import embedder
 from corpusloom.functions.text import text_or_empty
 from corpusloom.operators import versions
 from corpusloom.operators.chunk import docs_to_chunks, require_buildable
-from corpusloom.operators.common import join_small
+from corpusloom.operators.common import join_small, laid_out
 from corpusloom.operators.index import (
     KeywordIndex, filter_years, forward_index, postings_of, storable, term_bucket, vocabulary_of,
 )
-from corpusloom.operators.pruned import keyword_blocks
 from corpusloom.schemas import CHUNK, CHUNK_FIELDS
 
 BUCKETS = 64
@@ -127,7 +126,7 @@ class Snapshot:
     def keyword_index(self) -> KeywordIndex:
         return KeywordIndex(self.live("postings", doc_id=owner(F.col("chunk_id"))), self.vocabulary(),
                             self.body["term_buckets"] if self.body["segments"] else None,
-                            keyword_blocks(self.forward) if self.body["segments"] else None)
+                            forward=self.forward if self.body["segments"] else None)
 
 
 def snapshot(spark: SparkSession, path: str, version: int | None = None) -> Snapshot:
@@ -194,26 +193,22 @@ def _going(now: Snapshot, ids: DataFrame, buckets: int) -> DataFrame:
 
 def _put_chunks(chunks: DataFrame, out: str, embed, buckets: int, term_buckets: int,
                 least: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Write the tables that follow from chunks alone. Rows are cut into files by range, so a large bucket fills several."""
+    """Write the tables that follow from chunks alone, each computed once. Files are cut by size, so a large bucket fills several."""
     bucket = bucket_of(F.col("doc_id"), buckets).alias("bucket")
-    stored = versions.put(_ranged(chunks.select(*CHUNK_FIELDS, bucket), "bucket", "chunk_id"), f"{out}/chunks", "bucket")
+    stored = versions.put(laid_out(chunks.select(*CHUNK_FIELDS, bucket), ["bucket"], "bucket", "chunk_id"), f"{out}/chunks", "bucket")
     if least is not None:
         require_buildable(stored, least).collect()
     vector = (embed or embedder())(text_or_empty(F.col("text"))).cast("array<double>").alias("vector")
     vectors = stored.select("chunk_id", "doc_id", "source", "year", vector, shelf_of(F.col("source")).alias("shelf"))
-    versions.put(_ranged(vectors, "shelf", "year", "chunk_id"), f"{out}/vectors", "shelf")
+    versions.put(laid_out(vectors, ["shelf", "year"], "shelf", "year", "chunk_id"), f"{out}/vectors", "shelf")
     # In the buckets of the chunks, whose files are read one by one.
     forward = versions.put(forward_index(stored.select("chunk_id", "doc_id", "text", "bucket")).select(
         "chunk_id", "doc_id", "dl", "terms", "counts", "bucket"), f"{out}/forward", "bucket")
     postings = postings_of(forward).withColumn("bucket", term_bucket(F.col("term"), term_buckets))
-    versions.put(_ranged(postings, "bucket", "term", "chunk_id"), f"{out}/postings", "bucket")
+    versions.put(laid_out(postings, ["bucket"], "bucket", "term"), f"{out}/postings", "bucket")
     return stored, forward
 
 
-def _ranged(rows: DataFrame, *by: str) -> DataFrame:
-    return rows.repartitionByRange(*by).sortWithinPartitions(*by)
-
-
 def compactable(segments: list[dict], ratio: float = RATIO) -> int:
     """The first segment of the longest tail in which each is at most ``ratio`` times as large as all later ones together."""
     first, later = len(segments), 0
@@ -234,11 +229,11 @@ def compact(spark: SparkSession, path: str, ratio: float = RATIO) -> int:
         return now.version
     folder = versions.new_segment(path)
     out = f"{path}/{folder}"
-    chunks = versions.put(_ranged(now.live("chunks", first), "bucket", "chunk_id"), f"{out}/chunks", "bucket")
-    versions.put(_ranged(now.live("vectors", first), "shelf", "year", "chunk_id"), f"{out}/vectors", "shelf")
-    versions.put(_ranged(now.live("forward", first), "bucket", "chunk_id"), f"{out}/forward", "bucket")
+    chunks = versions.put(laid_out(now.live("chunks", first), ["bucket"], "bucket", "chunk_id"), f"{out}/chunks", "bucket")
+    versions.put(laid_out(now.live("vectors", first), ["shelf", "year"], "shelf", "year", "chunk_id"), f"{out}/vectors", "shelf")
+    versions.put(laid_out(now.live("forward", first), ["bucket"], "bucket", "chunk_id"), f"{out}/forward", "bucket")
     postings = now.live("postings", first, doc_id=owner(F.col("chunk_id")))
-    versions.put(_ranged(postings, "bucket", "term", "chunk_id"), f"{out}/postings", "bucket")
+    versions.put(laid_out(postings, ["bucket"], "bucket", "term"), f"{out}/postings", "bucket")
     dead = reduce(DataFrame.unionByName, [now.part("gone", s) for s in range(first, len(segments))]).distinct()
     gone = versions.put(dead if first else dead.limit(0), f"{out}/gone")
     versions.put(now.vocabulary(first), f"{out}/vocabulary")

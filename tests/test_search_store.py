@@ -4,6 +4,7 @@ import os
 import random
 import shutil
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,3 +215,55 @@ def test_filters_drop_files(spark, tmp_path):
     assert [r.doc_id for r in now.vectors_of("").collect()] == ["blank"]
     assert {r.year for r in now.vectors_of(year_from=2003, year_to=2003).collect()} == {2003}
     assert "GreaterThanOrEqual(year,2003)" in now.vectors_of("wiki", 2003)._jdf.queryExecution().executedPlan().toString()
+
+
+def counting(spark):
+    """An accumulator and a step that adds the rows that go through it."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+    return seen, lambda rows: rows.mapInArrow(count, rows.schema)
+
+
+def test_a_batch_is_cut_embedded_and_counted_once(spark, tmp_path):
+    rng = random.Random(4)
+    chunks = index.storable(docs_to_chunks(docs_of(spark, {f"d{i}": text(rng, 20) for i in range(40)}))).localCheckpoint()
+    embedded, seen, through = spark.sparkContext.accumulator(0), *counting(spark)
+
+    def embed(column):
+        @F.arrow_udf("array<double>")
+        def one(t: pa.Array) -> pa.Array:
+            embedded.add(len(t))
+            return pa.array([[1.0, float(len(s.as_py()))] for s in t], pa.list_(pa.float64()))
+        return one(column)
+
+    search_store.apply_chunks(spark, str(tmp_path / "s"), through(chunks), chunks.select("doc_id").distinct(), embed=embed)
+    n = chunks.count()
+    assert seen.value == n and embedded.value == n
+
+
+def test_index_computes_its_postings_once_and_keeps_terms_in_order(spark, tmp_path):
+    words = spark.range(3000).selectExpr("concat('c', id) chunk_id", "concat('common w', id % 700) text")
+    built = index.build_keyword_index(words)
+    seen, through = counting(spark)
+    index.KeywordIndex(through(built.postings), built.vocabulary).write(str(tmp_path / "i"), term_buckets=4)
+    assert seen.value == built.postings.count() == 6000
+    for path in (tmp_path / "i" / "postings").rglob("*.parquet"):
+        terms = [r.term for r in spark.read.parquet(str(path)).collect()]
+        assert terms == sorted(terms)
+
+
+def test_snapshot_search_reads_counted_terms_and_no_texts(spark, tmp_path, monkeypatch):
+    rng, path = random.Random(6), str(tmp_path / "s")
+    apply(spark, path, {f"d{i}": text(rng, 20) for i in range(30)})
+    apply(spark, path, {"d3": text(rng, 30), "d4": ""})
+    now, asked = search_store.snapshot(spark, path), questions(spark)
+    monkeypatch.setattr(retrieve, "SELECTIVE", 0.0)
+    want = sorted(map(tuple, retrieve.bm25_hits(now.chunks, asked, 6).collect()))
+    hits = retrieve.keyword_hits(now.chunks, now.keyword_index, asked, 6)
+    assert sorted(map(tuple, hits.collect())) == want
+    plan = hits._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("MapInArrow") == 1 and "regexp_extract_all" not in plan
