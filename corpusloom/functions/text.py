@@ -126,6 +126,11 @@ def index_tokens(c: Column) -> Column:
     return F.concat(search_tokens(c), none)
 
 
+def lower_text(c: Column) -> Column:
+    """What ``pieces.token_lists`` splits into ``index_tokens`` inside a task."""
+    return F.lower(text_or_empty(c))
+
+
 def clean_ocr(c: Column, page_mark: str) -> Column:
     t = F.regexp_replace(c, "(?mU)" + page_mark, "")
     t = F.regexp_replace(t, "\n{3,}", "\n\n")

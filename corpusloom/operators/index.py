@@ -5,8 +5,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from corpusloom.functions import rules
-from corpusloom.functions.pieces import COUNTS, term_counter
-from corpusloom.functions.text import index_tokens
+from corpusloom.functions.pieces import COUNTS, term_counter, token_batches
+from corpusloom.functions.text import lower_text
 from corpusloom.operators.common import WIDE_ROWS, first_per_key, laid_out
 from corpusloom.schemas import CHUNK_FIELDS
 from corpusloom.sources.files import path_exists
@@ -76,9 +76,8 @@ def build_keyword_index(chunks: DataFrame) -> KeywordIndex:
     Terms are counted inside the row, so postings are not shuffled before they are stored. The vocabulary
     explodes each row's distinct tokens, so its shuffle is one row per term and task.
     """
-    tokens = chunks.select(index_tokens(F.col("text")).alias("tokens")).select(
-        F.size("tokens").cast("long").alias("dl"), F.array_distinct("tokens").alias("terms"))
-    return KeywordIndex(postings_of(forward_index(chunks.select("chunk_id", "text"))), vocabulary_of(tokens))
+    forward = forward_index(chunks.select("chunk_id", "text"))
+    return KeywordIndex(postings_of(forward), vocabulary_of(forward))
 
 
 def forward_index(chunks: DataFrame) -> DataFrame:
@@ -87,8 +86,9 @@ def forward_index(chunks: DataFrame) -> DataFrame:
     Stored beside the index, it tells what a chunk holds without its text being tokenised again.
     """
     kept = [c for c in chunks.columns if c != "text"]
-    tokens = chunks.select(*kept, index_tokens(F.col("text")).alias("tokens"))
-    return tokens.mapInArrow(term_counter(), T.StructType([*chunks.select(*kept).schema.fields, *COUNTS.fields]))
+    count = term_counter()
+    return chunks.select(*kept, lower_text(F.col("text")).alias("text")).mapInArrow(
+        lambda batches: count(token_batches(batches)), T.StructType([*chunks.select(*kept).schema.fields, *COUNTS.fields]))
 
 
 def postings_of(forward: DataFrame) -> DataFrame:

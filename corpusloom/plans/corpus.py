@@ -26,7 +26,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     """``documents`` with derived metadata; ``ord`` is the table's id."""
-    d = table(spark, sf, "documents")
+    return as_docs(table(spark, sf, "documents"))
+
+
+def as_docs(d: DataFrame) -> DataFrame:
     n = F.col("n_chars")
     source = F.lit("local")
     for lang, name in LANG_SOURCE.items():
