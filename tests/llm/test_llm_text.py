@@ -266,6 +266,30 @@ def test_scores_against_word_by_word(tricky, no_docs, spark):
     assert masked_lm.pseudo_likelihood(no_docs).count() == 0
 
 
+def test_every_rare_word_has_a_probability(spark, monkeypatch):
+    """log p(bucket) plus the word's share of its bucket, against counts of all words; in many blocks and lists."""
+    monkeypatch.setattr(masked_lm, "BLOCK_WORDS", 700)
+    rng = random.Random(3)
+    bodies = [" ".join(f"w{min(rng.randrange(6000), rng.randrange(6000))}" for _ in range(60)) for _ in range(150)]
+    bodies += [bodies[0], "only here", "", None]
+    docs = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string").repartition(3)
+    counts = Counter(w for t in bodies for w in words_of(t))
+    frequent = masked_lm.frequent_words(docs)
+    assert len(counts) > len(frequent) + 500
+    sizes = Counter()
+    for w in counts.keys() - {f.decode() for f in frequent}:
+        sizes[masked_lm.xxhash.xxh3_64_intdigest(w.encode()) % masked_lm.BUCKETS] += counts[w]
+    network, _, _ = small_network()
+    score = masked_lm.scorer(masked_lm.WordNumbers(frequent), network)
+    want = {r.doc_id: r.s.log_prob for r in docs.select("doc_id", score(F.coalesce("text", F.lit(""))).alias("s")).collect()}
+    monkeypatch.setattr(masked_lm, "train", lambda *_: network)
+    got = {r.doc_id: r.log_prob for r in masked_lm.pseudo_likelihood(docs).collect()}
+    for d, t in enumerate(bodies):
+        rare = [w for w in words_of(t) if w.encode() not in frequent]
+        share = sum(np.log(counts[w] / sizes[masked_lm.xxhash.xxh3_64_intdigest(w.encode()) % masked_lm.BUCKETS]) for w in rare)
+        assert abs(got[d] - want[d] - share) < 1e-6 * max(1, abs(got[d]))
+
+
 def test_frequent_words_are_counted_over_all(tricky, monkeypatch):
     monkeypatch.setattr(masked_lm, "_COUNTED", 5)
     want = Counter(w for r in tricky.collect() for w in words_of(r.text))
